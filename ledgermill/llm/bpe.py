@@ -28,6 +28,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .common import ship
+
 MATRIX_BYTES = 256
 #: Most cells of one matrix; a larger bucket is encoded in several.
 MATRIX_CELLS = 1 << 16
@@ -259,6 +261,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", carry: tu
                 columns = [part.column(c) for c in carry] + [pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), flat)]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
+    ship(df.sparkSession)
     return df.select(*carry, F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, schema)
 
 
@@ -272,6 +275,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "token_ids", carry
             texts = [vocab.decode(x or []) for x in batch.column(len(carry)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carry], pa.array(texts, pa.binary())], names=schema.names)
 
+    ship(df.sparkSession)
     return df.select(*carry, F.col(ids).alias("_ids")).mapInArrow(run, schema)
 
 
@@ -293,4 +297,5 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", carry
                 columns = [part.column(c) for c in carry] + [pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(bytes_hash, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
+    ship(df.sparkSession)
     return df.select(*carry, F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, schema)

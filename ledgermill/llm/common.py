@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -25,6 +27,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives executors this package, for Python stages where it is not installed: Spark's own file server
+    hands out the archive, once per application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_ledgermill_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    archive = Path(tempfile.mkdtemp(prefix="ledgermill-")) / "ledgermill_code.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+    sc._ledgermill_shipped = True
+
+
 class Scratch:
     """Tables in the shared folder.  ``cut`` ends a lineage: the table it returns is read from files, so a
     lost executor costs a re-read and not the steps before it."""
