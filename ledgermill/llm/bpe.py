@@ -236,7 +236,7 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
 
 def _texts_in_parts(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Rows in parts of about ``most`` bytes of text, so that a batch of long texts needs no more memory."""
-    sizes = np.diff(np.frombuffer(batch.column("text").cast(pa.large_string()).buffers()[1], np.int64)[batch.column("text").offset :][: len(batch) + 1])
+    sizes = np.diff(np.frombuffer(batch.column("_text").cast(pa.large_string()).buffers()[1], np.int64)[batch.column("_text").offset :][: len(batch) + 1])
     start = total = 0
     for i, size in enumerate(sizes):
         if total and total + size > most:
@@ -255,14 +255,14 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", carry: tu
         vocab = vocabulary(path, pattern)
         for batch in batches:
             for part in _texts_in_parts(batch):
-                ids = [_flat(pieces) for pieces in vocab.encode_batch(part.column("text").to_pylist())]
+                ids = [_flat(pieces) for pieces in vocab.encode_batch(part.column("_text").to_pylist())]
                 flat = pa.array(np.fromiter((i for x in ids for i in x), np.int32, sum(map(len, ids))))
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 columns = [part.column(c) for c in carry] + [pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), flat)]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     ship(df.sparkSession)
-    return df.select(*carry, F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, schema)
+    return df.select(*carry, F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "token_ids", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -289,7 +289,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", carry
         for batch in batches:
             for part in _texts_in_parts(batch):
                 counts, ids_hash, bytes_hash = [], [], []
-                for pieces in vocab.encode_batch(part.column("text").to_pylist()):
+                for pieces in vocab.encode_batch(part.column("_text").to_pylist()):
                     ids = _flat(pieces)
                     counts.append(len(ids))
                     ids_hash.append(hashlib.sha256(" ".join([x for _, x in pieces]).encode()).hexdigest())
@@ -298,4 +298,4 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", carry
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     ship(df.sparkSession)
-    return df.select(*carry, F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, schema)
+    return df.select(*carry, F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInArrow(run, schema)

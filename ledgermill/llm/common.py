@@ -65,26 +65,28 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def running_offsets(df: DataFrame, group: list[str], bucket: str, value: str, out: str) -> DataFrame:
-    """For each (group, bucket) the sum of ``value`` over the group's smaller buckets.
+def running(df: DataFrame, group: list[str], bucket: str, specs: list[tuple[str, str, str]]) -> DataFrame:
+    """For each (group, bucket) totals over the group's smaller buckets.
 
-    ``bucket`` must have a fixed number of values (some thousands at most): one group's bucket sums are then
-    an array of bounded length, whatever number of rows the group has, and no task sees a group's rows.
-    Nulls in ``value`` count as 0; group columns may be null.
+    ``specs``: (column, output, "sum" or "max"); an empty sum is 0, an empty max null.  One group's bucket
+    totals are an array as long as its number of buckets, which the caller bounds; no task sees a group's
+    rows.  Group columns may be null.
     """
-    sums = df.groupBy(*group, bucket).agg(F.coalesce(F.sum(value), F.lit(0)).cast("long").alias("_s"))
-    arrays = sums.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(F.col(bucket).alias("b"), F.col("_s").alias("s")))).alias("_a"))
-    step = F.aggregate(
-        "_a",
-        F.struct(F.lit(0).cast("long").alias("t"), F.expr("cast(array() as array<struct<b:bigint,o:bigint>>)").alias("r")),
-        lambda acc, x: F.struct(
-            (acc["t"] + x["s"]).alias("t"),
-            F.concat(acc["r"], F.array(F.struct(x["b"].cast("long").alias("b"), acc["t"].alias("o")))).alias("r"),
-        ),
-        lambda acc: acc["r"],
-    )
-    rows = arrays.select(*group, F.explode(step).alias("_x"))
-    return rows.select(*group, F.col("_x.b").alias(bucket), F.col("_x.o").alias(out))
+    own = [(F.coalesce(F.sum(c), F.lit(0)) if kind == "sum" else F.max(c)).cast("long").alias(f"_{o}") for c, o, kind in specs]
+    sums = df.groupBy(*group, F.col(bucket).cast("long").alias(bucket)).agg(*own)
+    fields = [f"_{o}" for _, o, _ in specs]
+    arrays = sums.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(F.col(bucket).alias("b"), *fields))).alias("_a"))
+    empty = F.struct(*[(F.lit(0) if kind == "sum" else F.lit(None)).cast("long").alias(o) for _, o, kind in specs])
+    kind_of = ", ".join(f"{o}: bigint" for _, o, _ in specs)
+
+    def step(acc, x):
+        after = [(acc["t"][o] + x[f"_{o}"] if kind == "sum" else F.greatest(acc["t"][o], x[f"_{o}"])).alias(o) for _, o, kind in specs]
+        entry = F.struct(x["b"].alias("b"), *[acc["t"][o].alias(o) for _, o, _ in specs])
+        return F.struct(F.struct(*after).alias("t"), F.concat(acc["r"], F.array(entry)).alias("r"))
+
+    start = F.struct(empty.alias("t"), F.expr(f"cast(array() as array<struct<b: bigint, {kind_of}>>)").alias("r"))
+    rows = arrays.select(*group, F.explode(F.aggregate("_a", start, step, lambda acc: acc["r"])).alias("_x"))
+    return rows.select(*group, F.col("_x.b").alias(bucket), *[F.col(f"_x.{o}").alias(o) for _, o, _ in specs])
 
 
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, mixing, oracles, quality, simhash, urls
-from .common import table
+from . import bpe, embeddings, linededup, mixing, oracles, quality, simhash, tokencount, urls
+from .common import Scratch, table
 
 
 #: Rules of the url filter: host, path, action.
@@ -31,6 +31,25 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.documents.select("doc_id", "size", "source_size", "target", "taken")
 
 
+#: The vocabulary's free id, used as the end-of-document identifier of token files.
+END_OF_DOCUMENT = 50256
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    scratch = Scratch(spark, "tokencount")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    blocks, who = tokencount.write(table(spark, sf_dir, "documents"), scratch, path, public_tokenizers.PATTERN, END_OF_DOCUMENT)
+    counted = tokencount.count(blocks, END_OF_DOCUMENT, scratch)
+    return counted.join(who, ["file", "ordinal"]).select("doc_id", "n_tokens")
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -45,6 +64,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.groups(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     found = {k: v for k, v in globals().items() if k.startswith("op") and k[2:3].isdigit()}
     return dict(sorted(found.items(), key=lambda kv: int(kv[0][2:].split("_")[0])))

@@ -10,7 +10,7 @@ Targets share ``budget`` times all words by weight, but none is above ``epochs``
 what that leaves over is shared again by weight.
 
 Ranks and stream positions are running totals over a fixed number of buckets per source
-(``running_offsets``), so no task holds a source.  Texts are read once, for their sizes.
+(``common.running``), so no task holds a source.  Texts are read once, for their sizes.
 
 Defined results: a null text has size 0; a document of size 0 is taken 0 times; the null source is a source,
 and comes last; repeated rows are documents of their own; an empty table gives an empty table.  The shuffle
@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import WORD, Scratch, null_safe, running_offsets
+from .common import WORD, Scratch, null_safe, running
 
 #: Words of a block.
 BLOCK = 256
@@ -83,7 +83,7 @@ def mix(df: DataFrame, weights: tuple[float, ...] = (3, 1, 2), budget: float = 1
     sources = scratch.cut(targets(totals, weights, budget, epochs))
 
     # Where each document begins in its source's stream.
-    offsets = running_offsets(docs, ["source"], "_bucket", "size", "_offset")
+    offsets = running(docs, ["source"], "_bucket", [("size", "_offset", "sum")])
     within = W.partitionBy("source", "_bucket").orderBy("_key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     streamed = null_safe(docs, offsets, ["source", "_bucket"]).withColumn("start", F.col("_offset") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     streamed = null_safe(streamed, sources, ["source"]).select("doc_id", "n", "source", "size", "source_size", "target", "start")
@@ -127,7 +127,7 @@ def _slots(sources: DataFrame, scratch: Scratch, block: int) -> DataFrame:
     placed = ids.join(cells, "cell").where("u >= lo and u < hi").select(F.col("id").alias("slot"), "n", "need")
     per = max(1, -(-count // BUCKETS))
     placed = scratch.cut(placed.withColumn("_part", F.expr(f"slot div {per}")))
-    offsets = running_offsets(placed.withColumn("_one", F.lit(1)), ["n"], "_part", "_one", "_offset")
+    offsets = running(placed.withColumn("_one", F.lit(1)), ["n"], "_part", [("_one", "_offset", "sum")])
     within = W.partitionBy("n", "_part").orderBy("slot")
     ranked = placed.join(offsets, ["n", "_part"]).withColumn("rank", F.col("_offset") + F.row_number().over(within) - 1)
     ranked = ranked.where("rank < need").select("n", "rank", "slot")

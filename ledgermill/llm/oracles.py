@@ -13,6 +13,30 @@ m AS (SELECT rid, rh || rp AS rule, action, row_number() OVER (PARTITION BY rid
 SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM p LEFT JOIN m ON p.rid = m.rid AND k = 1
 """
 
+SQL["op5_line_dedup"] = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+l AS (SELECT rid, doc_id, unnest(string_split(t, chr(10))) AS x, unnest(range(len(string_split(t, chr(10))))) AS i FROM d),
+w AS (SELECT rid, doc_id, i AS s, lead(i, 2) OVER o AS e, x || chr(10) || lead(x, 1) OVER o || chr(10) || lead(x, 2) OVER o AS g
+      FROM l WHERE regexp_matches(x, '[^\x20\x09-\x0D]') WINDOW o AS (PARTITION BY rid ORDER BY i)),
+r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS LAST, s) AS k FROM w WHERE e IS NOT NULL),
+gone AS (SELECT DISTINCT rid, unnest(range(s, e + 1)) AS i FROM r WHERE k > 1)
+SELECT any_value(l.doc_id) AS doc_id, count(*) AS n_lines, count(gone.i) AS n_removed,
+       sha256(coalesce(string_agg(l.x, chr(10) ORDER BY l.i) FILTER (WHERE gone.i IS NULL), '')) AS text_sha256
+FROM l LEFT JOIN gone ON l.rid = gone.rid AND l.i = gone.i GROUP BY l.rid
+"""
+
+SQL["op8_embeddings"] = r"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+u AS (SELECT vec_id, list_transform(e, x -> x / sqrt(list_inner_product(e, e))) AS e FROM v),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND list_inner_product(a.e, b.e) >= 0.95),
+reach AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM reach r JOIN p ON r.b = p.a),
+c AS (SELECT a, min(b) AS m FROM reach GROUP BY a), n AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(vec_id, coalesce(c.m, vec_id)) AS component_id,
+       vec_id <= coalesce(c.m, vec_id) AS kept
+FROM embeddings LEFT JOIN c ON vec_id = c.a LEFT JOIN n ON vec_id = n.a
+"""
+
 SQL["op7_quality_rules"] = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT rid, doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), x -> x <> '') AS words,
