@@ -279,22 +279,25 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "token_ids", carry
     return df.select(*carry, F.col(ids).alias("_ids")).mapInArrow(run, schema)
 
 
-def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", carry: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
     """Encodes, decodes the ids, and returns the carried columns with ``n_tokens``, ``ids_sha256`` (of the
-    decimal ids joined by a space) and ``decoded_sha256`` (of the decoded bytes), without shipping the ids."""
-    schema = T.StructType([*[df.schema[c] for c in carry], *[T.StructField(n, t) for n, t in (("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType()))]])
+    decimal ids joined by a space) and ``decoded_sha256`` (of the decoded bytes); ``with_ids`` adds
+    ``token_ids``, which else never leave the worker."""
+    schema = T.StructType([*[df.schema[c] for c in carry], *[T.StructField(n, t) for n, t in (("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType()))], *[T.StructField("token_ids", T.ArrayType(T.IntegerType()))] * with_ids])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path, pattern)
         for batch in batches:
             for part in _texts_in_parts(batch):
-                counts, ids_hash, bytes_hash = [], [], []
+                counts, ids_hash, bytes_hash, kept = [], [], [], []
                 for pieces in vocab.encode_batch(part.column("_text").to_pylist()):
                     ids = _flat(pieces)
                     counts.append(len(ids))
+                    if with_ids:
+                        kept.append(np.array(ids, np.int32))
                     ids_hash.append(hashlib.sha256(" ".join([x for _, x in pieces]).encode()).hexdigest())
                     bytes_hash.append(hashlib.sha256(vocab.decode(ids)).hexdigest())
-                columns = [part.column(c) for c in carry] + [pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(bytes_hash, pa.string())]
+                columns = [part.column(c) for c in carry] + [pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(bytes_hash, pa.string()), *[pa.array(kept, pa.list_(pa.int32()))] * with_ids]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     ship(df.sparkSession)

@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import WORD, Scratch, null_safe, running
+from .common import SPACE, WORD, Scratch, null_safe, running
 
 #: Words of a block.
 BLOCK = 256
@@ -107,6 +107,20 @@ def mix(df: DataFrame, weights: tuple[float, ...] = (3, 1, 2), budget: float = 1
     return Mix(documents, schedule.select("slot", "doc_id", "source", "first_word", "n_words"), sources)
 
 
+def apply(df: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", **options) -> DataFrame:
+    """The mix as rows of the input: a document as often as the mix takes it whole, and once more with its
+    first words (joined by a space) if the target ends inside it.  Documents must have distinct doc_ids; of
+    rows that share one, each is taken as often as all of them together, up to their epochs."""
+    taken = mix(df, text=text, source=source, doc_id=doc_id, **options).documents.where("taken > 0")
+    taken = taken.groupBy(F.col("doc_id").alias("_id")).agg(F.max("taken").alias("_taken"))
+    joined = null_safe(df.withColumn("_id", F.col(doc_id)), taken, ["_id"]).withColumn("_size", sizes(F.col(text)))
+    whole, part = F.expr("cast(_taken div _size as int)"), F.expr("cast(_taken % _size as int)")
+    first = F.array_join(F.slice(F.filter(F.split(text, SPACE), lambda w: w != ""), 1, part), " ")
+    copies = F.concat(F.array_repeat(F.lit(True), whole), F.when(part > 0, F.array(F.lit(False))).otherwise(F.expr("cast(array() as array<boolean>)")))
+    rows = joined.where("_size > 0").withColumn("_whole", F.explode(copies))
+    return rows.withColumn(text, F.when(F.col("_whole"), F.col(text)).otherwise(first)).drop("_id", "_taken", "_size", "_whole")
+
+
 def _slots(sources: DataFrame, scratch: Scratch, block: int) -> DataFrame:
     """n, rank, slot: for every source as many ranks as its target has blocks."""
     spark = scratch.spark

@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import Scratch, ship
+from .common import Scratch, null_safe, ship
 from .components import connected
 
 BITS = 64
@@ -135,13 +135,24 @@ def links(fps: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
 
 
 def groups(df: DataFrame, width: int = 4, radius: int = 4, text: str = "text", doc_id: str = "doc_id", name: str = "simhash") -> DataFrame:
-    """doc_id, ``fp`` and ``component_id`` (the smallest doc_id that links lead to) of every row."""
+    """doc_id, ``text_hash``, ``fp``, ``group`` (the same for all that links lead to) and ``component_id``
+    (the group's smallest doc_id) of every row."""
     scratch = Scratch(df.sparkSession, name)
-    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    docs = scratch.cut(fingerprints(docs, width))
+    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    docs = scratch.cut(fingerprints(docs, width, carry=("doc_id", "text_hash")))
     fps = scratch.cut(docs.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = connected(links(fps, radius, scratch), scratch).withColumnRenamed("node", "fp")
-    nodes = scratch.cut(fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
-    firsts = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = nodes.join(firsts, "root").select("fp", "component_id")
-    return docs.join(named, "fp").select("doc_id", "fp", "component_id")
+    nodes = scratch.cut(fps.join(roots, "fp", "left").withColumn("group", F.coalesce("root", "fp")).drop("root"))
+    firsts = nodes.groupBy("group").agg(F.min("first").alias("component_id"))
+    named = nodes.join(firsts, "group").select("fp", "group", "component_id")
+    return docs.join(named, "fp").select("doc_id", "text_hash", "fp", "group", "component_id")
+
+
+def keep_one(df: DataFrame, width: int = 5, radius: int = 4, text: str = "text", doc_id: str = "doc_id", name: str = "simhash") -> DataFrame:
+    """The input with one row of each group: that of the smallest doc_id (nulls last; of equal ones the
+    smallest hash of the text; of equal rows one)."""
+    found = groups(df, width, radius, text, doc_id, name)
+    first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "text_hash")).alias("k"))
+    keepers = first.select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
+    keyed = df.withColumns({"_id": F.col(doc_id), "_hash": F.xxhash64(text)})
+    return null_safe(keyed, keepers, ["_id", "_hash"]).dropDuplicates(["_id", "_hash"]).drop("_id", "_hash")
