@@ -256,10 +256,9 @@ def groups(df: DataFrame, threshold: float = 0.95, vec_id: str = "vec_id", vecto
     scratch = Scratch(df.sparkSession, name)
     rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("v"))
     rows = rows.withColumn("v", F.when(valid(F.col("v")), F.col("v")))
-    # A group of copies is named by its smallest vec_id, or by a negative hash if none has one.
-    nameless = F.xxhash64("v").bitwiseOR(F.lit(-(1 << 63)))
+    # Copies are one representative; the table is written before its numbers are used, so they stay.
     reps = rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("m"))
-    reps = scratch.cut(reps.withColumn("rep", F.coalesce("first", nameless)))
+    reps = scratch.cut(reps.withColumn("rep", F.monotonically_increasing_id()))
     lengths = [r["d"] for r in reps.select(F.size("v").alias("d")).distinct().collect()]
     found = None
     for d in lengths:
