@@ -4,8 +4,8 @@ Nodes of a document's field are its tokens that hold a digit or an at-sign; ever
 definition.  Neighbouring nodes share transition potentials, and tokens that recur in the document, or whose
 digits do, share agreement potentials however far apart they are (each is tied to its last occurrence, so a
 token that recurs n times has n - 1 such edges).  Loopy sum-product message passing runs over all documents
-of a batch at once.  Runs of nodes with a kind's marginal of ``SURE`` or more become spans unless a span
-found by pattern overlaps them; those always stay.
+of a batch at once.  Runs of nodes of which a kind is likelier than not, and one node's marginal is ``SURE`` or
+more, become spans unless a span found by pattern overlaps them; those always stay.
 
 The field is trained piecewise here: unary potentials are a softmax regression on token shapes and
 neighbours, transitions and agreements are smoothed log ratios of counts.  Its labels are the patterns' own
@@ -208,7 +208,7 @@ def labels(own: list[tuple[int, int, str]], spans: list[tuple[int, int, int]]) -
     return out
 
 
-def train(documents: list[list[tuple[int, int, str]]], truth: list[list[int]], steps: int = 300, ridge: float = 1e-3) -> Field:
+def train(documents: list[list[tuple[int, int, str]]], truth: list[list[int]], steps: int = 300, ridge: float = 1e-4) -> Field:
     made, y = Field(), np.array([k for t in truth for k in t], np.int64)
     if not len(y):
         return made
@@ -255,16 +255,18 @@ class _All(dict):
 
 def added(own: list[tuple[int, int, str]], p: np.ndarray, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans of runs of sure nodes of one kind that no pattern's span overlaps."""
-    spans: list[list[int]] = []
+    runs: list[list] = []  # start, kind, end, the surest node's marginal
     best = p[:, 1:].argmax(1) if len(p) else []
     previous = None
     for i, (s, e, _) in enumerate(own):
-        kind = int(best[i]) if p[i, 1:].max() >= SURE and e > s else None
-        if kind is not None and kind == previous and kind >= 2 and s - spans[-1][2] <= 2:
-            spans[-1][2] = e
+        at = float(p[i, 1 + best[i]])
+        kind = int(best[i]) if at > 0.5 and e > s else None
+        if kind is not None and kind == previous and kind >= 2 and s - runs[-1][2] <= 2:
+            runs[-1][2:] = e, max(runs[-1][3], at)
         elif kind is not None:
-            spans.append([s, kind, e])
+            runs.append([s, kind, e, at])
         previous = kind
+    spans = [r[:3] for r in runs if r[3] >= SURE]
     out, j = [], 0
     ends = sorted((s, e) for s, _, e in base)
     for s, k, e in spans:
