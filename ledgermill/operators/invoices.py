@@ -124,14 +124,27 @@ def _lines(rows: DataFrame) -> DataFrame:
     )
 
 
-def table_lines(docs: DataFrame) -> DataFrame:
+def _cell(columns: Column, row: Column, field: str) -> Column:
+    """A row's cell of a logical column, null if blank; of several columns of one name the last counts."""
+    last = F.size(columns) - F.array_position(F.reverse(columns), field).cast("int")
+    return F.when(F.array_contains(columns, field), F.nullif(strip(F.get(row, last)), F.lit("")))
+
+
+def _is_line(description: Column) -> Column:
+    return F.coalesce(~F.regexp_like(description, F.lit(C.SUMMARY_LINE)), F.lit(False))
+
+
+def has_table_lines(best: Column) -> Column:
+    """Whether a best table has a row that is a line item."""
+    return F.coalesce(let(best, lambda b: F.exists(b["rows"], lambda r: _is_line(_cell(b["columns"], r, "description")))), F.lit(False))
+
+
+def table_lines(docs: DataFrame, best: Column | None = None) -> DataFrame:
     """Line items of each document's best table.  A cell that is no number is null and named in bad_fields."""
-    found = docs.select("file_id", best_table(F.col("tables")).alias("b")).where("b is not null")
+    found = docs.select("file_id", (best_table(F.col("tables")) if best is None else best).alias("b")).where("b is not null")
     rows = found.select("file_id", F.col("b.columns").alias("c"), F.posexplode("b.rows").alias("at", "row"))
-    last = lambda f: F.size("c") - F.array_position(F.reverse("c"), f).cast("int")  # noqa: E731  later columns win
-    cell = lambda f: F.when(F.array_contains("c", f), F.nullif(strip(F.get("row", last(f))), F.lit("")))
-    rows = rows.withColumns({f"r_{f}": cell(f) for f in C.LINE_COLUMNS})
-    return _lines(rows.where(F.col("r_description").isNotNull() & ~F.regexp_like("r_description", F.lit(C.SUMMARY_LINE))))
+    rows = rows.withColumns({f"r_{f}": _cell(F.col("c"), F.col("row"), f) for f in C.LINE_COLUMNS})
+    return _lines(rows.where(_is_line(F.col("r_description"))))
 
 
 def text_lines(docs: DataFrame) -> DataFrame:
@@ -150,11 +163,16 @@ def text_lines(docs: DataFrame) -> DataFrame:
     }))
 
 
-def reconcile(invoices: DataFrame, lines: DataFrame, limits: C.Limits = C.LIMITS) -> DataFrame:
-    """Adds n_lines, lines_sum and ``reconciliation`` (an array of notes): the lines against the subtotal,
-    and subtotal (else lines) + tax - discount against the total; nothing without lines."""
-    summed = lines.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_lines"), F.coalesce(F.sum("line_total"), F.lit(0)).cast(_MONEY).alias("lines_sum"))
-    joined = invoices.join(summed, "file_id", "left")
+def line_totals(lines: DataFrame) -> DataFrame:
+    """Per document n_lines, lines_sum and bad (the first line with a cell that is no number)."""
+    bad = F.when(F.size("bad_fields") > 0, F.struct("line_number", F.array_join("bad_fields", ", ").alias("f")))
+    return lines.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_lines"), F.coalesce(F.sum("line_total"), F.lit(0)).cast(_MONEY).alias("lines_sum"), F.min(bad).alias("bad"))
+
+
+def reconcile(invoices: DataFrame, totals: DataFrame, limits: C.Limits = C.LIMITS) -> DataFrame:
+    """Adds the totals of the lines (``line_totals``) and ``reconciliation`` (an array of notes): the lines
+    against the subtotal, and subtotal (else lines) + tax - discount against the total; nothing without lines."""
+    joined = invoices.join(totals, "file_id", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast(_MONEY))
     calc = (F.coalesce("subtotal", "lines_sum") + zero("tax_amount") - zero("discount_amount")).cast(_MONEY)
     tolerance = F.lit(limits.total_tolerance).cast(_MONEY)
@@ -170,14 +188,14 @@ def reconcile(invoices: DataFrame, lines: DataFrame, limits: C.Limits = C.LIMITS
 def parse(docs: DataFrame, rules: C.DateRules = C.DATE_RULES, limits: C.Limits = C.LIMITS, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """(invoices, lines).  Tables give the lines; texts do where no table has any.  ``strict`` fails an
     invoice of which a line has a cell that is no number, instead of leaving that cell null."""
-    of_tables = table_lines(docs)
-    rest = docs.join(of_tables.select("file_id").distinct(), "file_id", "left_anti")
-    lines = of_tables.unionByName(text_lines(rest))
-    found = reconcile(fields(docs, rules).drop("tables"), lines, limits)
-    missing = F.when(F.size("missing") > 0, F.array(F.concat(F.lit("Missing core fields: "), F.array_join("missing", ", ")))).otherwise(F.expr("cast(array() as array<string>)"))
-    bad = lines.where(F.size("bad_fields") > 0).groupBy("file_id").agg(F.min(F.concat(F.lit("Line "), F.col("line_number").cast("string"), F.lit(": no number in "), F.array_join("bad_fields", ", "))).alias("_bad"))
-    found = found.join(bad, "file_id", "left").withColumn("warnings", F.concat(missing, "reconciliation", F.when(F.col("_bad").isNotNull(), F.array("_bad")).otherwise(F.expr("cast(array() as array<string>)"))))
+    viewed = docs.withColumn("_best", best_table(F.col("tables")))
+    lines = table_lines(viewed, F.col("_best")).unionByName(text_lines(viewed.where(~has_table_lines(F.col("_best")))))
+    found = reconcile(fields(docs.drop("tables"), rules), line_totals(lines), limits)
+    none = F.expr("cast(array() as array<string>)")
+    missing = F.when(F.size("missing") > 0, F.array(F.concat(F.lit("Missing core fields: "), F.array_join("missing", ", ")))).otherwise(none)
+    bad = F.when(F.col("bad").isNotNull(), F.array(F.concat(F.lit("Line "), F.col("bad.line_number").cast("string"), F.lit(": no number in "), F.col("bad.f")))).otherwise(none)
+    found = found.withColumn("warnings", F.concat(missing, "reconciliation", bad))
     notes = F.when(F.size("warnings") > 0, F.concat(F.lit("Warnings: "), F.array_join("warnings", "; "))).otherwise("Parsed via heuristics and tables extraction.")
-    error = F.when(F.col("_bad").isNotNull(), "PARTIAL_PARSE") if strict else F.lit(None).cast("string")
-    found = found.withColumns({"notes": notes, "error_code": error}).drop("reconciliation", "_bad", "missing", "text")
+    error = F.when(F.col("bad").isNotNull(), "PARTIAL_PARSE") if strict else F.lit(None).cast("string")
+    found = found.withColumns({"notes": notes, "error_code": error}).drop("reconciliation", "bad", "missing", "text")
     return found, lines

@@ -71,10 +71,14 @@ class Catalog:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
-    def raw(self, name: str) -> DataFrame:
+    def raw(self, name: str, but: str | None = None) -> DataFrame:
+        """A table as written, without the rows of batch ``but``."""
         schema = _DELETIONS if name == "deletions" else TABLES[name]
         path = f"{self.root}/{name}"
-        return self.spark.read.schema(schema + ", batch string").parquet(path).drop("batch") if self._exists(path) else self.spark.createDataFrame([], schema)
+        if not self._exists(path):
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(schema + ", batch string").parquet(path)
+        return (rows if but is None else rows.where(F.col("batch") != but)).drop("batch")
 
     def table(self, name: str) -> DataFrame:
         if name != "documents":
@@ -184,7 +188,7 @@ class Catalog:
         path = f"{self.root}/_invoices/batch={batch}"
         invoices.join(pdfs, "file_id").write.mode("overwrite").parquet(path)
         parsed = self.spark.read.parquet(path).withColumn("id", make_id(F.lit("invoice"), "job_id"))
-        known, new = resolve_vendors(parsed.select(F.col("raw_vendor_name").alias("name")).distinct(), self.raw("vendors"))
+        known, new = resolve_vendors(parsed.select(F.col("raw_vendor_name").alias("name")).distinct(), self.raw("vendors", batch))
         self.append("vendors", new.withColumns({"raw_names": F.array("canonical_name"), "created_at": now, "updated_at": now}), batch)
         vendors = self.raw("vendors").groupBy(F.lower("canonical_name").alias("_key")).agg(F.min_by("id", "canonical_name").alias("vendor_id"))
         parsed = parsed.join(vendors, F.lower("raw_vendor_name") == F.col("_key"), "left")

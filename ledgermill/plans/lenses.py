@@ -83,7 +83,7 @@ def invoice_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("l_orderkey")
     subtotal = (F.col("lines_sum") + F.when(key % 5 == 0, 100).otherwise(0)).cast("decimal(18,2)")
     tax = F.round(subtotal * F.lit("0.08").cast("decimal(4,2)"), 2).cast("decimal(18,2)")
-    said = F.when(key % 7 == 0, "").otherwise(F.concat(F.lit("Total Due: "), F.element_at(F.array(F.lit("$"), F.lit("€"), F.lit("£")), (key % 3 + 1).cast("int")), thousands((subtotal + tax).cast("decimal(18,2)")), F.lit("\n")))
+    said = F.when(key % 7 == 0, "").otherwise(F.concat(F.lit("Total: "), F.element_at(F.array(F.lit("$"), F.lit("€"), F.lit("£")), (key % 3 + 1).cast("int")), thousands((subtotal + tax).cast("decimal(18,2)")), F.lit("\n")))
     vendor = F.when(key % 11 == 0, F.concat(F.lit("Statement\n"))).otherwise(F.concat(F.lit("Vendor: "), F.col("s_name"), F.lit("\n")))
     text = F.concat(
         vendor, F.lit("Invoice No: INV-"), key.cast("string"), F.lit("\nInvoice Date: "), F.date_format("day", "dd/MM/yyyy"), F.lit("\nSubtotal: "), thousands(subtotal),

@@ -204,7 +204,7 @@ def _(spark, sf_dir):
     return rows.agg(F.count(F.lit(1)).alias("n_rows"), count("parsed").alias("n_parsed"), count("skipped").alias("n_skipped"), count("dropped").alias("n_dropped"))
 
 
-@query("warnings_rollup", _LEDGER_SQL + "SELECT o_custkey::VARCHAR AS file_id, count_if(day(day) <= 12 AND day(day) <> month(day)) AS n_warnings, CASE WHEN count_if(day(day) <= 12 AND day(day) <> month(day)) > 0 THEN 'partial' ELSE 'completed' END AS status, "
+@query("warnings_rollup", _LEDGER_SQL + "SELECT o_custkey::VARCHAR AS file_id, count(*) FILTER (WHERE day(day) <= 12 AND day(day) <> month(day)) AS n_warnings, CASE WHEN count(*) FILTER (WHERE day(day) <= 12 AND day(day) <> month(day)) > 0 THEN 'partial' ELSE 'completed' END AS status, "
        "coalesce(string_agg('row_' || row_index, ',' ORDER BY row_index) FILTER (WHERE day(day) <= 12 AND day(day) <> month(day)), '') AS fields FROM l GROUP BY o_custkey")
 def _(spark, sf_dir):
     files, grid = _grid(spark, sf_dir)
@@ -262,7 +262,7 @@ def _(spark, sf_dir):
     return found.select("file_id", F.col("row_index").cast("long").alias("row_index"), F.col("expected_balance").alias("expected"), F.col("balance_gap").alias("gap"))
 
 
-@query("balance_gate", _GAP_SQL + ", s AS (SELECT o_custkey, bool_or(i = 5) AS hole FROM k GROUP BY 1) SELECT g.o_custkey::VARCHAR AS file_id, count_if(abs(expected - balance) > 0.10 AND NOT hole) AS n_gaps FROM g JOIN s USING (o_custkey) GROUP BY 1")
+@query("balance_gate", _GAP_SQL + ", s AS (SELECT o_custkey, bool_or(i = 5) AS hole FROM k GROUP BY 1) SELECT g.o_custkey::VARCHAR AS file_id, count(*) FILTER (WHERE abs(expected - balance) > 0.10 AND NOT hole) AS n_gaps FROM g JOIN s USING (o_custkey) GROUP BY 1")
 def _(spark, sf_dir):
     rows = L.ledger(spark, sf_dir).where("row_index % 7 <> 0").withColumn("balance_after", F.when(F.col("row_index") != 5, F.col("balance_after")))
     return S.with_continuity(rows).groupBy("file_id").agg(F.count("balance_gap").alias("n_gaps"))
@@ -378,7 +378,7 @@ def _(spark, sf_dir):
     return Cat.latest_jobs(_jobs(spark, sf_dir)).select("document_id", "id", "status")
 
 
-_DOCS = "SELECT doc_id::VARCHAR AS id, CASE WHEN doc_id % 2 = 0 THEN 'invoice' ELSE 'bank_statement' END AS document_type, doc_id % 9 = 0 AS gone, TIMESTAMP '2026-01-01' + INTERVAL 1 SECOND * (doc_id % 100) AS at FROM documents"
+_DOCS = "SELECT doc_id::VARCHAR AS id, CASE WHEN doc_id % 2 = 0 THEN 'invoice' ELSE 'bank_statement' END AS document_type, doc_id % 9 = 0 AS gone, TIMESTAMP '2026-01-01' + INTERVAL 1 SECOND * (doc_id % 100) AS uploaded FROM documents"
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -390,7 +390,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("list_documents", f"WITH d AS ({_DOCS}) SELECT id, document_type FROM d WHERE NOT gone AND document_type = 'invoice' ORDER BY at DESC, id LIMIT 20 OFFSET 10")
+@query("list_documents", f"WITH d AS ({_DOCS}) SELECT id, document_type FROM d WHERE NOT gone AND document_type = 'invoice' ORDER BY uploaded DESC, id LIMIT 20 OFFSET 10")
 def _(spark, sf_dir):
     found = _documents(spark, sf_dir).where((~F.col("is_deleted")) & (F.col("document_type") == "invoice"))
     return Cat.page(found, 20, 10).select("id", "document_type")
@@ -463,10 +463,10 @@ def _(spark, sf_dir):
     return found.select("id", F.array_join(F.transform("transactions", lambda t: t["o_orderkey"].cast("string")), ",").alias("orders"))
 
 
-@query("dq_constraints", """SELECT 'bank_transactions' AS table_name, 'amount' AS constraint_name, count_if(c_acctbal < 0) AS violations FROM customer
-  UNION ALL SELECT 'bank_transactions', 'direction', count_if(c_custkey % 13 = 0) FROM customer UNION ALL SELECT 'bank_transactions', 'date', 0 UNION ALL SELECT 'bank_transactions', 'transaction_type', 0
+@query("dq_constraints", """SELECT 'bank_transactions' AS table_name, 'amount' AS constraint_name, count(*) FILTER (WHERE c_acctbal < 0) AS violations FROM customer
+  UNION ALL SELECT 'bank_transactions', 'direction', count(*) FILTER (WHERE c_custkey % 13 = 0) FROM customer UNION ALL SELECT 'bank_transactions', 'date', 0 UNION ALL SELECT 'bank_transactions', 'transaction_type', 0
   UNION ALL SELECT 'bank_transactions', 'unique_id', 0 UNION ALL SELECT 'bank_transactions', 'unique_bank_statement_id_row_index', count(*) FROM (SELECT c_nationkey, c_custkey % 50 FROM customer GROUP BY ALL HAVING count(*) > 1)
-  UNION ALL SELECT 'bank_statements', 'unique_id', 0 UNION ALL SELECT 'bank_transactions', 'fk_bank_statement_id', count_if(c_nationkey = 3) FROM customer""")
+  UNION ALL SELECT 'bank_statements', 'unique_id', 0 UNION ALL SELECT 'bank_transactions', 'fk_bank_statement_id', count(*) FILTER (WHERE c_nationkey = 3) FROM customer""")
 def _(spark, sf_dir):
     rows = L.table(spark, sf_dir, "customer").select(
         F.col("c_custkey").cast("string").alias("id"), F.col("c_nationkey").cast("string").alias("bank_statement_id"), (F.col("c_custkey") % 50).cast("int").alias("row_index"), L.money("c_acctbal").alias("amount"),
@@ -542,13 +542,11 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     docs = L.invoice_docs(spark, sf_dir)
     invoices, lines = I.fields(docs.select("file_id", "text")), I.table_lines(docs.select("file_id", "tables"))
-    found = I.reconcile(invoices, lines)
+    found = I.reconcile(invoices, I.line_totals(lines))
     return found.select("file_id", F.col("n_lines").cast("long").alias("n_lines"), "lines_sum", F.size("reconciliation").cast("long").alias("n_notes"))
 
 
-@query("invoice_parse", _INVOICE_SQL + "SELECT k::VARCHAR AS file_id, CASE WHEN k % 7 = 0 OR k % 5 = 0 OR k % 11 = 0 THEN 'partial' ELSE 'completed' END AS status, n AS n_lines FROM i")
+@query("invoice_parse", _INVOICE_SQL + "SELECT k::VARCHAR AS file_id, CASE WHEN k % 7 = 0 OR k % 5 = 0 THEN 'partial' ELSE 'completed' END AS status, n AS n_lines FROM i")
 def _(spark, sf_dir):
-    docs = L.invoice_docs(spark, sf_dir).withColumn("text", F.when(F.col("l_orderkey") % 11 == 0, F.concat(F.lit("Statement\n"), F.regexp_replace("text", "^[^\n]*\n", ""))).otherwise(F.col("text")))
-    # With no vendor's name left, what remains are labelled lines.
-    found, _ = I.parse(docs.select("file_id", "text", "tables"))
+    found, _ = I.parse(L.invoice_docs(spark, sf_dir).select("file_id", "text", "tables"))
     return found.select("file_id", S.job_status(F.col("error_code"), F.col("warnings")).alias("status"), F.col("n_lines").cast("long").alias("n_lines"))
