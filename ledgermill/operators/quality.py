@@ -30,3 +30,16 @@ def violations(tables: dict[str, DataFrame]) -> DataFrame:
 def orphans(child: DataFrame, column: str, parent: DataFrame, key: str = "id") -> DataFrame:
     """Children whose parent does not exist."""
     return child.where(F.col(column).isNotNull()).join(parent.select(F.col(key).alias(column)), column, "left_anti")
+
+
+def cascade(tables: dict[str, DataFrame], deleted: DataFrame) -> dict[str, DataFrame]:
+    """The tables without the documents in ``deleted`` (column id) and all that depends on them; an invoice
+    keeps its other references when its vendor goes, as that one is set to null."""
+    kept = dict(tables)
+    if "documents" in kept:
+        kept["documents"] = kept["documents"].join(deleted.select("id"), "id", "left_anti")
+    for child, column, parent in FOREIGN_KEYS:
+        if child in kept and parent in kept and (child, column) != ("invoices", "vendor_id"):
+            rows = kept[child]
+            kept[child] = rows.join(kept[parent].select(F.col("id").alias(column)), column, "left_semi").select(*rows.columns)
+    return kept

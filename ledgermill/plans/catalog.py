@@ -146,8 +146,12 @@ class Catalog:
             F.col("document_id").alias("id"), "filename", "original_name", document_type.alias("document_type"), F.expr("substring(extension, 2)").alias("file_type"), F.col("length").alias("file_size_bytes"),
             "checksum_sha256", F.concat(F.lit(staged + "/"), "document_id").alias("storage_path"), F.lit(uploaded_by).alias("uploaded_by"), now.alias("uploaded_at"), now.alias("created_at"), now.alias("updated_at"),
         ), batch)
-        csv_done, pdf_done = self._statements(good, batch, now), self._invoices(good, batch, now, texts)
-        done = csv_done.unionByName(pdf_done)
+        kinds = {r["extension"] for r in good.select("extension").distinct().collect()}
+        done = self.spark.createDataFrame([], f"file_id string, failure string, warnings {S.WARNING}, scanned_pages array<int>")
+        if kinds - {".pdf"}:
+            done = done.unionByName(self._statements(good, batch, now))
+        if ".pdf" in kinds:
+            done = done.unionByName(self._invoices(good, batch, now, texts))
         jobs = good.join(done, "file_id", "left").select(
             F.col("job_id").alias("id"), "document_id", S.job_status(F.col("failure"), F.col("warnings")).alias("status"), now.alias("started_at"), now.alias("completed_at"), F.col("failure").alias("error_message"),
             F.lit(0).alias("retry_count"), F.lit(3).alias("max_retries"), "warnings", F.when(F.col("extension") == ".pdf", PDF_VERSION).otherwise(CSV_VERSION).alias("parser_version"),

@@ -194,3 +194,20 @@ def test_invoice_text_lines_and_strictness(spark):
     got, lines = invoice(spark, "Acme", table)
     assert [(r["quantity"], r["bad_fields"]) for r in lines] == [(None, ["quantity"]), (2, [])] and got["error_code"] is None
     assert invoice(spark, "Acme", table, strict=True)[0]["error_code"] == "PARTIAL_PARSE"
+
+
+def test_cascade_and_ddl(spark):
+    from ledgermill import schemas
+
+    tables = {
+        "documents": spark.createDataFrame([("d1",), ("d2",)], "id string"), "processing_jobs": spark.createDataFrame([("j1", "d1"), ("j2", "d2")], "id string, document_id string"),
+        "bank_statements": spark.createDataFrame([("s1", "d1", "j1"), ("s2", "d2", "j2")], "id string, document_id string, processing_job_id string"), "bank_transactions": spark.createDataFrame([("t1", "s1"), ("t2", "s2")], "id string, bank_statement_id string"),
+    }
+    kept = quality.cascade(tables, spark.createDataFrame([("d1",)], "id string"))
+    assert {t: [r["id"] for r in df.collect()] for t, df in kept.items()} == {"documents": ["d2"], "processing_jobs": ["j2"], "bank_statements": ["s2"], "bank_transactions": ["t2"]}
+    schemas.create_tables(spark, "ledger_test")
+    schemas.create_tables(spark, "ledger_test")
+    assert {r["tableName"] for r in spark.sql("SHOW TABLES IN ledger_test").collect()} == set(schemas.TABLES)
+    assert spark.table("ledger_test.invoices").schema["confidence"].dataType.simpleString() == "decimal(4,3)"
+    schemas.drop_tables(spark, "ledger_test")
+    assert spark.sql("SHOW TABLES IN ledger_test").count() == 0
