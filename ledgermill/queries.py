@@ -527,12 +527,12 @@ def _(spark, sf_dir):
     return I.table_lines(docs).select("file_id", "line_total")
 
 
-@query("invoice_text_lines", """SELECT l_orderkey::VARCHAR AS file_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)::BIGINT AS line_number, 'Part no ' || l_partkey AS description,
+@query("invoice_text_lines", """SELECT l_orderkey::VARCHAR AS file_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity::INT, l_extendedprice)::BIGINT AS line_number, 'Part no ' || l_partkey AS description,
   l_quantity::INT::DECIMAL(18,4) AS quantity, l_extendedprice::DECIMAL(18,2)::DECIMAL(18,4) AS line_total FROM lineitem""")
 def _(spark, sf_dir):
     item = L.table(spark, sf_dir, "lineitem")
     line = F.concat_ws(" ", F.lit("Part no"), F.col("l_partkey").cast("string"), F.col("l_quantity").cast("int").cast("string"), F.lit("$1.00"), L.thousands(L.money("l_extendedprice")))
-    held = item.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", line.alias("line")))).alias("l"))
+    held = item.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int"), "l_extendedprice", line.alias("line")))).alias("l"))
     text = F.concat(F.lit("Widgets 1 2 3\n\nDescription  Qty  Price  Total\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n\n"), F.lit("\nSubtotal 1 2 3\nAfter 1 2 3\n"))
     lines = I.text_lines(held.select(F.col("l_orderkey").cast("string").alias("file_id"), text.alias("text")))
     return lines.select("file_id", F.col("line_number").cast("long").alias("line_number"), "description", _dec(F.col("quantity")).alias("quantity"), "line_total")
