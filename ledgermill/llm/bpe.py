@@ -15,7 +15,6 @@ table.  Only the text column is read besides the columns asked for, so clashing
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 import heapq
 import re
@@ -28,13 +27,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import ship
+from .common import lean, ship
 
 MATRIX_BYTES = 256
 #: Most cells of one matrix; a larger bucket is encoded in several.
 MATRIX_CELLS = 1 << 16
 #: Pieces that a worker remembers between batches, so that its memory stays bounded.
-MEMORY_PIECES = 300_000
+MEMORY_PIECES = 150_000
 NO_RANK = np.int32(2**31 - 1)
 
 
@@ -200,7 +199,8 @@ class Vocabulary:
         wanted = set().union(*cut)
         new = wanted.difference(self.memory)
         if len(self.memory) + len(new) > MEMORY_PIECES:
-            self.memory, new = {}, wanted
+            self.memory.clear()
+            new = wanted
         new = list(new)
         pieces = [self.pieces(p[1:] if p[:1] == "\0" else " " + p) for p in new]
         distinct = list(set().union(*pieces))
@@ -228,9 +228,7 @@ def _flat(pieces: list[tuple[list[int], str]]) -> list[int]:
 
 @lru_cache(maxsize=4)
 def vocabulary(path: str, pattern: str) -> Vocabulary:
-    """One per Python worker; the file is read where the tokenizers are installed, on every executor.
-    The objects made here hold no cycles, and scanning them for cycles would cost more than the merges."""
-    gc.disable()
+    """One per Python worker; the file is read where the tokenizers are installed, on every executor."""
     return Vocabulary(path, pattern)
 
 
@@ -253,13 +251,14 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", carry: tu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path, pattern)
-        for batch in batches:
-            for part in _texts_in_parts(batch):
-                ids = [_flat(pieces) for pieces in vocab.encode_batch(part.column("_text").to_pylist())]
-                flat = pa.array(np.fromiter((i for x in ids for i in x), np.int32, sum(map(len, ids))))
-                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                columns = [part.column(c) for c in carry] + [pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), flat)]
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        with lean(vocab.memory):
+            for batch in batches:
+                for part in _texts_in_parts(batch):
+                    ids = [_flat(pieces) for pieces in vocab.encode_batch(part.column("_text").to_pylist())]
+                    flat = pa.array(np.fromiter((i for x in ids for i in x), np.int32, sum(map(len, ids))))
+                    ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                    columns = [part.column(c) for c in carry] + [pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), flat)]
+                    yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     ship(df.sparkSession)
     return df.select(*carry, F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInArrow(run, schema)
@@ -271,9 +270,10 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "token_ids", carry
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path, pattern)
-        for batch in batches:
-            texts = [vocab.decode(x or []) for x in batch.column(len(carry)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carry], pa.array(texts, pa.binary())], names=schema.names)
+        with lean(vocab.memory):
+            for batch in batches:
+                texts = [vocab.decode(x or []) for x in batch.column(len(carry)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carry], pa.array(texts, pa.binary())], names=schema.names)
 
     ship(df.sparkSession)
     return df.select(*carry, F.col(ids).alias("_ids")).mapInArrow(run, schema)
@@ -287,18 +287,19 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", carry
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path, pattern)
-        for batch in batches:
-            for part in _texts_in_parts(batch):
-                counts, ids_hash, bytes_hash, kept = [], [], [], []
-                for pieces in vocab.encode_batch(part.column("_text").to_pylist()):
-                    ids = _flat(pieces)
-                    counts.append(len(ids))
-                    if with_ids:
-                        kept.append(np.array(ids, np.int32))
-                    ids_hash.append(hashlib.sha256(" ".join([x for _, x in pieces]).encode()).hexdigest())
-                    bytes_hash.append(hashlib.sha256(vocab.decode(ids)).hexdigest())
-                columns = [part.column(c) for c in carry] + [pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(bytes_hash, pa.string()), *[pa.array(kept, pa.list_(pa.int32()))] * with_ids]
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        with lean(vocab.memory):
+            for batch in batches:
+                for part in _texts_in_parts(batch):
+                    counts, ids_hash, bytes_hash, kept = [], [], [], []
+                    for pieces in vocab.encode_batch(part.column("_text").to_pylist()):
+                        ids = _flat(pieces)
+                        counts.append(len(ids))
+                        if with_ids:
+                            kept.append(np.array(ids, np.int32))
+                        ids_hash.append(hashlib.sha256(" ".join([x for _, x in pieces]).encode()).hexdigest())
+                        bytes_hash.append(hashlib.sha256(vocab.decode(ids)).hexdigest())
+                    columns = [part.column(c) for c in carry] + [pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(bytes_hash, pa.string()), *[pa.array(kept, pa.list_(pa.int32()))] * with_ids]
+                    yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     ship(df.sparkSession)
     return df.select(*carry, F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInArrow(run, schema)

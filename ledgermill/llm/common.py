@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Words of every contract: runs of anything but ASCII white space.
@@ -42,6 +47,25 @@ def ship(spark: SparkSession) -> None:
     sc._ledgermill_shipped = True
 
 
+@contextmanager
+def lean(*caches: dict) -> Iterator[None]:
+    """Around a Python stage's loop.  Scanning for cycles is off inside, as batches make many objects and no
+    cycles; at the end the caches are emptied and memory goes back, because the worker lives on."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        for cache in caches:
+            cache.clear()
+        gc.enable()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+
 class Scratch:
     """Tables in the shared folder.  ``cut`` ends a lineage: the table it returns is read from files, so a
     lost executor costs a re-read and not the steps before it."""

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import Scratch, ship
+from .common import Scratch, lean, ship
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents of the training sample, about; whole documents.
@@ -283,15 +283,16 @@ def _candidates(df: DataFrame, text: str, doc_id: str, scratch: Scratch) -> Data
     kinds = [pa.list_(pa.list_(pa.int32())), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns: list[list] = [[], [], [], []]
-            for cell in batch.column(1):
-                t = cell.as_py()
-                own = nodes(t)
-                columns[0].append([list(x) for x in patterns(t)] if own else [])
-                for c, values in zip(columns[1:], zip(*own, strict=True) if own else ((), (), ()), strict=True):
-                    c.append(list(values))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=schema.names)
+        with lean():
+            for batch in batches:
+                columns: list[list] = [[], [], [], []]
+                for cell in batch.column(1):
+                    t = cell.as_py()
+                    own = nodes(t)
+                    columns[0].append([list(x) for x in patterns(t)] if own else [])
+                    for c, values in zip(columns[1:], zip(*own, strict=True) if own else ((), (), ()), strict=True):
+                        c.append(list(values))
+                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=schema.names)
 
     ship(df.sparkSession)
     return scratch.cut(df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInArrow(run, schema))

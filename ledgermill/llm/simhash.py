@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import Scratch, null_safe, ship
+from .common import Scratch, lean, ship
 from .components import connected
 
 BITS = 64
@@ -56,9 +56,10 @@ def fingerprints(df: DataFrame, width: int, text: str = "text", carry: tuple[str
     schema = T.StructType([*[df.schema[c] for c in carry], T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = pa.array([fingerprint(t.as_py() or "", width) for t in batch.column(len(carry))], pa.int64())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carry], found], names=schema.names)
+        with lean():
+            for batch in batches:
+                found = pa.array([fingerprint(t.as_py() or "", width) for t in batch.column(len(carry))], pa.int64())
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carry], found], names=schema.names)
 
     ship(df.sparkSession)
     return df.select(*carry, F.col(text).alias("_text")).mapInArrow(run, schema)
@@ -153,6 +154,8 @@ def keep_one(df: DataFrame, width: int = 5, radius: int = 4, text: str = "text",
     smallest hash of the text; of equal rows one)."""
     found = groups(df, width, radius, text, doc_id, name)
     first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "text_hash")).alias("k"))
-    keepers = first.select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
-    keyed = df.withColumns({"_id": F.col(doc_id), "_hash": F.xxhash64(text)})
-    return null_safe(keyed, keepers, ["_id", "_hash"]).dropDuplicates(["_id", "_hash"]).drop("_id", "_hash")
+    # Plain keys, so that the join's partitions serve the removal of equal rows too.
+    keys = lambda i, h: {"_id": F.coalesce(i, F.lit(0)), "_null": i.isNull(), "_hash": h}
+    keepers = first.select(*[c.alias(k) for k, c in keys(F.col("k.doc_id"), F.col("k.text_hash")).items()])
+    keyed = df.withColumns(keys(F.col(doc_id).cast("long"), F.xxhash64(text)))
+    return keyed.join(keepers.hint("merge"), ["_id", "_null", "_hash"]).dropDuplicates(["_id", "_null", "_hash"]).drop("_id", "_null", "_hash")

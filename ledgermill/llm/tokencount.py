@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from .bpe import _texts_in_parts, vocabulary
-from .common import Scratch, running, ship
+from .common import Scratch, lean, running, ship
 
 #: Tokens of a block.
 BLOCK = 1 << 16
@@ -47,23 +47,24 @@ def write(df: DataFrame, scratch: Scratch, path: str, pattern: str, eod: int, te
             columns = [pa.array([part] * n), pa.array([file] * n, pa.int64()), pa.array(range(first, first + n), pa.int64()), ids, pa.array(tokens or [None] * n, pa.binary())]
             return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-        for batch in batches:
-            for part in _texts_in_parts(batch):
-                flat: list[int] = []
-                for pieces in vocab.encode_batch(part.column("_text").to_pylist()):
-                    for ids, _ in pieces:
-                        flat += ids
-                    flat.append(eod)
-                held += np.array(flat, dtype).tobytes()
-                yield rows("documents", n_docs, part.column(0), None, len(part))
-                n_docs += len(part)
-                full = [held[k : k + size] for k in range(0, len(held) - size + 1, size)]
-                if full:
-                    yield rows("blocks", n_blocks, pa.nulls(len(full), part.column(0).type), full, len(full))
-                    n_blocks += len(full)
-                    held = held[len(full) * size :]
-        if held:
-            yield rows("blocks", n_blocks, pa.nulls(1, pa.int64()).cast(batch.column(0).type), [held], 1)
+        with lean(vocab.memory):
+            for batch in batches:
+                for part in _texts_in_parts(batch):
+                    flat: list[int] = []
+                    for pieces in vocab.encode_batch(part.column("_text").to_pylist()):
+                        for ids, _ in pieces:
+                            flat += ids
+                        flat.append(eod)
+                    held += np.array(flat, dtype).tobytes()
+                    yield rows("documents", n_docs, part.column(0), None, len(part))
+                    n_docs += len(part)
+                    full = [held[k : k + size] for k in range(0, len(held) - size + 1, size)]
+                    if full:
+                        yield rows("blocks", n_blocks, pa.nulls(len(full), part.column(0).type), full, len(full))
+                        n_blocks += len(full)
+                        held = held[len(full) * size :]
+            if held:
+                yield rows("blocks", n_blocks, pa.nulls(1, pa.int64()).cast(batch.column(0).type), [held], 1)
 
     ship(df.sparkSession)
     written = scratch.cut(df.select(doc_id, F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInArrow(run, schema), partition_by="part")
