@@ -7,7 +7,7 @@ from the corpus, and documents of fewer than three such lines never change.
 
 Hashes are 128 bits.  One aggregation finds each repeated window's first place; the join with it has one row
 per repeated window on its small side, so a window that a third of all documents share is only a hot key on
-the large side, which adaptive execution splits.
+the large side, which adaptive execution splits.  Both small sides grow with the corpus, so neither is broadcast.
 
 Defined results: a null text stays null, with no lines; an empty text has one blank line; repeated rows (same
 doc_id and text) are one document and change alike; a null doc_id comes last in document order; other columns
@@ -56,11 +56,11 @@ def dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", name: str =
     windows = docs.select("d", "t", F.explode(_windows(F.col("_text"))).alias("w")).select("d", "t", "w.*")
     windows = scratch.cut(windows)
     firsts = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place("s")).alias("first")).where("n > 1").drop("n")
-    later = windows.join(firsts, ["h1", "h2"]).where(place("s") > F.col("first"))
+    later = windows.join(firsts.hint("merge"), ["h1", "h2"]).where(place("s") > F.col("first"))
     covers = later.groupBy("d", "t").agg(F.collect_set(F.struct("s", "e")).alias("_covers"))
     covers = scratch.cut(covers)
     covers = covers.withColumnsRenamed({"d": "_d", "t": "_t"})
-    joined = null_safe(df.withColumns({"_d": F.col(doc_id), "_t": F.xxhash64(text)}), covers, ["_d", "_t"], "left").drop("_d", "_t")
+    joined = null_safe(df.withColumns({"_d": F.col(doc_id), "_t": F.xxhash64(text)}), covers.hint("merge"), ["_d", "_t"], "left").drop("_d", "_t")
     kept = F.when(F.col("_covers").isNotNull(), _kept(F.col(text), F.col("_covers")))
     n_lines = F.coalesce(F.size(F.split(text, "\n")), F.lit(0))
     n_lines = F.when(F.col(text).isNull(), F.lit(0)).otherwise(n_lines).cast("long")
