@@ -140,7 +140,7 @@ l AS (SELECT *, (header + i + (i - 1) // 3)::BIGINT AS row_index FROM t)
 
 def _grid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     files = L.statement_files(spark, sf_dir)
-    return files, Files.tokenise(files)
+    return files.select("file_id", "encoding"), Files.staged(Files.tokenise(files), "grid")
 
 
 def _rows(spark: SparkSession, sf_dir: str, limits: Limits = config.LIMITS) -> DataFrame:

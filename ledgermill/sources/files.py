@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import csv
 import io
+import tempfile
+import uuid
 import zipfile
 from collections import Counter
 from collections.abc import Iterator
@@ -48,6 +50,16 @@ def decoded(content: Column) -> Column:
     return F.struct(as_text.alias("text"), encoding.alias("encoding"))
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to the folder that the cluster shares and read again, so that a Python step runs once
+    whatever reads it, and a lost executor costs a re-read."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledgermill-")
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _width(rows: list[list[str]]) -> tuple[int, float]:
     """The commonest width of rows that are not empty, and its share."""
     widths = Counter(len(r) for r in rows if r)
