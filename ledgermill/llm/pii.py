@@ -33,8 +33,8 @@ from .common import Scratch, lean, ship
 KINDS = ("email", "ip", "card", "phone")
 #: Documents of the training sample, about; whole documents.
 SAMPLE = 4000
-#: Nodes of the training sample, at most.
-SAMPLE_NODES = 200_000
+#: Nodes of the training sample, and of one of its documents, at most; all others are labelled all the same.
+SAMPLE_NODES, SAMPLE_DOCUMENT = 200_000, 200
 SURE = 0.9
 ROUNDS = 10
 
@@ -302,7 +302,7 @@ def find(df: DataFrame, text: str = "text", doc_id: str = "doc_id", sample: int
     """doc_id, ``n_email`` .. ``n_phone`` and ``base_sha256`` of the patterns' spans, and all ``spans``."""
     spark, scratch = df.sparkSession, Scratch(df.sparkSession, name)
     found = _candidates(df, text, doc_id, scratch)
-    some = found.where(F.size("s") > 0)
+    some = found.where(F.size("s").between(1, SAMPLE_DOCUMENT))
     one_in = max(1, some.count() // sample)
     taken = some.where(F.pmod(F.xxhash64("doc_id", "token"), F.lit(one_in)) == 0).limit(2 * sample).collect()
     documents, truth, total = [], [], 0
