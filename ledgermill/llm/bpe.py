@@ -33,7 +33,7 @@ MATRIX_BYTES = 256
 #: Most cells of one matrix; a larger bucket is encoded in several.
 MATRIX_CELLS = 1 << 16
 #: Pieces that a worker remembers between batches, so that its memory stays bounded.
-MEMORY_PIECES = 150_000
+MEMORY_PIECES = 100_000
 NO_RANK = np.int32(2**31 - 1)
 
 
@@ -232,7 +232,7 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(path, pattern)
 
 
-def _texts_in_parts(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def _texts_in_parts(batch: pa.RecordBatch, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Rows in parts of about ``most`` bytes of text, so that a batch of long texts needs no more memory."""
     sizes = np.diff(np.frombuffer(batch.column("_text").cast(pa.large_string()).buffers()[1], np.int64)[batch.column("_text").offset :][: len(batch) + 1])
     start = total = 0
