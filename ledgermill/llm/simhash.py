@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from . import overlap
 from .common import Scratch, lean, ship
 from .components import connected
 
@@ -135,9 +136,16 @@ def links(fps: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
     return pairs.union(dealt.mapInArrow(compare, "a long, b long"))
 
 
-def groups(df: DataFrame, width: int = 4, radius: int = 4, text: str = "text", doc_id: str = "doc_id", name: str = "simhash") -> DataFrame:
-    """doc_id, ``text_hash``, ``fp``, ``group`` (the same for all that links lead to) and ``component_id``
-    (the group's smallest doc_id) of every row."""
+#: The radius of a shingle width; no radius reaches 0.8 of overlap, so widths without one link by overlap itself.
+RADIUS = {4: 4}
+
+
+def groups(df: DataFrame, width: int = 4, radius: int | None = None, text: str = "text", doc_id: str = "doc_id", name: str = "simhash") -> DataFrame:
+    """doc_id, ``text_hash``, ``group`` (the same for all that links lead to) and ``component_id`` (the group's
+    smallest doc_id) of every row, and ``fp`` where links are fingerprints within the radius."""
+    radius = RADIUS.get(width) if radius is None else radius
+    if radius is None:
+        return overlap.groups(df, width, text, doc_id, name)
     scratch = Scratch(df.sparkSession, name)
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     docs = scratch.cut(fingerprints(docs, width, carry=("doc_id", "text_hash")))
@@ -149,7 +157,7 @@ def groups(df: DataFrame, width: int = 4, radius: int = 4, text: str = "text", d
     return docs.join(named, "fp").select("doc_id", "text_hash", "fp", "group", "component_id")
 
 
-def keep_one(df: DataFrame, width: int = 5, radius: int = 4, text: str = "text", doc_id: str = "doc_id", name: str = "simhash") -> DataFrame:
+def keep_one(df: DataFrame, width: int = 5, radius: int | None = None, text: str = "text", doc_id: str = "doc_id", name: str = "simhash") -> DataFrame:
     """The input with one row of each group: that of the smallest doc_id (nulls last; of equal ones the
     smallest hash of the text; of equal rows one)."""
     found = groups(df, width, radius, text, doc_id, name)
