@@ -150,13 +150,16 @@ class Field:
         for own in documents:
             last: dict[str, int] = {}
             for i, (_, _, token) in enumerate(own):
-                if i and cls._near(own[i - 1], own[i]):
+                tied = i > 0 and cls._near(own[i - 1], own[i])
+                if tied:
                     chain.append((base + i - 1, base + i))
                 digits = "".join(c for c in token if c.isdigit())
+                back = set()  # a token and its digits tie to one node once
                 for key in {"t" + token.lower(), *(("d" + digits,) if len(digits) >= 5 else ())}:
-                    if key in last and last[key] != i - 1:
-                        skip.append((base + last[key], base + i))
+                    if key in last and not (tied and last[key] == i - 1):
+                        back.add(last[key])
                     last[key] = i
+                skip += [(base + j, base + i) for j in sorted(back)]
             base += len(own)
         return np.array(chain, np.int64).reshape(-1, 2), np.array(skip, np.int64).reshape(-1, 2)
 

@@ -213,6 +213,16 @@ def test_messages_are_exact_on_trees():
     assert np.allclose(got[1], joint.sum((0, 2)), atol=1e-2) and np.allclose(got[0], joint.sum((1, 2)), atol=1e-2)
 
 
+def test_recurring_tokens_are_tied():
+    """Neighbouring nodes with words between have no chain edge, so a token's next mention has a skip edge."""
+    far = pii.nodes("call 555-2485 today or later then again 555-2485")
+    near = pii.nodes("call 555-2485 555-2485")
+    chain, skip = pii.Field.edges([far])
+    assert len(chain) == 0 and skip.tolist() == [[0, 1]]
+    chain, skip = pii.Field.edges([near])
+    assert chain.tolist() == [[0, 1]] and len(skip) == 0
+
+
 # --- pipeline
 
 def test_keep_one_and_mix(spark, odd_docs):
