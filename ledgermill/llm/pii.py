@@ -33,7 +33,7 @@ from .common import Scratch, lean, ship
 KINDS = ("email", "ip", "card", "phone")
 #: Documents of the training sample, about; whole documents.
 SAMPLE = 4000
-#: Nodes of the training sample, and of one of its documents, at most; all others are labelled all the same.
+#: Nodes of the training sample, and of one of its documents' stretches, at most; all nodes are labelled all the same.
 SAMPLE_NODES, SAMPLE_DOCUMENT = 200_000, 200
 SURE = 0.9
 ROUNDS = 10
@@ -301,13 +301,22 @@ def _candidates(df: DataFrame, text: str, doc_id: str, scratch: Scratch) -> Data
     return scratch.cut(df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInArrow(run, schema))
 
 
+def _stretches(found: DataFrame) -> DataFrame:
+    """Documents of more than ``SAMPLE_DOCUMENT`` nodes are cut to that many in a row, wherever their hash says."""
+    spare = F.greatest(F.size("s") - SAMPLE_DOCUMENT, F.lit(0))
+    at = F.pmod(F.xxhash64("doc_id", "token", F.lit(3)), spare + 1).cast("int") + 1
+    cut = found.withColumn("_at", at).withColumns({c: F.slice(c, F.col("_at"), F.lit(SAMPLE_DOCUMENT)) for c in ("s", "e", "token")})
+    inside = lambda x: (F.get(x, F.lit(2)) > F.element_at("s", 1)) & (F.get(x, F.lit(0)) <= F.element_at("e", -1))
+    return cut.withColumn("base", F.filter("base", inside)).drop("_at")
+
+
 def find(df: DataFrame, text: str = "text", doc_id: str = "doc_id", sample: int = SAMPLE, name: str = "pii") -> DataFrame:
     """doc_id, ``n_email`` .. ``n_phone`` and ``base_sha256`` of the patterns' spans, and all ``spans``."""
     spark, scratch = df.sparkSession, Scratch(df.sparkSession, name)
     found = _candidates(df, text, doc_id, scratch)
-    some = found.where(F.size("s").between(1, SAMPLE_DOCUMENT))
+    some = found.where(F.size("s") > 0)
     one_in = max(1, some.count() // sample)
-    taken = some.where(F.pmod(F.xxhash64("doc_id", "token"), F.lit(one_in)) == 0).limit(2 * sample).collect()
+    taken = _stretches(some.where(F.pmod(F.xxhash64("doc_id", "token"), F.lit(one_in)) == 0)).limit(2 * sample).collect()
     documents, truth, total = [], [], 0
     for r in sorted(taken, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["token"])):
         if total + len(r["s"]) <= SAMPLE_NODES:

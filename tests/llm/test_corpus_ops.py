@@ -223,6 +223,21 @@ def test_recurring_tokens_are_tied():
     assert chain.tolist() == [[0, 1]] and len(skip) == 0
 
 
+def test_long_documents_train(spark, monkeypatch):
+    """Where all documents are longer than a stretch, the field still learns from them."""
+    monkeypatch.setattr(pii, "SAMPLE_DOCUMENT", 6)
+    base = ["call +1 (988) 555-2485 today", "mail bob.42@mail8.example.com now", "version 3.1 of n7", "host 42.144.35.254 is up"]
+    rows = [(i, " and ".join(base[(i + k) % 4] for k in range(8))) for i in range(200)]
+    rows += [(900, "please call (988) 555-2485 again " + "and " * 9 + " and ".join(base[2] for _ in range(6)))]
+    got = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[900] == "phone:12:26"
+    found = spark.createDataFrame([(1, [[0, 3, 4], [90, 0, 95]], list(range(0, 100, 5)), list(range(2, 102, 5)), [f"n{i}" for i in range(20)])], "doc_id long, base array<array<int>>, s array<int>, e array<int>, token array<string>")
+    r = pii._stretches(found).first()
+    at = r["s"][0] // 5
+    assert r["s"] == list(range(5 * at, 5 * at + 30, 5)) and r["token"] == [f"n{i}" for i in range(at, at + 6)]
+    assert pii._stretches(found.where("size(s) < 6")).count() == 0
+
+
 # --- pipeline
 
 def test_keep_one_and_mix(spark, odd_docs):
