@@ -109,6 +109,11 @@ for _name, _text, _where, _sql_where in (
     query(_name, f"SELECT o_orderkey, o_orderdate::DATE AS day FROM orders WHERE {_sql_where}")(_dates)
 
 
+@query("date_mdy_all", "SELECT o_orderkey, CASE WHEN day(o_orderdate) <= 12 THEN make_date(year(o_orderdate), day(o_orderdate), month(o_orderdate)) ELSE o_orderdate::DATE END AS day FROM orders")
+def _(spark, sf_dir):
+    return L.table(spark, sf_dir, "orders").select("o_orderkey", parse_date(F.date_format(_DAY, "MM/dd/yyyy"))["value"].alias("day"))
+
+
 @query("date_excel_serial", "SELECT o_orderkey, o_orderdate::DATE AS day, TRUE AS serial FROM orders")
 def _(spark, sf_dir):
     text = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1899-12-30").cast("date")).cast("string")
