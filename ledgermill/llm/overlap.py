@@ -1,9 +1,16 @@
 """Near-duplicates by exact overlap (Jaccard) of word shingles, 0.8 or more.
 
-No pair is missed, whatever the data: in any one order of all shingles, two sets within the threshold share one of
-their first n - ceil(0.8 n) + 1 shingles.  The order puts what is common in a sample last, so buckets stay small;
-the sample decides the order alone, never the result.  Pairs of a bucket are dropped by size and by a sketch
-of 1024 parities, whose distance is never more than that of the sets; what is left is compared shingle by shingle.
+Candidates come from keys of each text, of which two texts within the threshold share one.  All shingles have one
+order: what is common in a sample comes last, then by hash.  The keys are the smallest shingle of every window of
+w shingles in a row, w = 0.44 n but ``WINDOW`` at most for a text of n different shingles.  Two texts within the
+threshold differ by at most one change per 81 shingles of both (a change inside a text costs them 9 shingles or
+more), so they share a run of w shingles, and the smallest shingle of that run is a key of both.  Where a window
+holds nothing but common shingles its key would gather all texts that share the passage; such keys are left out, and
+the text takes the first n - ceil(0.8 n) + 1 of its shingles as keys besides: of those any two sets within the
+threshold share one, and both texts of the run take them.  The sample decides the order alone, never the result.
+
+Pairs of a bucket are dropped by size and by a sketch of 1024 parities, whose distance is never more than that of
+the sets; what is left is compared shingle by shingle.
 
 Texts of equal shingles are one set.  Each bucket first ties its members to its smallest one, and then only pairs
 that these ties leave in different components are compared, in tiles of bounded size: a large group costs its
@@ -32,21 +39,30 @@ from .components import connected
 SAMPLE, COMMON, MOST = 20_000, 4, 200_000
 #: 64-bit words of a sketch.
 WORDS = 16
+#: Shingles of a window at most.
+WINDOW = 24
 #: Rows of a tile; two tiles are compared at a time.
 TILE = 1024
+#: Sets that may be broadcast as ids (16 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 
 _SKETCH = [f"s{i}" for i in range(WORDS)]
 
 
-def shingles(text: str, width: int, seed: int = 42) -> np.ndarray:
-    """The sorted distinct hashes of a text's word shingles, which are those of ``simhash.fingerprint``."""
+def sequence(text: str, width: int, seed: int = 42) -> np.ndarray:
+    """The hashes of a text's word shingles in order, which are those of ``simhash.fingerprint``."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
     joined, h = b" ".join(words), xxhash.xxh64_intdigest
     ends = list(accumulate([len(w) + 1 for w in words]))
     last = ends[min(width, len(words)) - 1 :]
-    return np.unique(np.array([h(joined[a : b - 1], seed) for a, b in zip([0, *ends], last, strict=False)], np.uint64))
+    return np.array([h(joined[a : b - 1], seed) for a, b in zip([0, *ends], last, strict=False)], np.uint64)
+
+
+def shingles(text: str, width: int) -> np.ndarray:
+    """The sorted distinct hashes of a text's word shingles."""
+    return np.unique(sequence(text, width))
 
 
 def sketch(own: np.ndarray) -> np.ndarray:
@@ -55,14 +71,29 @@ def sketch(own: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
-def prefix(own: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first shingles of a set, one of which every set within the threshold has among its own first."""
-    n = len(own) - -(-4 * len(own) // 5) + 1
-    weight = np.zeros(len(own), np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
-        weight = np.where(common[at] == own, counts[at], 0)
-    return own[np.lexsort((own, weight))[:n]]
+def _weight(x: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How often the sample has each shingle; 0 for all but the common ones."""
+    if not len(common):
+        return np.zeros(len(x), np.int64)
+    at = np.minimum(np.searchsorted(common, x), len(common) - 1)
+    return np.where(common[at] == x, counts[at], 0)
+
+
+def keys(row: np.ndarray, own: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The keys of a text with the shingles ``row``, in order, and ``own``, distinct; two texts within the threshold
+    share one."""
+    if not len(own):
+        return own
+    weight = _weight(row, common, counts)
+    order = np.lexsort((row, weight))
+    rank = np.empty(len(row), np.int64)
+    rank[order] = np.arange(len(row))
+    least = order[np.unique(np.lib.stride_tricks.sliding_window_view(rank, max(1, min(WINDOW, int(0.44 * len(own))))).min(1))]
+    found = row[least[weight[least] == 0]]
+    if len(found) < len(least):
+        first = np.lexsort((own, _weight(own, common, counts)))[: len(own) - -(-4 * len(own) // 5) + 1]
+        found = np.concatenate([found, own[first]])
+    return np.unique(found)
 
 
 def _sets(df: DataFrame, width: int, key: str, text: str) -> DataFrame:
@@ -88,25 +119,26 @@ def _order(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _described(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, text_hash, ``sid`` (the same for texts of equal shingles), ``n``, ``first`` (the prefix) and the sketch."""
+    """doc_id, text_hash, ``sid`` (the same for texts of equal shingles), ``n``, ``keys`` and the sketch."""
     order = docs.sparkSession.sparkContext.broadcast(_order(docs, width))  # MOST entries at most
-    names = ["doc_id", "text_hash", "sid", "n", "first", *_SKETCH]
+    names = ["doc_id", "text_hash", "sid", "n", "keys", *_SKETCH]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with lean():
             for batch in batches:
-                sid, n, first, parities = [], [], [], []
+                sid, n, found, parities = [], [], [], []
                 for t in batch.column(2):
-                    own = shingles(t.as_py() or "", width)
+                    row = sequence(t.as_py() or "", width)
+                    own = np.unique(row)
                     sid.append(xxhash.xxh3_64_intdigest(own.tobytes()))
                     n.append(len(own))
-                    first.append(prefix(own, *order.value).view(np.int64))
+                    found.append(keys(row, own, *order.value).view(np.int64))
                     parities.append(sketch(own))
                 words = np.array(parities, np.int64).reshape(-1, WORDS)
-                arrays = [pa.array(np.array(sid, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(first, pa.list_(pa.int64()))]
+                arrays = [pa.array(np.array(sid, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(found, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays, *[pa.array(words[:, i]) for i in range(WORDS)]], names=names)
 
-    schema = T.StructType([T.StructField(c, T.ArrayType(T.LongType()) if c == "first" else T.LongType()) for c in names])
+    schema = T.StructType([T.StructField(c, T.ArrayType(T.LongType()) if c == "keys" else T.LongType()) for c in names])
     return docs.mapInArrow(run, schema)
 
 
@@ -122,8 +154,8 @@ def _may(a: str, b: str) -> Column:
 
 def _exact(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose overlap is 0.8 or more."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(sets.select("sid", "text_hash"), "sid")
-    texts = docs.join(wanted, "text_hash").groupBy("sid").agg(F.min("text").alias("text"))
+    wanted = scratch.cut(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(sets.select("sid", "text_hash"), "sid"))
+    texts = docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "text_hash").groupBy("sid").agg(F.min("text").alias("text"))
     held = scratch.cut(_sets(texts, width, "sid", "text"))
     both = pairs.join(held.select(F.col("sid").alias("a"), F.col("x").alias("xa")), "a").join(held.select(F.col("sid").alias("b"), F.col("x").alias("xb")), "b")
     return scratch.cut(both.where(9 * F.size(F.array_intersect("xa", "xb")) >= 4 * (F.size("xa") + F.size("xb"))).select("a", "b"))
@@ -157,8 +189,10 @@ def groups(df: DataFrame, width: int = 5, text: str = "text", doc_id: str = "doc
     scratch = Scratch(df.sparkSession, name)
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     found = scratch.cut(_described(docs, width))
-    sets = scratch.cut(found.groupBy("sid").agg(*[F.min(c).alias(c) for c in ("doc_id", "text_hash", "n", *_SKETCH)]))
-    members = scratch.cut(found.select("sid", "n", F.explode("first").alias("k")).distinct())
+    sets = scratch.cut(found.drop("keys").groupBy("sid").agg(*[F.min(c).alias(c) for c in ("doc_id", "text_hash", "n", *_SKETCH)]))
+    # Texts of one set whose order differs may have different keys; all count.
+    described = found.select("sid", "n", "keys", F.xxhash64("keys").alias("kh")).dropDuplicates(["sid", "kh"])
+    members = scratch.cut(described.select("sid", "n", F.explode("keys").alias("k")))
     roots = connected(_links(members, sets, docs, width, scratch), scratch).withColumnRenamed("node", "sid")
     nodes = scratch.cut(sets.select("sid", "doc_id").join(roots, "sid", "left").select("sid", "doc_id", F.coalesce("root", "sid").alias("group")))
     firsts = nodes.groupBy("group").agg(F.min("doc_id").alias("component_id"))
