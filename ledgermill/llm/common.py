@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
+from typing import ClassVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -24,9 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (``spark.checkpoint.dir``); a temporary one where it is unset."""
+    """The folder that the cluster shares (``spark.checkpoint.dir``).  Where it is unset a local session gets a
+    temporary one; on a cluster that would be another folder on every machine, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="ledgermill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -68,10 +73,14 @@ def lean(*caches: dict) -> Iterator[None]:
 
 class Scratch:
     """Tables in the shared folder.  ``cut`` ends a lineage: the table it returns is read from files, so a
-    lost executor costs a re-read and not the steps before it."""
+    lost executor costs a re-read and not the steps before it.  What operators leave there goes with
+    ``consumed``."""
+
+    made: ClassVar[list[Scratch]] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        Scratch.made.append(self)
 
     def cut(self, df: DataFrame, partition_by: str | None = None) -> DataFrame:
         self.n += 1
@@ -84,11 +93,27 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         """Removes a table that ``cut`` made and nothing will read again."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+        self._remove(df._scratch_path)
+
+    def remove(self) -> None:
+        """Removes all of its tables."""
+        self._remove(self.root)
+
+    def _remove(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def consumed() -> Iterator[None]:
+    """Operators' results are lazy and read scratch tables.  Written inside of this block, they leave none behind."""
+    before = len(Scratch.made)
+    yield
+    for scratch in Scratch.made[before:]:
+        scratch.remove()
+    del Scratch.made[before:]
+
+
 def running(df: DataFrame, group: list[str], bucket: str, specs: list[tuple[str, str, str]]) -> DataFrame:
     """For each (group, bucket) totals over the group's smaller buckets.
 

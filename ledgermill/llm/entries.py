@@ -14,7 +14,7 @@ URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(list(URL_RULES), "host string, path string, action string")
+    rules = spark.sql("select * from values " + ", ".join(map(str, URL_RULES)) + " as rules(host, path, action)")
     judged = urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
     return judged.select("page_id", "host", "path", "rule", "verdict")
 

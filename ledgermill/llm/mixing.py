@@ -13,8 +13,10 @@ Ranks and stream positions are running totals over a fixed number of buckets per
 (``common.running``), so no task holds a source.  Texts are read once, for their sizes.
 
 Defined results: a null text has size 0; a document of size 0 is taken 0 times; the null source is a source,
-and comes last; repeated rows are documents of their own; an empty table gives an empty table.  The shuffle
-is by a hash of doc_id, size and the seed: reruns agree whatever the partitions.
+and comes last; repeated rows are documents of their own, and so are rows that share a doc_id; an empty table
+gives an empty table.  The shuffle is by a hash of doc_id, text and the seed: reruns agree whatever the
+partitions (rows of equal doc_id, text and source are interchangeable).  Sources are a table of one row each,
+which one task orders; rows, blocks and slots never meet in one.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ CELLS = 1024
 
 @dataclass(frozen=True)
 class Mix:
-    documents: DataFrame  # the input's carried columns, size, source_size, target, taken
+    documents: DataFrame  # doc_id, source, size, source_size, target, taken (and the row's number, in ``apply``)
     schedule: DataFrame  # slot, doc_id, source, first_word, n_words: what the mix reads, in order
     sources: DataFrame  # source, source_size, target
 
@@ -72,21 +74,28 @@ def targets(totals: DataFrame, weights: tuple[float, ...] = (3, 1, 2), budget: f
     )
 
 
+def _described(df: DataFrame, text: str, source: str, doc_id: str, seed: int) -> list[Column]:
+    """What the mix reads of a row."""
+    return [F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), sizes(F.col(text)).alias("size"), F.xxhash64(F.col(doc_id), F.col(text), F.lit(seed)).alias("_key")]
+
+
 def mix(df: DataFrame, weights: tuple[float, ...] = (3, 1, 2), budget: float = 1.5, epochs: float = 2.0, block: int = BLOCK, seed: int = 42,
         text: str = "text", source: str = "source", doc_id: str = "doc_id", name: str = "mixing") -> Mix:
-    scratch = Scratch(df.sparkSession, name)
+    return _mix(df.select(*_described(df, text, source, doc_id, seed)), [], weights, budget, epochs, block, Scratch(df.sparkSession, name))
+
+
+def _mix(docs: DataFrame, row: list[str], weights: tuple[float, ...], budget: float, epochs: float, block: int, scratch: Scratch) -> Mix:
+    """``docs``: doc_id, source, size, _key and the columns ``row``, which tell rows apart that share all of these."""
     bucket = F.pmod(F.xxhash64("_key", F.lit(0)), F.lit(BUCKETS))
-    docs = df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), sizes(F.col(text)).alias("size"))
-    docs = docs.withColumn("_key", F.xxhash64("doc_id", "size", F.lit(seed))).withColumn("_bucket", bucket.cast("long"))
-    docs = scratch.cut(docs)
+    docs = scratch.cut(docs.withColumn("_bucket", bucket.cast("long")))
     totals = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = scratch.cut(targets(totals, weights, budget, epochs))
 
     # Where each document begins in its source's stream.
     offsets = running(docs, ["source"], "_bucket", [("size", "_offset", "sum")])
-    within = W.partitionBy("source", "_bucket").orderBy("_key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy("source", "_bucket").orderBy("_key", "doc_id", "size", *row).rowsBetween(W.unboundedPreceding, -1)
     streamed = null_safe(docs, offsets, ["source", "_bucket"]).withColumn("start", F.col("_offset") + F.coalesce(F.sum("size").over(within), F.lit(0)))
-    streamed = null_safe(streamed, sources, ["source"]).select("doc_id", "n", "source", "size", "source_size", "target", "start")
+    streamed = null_safe(streamed, sources, ["source"]).select("doc_id", "n", "source", "size", "source_size", "target", "start", *row)
     streamed = scratch.cut(streamed)
 
     slots = _slots(sources, scratch, block)
@@ -103,22 +112,29 @@ def mix(df: DataFrame, weights: tuple[float, ...] = (3, 1, 2), budget: float = 1
     counts = schedule.groupBy("n", "start").agg(F.sum("n_words").alias("taken"))
     sized = streamed.withColumn("_start", F.when(F.col("size") > 0, F.col("start")))
     documents = sized.join(counts.withColumnRenamed("start", "_start"), ["n", "_start"], "left")
-    documents = documents.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    documents = documents.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *row)
     return Mix(documents, schedule.select("slot", "doc_id", "source", "first_word", "n_words"), sources)
 
 
-def apply(df: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", **options) -> DataFrame:
+def apply(df: DataFrame, weights: tuple[float, ...] = (3, 1, 2), budget: float = 1.5, epochs: float = 2.0, block: int = BLOCK, seed: int = 42,
+          text: str = "text", source: str = "source", doc_id: str = "doc_id", name: str = "mixing") -> DataFrame:
     """The mix as rows of the input: a document as often as the mix takes it whole, and once more with its
-    first words (joined by a space) if the target ends inside it.  Documents must have distinct doc_ids; of
-    rows that share one, each is taken as often as all of them together, up to their epochs."""
-    taken = mix(df, text=text, source=source, doc_id=doc_id, **options).documents.where("taken > 0")
-    taken = taken.groupBy(F.col("doc_id").alias("_id")).agg(F.max("taken").alias("_taken"))
-    joined = null_safe(df.withColumn("_id", F.col(doc_id)), taken, ["_id"]).withColumn("_size", sizes(F.col(text)))
-    whole, part = F.expr("cast(_taken div _size as int)"), F.expr("cast(_taken % _size as int)")
+    first words (joined by a space) if the target ends inside it.
+
+    Rows are numbered and written once, with their sizes, so that rows that share a doc_id stay apart and no text
+    is searched for words twice.
+    """
+    scratch = Scratch(df.sparkSession, name)
+    parts = [c.alias(f"_mix_{k}") for k, c in zip(("id", "source", "size", "key"), _described(df, text, source, doc_id, seed), strict=True)]
+    rows = scratch.cut(df.select("*", *parts).withColumn("_mix_row", F.monotonically_increasing_id()))
+    docs = rows.select(*[F.col(f"_mix_{k}").alias(c) for k, c in (("id", "doc_id"), ("source", "source"), ("size", "size"), ("key", "_key"))], "_mix_row")
+    taken = _mix(docs, ["_mix_row"], weights, budget, epochs, block, scratch).documents.where("taken > 0").select("_mix_row", F.col("taken").alias("_mix_taken"))
+    joined = rows.join(taken, "_mix_row")
+    whole, part = F.expr("cast(_mix_taken div _mix_size as int)"), F.expr("cast(_mix_taken % _mix_size as int)")
     first = F.array_join(F.slice(F.filter(F.split(text, SPACE), lambda w: w != ""), 1, part), " ")
     copies = F.concat(F.array_repeat(F.lit(True), whole), F.when(part > 0, F.array(F.lit(False))).otherwise(F.expr("cast(array() as array<boolean>)")))
-    rows = joined.where("_size > 0").withColumn("_whole", F.explode(copies))
-    return rows.withColumn(text, F.when(F.col("_whole"), F.col(text)).otherwise(first)).drop("_id", "_taken", "_size", "_whole")
+    mixed = joined.withColumn("_mix_whole", F.explode(copies))
+    return mixed.withColumn(text, F.when(F.col("_mix_whole"), F.col(text)).otherwise(first)).select(*df.columns)
 
 
 def _slots(sources: DataFrame, scratch: Scratch, block: int) -> DataFrame:
@@ -147,5 +163,8 @@ def _slots(sources: DataFrame, scratch: Scratch, block: int) -> DataFrame:
     ranked = ranked.where("rank < need").select("n", "rank", "slot")
     given = placed.groupBy("n").agg(F.count(F.lit(1)).alias("given"))
     short = arcs.join(given, "n", "left").withColumn("given", F.coalesce("given", F.lit(0))).where("given < need")
-    extra = short.select("n", F.explode(F.sequence(F.col("given"), F.col("need") - 1)).alias("rank"), F.lit(count).cast("long").alias("slot"))
+    # The appended slots are numbered on, source after source.
+    lacking = short.withColumn("at", count - F.col("given") + F.coalesce(F.sum(F.col("need") - F.col("given")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    extra = lacking.select("n", "at", F.explode(F.sequence(F.col("given"), F.col("need") - 1)).alias("rank"))
+    extra = extra.select("n", "rank", (F.col("at") + F.col("rank")).cast("long").alias("slot"))
     return ranked.unionByName(extra)

@@ -1,16 +1,22 @@
 """Personal data: fixed patterns, and a skip-chain conditional random field that adds what they miss.
 
 Nodes of a document's field are its tokens that hold a digit or an at-sign; every other token is outside by
-definition.  Neighbouring nodes share transition potentials, and tokens that recur in the document, or whose
-digits do, share agreement potentials however far apart they are (each is tied to its last occurrence, so a
-token that recurs n times has n - 1 such edges).  Loopy sum-product message passing runs over all documents
-of a batch at once.  Runs of nodes of which a kind is likelier than not, and one node's marginal is ``SURE`` or
-more, become spans unless a span found by pattern overlaps them; those always stay.
-
-The field is trained piecewise here: unary potentials are a softmax regression on token shapes and
-neighbours, transitions and agreements are smoothed log ratios of counts.  Its labels are the patterns' own
-spans on a bounded sample of the documents that have nodes (``SAMPLE``); features leave out what decides the
-patterns' checks, so the field generalises to mistyped, broken or unprefixed data.
+definition.  Neighbouring nodes share transition potentials, and tokens that recur in the document or resemble
+each other (the same digits, or the same first or last six of them, or one mailbox) share agreement potentials
+however far apart they are: each is tied to the last one like it, so a token that recurs n times has n - 1 such
+edges.  Nodes inside a pattern's span are observed, so what a pattern is sure of spreads along these edges to
+mentions that it cannot read.  Loopy sum-product message passing runs until messages settle.  Runs of nodes of
+which a kind is likelier than not, and one node's marginal is ``SURE`` or more, become spans unless a span found by
+pattern overlaps them; those always stay.
+
+The field is trained piecewise here, on a bounded sample of the documents that have nodes (``SAMPLE``).  Unary
+potentials are a softmax regression on token shapes and neighbours; its cases are the patterns' own spans and
+mistyped copies of them (``mistype``: a prefix dropped, a digit changed, separators broken), so it learns what data
+looks like that the patterns miss.  Transitions and agreements are smoothed log ratios of counts; agreements are
+counted on copies in which spans, and other tokens, are mentioned once more, changed (``mention``).
+
+Memory: documents go in parts of ``PART_NODES`` nodes, a longer one alone; a node takes its edges' messages, five
+numbers each.
 
 Defined results: a null text is the empty text; a text without nodes has no spans; repeated rows get equal
 results; an empty table gives an empty table.  Offsets are code points, ends exclusive.
@@ -19,6 +25,7 @@ results; an empty table gives an empty table.  Offsets are code points, ends exc
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -36,7 +43,12 @@ SAMPLE = 4000
 #: Nodes of the training sample, and of one of its documents' stretches, at most; all nodes are labelled all the same.
 SAMPLE_NODES, SAMPLE_DOCUMENT = 200_000, 200
 SURE = 0.9
-ROUNDS = 10
+#: Message passing ends when no message changes by more than SETTLED, or after ROUNDS.
+SETTLED, ROUNDS = 1e-3, 100
+#: Nodes of documents whose messages are passed at once.
+PART_NODES = 50_000
+#: Log odds of an observed label.
+OBSERVED = 15.0
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -126,17 +138,17 @@ class Field:
     chain: np.ndarray = field(default_factory=lambda: np.zeros((5, 5)))
     skip: np.ndarray = field(default_factory=lambda: np.zeros((5, 5)))
 
-    def rows(self, documents: list[list[tuple[int, int, str]]]) -> list[list[int]]:
-        """Feature ids of every node, in order; neighbours count if at most a space or two is between."""
-        out = []
-        for own in documents:
-            of = [features(t) for _, _, t in own]
-            for i, f in enumerate(of):
-                all_f = list(f)
-                for j, name in ((i - 1, "p"), (i + 1, "n")):
-                    near = 0 <= j < len(own) and self._near(own[min(i, j)], own[max(i, j)])
-                    all_f += [f"{name}{x}" for x in of[j][1:3]] if near else [f"{name}-"]
-                out.append([self.index[x] for x in all_f if x in self.index])
+    def rows(self, own: list[tuple[int, int, str]], first: int = 0, last: int | None = None) -> list[list[int]]:
+        """Feature ids of a document's nodes, or some of them; neighbours count if at most a space or two is between."""
+        last, out, of = len(own) if last is None else last, [], {}
+        for j in range(max(0, first - 1), min(len(own), last + 1)):
+            of[j] = features(own[j][2])
+        for i in range(first, last):
+            all_f = list(of[i])
+            for j, name in ((i - 1, "p"), (i + 1, "n")):
+                near = 0 <= j < len(own) and self._near(own[min(i, j)], own[max(i, j)])
+                all_f += [f"{name}{x}" for x in of[j][1:3]] if near else [f"{name}-"]
+            out.append([self.index[x] for x in all_f if x in self.index])
         return out
 
     @staticmethod
@@ -153,9 +165,8 @@ class Field:
                 tied = i > 0 and cls._near(own[i - 1], own[i])
                 if tied:
                     chain.append((base + i - 1, base + i))
-                digits = "".join(c for c in token if c.isdigit())
-                back = set()  # a token and its digits tie to one node once
-                for key in {"t" + token.lower(), *(("d" + digits,) if len(digits) >= 5 else ())}:
+                back = set()  # like tokens tie once, whatever they have in common
+                for key in likeness(token):
                     if key in last and not (tied and last[key] == i - 1):
                         back.add(last[key])
                     last[key] = i
@@ -163,37 +174,62 @@ class Field:
             base += len(own)
         return np.array(chain, np.int64).reshape(-1, 2), np.array(skip, np.int64).reshape(-1, 2)
 
-    def marginals(self, documents: list[list[tuple[int, int, str]]]) -> np.ndarray:
-        rows = self.rows(documents)
-        n = len(rows)
-        score = np.zeros((n, 5))
-        if not n:
-            return score
-        flat = np.fromiter((f for r in rows for f in r), np.int64)
-        np.add.at(score, np.repeat(np.arange(n), [len(r) for r in rows]), self.unary[flat])
+    def scores(self, documents: list[list[tuple[int, int, str]]], step: int = 20_000) -> np.ndarray:
+        out = [np.zeros((0, 5))]
+        for own in documents:
+            for k in range(0, len(own), step):
+                rows = self.rows(own, k, min(len(own), k + step))
+                part = np.zeros((len(rows), 5))
+                flat = np.fromiter((f for r in rows for f in r), np.int64)
+                np.add.at(part, np.repeat(np.arange(len(rows)), [len(r) for r in rows]), self.unary[flat])
+                out.append(part)
+        return np.concatenate(out)
+
+    def marginals(self, documents: list[list[tuple[int, int, str]]], observed: list[int] | None = None) -> np.ndarray:
+        """Rows of label probabilities.  ``observed``: labels of the nodes that patterns found, 0 for the others."""
+        score = self.scores(documents)
+        if observed is not None and len(score):
+            seen = np.array(observed, np.int64)
+            at = np.flatnonzero(seen)
+            score[at, seen[at]] += OBSERVED
         chain, skip = self.edges(documents)
         ends = np.concatenate([chain, skip, chain[:, ::-1], skip[:, ::-1]])
         if not len(ends):
             return _softmax(score)
         half = len(chain) + len(skip)
-        potential = np.concatenate([np.broadcast_to(p, (len(e), 5, 5)) for p, e in ((self.chain, chain), (self.skip, skip), (self.chain.T, chain), (self.skip, skip))])
-        back = np.concatenate([np.arange(half, 2 * half), np.arange(half)])
+        # Edges of one kind and direction are in a row, so each kind's potentials exist once.
+        kinds = [(0, len(chain), np.exp(self.chain)), (len(chain), half, np.exp(self.skip)), (half, half + len(chain), np.exp(self.chain.T)), (half + len(chain), 2 * half, np.exp(self.skip.T))]
         message = np.zeros((len(ends), 5))
         for _ in range(ROUNDS):
             belief = score.copy()
-            np.add.at(belief, ends[:, 1], message)
-            out = belief[ends[:, 0]] - message[back]
-            new = _logsumexp(out[:, :, None] + potential, 1)
-            new -= _logsumexp(new, 1)[:, None]
-            message = 0.5 * message + 0.5 * new
-        belief = score.copy()
-        np.add.at(belief, ends[:, 1], message)
-        return _softmax(belief)
-
-
-def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis, keepdims=True)
-    return np.log(np.exp(x - top).sum(axis)) + top.squeeze(axis)
+            for c in range(5):
+                belief[:, c] += np.bincount(ends[:, 1], message[:, c], len(score))
+            out = belief[ends[:, 0]]
+            out[:half] -= message[half:]
+            out[half:] -= message[:half]
+            out = _softmax(out)
+            new = np.concatenate([np.log(out[a:b] @ potential) for a, b, potential in kinds])
+            new -= new.max(1, keepdims=True)
+            new = 0.5 * message + 0.5 * new
+            moved = np.abs(new - message).max()
+            message = new
+            if moved < SETTLED:
+                break
+        for c in range(5):
+            score[:, c] += np.bincount(ends[:, 1], message[:, c], len(score))
+        return _softmax(score)
+
+
+def likeness(token: str) -> list[str]:
+    """What a token has in common with those that agree with it."""
+    digits = "".join(c for c in token if c.isdigit())
+    keys = ["t" + token.lower()]
+    if len(digits) >= 5:
+        keys.append("d" + digits)
+    if len(digits) >= 7:
+        keys += ["p" + digits[:6], "s" + digits[-6:]]
+    box = token.split("@")[0].lower()
+    return [*keys, "u" + box] if len(box) >= 3 else keys
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -211,20 +247,98 @@ def labels(own: list[tuple[int, int, str]], spans: list[tuple[int, int, int]]) -
     return out
 
 
-def train(documents: list[list[tuple[int, int, str]]], truth: list[list[int]], steps: int = 300, ridge: float = 1e-4) -> Field:
-    made, y = Field(), np.array([k for t in truth for k in t], np.int64)
-    if not len(y):
+def _groups(truth: list[int], own: list[tuple[int, int, str]]) -> list[tuple[int, int, int]]:
+    """(first, last + 1, label) of the runs of near nodes of one label; nodes outside are runs of their own."""
+    out: list[list[int]] = []
+    for i, y in enumerate(truth):
+        if out and y and out[-1][2] == y and y > 2 and Field._near(own[i - 1], own[i]):
+            out[-1][1] = i + 1
+        else:
+            out.append([i, i + 1, y])
+    return [tuple(x) for x in out]
+
+
+def _changed(token: str, r: random.Random) -> str:
+    """The token with one digit another."""
+    at = r.choice([i for i, c in enumerate(token) if "0" <= c <= "9"] or [-1])
+    return token if at < 0 else token[:at] + str((int(token[at]) + r.randint(1, 9)) % 10) + token[at + 1 :]
+
+
+def mistype(tokens: list[str], kind: int, r: random.Random) -> list[str]:
+    """A span's tokens as a writer may get them wrong, so that no pattern finds them."""
+    token = tokens[0]
+    if kind == 0:
+        box, _, domain = token.partition("@")
+        return [r.choice([f"{box}@@{domain}", f"{box}@{domain.split('.')[0]}", f"{box}@{domain.replace('.', ',')}"])]
+    if kind == 1:
+        parts, at = token.split("."), r.randrange(4)
+        long = ".".join([*parts[:at], str(r.randint(256, 999)), *parts[at + 1 :]])
+        return [r.choice([long, ",".join(parts), token.replace("1", "l", 1).replace("0", "O", 1) if set("01") & set(token) else long])]
+    if kind == 2:
+        at = r.randrange(len(tokens))
+        return [*tokens[:at], _changed(tokens[at], r), *tokens[at + 1 :]]
+    return r.choice([[token.lstrip("+"), *tokens[1:]], tokens[1:] or [token.lstrip("+")], [token.lstrip("+"), *[re.sub("[() -]", "", t) for t in tokens[1:]]]])
+
+
+def mention(tokens: list[str], kind: int, r: random.Random) -> list[str]:
+    """A span's tokens as a later mention may have them: readable for who knows the first."""
+    if kind == 0:
+        return [tokens[0].split("@")[0] + "@"]
+    if kind == 1:
+        return [tokens[0].replace(".", r.choice("-_"))]
+    if kind == 2:
+        return [_changed("".join(tokens), r)]
+    return [re.sub("[^0-9]", "", "".join(tokens))]
+
+
+def copies(own: list[tuple[int, int, str]], truth: list[int], r: random.Random) -> Iterator[tuple[list[tuple[int, int, str]], list[int], int]]:
+    """A document with mistyped spans, and one with changed mentions after its end: nodes, labels, and how many of the
+    nodes are the document's own."""
+    def put(out: list, tokens: list[str], at: int) -> int:
+        for t in tokens:
+            out.append((at, at + len(t), t))
+            at += len(t) + 1
+        return at
+
+    spans = [g for g in _groups(truth, own) if g[2]]
+    if not spans:
+        return
+    nodes_, labels_ = [], []
+    for a, b, y in _groups(truth, own):
+        tokens = [t for _, _, t in own[a:b]]
+        tokens = mistype(tokens, y - 1, r) if y else tokens
+        put(nodes_, tokens, own[a][0])
+        labels_ += [y] * len(tokens)
+    yield nodes_, labels_, len(nodes_)
+    nodes_, labels_ = list(own), list(truth)
+    at = own[-1][1] + 20
+    others = [g for g in _groups(truth, own) if not g[2] and len(likeness(own[g[0]][2])) > 2]
+    for a, b, y in spans + others[: len(spans)]:
+        tokens = [t for _, _, t in own[a:b]]
+        tokens = mention(tokens, y - 1, r) if y else [_changed(tokens[0], r)]
+        at = put(nodes_, tokens, at) + 20
+        labels_ += [y] * len(tokens)
+    yield nodes_, labels_, len(own)
+
+
+def train(documents: list[list[tuple[int, int, str]]], truth: list[list[int]], steps: int = 300, ridge: float = 1e-4, seed: int = 7) -> Field:
+    made, r = Field(), random.Random(seed)
+    if not any(truth):
         return made
+    cases = [c for own, y in zip(documents, truth, strict=True) if own for c in copies(own, y, r)]
+    mistyped, mentioned = ([c for c in cases if (c[2] < len(c[0])) == m] for m in (False, True))
+    plain = [*zip(documents, truth, strict=True), *[c[:2] for c in mistyped]]
+    y = np.array([k for _, t in plain for k in t], np.int64)
     seen: Counter = Counter()
     made.index = _All()
-    rows = made.rows(documents)
-    for r in rows:
-        seen.update(r)
+    rows = [x for own, _ in plain for x in made.rows(own)]
+    for x in rows:
+        seen.update(x)
     names = [k for k in made.index if seen[made.index[k]] >= 2]
     keep = {made.index[k]: i for i, k in enumerate(names)}
     made.index = {k: i for i, k in enumerate(names)}
-    owner = np.array([i for i, r in enumerate(rows) for f in r if f in keep], np.int64)
-    feature = np.array([keep[f] for r in rows for f in r if f in keep], np.int64)
+    owner = np.array([i for i, x in enumerate(rows) for f in x if f in keep], np.int64)
+    feature = np.array([keep[f] for x in rows for f in x if f in keep], np.int64)
     weights, m, v = (np.zeros((len(names), 5)) for _ in range(3))
     target = np.eye(5)[y]
     for step in range(1, steps + 1):
@@ -236,15 +350,16 @@ def train(documents: list[list[tuple[int, int, str]]], truth: list[list[int]], s
         m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope * slope
         weights = weights - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     made.unary = weights
-    chain, skip = made.edges(documents)
-    for name, ends, symmetric in (("chain", chain, False), ("skip", skip, True)):
+    for of, symmetric in ((plain, False), ([*plain, *[c[:2] for c in mentioned]], True)):
+        ends, y = made.edges([own for own, _ in of])[symmetric], np.array([k for _, t in of for k in t], np.int64)
         joint = np.full((5, 5), 0.5)
         if len(ends):
             np.add.at(joint, (y[ends[:, 0]], y[ends[:, 1]]), 1)
-        if symmetric:
-            joint = (joint + joint.T) / 2 + 2 * np.eye(5)  # that recurring tokens agree is what the edges are for
-        ratio = np.log(joint * joint.sum() / (joint.sum(1)[:, None] * joint.sum(0)[None, :]))
-        setattr(made, name, np.clip(ratio, -2, 2) / 2)
+        if symmetric:  # against the geometric mean of the labels' counts, so that a common label agrees as strongly as a rare one
+            joint = (joint + joint.T) / 2 + 2 * np.eye(5)
+            made.skip = np.clip(np.log(joint / np.sqrt(joint.sum(1)[:, None] * joint.sum(0)[None, :])), -6, 0)
+        else:
+            made.chain = np.clip(np.log(joint * joint.sum() / (joint.sum(1)[:, None] * joint.sum(0)[None, :])), -2, 2) / 2
     return made
 
 
@@ -318,7 +433,7 @@ def find(df: DataFrame, text: str = "text", doc_id: str = "doc_id", sample: int
     one_in = max(1, some.count() // sample)
     taken = _stretches(some.where(F.pmod(F.xxhash64("doc_id", "token"), F.lit(one_in)) == 0)).limit(2 * sample).collect()
     documents, truth, total = [], [], 0
-    for r in sorted(taken, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["token"])):
+    for r in sorted(taken, key=lambda r: (str(r["doc_id"]), r["token"], r["s"])):
         if total + len(r["s"]) <= SAMPLE_NODES:
             documents.append(list(zip(r["s"], r["e"], r["token"], strict=True)))
             truth.append(labels(documents[-1], [tuple(x) for x in r["base"]]))
@@ -327,16 +442,30 @@ def find(df: DataFrame, text: str = "text", doc_id: str = "doc_id", sample: int
     schema = T.StructType([found.schema["doc_id"], *[T.StructField(f"n_{k}", T.LongType()) for k in KINDS], T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            base = [[tuple(x) for x in row] for row in batch.column(1).to_pylist()]
-            own = [list(zip(*x, strict=True)) for x in zip(*[batch.column(c).to_pylist() for c in (2, 3, 4)], strict=True)]
-            p = model.value.marginals(own)
-            spans, at = [], 0
-            for b, o in zip(base, own, strict=True):
-                spans.append(show(sorted([*b, *added(o, p[at : at + len(o)], b)])))
-                at += len(o)
-            counts = [[sum(k == n for _, k, _ in b) for b in base] for n in range(len(KINDS))]
-            hashes = [hashlib.sha256(show(b).encode()).hexdigest() for b in base]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in counts], pa.array(hashes, pa.string()), pa.array(spans, pa.string())], names=schema.names)
+        with lean():
+            for batch in batches:
+                for part in _parts(batch):
+                    base = [[tuple(x) for x in row] for row in part.column(1).to_pylist()]
+                    own = [list(zip(*x, strict=True)) for x in zip(*[part.column(c).to_pylist() for c in (2, 3, 4)], strict=True)]
+                    p = model.value.marginals(own, [y for o, b in zip(own, base, strict=True) for y in labels(o, b)])
+                    spans, at = [], 0
+                    for b, o in zip(base, own, strict=True):
+                        spans.append(show(sorted([*b, *added(o, p[at : at + len(o)], b)])))
+                        at += len(o)
+                    counts = [[sum(k == n for _, k, _ in b) for b in base] for n in range(len(KINDS))]
+                    hashes = [hashlib.sha256(show(b).encode()).hexdigest() for b in base]
+                    yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, pa.int64()) for c in counts], pa.array(hashes, pa.string()), pa.array(spans, pa.string())], names=schema.names)
 
     return found.mapInArrow(label, schema)
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows in parts of about PART_NODES nodes; a row of more is a part of its own."""
+    start = total = 0
+    for i, n in enumerate(batch.column(2).value_lengths().to_pylist()):
+        if total and total + n > PART_NODES:
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += n
+    if start < len(batch):
+        yield batch.slice(start)

@@ -54,28 +54,21 @@ def repeated_window_words(words: Column, width: int = 3) -> Column:
     """Number of word positions inside windows of ``width`` words that occur twice or more, the first
     occurrence included.
 
-    A window's 64-bit hash is packed with its position, the packed longs are sorted, and neighbours whose
-    full hashes agree are repeats: n log n for a text of n words, without leaving the projection.
+    Windows are sorted as pairs of their 64-bit hash and their position, so equal windows are neighbours whatever
+    the length of the text; the positions of those with an equal neighbour are sorted again, and each covers up to
+    the next: n log n for a text of n words, without leaving the projection.
     """
     n = F.size(words) - width + 1
 
-    def covered(hashes: Column) -> Column:
-        mask = F.when(F.size(hashes) < (1 << 20), F.lit((1 << 20) - 1)).otherwise(F.lit((1 << 31) - 1)).cast("long")
-        full = width + F.lit(0).cast("long")
+    def starts(ordered: Column) -> Column:
+        same = lambda x, y: F.coalesce(x["h"] == F.get(ordered, y)["h"], F.lit(False))
+        repeated = F.filter(ordered, lambda x, j: same(x, j + 1) | same(x, j - 1))
+        return F.sort_array(F.transform(repeated, lambda x: x["i"]))
 
-        def repeats(ordered: Column, mask: Column, high: Column) -> Column:
-            at = lambda x: x.bitwiseAND(mask)
-            same = lambda x, y: (x.bitwiseXOR(y).bitwiseAND(high) == 0) & (F.get(hashes, at(x).cast("int")) == F.get(hashes, at(y).cast("int")))
-            pairs = F.transform(ordered, lambda x, j: F.when(same(x, F.get(ordered, j + 1)), F.array(at(x), at(F.get(ordered, j + 1)))))
-            return F.sort_array(F.array_distinct(F.flatten(F.array_compact(pairs))))
-
-        packed = lambda m, high: F.transform(hashes, lambda h, i: h.bitwiseAND(high).bitwiseOR(i.cast("long")))
-        starts = _let(mask, lambda m: _let(F.bitwise_not(m), lambda high: _let(F.sort_array(packed(m, high)), lambda s: repeats(s, m, high))))
-        gaps = lambda s: F.transform(s, lambda p, j: F.least(full, F.coalesce(F.get(s, j + 1) - p, full)))
-        return F.aggregate(_let(starts, gaps), F.lit(0).cast("long"), lambda a, x: a + x)
-
-    hashes = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(width)]))
-    return F.when(n >= 2, _let(hashes, covered)).otherwise(F.lit(0).cast("long"))
+    gaps = lambda s: F.transform(s, lambda p, j: F.least(F.lit(width), F.coalesce(F.get(s, j + 1) - p, F.lit(width))))
+    windows = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.xxhash64(*[F.get(words, i + k) for k in range(width)]).alias("h"), i.alias("i")))
+    covered = F.aggregate(_let(_let(F.sort_array(windows), starts), gaps), F.lit(0).cast("long"), lambda a, x: a + x)
+    return F.when(n >= 2, covered).otherwise(F.lit(0).cast("long"))
 
 
 def with_metrics(df: DataFrame, text: str = "text") -> DataFrame:

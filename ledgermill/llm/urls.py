@@ -6,7 +6,10 @@ universe of the corpus is complete, so membership is exact for every key that is
 the levels are byte strings inside one projection.
 
 The filters' size follows the list and not the corpus: level 0 has a false positive rate of about
-listed / universe, and the later levels halve.  It is checked against ``MAX_FILTER_BYTES``.
+listed / universe, and the later levels halve.  Once a later level errs on ``FEW`` keys or less, these are named
+instead of encoded, which ends the cascade.  A list whose cascade would pass ``MAX_FILTER_BYTES`` is dealt by a
+hash of the key into parts that each stay below it; the pages are judged part after part, and the best fitting
+rule of all parts wins, so the bound on what a task carries costs passes and never exactness.
 
 Keys are host followed by path prefix.  A url's candidates are the suffixes of its host with as many labels
 as some rule has, times the prefixes of its path as long as some rule's path.
@@ -27,6 +30,13 @@ from .common import Scratch
 
 #: Bound on all levels of one cascade, which every task carries.
 MAX_FILTER_BYTES = 64 << 20
+#: Keys that a cascade names at its end, at most.
+FEW = 200
+
+
+def _let(value: Column, body) -> Column:
+    """Binds ``value`` once for a body that reads it many times."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
 
 
 @dataclass(frozen=True)
@@ -36,27 +46,29 @@ class Bloom:
     hashes: int
     data: bytes = b""
 
-    def positions(self, key: Column) -> list[Column]:
-        first = F.pmod(F.xxhash64(key, F.lit(2 * self.level)), F.lit(self.bits).cast("long"))
-        step = F.pmod(F.xxhash64(key, F.lit(2 * self.level + 1)), F.lit(self.bits).cast("long"))
-        return [F.pmod(first + F.lit(i).cast("long") * step, F.lit(self.bits).cast("long")) for i in range(self.hashes)]
+    def positions(self, key: Column) -> Column:
+        """The key's bits, an array of longs."""
+        mod = F.lit(self.bits).cast("long")
+        first, step = (F.pmod(F.xxhash64(key, F.lit(2 * self.level + i)), mod) for i in (0, 1))
+        steps = F.sequence(F.lit(0).cast("long"), F.lit(self.hashes - 1).cast("long"))
+        return _let(F.struct(first.alias("a"), step.alias("b")), lambda s: F.transform(steps, lambda i: F.pmod(s["a"] + i * s["b"], mod)))
 
     def might_hold(self, key: Column) -> Column:
-        found = F.lit(True)
-        for p in self.positions(key):
-            byte = F.conv(F.hex(F.substring(F.lit(self.data), F.floor(p / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-            found = found & (F.getbit(byte, F.pmod(p, F.lit(8)).cast("int")) == 1)
-        return found
+        byte = lambda p: F.conv(F.hex(F.substring(F.lit(self.data), F.floor(p / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        return F.forall(self.positions(key), lambda p: F.getbit(byte(p), F.pmod(p, F.lit(8)).cast("int")) == 1)
+
+
+def level_bits(n: int, rate: float) -> tuple[int, int]:
+    """Bits and hash functions of a level of n keys."""
+    hashes = max(1, round(-math.log2(rate)))
+    return max(64, 8 * math.ceil(n * hashes / math.log(2) / 8)), hashes
 
 
 def encode(keys: DataFrame, n: int, rate: float, level: int) -> Bloom:
     """A filter of ``keys.key``, set by one aggregation per byte; one byte string reaches the driver."""
-    hashes = max(1, round(-math.log2(rate)))
-    bits = max(64, 8 * math.ceil(n * hashes / math.log(2) / 8))
-    if bits > 8 * MAX_FILTER_BYTES:
-        raise ValueError(f"a filter level of {bits // 8} bytes is over MAX_FILTER_BYTES; split the list by host and judge the parts in turn")
+    bits, hashes = level_bits(n, rate)
     empty = Bloom(level, bits, hashes)
-    where = keys.select(F.explode(F.array(*empty.positions(F.col("key")))).alias("p"))
+    where = keys.select(F.explode(empty.positions(F.col("key"))).alias("p"))
     set_ = where.groupBy(F.floor(F.col("p") / 8).alias("b")).agg(F.bit_or(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), F.pmod("p", F.lit(8)).cast("int") + 1)).alias("v"))
     zero = keys.sparkSession.range(bits // 8).select(F.col("id").alias("b"), F.lit(0).alias("v"))
     whole = set_.unionByName(zero).groupBy("b").agg(F.max("v").alias("v"))
@@ -70,38 +82,52 @@ def encode(keys: DataFrame, n: int, rate: float, level: int) -> Bloom:
 @dataclass(frozen=True)
 class Cascade:
     levels: tuple[Bloom, ...]
+    named: tuple[str, ...] = ()  # what the last level takes wrongly
 
     def contains(self, key: Column) -> Column:
-        found = F.lit(False) if len(self.levels) % 2 == 0 else F.lit(True)
-        for i, level in reversed(list(enumerate(self.levels))):
-            inner = found if i + 1 < len(self.levels) else F.lit(i % 2 == 0)
-            found = F.when(level.might_hold(key), inner).otherwise(F.lit(i % 2 == 1))
+        n = len(self.levels)
+        found = F.lit(n % 2 == 1)
+        if self.named:
+            wrong = key.isin(*self.named)
+            found = ~wrong if n % 2 else wrong
+        for i in reversed(range(n)):
+            found = F.when(self.levels[i].might_hold(key), found).otherwise(F.lit(i % 2 == 1))
         return found
 
 
-def build(listed: DataFrame, universe: DataFrame, scratch: Scratch) -> Cascade:
-    """A cascade that is exact for every key of ``listed`` and ``universe`` (column key)."""
+def first_rate(n: int, seen: int) -> float:
+    """The false positive rate of level 0."""
+    return min(0.5, max(1e-9, n / (math.sqrt(2) * max(1, seen))))
+
+
+def parts(n: int, seen: int, most: int | None = None) -> int:
+    """Into how many parts a list of n keys is dealt, so that each part's cascade stays within the bound: level 0,
+    and about twice the list in levels of a half, with a fifth to spare."""
+    own = level_bits(max(1, n), first_rate(n, seen))[0] + 4 * n / math.log(2)
+    return max(1, math.ceil(1.2 * own / 8 / (most or MAX_FILTER_BYTES)))
+
+
+def build(listed: DataFrame, universe: DataFrame, scratch: Scratch, seen: int | None = None) -> Cascade:
+    """A cascade that is exact for every key of ``listed`` and ``universe`` (column key, about ``seen`` of them)."""
     listed = scratch.cut(listed.where("key is not null").select("key").distinct())
     n = listed.count()
     if not n:
         return Cascade(())
-    seen = universe.agg(F.approx_count_distinct("key")).first()[0]
-    level = encode(listed, n, min(0.5, max(1e-9, n / (math.sqrt(2) * max(1, seen)))), 0)
+    if seen is None:
+        seen = universe.agg(F.approx_count_distinct("key")).first()[0]
+    level = encode(listed, n, first_rate(n, seen), 0)
     # The keys that level 0 lets through: about twice the list.  One aggregation tells which are listed.
     flagged = listed.select("key", F.lit(1).alias("listed")).unionByName(universe.select("key", F.lit(0).alias("listed")))
     left = scratch.cut(flagged.where(level.might_hold(F.col("key"))).groupBy("key").agg(F.max("listed").alias("listed")))
     levels, rest = [level], {True: left.where("listed = 1"), False: left.where("listed = 0")}
     while True:
         wrong = rest[len(levels) % 2 == 0]
-        if n := wrong.count():
-            levels.append(encode(wrong, n, 0.5, len(levels)))
-            other = len(levels) % 2 == 0
-            rest[other] = scratch.cut(rest[other].where(levels[-1].might_hold(F.col("key"))))
-        else:
-            break
-    if sum(x.bits for x in levels) > 8 * MAX_FILTER_BYTES:
-        raise ValueError("the cascade is over MAX_FILTER_BYTES; split the list by host and judge the parts in turn")
-    return Cascade(tuple(levels))
+        n = wrong.count()
+        if not n or n <= FEW and len(levels) > 1:
+            return Cascade(tuple(levels), tuple(sorted(r["key"] for r in wrong.select("key").collect())))
+        levels.append(encode(wrong, n, 0.5, len(levels)))
+        other = len(levels) % 2 == 0
+        rest[other] = scratch.cut(rest[other].where(levels[-1].might_hold(F.col("key"))))
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -141,9 +167,28 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     parted = pages.withColumns({"host": host, "path": path})
     keys = candidates(F.col("host"), F.col("path"), shape["labels"] or [], shape["lengths"] or []) if shape["labels"] else F.expr("cast(array() as array<string>)")
     universe = parted.select(F.explode(keys).alias("key"))
-    block = build(rules.where("action = 'block'").select("key"), universe, scratch)
-    allow = build(rules.where("action = 'allow'").select("key"), universe, scratch)
+    listed = rules.select("key", "action").distinct()
+    n, seen = listed.count(), universe.agg(F.approx_count_distinct("key")).first()[0] if shape["labels"] else 0
+    of = parts(n, seen)
+    if of == 1:
+        return _finish(parted.withColumn("_rule", _best(keys, listed, universe, scratch, seen)), default)
+    own = lambda c: F.pmod(F.xxhash64(c, F.lit(99)), F.lit(of))
+    judged = parted.withColumn("_rule", F.lit(None).cast("struct<key: string, action: string>"))
+    for g in range(of):
+        mine = _best(F.filter(keys, lambda k: own(k) == g), listed.where(own(F.col("key")) == g), universe.where(own(F.col("key")) == g), scratch, seen // of)  # noqa: B023
+        longer = F.coalesce(F.length("_mine.key"), F.lit(-1)) - F.coalesce(F.length("_rule.key"), F.lit(-1))
+        higher = F.coalesce(F.length(F.substring_index("_mine.key", "/", 1)), F.lit(-1)) > F.coalesce(F.length(F.substring_index("_rule.key", "/", 1)), F.lit(-1))
+        judged = judged.withColumn("_mine", mine)
+        judged = scratch.cut(judged.withColumn("_rule", F.when((longer > 0) | ((longer == 0) & higher), F.col("_mine")).otherwise(F.col("_rule"))).drop("_mine"))
+    return _finish(judged, default)
+
+
+def _best(keys: Column, listed: DataFrame, universe: DataFrame, scratch: Scratch, seen: int) -> Column:
+    """The first of ``keys`` that is listed, with its action; null if none is."""
+    block, allow = (build(listed.where(F.col("action") == a).select("key"), universe, scratch, seen) for a in ("block", "allow"))
     acted = F.transform(keys, lambda k: F.struct(k.alias("key"), F.when(block.contains(k), "block").when(allow.contains(k), "allow").alias("action")))
-    found = F.get(F.filter(acted, lambda x: x["action"].isNotNull()), F.lit(0))
-    judged = parted.withColumn("_rule", found)
+    return F.get(F.filter(acted, lambda x: x["action"].isNotNull()), F.lit(0))
+
+
+def _finish(judged: DataFrame, default: str) -> DataFrame:
     return judged.withColumns({"rule": F.col("_rule.key"), "verdict": F.coalesce("_rule.action", F.lit(default))}).drop("_rule")

@@ -9,6 +9,7 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 
 from ledgermill.llm import bpe, entries, mixing, quality, simhash, urls
 
@@ -45,12 +46,29 @@ def test_url_filter_empty(spark):
     assert [r["verdict"] for r in rows(urls.judge(spark.createDataFrame([(1, "http://a.net/")], "page_id long, url string"), rules.limit(0)))] == ["allow"]
 
 
+def test_url_filter_in_parts(spark, monkeypatch):
+    """A list over the bound is judged in parts, with the same verdicts."""
+    rules = [(f"h{i % 40}.x{'y' * (i % 3)}.net" if i % 2 else f"x{'y' * (i % 3)}.net", f"/{'p' * (i % 5)}{'/' if i % 5 else ''}", "block" if i % 3 else "allow") for i in range(300)]
+    found = [f"http://{h}{p}" for h in ("a.h7.xy.net", "h7.xy.net", "xyy.net", "h9.x.net", "z.net", "x.net") for p in ("/", "/p/", "/ppp/a", "/pppp/?x", "")]
+    pages = spark.createDataFrame(list(enumerate(found)), "page_id long, url string")
+    table = spark.createDataFrame(list(dict.fromkeys(rules)), "host string, path string, action string")
+    want = {r["page_id"]: (r["rule"], r["verdict"]) for r in rows(urls.judge(pages, table))}
+    assert len({v for _, v in want.values()}) == 2
+    block = {h + p for h, p, a in rules if a == "block"}
+    for i, u in enumerate(found):
+        _, _, rule, verdict = brute_url(u, [(h, p, a) for h, p, a in rules])
+        assert want[i] == (rule, "block" if rule in block else verdict)
+    monkeypatch.setattr(urls, "MAX_FILTER_BYTES", 100)
+    assert urls.parts(300, 1000) > 2
+    assert {r["page_id"]: (r["rule"], r["verdict"]) for r in rows(urls.judge(pages, table))} == want
+
+
 def test_cascade_is_exact(spark):
     from ledgermill.llm.common import Scratch
 
     universe = spark.range(5000).selectExpr("concat('k', id) as key")
     cascade = urls.build(spark.range(0, 5000, 7).selectExpr("concat('k', id) as key"), universe, Scratch(spark, "t"))
-    assert len(cascade.levels) > 1
+    assert len(cascade.levels) > 1 and len(cascade.named) <= urls.FEW
     assert universe.where(cascade.contains(universe.key) != (universe.key.substr(2, 9).cast("int") % 7 == 0)).count() == 0
 
 
@@ -216,6 +234,14 @@ def test_quality(odd_docs):
     assert quality.judge(odd_docs.limit(0)).count() == 0
 
 
+def test_repeats_in_a_text_of_millions_of_words(spark):
+    """Over 2^20 words; a quarter of them stand outside of repeated windows."""
+    n = 840_000
+    text = " ".join([w for i in range(n) for w in (f"a{i % 400000}", f"b{i % 400000}", "c", f"u{i}")])
+    got = spark.createDataFrame([(text,)], "text string").select(quality.repeated_window_words(F.split("text", " ")).alias("n")).first()["n"]
+    assert got == brute_quality(text)[4] == 3 * n
+
+
 def test_quality_against_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = rows(quality.judge(docs).join(labels.select("doc_id", "quality"), "doc_id").where("n_words >= 50"))
