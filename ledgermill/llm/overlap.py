@@ -12,9 +12,9 @@ threshold share one, and both texts of the run take them.  The sample decides th
 Pairs of a bucket are dropped by size and by a sketch of 1024 parities, whose distance is never more than that of
 the sets; what is left is compared shingle by shingle.
 
-Texts of equal shingles are one set.  Each bucket first ties its members to its smallest one, and then only pairs
-that these ties leave in different components are compared, in tiles of bounded size: a large group costs its
-members and not its pairs.
+Texts of equal shingles are one set.  Each bucket first ties its members to its smallest one, then those that are in
+different components still to ``HUBS`` more in each of ``ROUNDS`` rounds, and then only pairs that all these leave in
+different components are compared, in tiles of bounded size: a large group costs its members and not its pairs.
 
 Defined results: a null text is the empty text; texts without words are one group; a null doc_id takes part in a
 group but never names one; repeated rows each get a row; an empty table gives an empty table.
@@ -43,6 +43,9 @@ WORDS = 16
 WINDOW = 24
 #: Rows of a tile; two tiles are compared at a time.
 TILE = 1024
+#: Members of a bucket that are tied to those in other components, in each of at most so many rounds, before what is
+#: left is compared in tiles.
+HUBS, ROUNDS = 12, 3
 #: Sets that may be broadcast as ids (16 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -161,23 +164,43 @@ def _exact(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, scrat
     return scratch.cut(both.where(9 * F.size(F.array_intersect("xa", "xb")) >= 4 * (F.size("xa") + F.size("xb"))).select("a", "b"))
 
 
+def _hub(seed: int) -> Column:
+    """One member of a bucket, whichever has the smallest hash."""
+    return F.min(F.struct(F.xxhash64("sid", F.lit(seed)).alias("h"), "sid", "n", "c"))
+
+
+def _ties(stars: DataFrame, sets: DataFrame, docs: DataFrame, width: int, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) of ``stars`` whose overlap is 0.8 or more."""
+    sketches = sets.select("sid", "n", *_SKETCH)
+    tied = stars.distinct().join(sketches.alias("p"), F.col("a") == F.col("p.sid")).join(sketches.alias("q"), F.col("b") == F.col("q.sid"))
+    return _exact(scratch.cut(tied.where(_fits(F.col("p.n"), F.col("q.n")) & _may("p", "q")).select("a", "b")), sets, docs, width, scratch)
+
+
 def _links(members: DataFrame, sets: DataFrame, docs: DataFrame, width: int, scratch: Scratch) -> DataFrame:
     """(a, b): links whose closure is that of all pairs of sets within the threshold; ``members``: sid, n, k."""
     buckets = members.groupBy("k").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("sid", "n")).alias("m")).where("size > 1")
     shared = scratch.cut(members.join(scratch.cut(buckets), "k"))
-    stars = shared.where((F.col("sid") != F.col("m.sid")) & _fits(F.col("n"), F.col("m.n"))).select(F.col("m.sid").alias("a"), F.col("sid").alias("b")).distinct()
-    sketches = sets.select("sid", "n", *_SKETCH)
-    tied = stars.join(sketches.alias("p"), F.col("a") == F.col("p.sid")).join(sketches.alias("q"), F.col("b") == F.col("q.sid"))
-    ties = _exact(scratch.cut(tied.where(_may("p", "q")).select("a", "b")), sets, docs, width, scratch)
+    stars = shared.where((F.col("sid") != F.col("m.sid")) & _fits(F.col("n"), F.col("m.n"))).select(F.col("m.sid").alias("a"), F.col("sid").alias("b"))
+    ties = _ties(stars, sets, docs, width, scratch)
+    many, rounds = shared.where("size > 2").select("k", "sid", "n", "size"), 0
+    while True:
+        roots = scratch.cut(connected(ties, scratch)).withColumnRenamed("node", "sid")
+        left = many.join(roots, "sid", "left").withColumn("c", F.coalesce("root", "sid")).drop("root")
+        mixed = left.groupBy("k").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.array(*[_hub(HUBS * rounds + i) for i in range(HUBS)]).alias("hubs")).where("x <> y")
+        left = scratch.cut(left.join(mixed.drop("x", "y"), "k"))
+        if rounds == ROUNDS:
+            break
+        # Hubs of the bucket, most of which are of its largest component, are tied to what is in other components.
+        stars = left.withColumn("m", F.explode("hubs")).where((F.col("c") != F.col("m.c")) & _fits(F.col("n"), F.col("m.n")))
+        found = _ties(stars.select(F.least("sid", "m.sid").alias("a"), F.greatest("sid", "m.sid").alias("b")), sets, docs, width, scratch)
+        rounds = rounds + 1 if found.count() else ROUNDS
+        ties = ties.union(found)
 
-    roots = scratch.cut(connected(ties, scratch)).withColumnRenamed("node", "sid")
-    left = scratch.cut(shared.where("size > 2").select("k", "sid", "size").join(roots, "sid", "left").withColumn("c", F.coalesce("root", "sid")).drop("root"))
-    mixed = left.groupBy("k").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("k")
     tiles = F.ceil(F.col("size") / TILE).cast("int")
-    tiled = left.join(mixed, "k").withColumn("t", tiles).withColumn("o", F.pmod(F.xxhash64("sid", F.lit(7)), F.col("t")).cast("int"))
+    tiled = left.withColumn("t", tiles).withColumn("o", F.pmod(F.xxhash64("sid", F.lit(7)), F.col("t")).cast("int"))
     tiled = tiled.select("k", "sid", "c", "o", F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("p"))
     tiled = tiled.select("sid", "c", F.xxhash64("k", F.least("o", "p"), F.greatest("o", "p")).alias("g"))
-    tiled = scratch.cut(tiled.join(sketches, "sid"))
+    tiled = scratch.cut(tiled.join(sets.select("sid", "n", *_SKETCH), "sid"))
     on = (F.col("p.g") == F.col("q.g")) & (F.col("p.sid") < F.col("q.sid")) & (F.col("p.c") != F.col("q.c")) & _fits(F.col("p.n"), F.col("q.n")) & _may("p", "q")
     crossing = tiled.alias("p").join(tiled.alias("q"), on).select(F.col("p.sid").alias("a"), F.col("q.sid").alias("b")).distinct()
     return ties.union(_exact(scratch.cut(crossing), sets, docs, width, scratch))
