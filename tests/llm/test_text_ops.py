@@ -9,7 +9,6 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 import xxhash
-from pyspark.sql import functions as F
 
 from ledgermill.llm import bpe, entries, mixing, quality, simhash, urls
 
@@ -238,7 +237,7 @@ def test_repeats_in_a_text_of_millions_of_words(spark):
     """Over 2^20 words; a quarter of them stand outside of repeated windows."""
     n = 840_000
     text = " ".join([w for i in range(n) for w in (f"a{i % 400000}", f"b{i % 400000}", "c", f"u{i}")])
-    got = spark.createDataFrame([(text,)], "text string").select(quality.repeated_window_words(F.split("text", " ")).alias("n")).first()["n"]
+    got = quality.with_metrics(spark.createDataFrame([(text,)], "text string")).first()["n_repeat_words"]
     assert got == brute_quality(text)[4] == 3 * n
 
 
