@@ -14,6 +14,7 @@ from pathlib import Path
 from typing import ClassVar
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Words of every contract: runs of anything but ASCII white space.
@@ -37,6 +38,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """The store of a path and the path in it, for Python tasks."""
+    path = re.sub(r"^file:/+", "/", path)
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
 def ship(spark: SparkSession) -> None:
     """Gives executors this package, for Python stages where it is not installed: Spark's own file server
     hands out the archive, once per application."""

@@ -40,8 +40,8 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     scratch = Scratch(spark, "tokencount")
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    blocks, who = tokencount.write(table(spark, sf_dir, "documents"), scratch, path, public_tokenizers.PATTERN, END_OF_DOCUMENT)
-    counted = tokencount.count(blocks, END_OF_DOCUMENT, scratch)
+    files, who = tokencount.write(table(spark, sf_dir, "documents"), scratch, path, public_tokenizers.PATTERN, END_OF_DOCUMENT)
+    counted = tokencount.count(files, END_OF_DOCUMENT, scratch)
     return counted.join(who, ["file", "ordinal"]).select("doc_id", "n_tokens")
 
 

@@ -1,21 +1,25 @@
 """Token counts of documents in flat token files that have no index.
 
-A token file is the documents' ids, each document followed by an end-of-document id, and nothing else.  It is
-read in blocks of a fixed number of tokens that know nothing of documents.  Each block is searched for the
-identifier with vectorised comparisons; a prefix scan over the blocks' summaries (separators so far, and the
-last separator's place) then gives every block the number of its first document and where that began, so
-documents that cross blocks are stitched without reading a token twice.
+A token file is the documents' ids as little-endian numbers, each document followed by an end-of-document id, and
+nothing else.  It is read in blocks of a fixed number of tokens that know nothing of documents: a task opens the file
+in the store that the cluster shares, at the block's place, so files of any size are read in parallel and no task holds
+more than a block.  Each block is searched for the identifier with vectorised comparisons; a prefix scan over the
+blocks' summaries (separators so far, and the last separator's place) then gives every block the number of its first
+document and where that began, so documents that cross blocks are stitched without reading a token twice.
 
-Blocks are rows (file, block, tokens): ``write`` makes them through Spark's writers, so they live in whatever
-store the cluster shares, and ``read_files`` makes them of raw little-endian files.
+``write`` makes such files, one per partition.  A task that runs again writes another file, and only files of tasks
+that ended are listed.  Files are opened with pyarrow, which knows local and mounted folders and the usual object
+stores.
 
 Defined results: two identifiers in a row are a document of 0 tokens; tokens after a file's last identifier
 are a document of their own; an empty file has none; a null or empty text is a document of 0 tokens; repeated
-rows are documents of their own.
+rows are documents of their own; an identifier that the vocabulary uses is refused, as is a file that ends inside a
+token.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,30 +28,34 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from .bpe import _texts_in_parts, vocabulary
-from .common import Scratch, lean, running, ship
+from .common import Scratch, lean, opened, running, ship
 
 #: Tokens of a block.
-BLOCK = 1 << 16
+BLOCK = 1 << 18
 #: Blocks that share a bucket of the prefix scan.
 PER_BUCKET = 1024
 
 
 def write(df: DataFrame, scratch: Scratch, path: str, pattern: str, eod: int, text: str = "text", doc_id: str = "doc_id",
-          dtype: str = "<u2", block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """Encodes the texts into token files, one per partition of the input.  Returns the blocks (file, block,
-    tokens) and who is who (file, ordinal, doc_id); the files themselves hold token ids only."""
-    kind = df.schema[doc_id].dataType
-    schema = T.StructType([T.StructField("part", T.StringType()), T.StructField("file", T.LongType()), T.StructField("at", T.LongType()), T.StructField("doc_id", kind), T.StructField("tokens", T.BinaryType())])
+          dtype: str = "<u2") -> tuple[DataFrame, DataFrame]:
+    """Encodes the texts into token files, one per partition of the input.  Returns the files (file, path, length)
+    and who is who (file, ordinal, doc_id)."""
+    kind, root = df.schema[doc_id].dataType, f"{scratch.root}/tokens"
+    schema = T.StructType([T.StructField("part", T.StringType()), T.StructField("file", T.LongType()), T.StructField("at", T.LongType()), T.StructField("doc_id", kind), T.StructField("path", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, file = vocabulary(path, pattern), TaskContext.get().partitionId()
-        held, n_blocks, n_docs, size = b"", 0, 0, block * np.dtype(dtype).itemsize
+        if eod in vocab.bytes_of:
+            raise ValueError(f"{eod} is a token of the vocabulary")
+        store, folder = opened(root)
+        store.create_dir(folder, recursive=True)
+        name, n_docs, size, ids_type = f"{file}-{uuid.uuid4().hex}.bin", 0, 0, pa.null()
 
-        def rows(part: str, first: int, ids, tokens: list | None, n: int) -> pa.RecordBatch:
-            columns = [pa.array([part] * n), pa.array([file] * n, pa.int64()), pa.array(range(first, first + n), pa.int64()), ids, pa.array(tokens or [None] * n, pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, names=schema.names)
+        def rows(part: str, at: list, ids: pa.Array, where: str | None) -> pa.RecordBatch:
+            n = len(at)
+            return pa.RecordBatch.from_arrays([pa.array([part] * n), pa.array([file] * n, pa.int64()), pa.array(at, pa.int64()), ids, pa.array([where] * n, pa.string())], names=schema.names)
 
-        with lean(vocab.memory):
+        with lean(vocab.memory), store.open_output_stream(f"{folder}/{name}") as out:
             for batch in batches:
                 for part in _texts_in_parts(batch):
                     flat: list[int] = []
@@ -55,40 +63,40 @@ def write(df: DataFrame, scratch: Scratch, path: str, pattern: str, eod: int, te
                         for ids, _ in pieces:
                             flat += ids
                         flat.append(eod)
-                    held += np.array(flat, dtype).tobytes()
-                    yield rows("documents", n_docs, part.column(0), None, len(part))
+                    data = np.array(flat, dtype).tobytes()
+                    out.write(data)
+                    size, ids_type = size + len(data), part.column(0).type
+                    yield rows("documents", list(range(n_docs, n_docs + len(part))), part.column(0), None)
                     n_docs += len(part)
-                    full = [held[k : k + size] for k in range(0, len(held) - size + 1, size)]
-                    if full:
-                        yield rows("blocks", n_blocks, pa.nulls(len(full), part.column(0).type), full, len(full))
-                        n_blocks += len(full)
-                        held = held[len(full) * size :]
-            if held:
-                yield rows("blocks", n_blocks, pa.nulls(1, pa.int64()).cast(batch.column(0).type), [held], 1)
+        if n_docs:
+            yield rows("files", [size], pa.nulls(1, ids_type), f"{root}/{name}")
 
     ship(df.sparkSession)
     written = scratch.cut(df.select(doc_id, F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInArrow(run, schema), partition_by="part")
-    blocks = written.where("part = 'blocks'").select("file", F.col("at").alias("block"), "tokens")
-    return blocks, written.where("part = 'documents'").select("file", F.col("at").alias("ordinal"), "doc_id")
+    files = written.where("part = 'files'").select("file", "path", F.col("at").alias("length"))
+    return files, written.where("part = 'documents'").select("file", F.col("at").alias("ordinal"), "doc_id")
 
 
-def read_files(spark: SparkSession, path: str, dtype: str = "<u2", block: int = BLOCK) -> DataFrame:
-    """Blocks of raw token files; ``file`` is a file's path.  Spark reads a file whole, up to 2 GB."""
-    size = block * np.dtype(dtype).itemsize
-    found = spark.read.format("binaryFile").load(path).where("length > 0").select(F.col("path").alias("file"), "content", "length")
-    cut = found.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(length - 1) div {size}"))))
-    return cut.select("file", "block", F.expr(f"substring(content, cast(block * {size} + 1 as int), {size})").alias("tokens"))
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """The files of a folder (file, path, length); ``file`` is the path.  Spark lists them and reads none."""
+    found = spark.read.format("binaryFile").load(path).where("length > 0")
+    return found.select(F.col("path").alias("file"), "path", "length")
 
 
-def count(blocks: DataFrame, eod: int, scratch: Scratch, dtype: str = "<u2", block: int = BLOCK) -> DataFrame:
+def count(files: DataFrame, eod: int, scratch: Scratch, dtype: str = "<u2", block: int = BLOCK) -> DataFrame:
     """(file, ordinal, n_tokens) of every document, in the order in which a file holds them."""
-    schema = T.StructType([blocks.schema["file"], T.StructField("block", T.LongType()), *[T.StructField(c, T.LongType()) for c in ("n", "seps", "first", "last")], T.StructField("inner", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([files.schema["file"], T.StructField("block", T.LongType()), *[T.StructField(c, T.LongType()) for c in ("n", "seps", "first", "last")], T.StructField("inner", T.ArrayType(T.IntegerType()))])
+    width = np.dtype(dtype).itemsize
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, seps, first, last, inner = [], [], [], [], []
-            for at, tokens in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                ids = np.frombuffer(tokens.as_buffer(), dtype)
+            for at, path, length in zip(*[batch.column(c).to_pylist() for c in (1, 2, 3)], strict=True):
+                if length % width:
+                    raise ValueError(f"{path} ends inside a token")
+                store, name = opened(path)
+                with store.open_input_file(name) as f:
+                    ids = np.frombuffer(f.read_at(min(block * width, length - at * block * width), at * block * width), dtype)
                 places = np.flatnonzero(ids == eod)
                 n.append(len(ids))
                 seps.append(len(places))
@@ -98,7 +106,11 @@ def count(blocks: DataFrame, eod: int, scratch: Scratch, dtype: str = "<u2", blo
             columns = [batch.column(0), batch.column(1), *[pa.array(x, pa.int64()) for x in (n, seps, first, last)], pa.array(inner, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    scanned = scratch.cut(blocks.select("file", F.col("block").cast("long"), "tokens").mapInArrow(scan, schema))
+    ship(files.sparkSession)
+    last_block = F.expr(f"(length - 1) div {block * width}")
+    blocks = files.where("length > 0").select("file", F.explode(F.sequence(F.lit(0).cast("long"), last_block)).alias("block"), "path", "length")
+    # A block's row is small, so dealing them out costs little and spreads a file over all tasks.
+    scanned = scratch.cut(blocks.repartition("path", "block").mapInArrow(scan, schema))
     scanned = scanned.withColumn("bucket", F.expr(f"block div {PER_BUCKET}"))
     before = running(scanned, ["file"], "bucket", [("seps", "seps0", "sum"), ("last", "last0", "max")])
     within = W.partitionBy("file", "bucket").orderBy("block").rowsBetween(W.unboundedPreceding, -1)

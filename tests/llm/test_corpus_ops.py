@@ -23,12 +23,19 @@ def test_token_counts(spark, odd_docs, block):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
     own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     scratch = Scratch(spark, "t")
-    blocks, who = tokencount.write(odd_docs.repartition(3), scratch, PATH, P.PATTERN, 50256, block=block)
-    got = tokencount.count(blocks, 50256, scratch, block=block).join(who, ["file", "ordinal"])
+    files, who = tokencount.write(odd_docs.repartition(3), scratch, PATH, P.PATTERN, 50256)
+    docs = {(r["file"], r["ordinal"]): r["doc_id"] for r in who.collect()}
+    got = {(r["file"], r["ordinal"]): r["n_tokens"] for r in tokencount.count(files, 50256, scratch, block=block).collect()}
+    assert got.keys() == docs.keys()
     want = Counter((r["doc_id"], len(own.encode_ordinary(r["text"] or ""))) for r in odd_docs.collect())
-    assert Counter((r["doc_id"], r["n_tokens"]) for r in got.collect()) == want
-    blocks, who = tokencount.write(odd_docs.limit(0), scratch, PATH, P.PATTERN, 50256, block=block)
-    assert tokencount.count(blocks, 50256, scratch, block=block).count() == 0
+    assert Counter((docs[k], n) for k, n in got.items()) == want
+    # The files are flat: nothing but the ids and the identifiers.
+    total = sum(r["length"] for r in files.collect())
+    assert total == 2 * sum(n + 1 for n in got.values()) and files.count() == 3
+    files, who = tokencount.write(odd_docs.limit(0), scratch, PATH, P.PATTERN, 50256)
+    assert tokencount.count(files, 50256, scratch, block=block).count() == 0 == who.count()
+    with pytest.raises(Exception, match="is a token of the vocabulary"):
+        tokencount.write(odd_docs, scratch, PATH, P.PATTERN, 50255)
 
 
 @pytest.mark.parametrize("block", [2, 5, 64])
@@ -36,13 +43,25 @@ def test_raw_token_files(spark, tmp_path, block):
     files = {"a": [1, 2, 9, 9, 3, 9, 4, 5, 6, 7, 8, 1, 1, 1, 1, 1, 9], "b": [1, 2, 3], "c": [9], "d": [], "e": [9, 9, 1], "f": list(range(8)) * 9}
     for k, ids in files.items():
         (tmp_path / k).write_bytes(np.array(ids, "<u2").tobytes())
-    got = tokencount.count(tokencount.read_files(spark, str(tmp_path), block=block), 9, Scratch(spark, "t"), block=block).collect()
+    got = tokencount.count(tokencount.list_files(spark, str(tmp_path)), 9, Scratch(spark, "t"), block=block).collect()
     for k, ids in files.items():
         parts = "".join(chr(i) for i in ids).split(chr(9))
         want = [len(p) for p in (parts if parts[-1] else parts[:-1])]
         assert [r["n_tokens"] for r in sorted((r for r in got if r["file"].endswith("/" + k)), key=lambda r: r["ordinal"])] == want
 
 
+def test_a_token_file_over_two_gigabytes(spark, tmp_path):
+    """A sparse file: zeros but for an identifier near both ends."""
+    size = 5 << 29  # bytes
+    with open(tmp_path / "x", "wb") as f:
+        f.truncate(size)
+        for at in (10, size // 2 - 3):
+            f.seek(2 * at)
+            f.write(np.array([9], "<u2").tobytes())
+    got = tokencount.count(tokencount.list_files(spark, str(tmp_path)), 9, Scratch(spark, "t"), block=1 << 24).orderBy("ordinal").collect()
+    assert [r["n_tokens"] for r in got] == [10, size // 2 - 3 - 11, 2]
+
+
 # --- line dedup
 
 def brute_lines(docs):
