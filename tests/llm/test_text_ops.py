@@ -98,6 +98,25 @@ def test_bpe_pieces(text):
     assert vocab.decode(vocab.encode(text)) == text.encode()
 
 
+def test_bpe_other_pattern():
+    """A pattern in whose matches spaces stand inside."""
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
+    pattern = r"[a-z]+ [a-z]+|\s+|\S+"
+    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    for text in ("of the of the x y", "a b c d", " a b", "one two three"):
+        assert bpe.vocabulary(PATH, pattern).encode(text) == own.encode_ordinary(text)
+
+
+def test_bpe_heap_equals_matrix(monkeypatch):
+    import random
+
+    r, vocab = random.Random(2), bpe.vocabulary(PATH, P.PATTERN)
+    pieces = [bytes(r.choices(b"abeinrst\xc3\xa9", k=n)) for n in (2, 3, 17, 257, 1500, 4097, 5000)] + [b"a" * 4500, b"ab" * 2100]
+    by_heap = vocab.encode_pieces(pieces)
+    monkeypatch.setattr(bpe, "MATRIX_BYTES", 1 << 20)
+    assert vocab.encode_pieces(pieces) == by_heap
+
+
 def test_bpe_empty(odd_docs):
     assert bpe.round_trip(odd_docs.limit(0), PATH, P.PATTERN).count() == 0
 
