@@ -21,7 +21,10 @@ BOTH_SIDES = "Both debit and credit columns were non-empty; larger value used."
 def normalise(s: Column) -> Column:
     """Locale marks out of a number: European when commas end it before one or two digits and it has dots;
     a lone comma before at most two digits is a decimal comma; any other comma separates thousands."""
-    s = F.replace(s, F.lit(" "), F.lit(""))
+    return let(F.replace(s, F.lit(" "), F.lit("")), _normalised)
+
+
+def _normalised(s: Column) -> Column:
     commas = F.length(s) - F.length(F.replace(s, F.lit(","), F.lit("")))
     tail = F.length(F.substring_index(s, ",", -1))
     plain = F.replace(s, F.lit(","), F.lit(""))
@@ -42,25 +45,28 @@ def parse_amount(raw: Column, default_direction: str = "D") -> Column:
         inner = F.when(wrapped, F.substring(s, F.lit(2), F.length(s) - 2)).otherwise(s)
         unsigned = strip(F.regexp_replace(inner, SIGNS, ""))
 
-        def with_suffix(u: Column) -> Column:
-            word = F.lower(F.regexp_extract(u, r"(?U)\s([a-zA-Z]+)\s*$", 1))
-            known = word.isin(*DEBIT_SUFFIXES, *CREDIT_SUFFIXES)
-            body = F.when(known, strip(F.regexp_replace(u, r"(?U)\s+[a-zA-Z]+\s*$", ""))).otherwise(u)
-            explicit = F.when(word.isin(*DEBIT_SUFFIXES), "D").when(word.isin(*CREDIT_SUFFIXES), "C").when(wrapped, "D")
+        def with_suffix(x: Column) -> Column:
+            u, word = x["u"], x["word"]
+            debit, credit = word.isin(*DEBIT_SUFFIXES), word.isin(*CREDIT_SUFFIXES)
+            body = F.when(debit | credit, strip(F.regexp_replace(u, r"(?U)\s+[a-zA-Z]+\s*$", ""))).otherwise(u)
+            explicit = F.when(debit, "D").when(credit, "C").when(wrapped, "D")
+            number = let(normalise(body), lambda n: F.when(F.regexp_like(n, F.lit(_NUMBER)), n.try_cast("decimal(38,10)")))
 
-            def valued(n: Column) -> Column:
-                value = F.when(F.regexp_like(n, F.lit(_NUMBER)), n.try_cast("decimal(38,10)"))
+            def valued(v: Column) -> Column:
+                value, said = v["value"], v["said"]
                 negative = value < 0
                 return F.struct(
                     F.abs(value).alias("value"),
-                    F.when(value.isNull(), None).when(negative, "D").otherwise(F.coalesce(explicit, F.lit(default_direction))).alias("direction"),
-                    F.when(value.isNull(), F.lit(False)).otherwise(explicit.isNull() & ~negative).alias("is_inferred"),
+                    F.when(value.isNull(), None).when(negative, "D").otherwise(F.coalesce(said, F.lit(default_direction))).alias("direction"),
+                    F.when(value.isNull(), F.lit(False)).otherwise(said.isNull() & ~negative).alias("is_inferred"),
                     value.isNull().alias("error"),
                 )
 
-            return let(normalise(body), valued)
+            return let(F.struct(number.alias("value"), explicit.alias("said")), valued)
 
-        return F.when(~F.lower(s).isin(*NULL_TOKENS), let(unsigned, with_suffix))
+        word = lambda u: F.lower(F.regexp_extract(u, r"(?U)\s([a-zA-Z]+)\s*$", 1))
+        bound = let(unsigned, lambda u: F.struct(u.alias("u"), word(u).alias("word")))
+        return F.when(~F.lower(s).isin(*NULL_TOKENS), let(bound, with_suffix))
 
     return let(strip(raw), parsed).cast(TYPE)
 

@@ -23,7 +23,10 @@ def _day(y: Column, m: Column, d: Column) -> Column:
 
 def _lenient(n: Column, dayfirst: bool, rules: DateRules) -> Column:
     """A date of text whose separators are slashes: three numbers in some order, or a month's name."""
-    low = F.lower(n)
+    return let(F.lower(n), lambda low: _read(low, dayfirst, rules))
+
+
+def _read(low: Column, dayfirst: bool, rules: DateRules) -> Column:
     part = lambda pattern, i: F.regexp_extract(low, pattern, i).try_cast("int")
     year = lambda y, text: F.when(F.length(text) > 2, y).when(y > rules.pivot, y + 1900).otherwise(y + 2000)
 
@@ -46,7 +49,7 @@ def _lenient(n: Column, dayfirst: bool, rules: DateRules) -> Column:
     this_year = F.lit(rules.default.year)
     last = lambda y, m: F.least(F.lit(rules.default.day), F.day(F.last_day(_day(y, m, F.lit(1)))))
     return (
-        F.when(has(numbers), ordered(year(part(numbers, 3), F.regexp_extract(low, numbers, 3)), part(numbers, 1), part(numbers, 2)))
+        F.when(has(numbers), let(F.split(low, "[/ ]"), lambda x: ordered(year(x[2].cast("int"), x[2]), x[0].cast("int"), x[1].cast("int"))))
         .when(has(year_first), ordered(part(year_first, 1), part(year_first, 2), part(year_first, 3)))
         .when(has(compact), _day(part(compact, 1), part(compact, 2), part(compact, 3)))
         .when(has(day_name), _day(year(part(day_name, 3), F.regexp_extract(low, day_name, 3)), month(day_name, 2), part(day_name, 1)))

@@ -27,7 +27,17 @@ def raw_description(raw: Column, cleaned: Column) -> Column:
 
 def first_group(text: Column, pattern: str, group: int = 1) -> Column:
     """The first match's group; null if there is no match."""
-    return F.when(F.regexp_like(text, F.lit(pattern)), F.regexp_extract(text, pattern, group))
+    return F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.lit(0))
+
+
+def to_json_array(c: Column) -> Column:
+    """An array as JSON text, for stores without arrays; null stays null."""
+    return F.to_json(c)
+
+
+def from_json_array(c: Column, kind: str = "array<string>") -> Column:
+    """The array of a JSON text; an empty one if the text is no such array, null for null and for JSON's null."""
+    return F.when(F.trim(c) != "null", F.coalesce(F.from_json(c, kind), F.expr(f"cast(array() as {kind})")))
 
 
 def first_token(c: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -174,13 +175,15 @@ def summarise(transactions: DataFrame, key: str = "file_id") -> DataFrame:
     return summed.withColumn("warnings", F.concat(several, F.transform("_gaps", lambda x: x["w"]), F.transform("_rows", lambda x: x["w"]))).drop("_gaps", "_rows")
 
 
-def parse(grid: DataFrame, files: DataFrame, limits: Limits = LIMITS, rules: DateRules = DATE_RULES, default_direction: str = "D") -> Statements:
+def parse(grid: DataFrame, files: DataFrame, limits: Limits = LIMITS, rules: DateRules = DATE_RULES, default_direction: str = "D", stage: Callable[[DataFrame], DataFrame] | None = None) -> Statements:
     """All of it.  ``grid`` as the tokeniser makes it, ``files`` with at least file_id and encoding: files
-    without records or with missing columns get an error_code and no transactions."""
+    without records or with missing columns get an error_code and no transactions.  ``stage`` writes the parsed
+    rows and reads them again, so that each is parsed once though transactions and summaries both need it."""
     layout = layouts(grid)
     rows = parse_rows(data_rows(grid, layout, limits.max_csv_rows), rules, default_direction)
     fate = F.when(F.col("skip_reason").isNotNull(), "skipped").when(F.col("transaction_date").isNull(), "dropped").otherwise("parsed")
     rows = rows.withColumn("fate", fate)
+    rows = rows if stage is None else stage(rows)
     transactions = with_continuity(rows.where("fate = 'parsed'").drop("skip_reason", "fate"), limits=limits)
     skipped = rows.groupBy("file_id").agg(F.count_if(F.col("fate") == "skipped").cast("int").alias("total_rows_skipped"), F.count_if(F.col("fate") == "dropped").cast("int").alias("total_rows_dropped"))
     size = grid.groupBy("file_id").agg(F.max("line_no").alias("records"))

@@ -64,7 +64,8 @@ def validate(files: DataFrame, documents: DataFrame | None = None, allow_reproce
         "filename": safe_name(F.col("original_name")), "extension": extension(F.col("original_name")),
         "checksum_sha256": checksum(F.col("content")), "mime": mime(F.col("content")),
     })
-    first = W.partitionBy("checksum_sha256").orderBy("uploaded_at", "file_id")
+    # Content that was never read (files over the limit) has no checksum; each such file is its own.
+    first = W.partitionBy(F.coalesce("checksum_sha256", "file_id")).orderBy("uploaded_at", "file_id")
     known = known.withColumn("_first", F.first("file_id").over(first))
     earlier = F.when(F.col("_first") != F.col("file_id"), F.col("_first"))
     if documents is None:
@@ -79,6 +80,31 @@ def validate(files: DataFrame, documents: DataFrame | None = None, allow_reproce
     return known.withColumn("error_code", error_code(limits)).drop("_first", "_document")
 
 
+#: Names of encryption by the version number in a PDF's encryption entry.
+PDF_ENCRYPTION = {1: "RC4-40", 2: "RC4-128", 4: "AES-128", 5: "AES-256"}
+#: What an extractor says of a PDF: whether it could be opened, the encryption's version (null if there is none),
+#: whether the empty password fits, whether one was given and fits, and the number of pages.
+EXTRACTED = "file_id string, opened boolean, encryption int, empty_fits boolean, password_given boolean, password_fits boolean, page_count int"
+
+
+def check_pdfs(extracted: DataFrame, limits: Limits = LIMITS) -> DataFrame:
+    """The extractor's results (columns of ``EXTRACTED``) with ``error_code``, ``pdf_encryption_type`` and
+    ``pdf_password_used``.  A password itself is never a column.  A null answer counts as no; pages as 0."""
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    locked = F.col("encryption").isNotNull() & ~yes("empty_fits")
+    names = F.create_map(*[F.lit(x) for kv in PDF_ENCRYPTION.items() for x in kv])
+    return extracted.withColumns({
+        "error_code": F.coalesce(
+            F.when(~yes("opened"), "PDF_CORRUPTED"),
+            F.when(locked & ~yes("password_given"), "PDF_PASSWORD_REQUIRED"),
+            F.when(locked & ~yes("password_fits"), "PDF_WRONG_PASSWORD"),
+            F.when(F.coalesce("page_count", F.lit(0)) > limits.max_pdf_pages, "PDF_TOO_MANY_PAGES"),
+        ),
+        "pdf_encryption_type": F.when(F.col("encryption").isNotNull(), F.coalesce(F.try_element_at(names, F.col("encryption")), F.concat(F.lit("V="), F.col("encryption").cast("string")))),
+        "pdf_password_used": yes("opened") & locked & yes("password_given") & yes("password_fits"),
+    })
+
+
 def scanned_pages(pages: Column, limits: Limits = LIMITS) -> Column:
     """Numbers (from 1) of the pages that hold hardly any text."""
     from ..functions.text import strip

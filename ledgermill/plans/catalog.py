@@ -1,7 +1,9 @@
 """The catalog: the eight tables as Parquet in one folder, ingest, and the retrieval queries.
 
 Tables only grow.  A deletion is a row of its own table, so nothing is rewritten; a batch writes each table
-under its own folder (``batch=<id>``) in overwrite mode, so a batch that is run again replaces what it left.
+under its own folder (``batch=<id>``) in overwrite mode, so a batch that is run again replaces what it left.  The
+last thing that a batch writes is its mark in ``_batches``: rows of a batch without one are never read, so a batch
+becomes visible in all tables at once, and one that broke off in none.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from ..config import DATE_RULES, LIMITS, DateRules, Limits
 from ..operators import invoices as I, statements as S
-from ..operators.validate import validate
+from ..operators.validate import EXTRACTED, check_pdfs, validate
 from ..schemas import TABLES
 from ..sources import files as Files
 
@@ -36,6 +38,29 @@ def page(documents: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:
     return documents.orderBy(F.col("uploaded_at").desc(), "id").offset(offset).limit(limit)
 
 
+def page_count(documents: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:
+    """``count``, the number of documents on a page."""
+    return page(documents, limit, offset).agg(F.count(F.lit(1)).alias("count"))
+
+
+def with_jobs(documents: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Every job (its columns, with document_id) beside its document; documents without jobs have none."""
+    return documents.withColumnRenamed("id", "document_id").join(jobs, "document_id")
+
+
+def with_results(documents: DataFrame, statements: DataFrame, invoices: DataFrame) -> DataFrame:
+    """Documents beside their statements and invoices (id, document_id, currency), with ``statement_id``,
+    ``invoice_id`` and ``currency``; a document without results stays, with nulls."""
+    of = lambda t, name: t.select(F.col("document_id").alias("id"), F.col("id").alias(name), F.col("currency").alias(f"_{name}"))
+    joined = documents.join(of(statements, "statement_id"), "id", "left").join(of(invoices, "invoice_id"), "id", "left")
+    return joined.withColumn("currency", F.coalesce("_statement_id", "_invoice_id")).drop("_statement_id", "_invoice_id")
+
+
+def with_parent(children: DataFrame, parents: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Children beside their parent: transactions and statements, lines and invoices, lines and vendors."""
+    return children.join(parents.withColumnRenamed("id", key), key, how)
+
+
 def resolve_vendors(names: DataFrame, vendors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(known, new): ``names`` (column name) with the vendor that has it but for case, and vendors to add
     for names that none has.  Of spellings that differ by case alone the smallest names the new vendor."""
@@ -71,14 +96,30 @@ class Catalog:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
-    def raw(self, name: str, but: str | None = None) -> DataFrame:
-        """A table as written, without the rows of batch ``but``."""
+    def batches(self) -> list[str]:
+        """The batches that are complete."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_batches")
+        store = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return sorted(f.getPath().getName() for f in store.listStatus(path)) if store.exists(path) else []
+
+    def commit(self, batch: str) -> None:
+        """Makes a batch visible."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_batches/{batch}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(path, True).close()
+
+    def uncommit(self, batch: str) -> None:
+        """Hides a batch, before it is written again."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_batches/{batch}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, False)
+
+    def raw(self, name: str, but: str | None = None, within: str | None = None) -> DataFrame:
+        """A table's complete batches, without batch ``but``, and with batch ``within`` though it is not complete."""
         schema = _DELETIONS if name == "deletions" else TABLES[name]
         path = f"{self.root}/{name}"
-        if not self._exists(path):
+        read = [b for b in {*self.batches(), *([within] if within else [])} if b != but and self._exists(f"{path}/batch={b}")]
+        if not read:
             return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(schema + ", batch string").parquet(path)
-        return (rows if but is None else rows.where(F.col("batch") != but)).drop("batch")
+        return self.spark.read.schema(schema).parquet(*[f"{path}/batch={b}" for b in sorted(read)])
 
     def table(self, name: str) -> DataFrame:
         if name != "documents":
@@ -119,6 +160,16 @@ class Catalog:
     def soft_delete(self, document_id: str, at) -> None:
         found = self.get_document(document_id).select(F.col("id").alias("document_id"), F.lit(at).cast("timestamp").alias("deleted_at"))
         self.append("deletions", found, f"delete-{document_id}")
+        self.commit(f"delete-{document_id}")
+
+    def soft_delete_all(self, documents: DataFrame, at, batch: str) -> None:
+        """Deletes many documents (column id) at once."""
+        live = self.table("documents").where("not is_deleted").join(documents.select("id").distinct(), "id", "left_semi")
+        self.append("deletions", live.select(F.col("id").alias("document_id"), F.lit(at).cast("timestamp").alias("deleted_at")), batch)
+        self.commit(batch)
+
+    def documents_with_results(self) -> DataFrame:
+        return with_results(self.table("documents").where("not is_deleted"), self.raw("bank_statements"), self.raw("invoices"))
 
     def statement_with_transactions(self) -> DataFrame:
         return nested(self.raw("bank_statements"), self.raw("bank_transactions").drop("id"), "bank_statement_id", "row_index", "transactions")
@@ -131,8 +182,10 @@ class Catalog:
     def ingest(self, files: DataFrame, batch: str, at, allow_reprocess: bool = False, uploaded_by: str = "system", texts: DataFrame | None = None) -> DataFrame:
         """Takes files (file_id, original_name, length, content, uploaded_at) in, and returns them with their
         document_id, status and error_code.  ``texts``: (file_id, text, tables, page_texts) of PDF files, from
-        whatever extractor is at hand; without it a PDF has no text.  Run again, a batch gives the same ids.
+        whatever extractor is at hand, and what else it says of them (any columns of ``EXTRACTED``); without it a PDF
+        has no text.  Run again, a batch gives the same ids.
         """
+        self.uncommit(batch)
         now = F.lit(at).cast("timestamp")
         before = self.table("documents").where(F.col("storage_path").isNull() | ~F.col("storage_path").contains(f"/batch={batch}/"))
         checked = validate(files, before, allow_reprocess, self.limits)
@@ -158,6 +211,7 @@ class Catalog:
             F.col("reprocess_of").isNotNull().alias("is_reprocess"), F.lit(False).alias("pdf_password_used"), F.lit(False).alias("ocr_used"), "scanned_pages", now.alias("created_at"), now.alias("updated_at"),
         )
         self.append("processing_jobs", jobs, batch)
+        self.commit(batch)
         ran = self.raw("processing_jobs").select(F.col("id").alias("job_id"), "status", "error_message")
         return checked.drop("content").join(ran, "job_id", "left").withColumn("error_code", F.coalesce("error_code", "error_message")).select("file_id", "original_name", F.when(F.col("status").isNotNull(), F.col("document_id")).alias("document_id"), "status", "error_code")
 
@@ -168,7 +222,12 @@ class Catalog:
         texts = plain.unionByName(books)
         grid_path = f"{self.root}/_grid/batch={batch}"
         Files.tokenise(texts).write.mode("overwrite").parquet(grid_path)  # Python runs once, whatever reads the grid
-        found = S.parse(self.spark.read.parquet(grid_path), texts, self.limits, self.rules)
+
+        def stage(rows: DataFrame) -> DataFrame:
+            rows.write.mode("overwrite").parquet(f"{self.root}/_rows/batch={batch}")
+            return self.spark.read.schema(rows.schema).parquet(f"{self.root}/_rows/batch={batch}")
+
+        found = S.parse(self.spark.read.parquet(grid_path), texts, self.limits, self.rules, stage=stage)
         ids = texts.select("file_id", "document_id", "job_id", make_id(F.lit("statement"), "job_id").alias("statement_id"))
         path = f"{self.root}/_statements/batch={batch}"
         found.statements.join(ids, "file_id").write.mode("overwrite").parquet(path)
@@ -186,15 +245,17 @@ class Catalog:
         if texts is None:
             texts = pdfs.select("file_id", F.lit("").alias("text"), F.expr(f"cast(array() as {I.TABLES})").alias("tables"), F.array(F.lit("")).alias("page_texts"))
         docs = pdfs.join(texts, "file_id").withColumn("scanned", scanned_pages(F.col("page_texts"), self.limits))
-        scanned = F.when(F.size("scanned") > 0, "OCR_FAILED").when(F.size("page_texts") > self.limits.max_pdf_pages, "PDF_TOO_MANY_PAGES")
-        docs = docs.withColumn("failure", scanned)
+        answers = {c.split()[0] for c in EXTRACTED.split(", ")} - {"file_id"}
+        given = docs.withColumns({c: F.lit(None).cast("string") for c in answers - set(docs.columns)})
+        given = given.withColumns({"opened": F.coalesce(F.col("opened").cast("boolean"), F.lit(True)), "page_count": F.coalesce(F.col("page_count").cast("int"), F.size("page_texts")), **{c: F.col(c).cast("boolean") for c in ("empty_fits", "password_given", "password_fits")}, "encryption": F.col("encryption").cast("int")})
+        docs = check_pdfs(given, self.limits).withColumn("failure", F.coalesce("error_code", F.when(F.size("scanned") > 0, "OCR_FAILED"))).drop("error_code", *answers)
         invoices, lines = I.parse(docs.where("failure is null").select("file_id", "text", "tables"), self.rules, self.limits)
         path = f"{self.root}/_invoices/batch={batch}"
         invoices.join(pdfs, "file_id").write.mode("overwrite").parquet(path)
         parsed = self.spark.read.parquet(path).withColumn("id", make_id(F.lit("invoice"), "job_id"))
         known, new = resolve_vendors(parsed.select(F.col("raw_vendor_name").alias("name")).distinct(), self.raw("vendors", batch))
         self.append("vendors", new.withColumns({"raw_names": F.array("canonical_name"), "created_at": now, "updated_at": now}), batch)
-        vendors = self.raw("vendors").groupBy(F.lower("canonical_name").alias("_key")).agg(F.min_by("id", "canonical_name").alias("vendor_id"))
+        vendors = self.raw("vendors", within=batch).groupBy(F.lower("canonical_name").alias("_key")).agg(F.min_by("id", "canonical_name").alias("vendor_id"))
         parsed = parsed.join(vendors, F.lower("raw_vendor_name") == F.col("_key"), "left")
         self.append("invoices", parsed.withColumns({"processing_job_id": F.col("job_id"), "invoice_index": F.lit(0), "extracted_at": now, "updated_at": now}), batch)
         owned = lines.join(parsed.select("file_id", F.col("id").alias("invoice_id")), "file_id")

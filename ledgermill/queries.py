@@ -11,7 +11,7 @@ from .config import ERROR_CODES, Limits
 from .functions.amounts import parse_amount, parse_balance, parse_split
 from .functions.classify import bank_format, transaction_type
 from .functions.dates import parse_date
-from .functions.text import clean_description, raw_description
+from .functions.text import clean_description, from_json_array, raw_description, to_json_array
 from .operators import invoices as I, quality, statements as S, validate as V
 from .plans import catalog as Cat, lenses as L
 from .sources import files as Files
@@ -148,6 +148,11 @@ def _grid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return files.select("file_id", "encoding"), Files.staged(Files.tokenise(files), "grid")
 
 
+def _parsed(spark: SparkSession, sf_dir: str) -> S.Statements:
+    files, grid = _grid(spark, sf_dir)
+    return S.parse(grid, files, stage=lambda rows: Files.staged(rows, "rows"))
+
+
 def _rows(spark: SparkSession, sf_dir: str, limits: Limits = config.LIMITS) -> DataFrame:
     _, grid = _grid(spark, sf_dir)
     return S.data_rows(grid, S.layouts(grid), limits.max_csv_rows)
@@ -196,15 +201,13 @@ def _(spark, sf_dir):
 @query("statement_summary", _LEDGER_SQL + """SELECT o_custkey::VARCHAR AS file_id, min(day) AS statement_from, max(day) AS statement_to, arg_min(balance, i) AS opening_balance, arg_max(balance, i) AS closing_balance,
   count(*) AS n_parsed, count(*) // 3 + 1 AS n_skipped, 'GENERIC_SPLIT' AS detected_format FROM l GROUP BY o_custkey""")
 def statement_summary(spark, sf_dir):
-    files, grid = _grid(spark, sf_dir)
-    done = S.parse(grid, files).statements
+    done = _parsed(spark, sf_dir).statements
     return done.select("file_id", "statement_from", "statement_to", "opening_balance", "closing_balance", F.col("total_rows_parsed").cast("long").alias("n_parsed"), F.col("total_rows_skipped").cast("long").alias("n_skipped"), "detected_format")
 
 
 @query("row_accounting", _LEDGER_SQL + "SELECT o_custkey::VARCHAR AS file_id, count(*) + count(*) // 3 + 1 AS n_rows, count(*) AS n_parsed, count(*) // 3 + 1 AS n_skipped, 0::BIGINT AS n_dropped FROM l GROUP BY o_custkey")
 def _(spark, sf_dir):
-    files, grid = _grid(spark, sf_dir)
-    rows = S.parse(grid, files).rows.groupBy("file_id")
+    rows = _parsed(spark, sf_dir).rows.groupBy("file_id")
     count = lambda f: F.count_if(F.col("fate") == f)
     return rows.agg(F.count(F.lit(1)).alias("n_rows"), count("parsed").alias("n_parsed"), count("skipped").alias("n_skipped"), count("dropped").alias("n_dropped"))
 
@@ -212,8 +215,7 @@ def _(spark, sf_dir):
 @query("warnings_rollup", _LEDGER_SQL + "SELECT o_custkey::VARCHAR AS file_id, count(*) FILTER (WHERE day(day) <= 12 AND day(day) <> month(day)) AS n_warnings, CASE WHEN count(*) FILTER (WHERE day(day) <= 12 AND day(day) <> month(day)) > 0 THEN 'partial' ELSE 'completed' END AS status, "
        "coalesce(string_agg('row_' || row_index, ',' ORDER BY row_index) FILTER (WHERE day(day) <= 12 AND day(day) <> month(day)), '') AS fields FROM l GROUP BY o_custkey")
 def _(spark, sf_dir):
-    files, grid = _grid(spark, sf_dir)
-    done = S.parse(grid, files).statements
+    done = _parsed(spark, sf_dir).statements
     fields = F.array_join(F.transform("warnings", lambda w: w["field"]), ",")
     return done.select("file_id", F.size("warnings").cast("long").alias("n_warnings"), S.job_status(F.col("error_code"), F.col("warnings")).alias("status"), fields.alias("fields"))
 
@@ -424,28 +426,29 @@ def _(spark, sf_dir):
 
 @query("document_job_join", "SELECT event_type AS status, count(*) AS n, count(DISTINCT d.doc_id) AS n_documents FROM documents d JOIN events e ON e.user_id = d.doc_id GROUP BY 1")
 def _(spark, sf_dir):
-    joined = _documents(spark, sf_dir).select(F.col("id").alias("document_id")).join(_jobs(spark, sf_dir), "document_id")
+    joined = Cat.with_jobs(_documents(spark, sf_dir).select("id"), _jobs(spark, sf_dir).drop("id"))
     return joined.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("document_id").alias("n_documents"))
 
 
 @query("statement_transactions_join", "SELECT c_mktsegment AS segment, count(*) AS n, sum(o_totalprice::DECIMAL(18,2))::DECIMAL(18,4) AS amount FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1")
 def _(spark, sf_dir):
-    statements = L.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("segment"))
-    joined = L.ledger(spark, sf_dir).select("o_custkey", "amount").join(statements, "o_custkey")
+    statements = L.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"))
+    joined = Cat.with_parent(L.ledger(spark, sf_dir).select(F.col("o_custkey").alias("bank_statement_id"), "amount"), statements, "bank_statement_id")
     return joined.groupBy("segment").agg(F.count(F.lit(1)).alias("n"), _dec(F.sum("amount")).alias("amount"))
 
 
 @query("invoice_lines_join", "SELECT o_orderpriority AS priority, count(*) AS n_lines, count(DISTINCT o_orderkey) AS n_invoices, sum(l_extendedprice::DECIMAL(18,2))::DECIMAL(18,4) AS total FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
 def _(spark, sf_dir):
-    invoices = L.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("priority"))
-    joined = L.table(spark, sf_dir, "lineitem").select("l_orderkey", L.money("l_extendedprice").alias("v")).join(invoices, "l_orderkey")
-    return joined.groupBy("priority").agg(F.count(F.lit(1)).alias("n_lines"), F.count_distinct("l_orderkey").alias("n_invoices"), _dec(F.sum("v")).alias("total"))
+    invoices = L.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("priority"))
+    joined = Cat.with_parent(L.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("invoice_id"), L.money("l_extendedprice").alias("v")), invoices, "invoice_id")
+    return joined.groupBy("priority").agg(F.count(F.lit(1)).alias("n_lines"), F.count_distinct("invoice_id").alias("n_invoices"), _dec(F.sum("v")).alias("total"))
 
 
 @query("invoice_vendor_left", "SELECT s_name AS vendor, count(*) AS n FROM lineitem LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 10 <> 0) ON l_suppkey = s_suppkey GROUP BY 1")
 def _(spark, sf_dir):
-    vendors = L.table(spark, sf_dir, "supplier").where("s_suppkey % 10 <> 0").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("vendor"))
-    return L.table(spark, sf_dir, "lineitem").select("l_suppkey").groupBy("l_suppkey").count().join(vendors, "l_suppkey", "left").groupBy("vendor").agg(F.sum("count").alias("n"))
+    vendors = L.table(spark, sf_dir, "supplier").where("s_suppkey % 10 <> 0").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("vendor"))
+    lines = L.table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("vendor_id")).count()
+    return Cat.with_parent(lines, vendors, "vendor_id", "left").groupBy("vendor").agg(F.sum("count").alias("n"))
 
 
 @query("orphan_check", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
@@ -545,7 +548,7 @@ def _(spark, sf_dir):
 
 @query("invoice_reconcile", _INVOICE_SQL + "SELECT k::VARCHAR AS file_id, n AS n_lines, lines_sum, (CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END)::BIGINT AS n_notes FROM i")
 def _(spark, sf_dir):
-    docs = L.invoice_docs(spark, sf_dir)
+    docs = Files.staged(L.invoice_docs(spark, sf_dir).select("file_id", "text", "tables"), "invoices")
     invoices, lines = I.fields(docs.select("file_id", "text")), I.table_lines(docs.select("file_id", "tables"))
     found = I.reconcile(invoices, I.line_totals(lines))
     return found.select("file_id", F.col("n_lines").cast("long").alias("n_lines"), "lines_sum", F.size("reconciliation").cast("long").alias("n_notes"))
@@ -553,5 +556,87 @@ def _(spark, sf_dir):
 
 @query("invoice_parse", _INVOICE_SQL + "SELECT k::VARCHAR AS file_id, CASE WHEN k % 7 = 0 OR k % 5 = 0 THEN 'partial' ELSE 'completed' END AS status, n AS n_lines FROM i")
 def _(spark, sf_dir):
-    found, _ = I.parse(L.invoice_docs(spark, sf_dir).select("file_id", "text", "tables"))
+    found, _ = I.parse(Files.staged(L.invoice_docs(spark, sf_dir).select("file_id", "text", "tables"), "invoices"))
     return found.select("file_id", S.job_status(F.col("error_code"), F.col("warnings")).alias("status"), F.col("n_lines").cast("long").alias("n_lines"))
+
+
+# --- results beside documents, page counts, extractors' answers, arrays as text
+
+@query("document_results_join", """SELECT doc_id::VARCHAR AS id, CASE WHEN doc_id % 2 = 1 THEN c_custkey::VARCHAR END AS statement_id, CASE WHEN doc_id % 2 = 0 THEN s_suppkey::VARCHAR END AS invoice_id,
+  CASE WHEN doc_id % 2 = 1 AND c_custkey IS NOT NULL THEN 'EUR' WHEN doc_id % 2 = 0 AND s_suppkey IS NOT NULL THEN 'USD' END AS currency
+  FROM documents LEFT JOIN customer ON c_custkey = doc_id LEFT JOIN supplier ON s_suppkey = doc_id""")
+def _(spark, sf_dir):
+    of = lambda t, key, odd, currency: L.table(spark, sf_dir, t).where(F.col(key) % 2 == odd).select(F.col(key).cast("string").alias("id"), F.col(key).cast("string").alias("document_id"), F.lit(currency).alias("currency"))
+    found = Cat.with_results(_documents(spark, sf_dir).select("id"), of("customer", "c_custkey", 1, "EUR"), of("supplier", "s_suppkey", 0, "USD"))
+    return found.select("id", "statement_id", "invoice_id", "currency")
+
+
+@query("page_count", f"WITH d AS ({_DOCS}), p AS (SELECT * FROM (VALUES (0), (80), (1000000)) AS p(skip)), n AS (SELECT count(*) AS n FROM d WHERE NOT gone) SELECT skip::BIGINT AS skipped, greatest(0, least(100, n - skip))::BIGINT AS count FROM p, n")
+def _(spark, sf_dir):
+    live = _documents(spark, sf_dir).where("not is_deleted")
+    counts = [Cat.page_count(live, 100, skip).select(F.lit(skip).cast("long").alias("skipped"), "count") for skip in (0, 80, 1_000_000)]
+    return counts[0].union(counts[1]).union(counts[2])
+
+
+@query("pdf_checks", """SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN 'PDF_CORRUPTED' WHEN p_partkey % 3 = 0 AND p_partkey % 5 <> 0 AND p_partkey % 2 = 0 THEN 'PDF_PASSWORD_REQUIRED'
+  WHEN p_partkey % 3 = 0 AND p_partkey % 5 <> 0 AND p_partkey % 7 <> 0 THEN 'PDF_WRONG_PASSWORD' WHEN p_size::INT * 5 > 200 THEN 'PDF_TOO_MANY_PAGES' END AS error_code,
+  CASE WHEN p_partkey % 3 = 0 THEN (['V=0', 'RC4-40', 'RC4-128', 'V=3', 'AES-128', 'AES-256'])[p_partkey % 6 + 1] END AS encryption,
+  p_partkey % 11 <> 0 AND p_partkey % 3 = 0 AND p_partkey % 5 <> 0 AND p_partkey % 2 = 1 AND p_partkey % 7 = 0 AS password_used FROM part""")
+def _(spark, sf_dir):
+    key = F.col("p_partkey")
+    answers = L.table(spark, sf_dir, "part").select(
+        key, key.cast("string").alias("file_id"), (key % 11 != 0).alias("opened"), F.when(key % 3 == 0, (key % 6).cast("int")).alias("encryption"), (key % 5 == 0).alias("empty_fits"),
+        (key % 2 == 1).alias("password_given"), (key % 7 == 0).alias("password_fits"), (F.col("p_size").cast("int") * 5).alias("page_count"),
+    )
+    return V.check_pdfs(answers).select("p_partkey", "error_code", F.col("pdf_encryption_type").alias("encryption"), F.col("pdf_password_used").alias("password_used"))
+
+
+@query("json_arrays", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN NULL ELSE replace(p_name, ' ', '|') END AS words, p_partkey % 4 IN (0, 2) AS missing FROM part")
+def _(spark, sf_dir):
+    key = F.col("p_partkey") % 4
+    words = F.split("p_name", " ")
+    stored = F.when(key == 1, "[broken").when(key == 2, "null").when(key == 3, to_json_array(words))
+    back = from_json_array(stored)
+    return L.table(spark, sf_dir, "part").select("p_partkey", F.array_join(back, "|").alias("words"), back.isNull().alias("missing"))
+
+
+# --- the catalog: ingest, reprocessing, deletion
+
+def _catalog(spark: SparkSession, sf_dir: str) -> tuple[Cat.Catalog, DataFrame]:
+    """An empty catalog, and the statement files as raw bytes."""
+    texts = L.statement_files(spark, sf_dir)
+    files = texts.select("file_id", F.concat("file_id", F.lit(".csv")).alias("original_name"), F.octet_length(F.encode("text", "UTF-8")).cast("long").alias("length"), F.encode("text", "UTF-8").alias("content"), F.lit("2026-01-01").cast("timestamp").alias("uploaded_at"))
+    return Cat.Catalog(spark, Files.shared_folder(spark, "catalog")), Files.staged(files, "files")
+
+
+@query("catalog_ingest", _LEDGER_SQL + "SELECT o_custkey::VARCHAR AS file_id, CASE WHEN count(*) FILTER (WHERE day(day) <= 12 AND day(day) <> month(day)) > 0 THEN 'partial' ELSE 'completed' END AS status, count(*) AS n_transactions, sum(amount)::DECIMAL(18,4) AS amount FROM l GROUP BY o_custkey")
+def _(spark, sf_dir):
+    catalog, files = _catalog(spark, sf_dir)
+    taken = catalog.ingest(files, "first", "2026-01-02")
+    statements = Cat.with_parent(catalog.raw("bank_transactions").select("bank_statement_id", "amount"), catalog.raw("bank_statements").select("id", "document_id"), "bank_statement_id")
+    sums = statements.groupBy("document_id").agg(F.count(F.lit(1)).alias("n_transactions"), _dec(F.sum("amount")).alias("amount"))
+    return taken.where("error_code is null").join(sums, "document_id").select("file_id", "status", "n_transactions", "amount")
+
+
+@query("catalog_reprocess", "SELECT o_custkey::VARCHAR || '.csv' AS original_name, 2::BIGINT AS n_jobs, TRUE AS reprocessed, 1::BIGINT AS n_duplicates FROM orders GROUP BY o_custkey")
+def _(spark, sf_dir):
+    catalog, files = _catalog(spark, sf_dir)
+    catalog.ingest(files, "first", "2026-01-02")
+    refused = catalog.ingest(files, "second", "2026-01-03").where("error_code = 'DUPLICATE_FILE'").groupBy("original_name").agg(F.count(F.lit(1)).alias("n_duplicates"))
+    catalog.ingest(files, "third", "2026-01-04", allow_reprocess=True)
+    jobs = catalog.raw("processing_jobs")
+    latest = Cat.latest_jobs(jobs).select("document_id", F.col("is_reprocess").alias("reprocessed"))
+    counted = jobs.groupBy("document_id").agg(F.count(F.lit(1)).alias("n_jobs")).join(latest, "document_id")
+    documents = catalog.table("documents").select(F.col("id").alias("document_id"), "original_name")
+    return documents.join(counted, "document_id").join(refused, "original_name").select("original_name", "n_jobs", "reprocessed", "n_duplicates")
+
+
+@query("catalog_soft_delete", "SELECT o_custkey::VARCHAR || '.csv' AS original_name, o_custkey % 4 = 0 AS taken_again FROM orders WHERE o_custkey % 3 <> 0 OR o_custkey % 4 = 0 GROUP BY o_custkey")
+def _(spark, sf_dir):
+    catalog, files = _catalog(spark, sf_dir)
+    catalog.ingest(files, "first", "2026-01-02")
+    name = F.split_part("original_name", F.lit("."), F.lit(1)).cast("long")
+    catalog.soft_delete_all(catalog.table("documents").where((name % 3 == 0) | (name % 4 == 0)), "2026-01-03", "gone")
+    catalog.ingest(files.where(name % 4 == 0), "second", "2026-01-04")
+    live = catalog.table("documents").where("not is_deleted")
+    return live.select("original_name", F.contains("storage_path", F.lit("batch=second")).alias("taken_again"))

@@ -22,10 +22,13 @@ BATCH = 4096
 
 
 def scan(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
-    """Files with ``file_id``, ``original_name``, ``length`` and ``content``.  A size limit reaches the scan:
-    what is over it is never read."""
+    """Files with ``file_id``, ``original_name``, ``length`` and ``content``.  A size limit reaches the scan: of
+    what is over it the content is null, and never read."""
     found = spark.read.format("binaryFile").load(path)
-    return named(found if max_bytes is None else found.where(F.col("length") <= max_bytes))
+    if max_bytes is None:
+        return named(found)
+    small, large = found.where(F.col("length") <= max_bytes), found.where(F.col("length") > max_bytes)
+    return named(small).unionByName(named(large.select("path", "modificationTime", "length").withColumn("content", F.lit(None).cast("binary"))))
 
 
 def named(files: DataFrame) -> DataFrame:
@@ -50,12 +53,21 @@ def decoded(content: Column) -> Column:
     return F.struct(as_text.alias("text"), encoding.alias("encoding"))
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's name where all executors see it.  Only a local session may go without
+    ``spark.checkpoint.dir``: on a cluster a temporary folder is another one on every machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.conf.get("spark.master", "").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="ledgermill-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """The rows written to the folder that the cluster shares and read again, so that a Python step runs once
     whatever reads it, and a lost executor costs a re-read."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledgermill-")
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
