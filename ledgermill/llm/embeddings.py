@@ -1,16 +1,21 @@
 """Embedding near-duplicates by PCA-ordered tiled comparison.
 
-Vectors are scaled to length one and rotated to their principal axes, so that leading dimensions carry most
-of every product.  Two tiles are compared in steps: boxes of the leading coordinates and the norms of what
-follows bound the tiles' best cosine, and the pair of tiles is left if that cannot reach the threshold; then
-the leading products are accumulated, the rest of each product is bounded by the suffix norms, and only pairs
-that can still reach the threshold are finished.  The bounds are exact (Cauchy-Schwarz), so no link is lost;
-pairs within 1e-9 of the threshold are decided by the unrotated vectors in double precision.
-
-Copies of a vector are one row with a multiplicity.  Blocks of about ``BLOCK`` rows are the unit of work: a
-pair of blocks is a task's input of bounded size, and it returns for each row the number of its links and a
-spanning forest, never the pairs.  Comparing all with all is quadratic in the number of distinct vectors but
-for what the boxes prune; more executors shorten it, as every pair of blocks is a group of its own.
+Vectors are scaled to length one and rotated to their principal axes, so that leading dimensions carry most of
+every product.  Two tiles are compared in steps: boxes of the leading coordinates and the norms of what follows bound
+the tiles' best cosine, and the pair of tiles is left if that cannot reach the threshold; then products are
+accumulated over ``LEAD`` dimensions, twice as many, and so on, after each step what is left of each product is bounded
+by the suffix norms, and the tiles are left as soon as no pair can reach the threshold; once few pairs still can, only
+these are finished.  The bounds are exact (Cauchy-Schwarz), so no link is lost; pairs within 1e-9 of the threshold are
+decided by the unrotated vectors in double precision.
+
+Copies of a vector are one row with a multiplicity.  Vectors are dealt into blocks of ``BLOCK`` rows, twice that at
+most, and each block is written once to the folder that the cluster shares.  A pair of blocks is a unit of work: its
+task opens the two files, whatever their number, and returns for each row the number of its links and a spanning forest,
+never the pairs.  Comparing all with all is quadratic in the number of distinct vectors but for what the boxes prune;
+more executors shorten it, as pairs of blocks are dealt out over all of them.
+
+The axes and the tree that deals vectors into blocks are fitted on a sample of ``SAMPLE`` vectors.  They shape what
+the comparison costs, never what it finds.
 
 Defined results: a vector that is null, empty or zero, or holds a null or non-finite component, links with
 nothing and is kept; vectors of different lengths do not link; a null vec_id takes part but never names a
@@ -19,6 +24,7 @@ component; repeated rows are vectors of their own; an empty table gives an empty
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,17 +32,17 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Scratch, ship
+from .common import Scratch, opened, ship
 from .components import connected
 
 BLOCK = 4096
 TILE = 512
-#: Leading dimensions of the first step.
+#: Leading dimensions of the first step, and of the boxes.
 LEAD = 16
-#: Most blocks; beyond BLOCK * MAX_BLOCKS vectors blocks grow, so the table of boxes stays small.
-MAX_BLOCKS = 1 << 15
-#: Vectors of the sample on which the order of blocks is fitted.  It shapes cost only, never results.
+#: Vectors of the sample on which axes and tree are fitted.
 SAMPLE = 20_000
+#: Leaves of the tree at most, so the boxes stay small; a leaf is dealt into as many blocks as it needs.
+MAX_LEAVES = 1 << 13
 
 
 def valid(v: Column) -> Column:
@@ -54,23 +60,9 @@ def _flat(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten())
 
 
-def principal_axes(vectors: DataFrame, d: int) -> np.ndarray:
-    """Rows are the axes, the strongest first; from the second moments of all unit vectors."""
-
-    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((d, d))
-        for batch in batches:
-            x = _unit(_flat(batch.column(0)), d)
-            total += x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array(range(d)), pa.array(list(total), pa.list_(pa.float64()))], names=["i", "row"])
-
-    def add(g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"i": [g["i"].iloc[0]], "row": [np.sum(np.stack(list(g["row"])), 0)]})
-
-    parts = vectors.select("v").mapInArrow(moments, "i long, row array<double>")
-    found = parts.groupBy("i").applyInPandas(add, "i long, row array<double>").collect()
-    matrix = np.array([r["row"] for r in sorted(found, key=lambda r: r["i"])])
-    return np.linalg.eigh(matrix)[1][:, ::-1].T.copy()
+def principal_axes(x: np.ndarray) -> np.ndarray:
+    """Rows are the axes of unit vectors, the strongest first."""
+    return np.linalg.eigh(x.T @ x)[1][:, ::-1].T.copy()
 
 
 def _splits(sample: np.ndarray, parts: int) -> list:
@@ -115,8 +107,12 @@ class _Tiles:
         y = x @ axes.T
         order = np.lexsort((ids, y[:, 1 % y.shape[1]], y[:, 0]))
         self.ids, self.mult, self.x, self.y = ids[order], mult[order], x[order], y[order]
-        self.k = min(LEAD, y.shape[1])
-        self.suffix = np.sqrt(np.maximum(0, 1 - (self.y[:, : self.k] ** 2).sum(1))) + 1e-12
+        d = y.shape[1]
+        self.k = min(LEAD, d)
+        self.steps = [*[k for k in (LEAD << i for i in range(d.bit_length())) if k < d], d]
+        left = 1 - np.cumsum(self.y**2, 1)[:, [k - 1 for k in self.steps]]
+        self.suffixes = np.sqrt(np.maximum(0, left)) + 1e-12  # a column for each step
+        self.suffix = self.suffixes[:, 0]
         self.cuts = [(s, min(s + TILE, len(ids))) for s in range(0, len(ids), TILE)]
         self.boxes = [(self.y[s:e, : self.k].min(0), self.y[s:e, : self.k].max(0), self.suffix[s:e].max()) for s, e in self.cuts]
 
@@ -130,22 +126,23 @@ def _reach(p: tuple, q: tuple) -> float:
 
 
 def _near(p: _Tiles, s: tuple[int, int], q: _Tiles, t: tuple[int, int], threshold: float) -> np.ndarray | None:
-    a, b, k = p.y[s[0] : s[1]], q.y[t[0] : t[1]], p.k
-    part = a[:, :k] @ b[:, :k].T
-    can = part + p.suffix[s[0] : s[1], None] * q.suffix[None, t[0] : t[1]] >= threshold - 1e-9
-    if not can.any():
-        return None
-    if can.mean() > 0.1:
-        cos = part + a[:, k:] @ b[:, k:].T
-        cos[~can] = -1
-    else:
-        cos = np.full(part.shape, -1.0)
-        i, j = np.nonzero(can)
+    a, b = p.y[s[0] : s[1]], q.y[t[0] : t[1]]
+    cos, done = np.zeros((len(a), len(b))), 0
+    for n, k in enumerate(p.steps):
+        cos += a[:, done:k] @ b[:, done:k].T
+        done = k
+        can = cos + p.suffixes[s[0] : s[1], n, None] * q.suffixes[None, t[0] : t[1], n] >= threshold - 1e-9
+        if not can.any():
+            return None
+        if can.mean() < 0.1:
+            break
+    i, j = np.nonzero(can)
+    if done < a.shape[1]:
         for c in range(0, len(i), 1 << 16):
             ii, jj = i[c : c + (1 << 16)], j[c : c + (1 << 16)]
-            cos[ii, jj] = part[ii, jj] + np.einsum("nd,nd->n", a[ii, k:], b[jj, k:])
-    near = cos >= threshold
-    i, j = np.nonzero(np.abs(cos - threshold) < 1e-9)
+            cos[ii, jj] += np.einsum("nd,nd->n", a[ii, done:], b[jj, done:])
+    near = can & (cos >= threshold)
+    i, j = np.nonzero(can & (np.abs(cos - threshold) < 1e-9))
     if len(i):
         near[i, j] = np.einsum("nd,nd->n", p.x[s[0] + i], q.x[t[0] + j]) >= threshold
     return near if near.any() else None
@@ -176,12 +173,10 @@ def _compare(p: _Tiles, q: _Tiles, same: bool, threshold: float) -> tuple[dict,
 def _links(reps: DataFrame, d: int, threshold: float, scratch: Scratch) -> DataFrame:
     """kind c: (a, n), n links of representative a; kind e: an edge (a, n) between representatives."""
     reps = reps.where(F.size("v") == d)
-    total = reps.count()
-    axes = principal_axes(reps, d)
-    k = min(LEAD, d)
-    leaves = min(MAX_BLOCKS, 1 << max(0, (-(-total // BLOCK) - 1).bit_length()))
-    sample = reps.orderBy(F.xxhash64("rep")).limit(SAMPLE).select("v").toArrow().column(0).combine_chunks()
-    tree = _splits(_unit(_flat(sample), d) @ axes[:k].T, leaves)
+    total, k = reps.count(), min(LEAD, d)
+    sample = _unit(_flat(reps.orderBy(F.xxhash64("rep")).limit(SAMPLE).select("v").toArrow().column(0).combine_chunks()), d)
+    axes = principal_axes(sample)
+    tree = _splits(sample @ axes[:k].T, min(MAX_LEAVES, 1 << max(0, (-(-total // BLOCK) - 1).bit_length())))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,65 +185,83 @@ def _links(reps: DataFrame, d: int, threshold: float, scratch: Scratch) -> DataF
 
     ship(reps.sparkSession)
     placed = scratch.cut(reps.select("rep", "m", "v").mapInArrow(assign, f"rep long, m long, v {reps.schema['v'].dataType.simpleString()}, leaf long, y array<double>"))
-    # A leaf that the sample made too small is dealt into blocks of bounded size by a hash.
-    sizes = placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("c")).toPandas()
-    per = max(BLOCK, -(-total // MAX_BLOCKS))
-    parts = {int(r.leaf): -(-int(r.c) // (2 * per)) for r in sizes.itertuples()}
-    split = F.create_map(*[F.lit(x).cast("long") for kv in parts.items() if kv[1] > 1 for x in kv] or [F.lit(-1).cast("long"), F.lit(1).cast("long")])
-    sub = F.pmod(F.xxhash64("rep"), F.coalesce(F.try_element_at(split, F.col("leaf")), F.lit(1).cast("long")))
-    blocked = placed.withColumn("block", F.col("leaf") * F.lit(1 << 20).cast("long") + sub)
     lead = [F.element_at("y", i + 1) for i in range(k)]
     norm = F.sqrt(F.greatest(F.lit(0.0), 1 - F.aggregate("y", F.lit(0.0), lambda t, x: t + x * x)))
-    boxes = blocked.groupBy("block").agg(F.array(*[F.min(c) for c in lead]).alias("lo"), F.array(*[F.max(c) for c in lead]).alias("hi"), F.max(norm).alias("s")).orderBy("block").toPandas()
-    names = boxes["block"].to_numpy(np.int64)
-    lo, hi, suffix = np.array(boxes["lo"].tolist()), np.array(boxes["hi"].tolist()), boxes["s"].to_numpy() + 1e-12
+    leaves = placed.groupBy("leaf").agg(
+        F.count(F.lit(1)).alias("c"), F.array(*[F.min(c) for c in lead]).alias("lo"), F.array(*[F.max(c) for c in lead]).alias("hi"), F.max(norm).alias("s")
+    ).withColumn("parts", F.ceil(F.col("c") / BLOCK)).orderBy("leaf").toPandas()
+    names, parts = leaves["leaf"].to_numpy(np.int64), leaves["parts"].to_numpy(np.int64)
+    lo, hi, suffix = np.array(leaves["lo"].tolist()), np.array(leaves["hi"].tolist()), leaves["s"].to_numpy() + 1e-12
 
     def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of leaves whose boxes can reach the threshold, with the numbers of their blocks."""
         for batch in batches:
             for i in batch.column(0).to_pylist():
                 gap = np.maximum(0, np.maximum(lo[i] - hi, lo - hi[i]))
                 corners = np.max([lo[i] * lo, lo[i] * hi, hi[i] * lo, hi[i] * hi], 0).sum(1) + suffix[i] * suffix
                 fits = np.flatnonzero(np.minimum(1 - (gap * gap).sum(1) / 2, corners) >= threshold - 1e-9)
                 fits = fits[fits >= i]
-                one = lambda own: [pa.array(own, pa.int64()), pa.array(np.full(len(fits), names[i])), pa.array(names[fits])]  # noqa: B023,E731
-                yield pa.RecordBatch.from_arrays(one(np.full(len(fits), names[i])), names=["block", "p", "q"])
-                off = fits[fits != i]
-                yield pa.RecordBatch.from_arrays([pa.array(names[off]), pa.array(np.full(len(off), names[i])), pa.array(names[off])], names=["block", "p", "q"])
-
-    spark = reps.sparkSession
-    pairs = spark.range(0, len(names), 1, max(1, min(len(names), 200))).mapInArrow(partners, "block long, p long, q long")
-    dealt = blocked.select("rep", "m", "v", "block").join(pairs, "block").repartition("p", "q").sortWithinPartitions("p", "q", "block")
+                columns = np.full(len(fits), names[i]), names[fits], np.full(len(fits), parts[i]), parts[fits]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["p", "q", "np", "nq"])
+
+    spark, root = reps.sparkSession, f"{scratch.root}/blocks-{d}"
+    number = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    pairs = spark.range(0, len(names), 1, max(1, min(len(names), 200))).mapInArrow(partners, "p long, q long, np long, nq long")
+    pairs = pairs.withColumn("i", number("np")).withColumn("j", number("nq")).where("p < q or i <= j")
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One file for each block; a task that runs again writes others, and only what it returns is read."""
+        at, folder = opened(root)
+        at.create_dir(folder, recursive=True)
+
+        def written(key: tuple, held: list) -> pa.RecordBatch:
+            name = f"{key[0]}-{key[1]}-{uuid.uuid4().hex}.arrow"
+            with at.open_output_stream(f"{folder}/{name}") as out, pa.ipc.new_file(out, held[0].schema) as writer:
+                for x in held:
+                    writer.write_batch(x)
+            return pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([key[1]]), pa.array([f"{root}/{name}"])], names=["leaf", "part", "path"])
+
+        now, held = None, []
+        for batch in batches:
+            leaf, part = np.asarray(batch.column(3)), np.asarray(batch.column(4))
+            cuts = [0, *(np.flatnonzero((np.diff(leaf) != 0) | (np.diff(part) != 0)) + 1).tolist(), len(batch)]
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                if s == e:
+                    continue
+                if held and now != (int(leaf[s]), int(part[s])):
+                    yield written(now, held)
+                    held = []
+                now = int(leaf[s]), int(part[s])
+                held.append(batch.slice(s, e - s).select(["rep", "m", "v"]))
+        if held:
+            yield written(now, held)
+
+    sizes = spark.createDataFrame(pd.DataFrame({"leaf": names, "parts": parts}))  # MAX_LEAVES rows at most
+    part = F.pmod(F.xxhash64("rep"), F.col("parts")).alias("part")
+    dealt = placed.drop("y").join(F.broadcast(sizes), "leaf").select("rep", "m", "v", "leaf", part).repartition("leaf", "part").sortWithinPartitions("leaf", "part")
+    files = scratch.cut(dealt.mapInArrow(store, "leaf long, part long, path string"))
+    of = lambda leaf, part, name: files.select(F.col("leaf").alias(leaf), F.col("part").alias(part), F.col("path").alias(name))
+    work = pairs.join(of("p", "i", "first"), ["p", "i"]).join(of("q", "j", "second"), ["q", "j"]).select("first", "second")
+
+    def tiles(path: str) -> _Tiles:
+        at, name = opened(path)
+        with at.open_input_file(name) as f:
+            t = pa.ipc.open_file(f).read_all()
+        return _Tiles(t.column("rep").to_numpy(), t.column("m").to_numpy(), _unit(_flat(t.column("v").combine_chunks()), d), axes)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def groups() -> Iterator[tuple[int, int, list]]:
-            now, held = None, []
-            for batch in batches:
-                p, q = np.asarray(batch.column(4)), np.asarray(batch.column(5))
-                cuts = [0, *(np.flatnonzero((np.diff(p) != 0) | (np.diff(q) != 0)) + 1).tolist(), len(p)]
-                for s, e in zip(cuts, cuts[1:], strict=False):
-                    if s == e:
-                        continue
-                    if now not in (None, (p[s], q[s])):
-                        yield *now, held
-                        held = []
-                    now = (p[s], q[s])
-                    held.append(batch.slice(s, e - s))
-            if held:
-                yield *now, held
-
-        for p, q, held in groups():
-            t = pa.Table.from_batches(held)
-            ids, mult, block = (t.column(c).to_numpy() for c in ("rep", "m", "block"))
-            x = _unit(_flat(t.column("v").combine_chunks()), d)
-            first = _Tiles(ids[block == p], mult[block == p], x[block == p], axes)
-            second = first if p == q else _Tiles(ids[block == q], mult[block == q], x[block == q], axes)
-            counts, edges = _compare(first, second, p == q, threshold)
-            a = np.concatenate([np.fromiter(counts, np.int64, len(counts)), *[e[0] for e in edges]])
-            b = np.concatenate([np.fromiter(counts.values(), np.int64, len(counts)), *[e[1] for e in edges]])
-            kind = ["c"] * len(counts) + ["e"] * (len(a) - len(counts))
-            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(a), pa.array(b)], names=["kind", "a", "n"])
-
-    return dealt.mapInArrow(compare, "kind string, a long, n long")
+        held = "", None
+        for batch in batches:
+            for p, q in zip(*[batch.column(c).to_pylist() for c in (0, 1)], strict=True):
+                held = held if held[0] == p else (p, tiles(p))
+                first = held[1]
+                counts, edges = _compare(first, first if p == q else tiles(q), p == q, threshold)
+                a = np.concatenate([np.fromiter(counts, np.int64, len(counts)), *[e[0] for e in edges]])
+                b = np.concatenate([np.fromiter(counts.values(), np.int64, len(counts)), *[e[1] for e in edges]])
+                kind = ["c"] * len(counts) + ["e"] * (len(a) - len(counts))
+                yield pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(a), pa.array(b)], names=["kind", "a", "n"])
+
+    return work.repartition("first", "second").sortWithinPartitions("first").mapInArrow(compare, "kind string, a long, n long")
 
 
 def groups(df: DataFrame, threshold: float = 0.95, vec_id: str = "vec_id", vector: str = "embedding", name: str = "embeddings") -> DataFrame:
