@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import csv
+import datetime as dt
 import io
+import re
 import tempfile
 import uuid
 import zipfile
@@ -150,15 +152,56 @@ def tokenise(files: DataFrame) -> DataFrame:
     return files.select("file_id", "text").mapInArrow(run, GRID)
 
 
+_SPACE = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+#: Numbers of built-in cell formats that show dates or times.
+_DATE_FORMATS = frozenset({*range(14, 23), *range(45, 48)})
+
+
+def _part(z: zipfile.ZipFile, name: str) -> ElementTree.Element:
+    return ElementTree.fromstring(z.read(name)) if name in z.namelist() else ElementTree.Element("none")
+
+
+def _active_sheet(z: zipfile.ZipFile) -> str | None:
+    """The part that holds the active sheet: the first one if the workbook names none."""
+    sheets = sorted((n for n in z.namelist() if re.fullmatch(r"xl/worksheets/[^/]+\.xml", n)), key=lambda n: [int(x) for x in re.findall("[0-9]+", n)] or [0])
+    book = _part(z, "xl/workbook.xml")
+    view, listed = book.find(f".//{_SPACE}workbookView"), book.findall(f".//{_SPACE}sheet")
+    at = int(view.get("activeTab", 0)) if view is not None else 0
+    if at < len(listed):
+        wanted = next((v for k, v in listed[at].attrib.items() if k.endswith("}id")), None)
+        for r in _part(z, "xl/_rels/workbook.xml.rels"):
+            if r.get("Id") == wanted:
+                name = r.get("Target", "")
+                return name.lstrip("/") if name.startswith("/") else f"xl/{name}"
+    return sheets[at] if at < len(sheets) else sheets[0] if sheets else None
+
+
+def _date_styles(z: zipfile.ZipFile) -> set[int]:
+    """Numbers of the cell styles that show dates."""
+    styles = _part(z, "xl/styles.xml")
+    own = {int(f.get("numFmtId", 0)): re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", f.get("formatCode", "")) for f in styles.iter(f"{_SPACE}numFmt")}
+    cells = styles.find(f"{_SPACE}cellXfs")
+    numbers = [int(x.get("numFmtId", 0)) for x in cells] if cells is not None else []
+    return {i for i, n in enumerate(numbers) if n in _DATE_FORMATS or re.search("[dmyhs]", own.get(n, ""), re.IGNORECASE)}
+
+
+def _as_date(serial: str, from_1904: bool) -> str:
+    """A serial number as a date with its time; text that is no number stays."""
+    try:
+        days = float(serial)
+        return str((dt.datetime(1904, 1, 1) if from_1904 else dt.datetime(1899, 12, 30)) + dt.timedelta(seconds=round(days * 86400)))
+    except (ValueError, OverflowError):
+        return serial
+
+
 def _xlsx_rows(content: bytes) -> list[list[str]]:
-    """Cells of a workbook's first sheet as text."""
-    space = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+    """Cells of a workbook's active sheet as text; cells with a date's format are dates."""
+    space = _SPACE
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        names = z.namelist()
-        strings = []
-        if "xl/sharedStrings.xml" in names:
-            strings = ["".join(t.text or "" for t in si.iter(f"{space}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{space}si")]
-        sheet = next((n for n in sorted(names) if n.startswith("xl/worksheets/sheet")), None)
+        strings = ["".join(t.text or "" for t in si.iter(f"{space}t")) for si in _part(z, "xl/sharedStrings.xml").iter(f"{space}si")]
+        sheet, dates = _active_sheet(z), _date_styles(z)
+        settings = _part(z, "xl/workbook.xml").find(f"{space}workbookPr")
+        from_1904 = settings is not None and settings.get("date1904") in ("1", "true")
         root = ElementTree.fromstring(z.read(sheet)) if sheet else ElementTree.Element("none")
     rows: list[list[str]] = []
     for row in root.iter(f"{space}row"):
@@ -172,13 +215,15 @@ def _xlsx_rows(content: bytes) -> list[list[str]]:
             cells += [""] * (max(at, 1) - 1 - len(cells))
             kind, value = c.get("t"), c.find(f"{space}v")
             text = "".join(t.text or "" for t in c.iter(f"{space}t")) if kind == "inlineStr" else (value.text or "") if value is not None else ""
+            if kind in (None, "n") and text and int(c.get("s", 0)) in dates:
+                text = _as_date(text, from_1904)
             cells.append(strings[int(text)] if kind == "s" and text else {"1": "True", "0": "False"}.get(text, text) if kind == "b" else text)
         rows.append(cells)
     return rows
 
 
 def xlsx_text(files: DataFrame) -> DataFrame:
-    """(file_id, text): workbooks (file_id, content) written again as comma-separated text; null text if a
+    """(file_id, text): workbooks (file_id, content), their active sheets, written again as comma-separated text; null text if a
     workbook cannot be read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

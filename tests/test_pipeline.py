@@ -101,9 +101,69 @@ def test_validation(spark):
 
 def test_size_limit_reaches_the_scan(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes(b"x" * 100)
-    plan = Files.scan(spark, str(tmp_path), 50)._jdf.queryExecution().toString()
-    assert "LessThanOrEqual(length,50)" in plan
-    assert Files.scan(spark, str(tmp_path), 50).count() == 0
+    (tmp_path / "b.csv").write_bytes(b"a,b\n1,2\n3,4\n")
+    found = Files.scan(spark, str(tmp_path), 50)
+    assert "LessThanOrEqual(length,50)" in found._jdf.queryExecution().toString()
+    assert {r["original_name"]: (r["length"], r["content"] is None) for r in found.collect()} == {"a.csv": (100, True), "b.csv": (12, False)}
+    codes = {r["original_name"]: r["error_code"] for r in V.validate(found, limits=Limits(max_csv_bytes=50, min_csv_bytes=1)).collect()}
+    assert codes == {"a.csv": "FILE_TOO_LARGE", "b.csv": None}
+
+
+def test_active_sheet_and_dates(spark):
+    """The second sheet is active; its date cells, in a built-in and in an own format, come out as dates."""
+    space = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {space}><bookViews><workbookView activeTab="1"/></bookViews><sheets><sheet name="a" sheetId="1" r:id="x1"/><sheet name="b" sheetId="2" r:id="x2"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="x1" Target="worksheets/sheet2.xml"/><Relationship Id="x2" Target="/xl/worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/styles.xml", f'<styleSheet {space}><numFmts><numFmt numFmtId="170" formatCode="dd\\/mm\\/yyyy"/><numFmt numFmtId="171" formatCode="0.00&quot; days&quot;"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="170"/><xf numFmtId="171"/></cellXfs></styleSheet>')
+        z.writestr("xl/worksheets/sheet2.xml", f"<worksheet {space}><sheetData/></worksheet>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {space}><sheetData><row r="1"><c r="A1" t="inlineStr"><is><t>Date</t></is></c><c r="B1" t="inlineStr"><is><t>Amount</t></is></c></row>'
+                   '<row r="2"><c r="A2" s="1"><v>46155</v></c><c r="B2" s="3"><v>46155</v></c></row><row r="3"><c r="A3" s="2"><v>46155.5</v></c><c r="B3"><v>7</v></c></row></sheetData></worksheet>')
+    df = spark.createDataFrame([("f", bytearray(out.getvalue()))], "file_id string, content binary")
+    assert Files.xlsx_text(df).first()["text"] == "Date,Amount\n2026-05-13 00:00:00,46155\n2026-05-13 12:00:00,7\n"
+
+
+def test_a_batch_that_breaks_off_is_not_seen(spark, tmp_path, monkeypatch):
+    put(tmp_path / "in", "s.csv", STANDARD.encode())
+    files, c = Files.scan(spark, str(tmp_path / "in")), Catalog(spark, str(tmp_path / "cat"))
+    write = Catalog.append
+
+    def broken(self, name, df, batch):
+        if name == "processing_jobs":
+            raise RuntimeError("stopped")
+        write(self, name, df, batch)
+
+    monkeypatch.setattr(Catalog, "append", broken)
+    with pytest.raises(RuntimeError):
+        c.ingest(files, "b1", dt.datetime(2026, 6, 1))
+    assert all(c.table(t).count() == 0 for t in ("documents", "bank_statements", "bank_transactions", "processing_jobs"))
+    monkeypatch.setattr(Catalog, "append", write)
+    assert c.ingest(files, "b2", dt.datetime(2026, 6, 1)).first()["error_code"] is None  # nothing of b1 makes it a duplicate
+    assert c.table("documents").count() == 1 and c.documents_with_results().first()["statement_id"] is not None
+
+
+def test_extractor_answers(spark, tmp_path):
+    names = ("ok", "locked", "wrong", "empty", "given", "torn", "long")
+    for n in names:
+        put(tmp_path / "in", f"{n}.pdf", b"%PDF-1.7 " + n.encode())
+    files = Files.scan(spark, str(tmp_path / "in"))
+    answers = {"ok": (True, None, None, None, None, 1), "locked": (True, 4, False, False, None, 1), "wrong": (True, 5, False, True, False, 1), "empty": (True, 1, True, None, None, 1), "given": (True, 2, False, True, True, 1), "torn": (False, None, None, None, None, None), "long": (True, None, None, None, None, 201)}
+    said = spark.createDataFrame([(f"{k}.pdf", *v) for k, v in answers.items()], "original_name string, opened boolean, encryption int, empty_fits boolean, password_given boolean, password_fits boolean, page_count int")
+    texts = files.select("file_id", "original_name").join(said, "original_name").drop("original_name").withColumns({"text": F.lit("Vendor: Acme\nTotal: 5\n"), "tables": F.expr(f"cast(array() as {I.TABLES})"), "page_texts": F.array(F.lit("x" * 60))})
+    got = {r["original_name"].split(".")[0]: r["error_code"] for r in Catalog(spark, str(tmp_path / "cat")).ingest(files, "b", dt.datetime(2026, 6, 1), texts=texts).collect()}
+    assert got == {"ok": None, "locked": "PDF_PASSWORD_REQUIRED", "wrong": "PDF_WRONG_PASSWORD", "empty": None, "given": None, "torn": "PDF_CORRUPTED", "long": "PDF_TOO_MANY_PAGES"}
+
+
+def test_database_tables(spark, tmp_path):
+    from ledgermill.sources import jdbc
+
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    rows = spark.range(100).selectExpr("id", "concat('n', id) as name")
+    jdbc.write_table(rows, url, "vendors", mode="overwrite", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    got = jdbc.read_table(spark, url, "vendors", key="id", partitions=4, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    assert got.rdd.getNumPartitions() == 4 and got.count() == 100 and got.agg(F.sum("id")).first()[0] == 4950
+    assert jdbc.read_table(spark, url, "vendors", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver").where("id = 7").first()["name"] == "n7"
 
 
 def put(folder, name, content):
