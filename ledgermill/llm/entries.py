@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import bpe, embeddings, linededup, mixing, oracles, pii, quality, simhash, tokencount, toxicity, urls
-from .common import Scratch, table
+from .common import Scratch, null_safe, table
 
 
 #: Rules of the url filter: host, path, action.
@@ -80,9 +80,23 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op3: sizes, targets, and what each source gives."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents")).documents
+    sums = mixed.groupBy("source").agg(F.sum("taken").alias("source_taken"))
+    joined = null_safe(mixed, sums, ["source"])
+    return joined.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "source_taken", (F.col("taken") <= 2 * F.col("size")).alias("within"))
+
+
+def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op10: how many spans each pattern finds."""
+    return pii.find(table(spark, sf_dir, "documents")).select("doc_id", *[f"n_{k}" for k in pii.KINDS])
+
+
 def queries() -> dict:
     found = {k: v for k, v in globals().items() if k.startswith("op") and k[2:3].isdigit()}
-    return dict(sorted(found.items(), key=lambda kv: int(kv[0][2:].split("_")[0])))
+    found = dict(sorted(found.items(), key=lambda kv: int(kv[0][2:].split("_")[0])))
+    return found | {"mixing_targets": mixing_targets, "pii_counts": pii_counts}
 
 
 def oracle_sql() -> dict[str, str]:

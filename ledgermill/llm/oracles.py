@@ -59,6 +59,30 @@ FROM k
 """
 
 
+SQL["mixing_targets"] = r"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+t AS (SELECT source, sum(size)::BIGINT AS s FROM d GROUP BY source),
+n AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) AS n FROM t),
+w AS (SELECT *, (CASE (n - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END)::DOUBLE AS weight, 2.0::DOUBLE * s AS cap FROM n),
+l AS (SELECT *, (1.5::DOUBLE * sum(s) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+             / sum(weight) OVER (ORDER BY cap / weight, n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+f AS (SELECT arg_min(level, row(cap / weight, n)) AS level FROM l WHERE cap >= level * weight),
+g AS (SELECT source, s, least(cap, coalesce((SELECT level FROM f) * weight, cap)) AS target FROM l)
+SELECT doc_id, size, s AS source_size, round(target, 3) AS target, floor(target)::BIGINT AS source_taken, TRUE AS within FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
+"""
+
+SQL["pii_counts"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS (SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS emails,
+  list_transform(regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), lambda x: list_transform(string_split(x, '.'), lambda p: ltrim(p, '0'))) AS ips,
+  list_filter(list_transform(regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+'), lambda x: reverse(regexp_replace(x, '[^0-9]', '', 'g'))), lambda x: length(x) BETWEEN 12 AND 19) AS cards,
+  list_transform(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g'))) AS phones FROM d),
+c AS (SELECT *, list_transform(cards, lambda x: list_sum(list_transform(range(1, length(x) + 1), lambda i: CASE WHEN i % 2 = 1 THEN x[i]::INT WHEN x[i]::INT > 4 THEN 2 * x[i]::INT - 9 ELSE 2 * x[i]::INT END))) AS sums FROM m)
+SELECT doc_id, len(emails)::BIGINT AS n_email, len(list_filter(ips, lambda p: len(list_filter(p, lambda q: length(q) > 3 OR coalesce(try_cast(q AS INT), 0) > 255)) = 0))::BIGINT AS n_ip,
+  len(list_filter(sums, lambda s: s % 10 = 0))::BIGINT AS n_card, len(list_filter(phones, lambda n: n BETWEEN 9 AND 15))::BIGINT AS n_phone FROM c
+"""
+
+
 def _fill() -> None:
     from .quality import STOP_WORDS
 
