@@ -154,3 +154,27 @@ ERROR_CODES = (
 EXTENSIONS = (".pdf", ".csv", ".xlsx")
 XLSX_MIME = "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"
 MIME_EXTENSIONS = {"application/pdf": ".pdf", "text/csv": ".csv", "text/plain": ".csv", "application/csv": ".csv", XLSX_MIME: ".xlsx", "application/vnd.ms-excel": ".xlsx"}
+
+#: The texts of warnings and notes; names in braces stand for what they tell.
+MESSAGES = {
+    "both_sides": "Both debit and credit columns were non-empty; larger value used.",
+    "serial_date": "Date was an Excel serial number ({serial}); converted to {date}.",
+    "day_first": "Day-first assumed: parsed as {date}. Ambiguous — could also be {other}.",
+    "month_first": "Month-first assumed: parsed as {date}. Ambiguous — could also be {other}.",
+    "date": "date: {text}",
+    "bad_value_date": "value_date: Could not parse, ignored",
+    "bad_split": "amount: Split parse failed — Cannot parse amount from: '{text}'",
+    "bad_amount": "amount: Cannot parse amount from: '{text}'",
+    "no_amount": "amount: Missing or null — row retained without amount",
+    "amount": "amount: {text}",
+    "inferred": "amount: Direction inferred (no explicit CR/DR marker)",
+    "bad_balance": "balance: Could not parse running balance",
+    "gap": "Balance discontinuity at row {row}: expected ~{expected}, got {found}. Diff: {gap}. Possible missing rows.",
+    "currencies": "Multiple currencies detected: {{'{all}'}}. Dominant: {dominant}. Per-row currency stored on each transaction.",
+    "truncated": "File has {rows} data rows; truncated to {limit}.",
+    "lines_and_subtotal": "Reconciliation note: Sum of line items ({lines}) differs from Subtotal ({stated}) by {gap}",
+    "total": "Reconciliation note: Calculated total ({calculated}) differs from Total ({stated}) by {gap}",
+    "missing_fields": "Missing core fields: {fields}",
+    "warnings": "Warnings: {all}",
+    "no_warnings": "Parsed via heuristics and tables extraction.",
+}

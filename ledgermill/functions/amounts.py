@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import let, strip
+from .text import let, message, strip
 
 #: Tokens for a missing amount, currency signs, and suffixes that name the direction.
 NULL_TOKENS = ("", "-", "--", "n/a", "na", "nil", "none", "null", "0.00")
@@ -15,7 +15,6 @@ CREDIT_SUFFIXES = ("cr", "credit", "c", "deposit", "dep")
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 TYPE = "struct<value:decimal(38,10),direction:string,is_inferred:boolean,error:boolean>"
 SPLIT_TYPE = "struct<value:decimal(38,10),direction:string,is_inferred:boolean,error:boolean,warning:string>"
-BOTH_SIDES = "Both debit and credit columns were non-empty; larger value used."
 
 
 def normalise(s: Column) -> Column:
@@ -84,8 +83,8 @@ def parse_split(debit: Column, credit: Column) -> Column:
         failed = F.struct(F.lit(None).alias("value"), none.alias("direction"), F.lit(False).alias("is_inferred"), F.lit(True).alias("error"), none.alias("warning")).cast(SPLIT_TYPE)
         return (
             F.when(F.coalesce(d["error"], F.lit(False)) | F.coalesce(c["error"], F.lit(False)), failed)
-            .when(d.isNotNull() & c.isNotNull() & (d["value"] >= c["value"]), one(d, d["direction"], F.lit(BOTH_SIDES)))
-            .when(d.isNotNull() & c.isNotNull(), one(c, c["direction"], F.lit(BOTH_SIDES)))
+            .when(d.isNotNull() & c.isNotNull() & (d["value"] >= c["value"]), one(d, d["direction"], message("both_sides")))
+            .when(d.isNotNull() & c.isNotNull(), one(c, c["direction"], message("both_sides")))
             .when(d.isNotNull(), one(d, F.lit("D"), none))
             .when(c.isNotNull(), one(c, F.lit("C"), none))
         )

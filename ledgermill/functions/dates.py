@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from ..config import DATE_RULES, DateRules
-from .text import let, strip
+from .text import let, message, strip
 
 #: Tokens for a missing date.
 NULL_TOKENS = ("", "-", "--", "n/a", "na", "nil", "none", "null", "pending", "tbd")
@@ -69,7 +69,7 @@ def parse_date(raw: Column, dayfirst: bool = True, rules: DateRules = DATE_RULES
     def parsed(s: Column) -> Column:
         serial = F.date_add(F.to_date(F.lit("1899-12-30")), s.try_cast("int"))
         none = F.lit(None).cast("string")
-        of_serial = F.struct(serial.alias("value"), F.lit(False).alias("a"), F.lit(True).alias("s"), F.lit(False).alias("e"), F.concat(F.lit("Date was an Excel serial number ("), s.try_cast("int").cast("string"), F.lit("); converted to "), serial.cast("string"), F.lit(".")).alias("w")).cast(TYPE)
+        of_serial = F.struct(serial.alias("value"), F.lit(False).alias("a"), F.lit(True).alias("s"), F.lit(False).alias("e"), message("serial_date", serial=s.try_cast("int").cast("string"), date=serial.cast("string")).alias("w")).cast(TYPE)
 
         def dated(t: Column) -> Column:
             iso = F.when(F.regexp_like(t, F.lit(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$")), F.try_to_date(t, "yyyy-MM-dd"))
@@ -80,7 +80,7 @@ def parse_date(raw: Column, dayfirst: bool = True, rules: DateRules = DATE_RULES
                 a, b = F.get(numbers, F.lit(0)).try_cast("int"), F.get(numbers, F.lit(1)).try_cast("int")
                 unsure = F.coalesce(iso.isNull() & v.isNotNull() & (a <= 12) & (b <= 12) & (a != b), F.lit(False))
                 other = _day(F.year(v), F.day(v), F.month(v))
-                text = F.concat(F.lit(f"{'Day' if dayfirst else 'Month'}-first assumed: parsed as "), v.cast("string"), F.lit(". Ambiguous — could also be "), F.coalesce(other.cast("string"), F.lit("another date")), F.lit("."))
+                text = message("day_first" if dayfirst else "month_first", date=v.cast("string"), other=F.coalesce(other.cast("string"), F.lit("another date")))
                 return F.struct(v.alias("value"), unsure.alias("a"), F.lit(False).alias("s"), v.isNull().alias("e"), F.when(unsure, text).otherwise(none).alias("w")).cast(TYPE)
 
             return let(F.coalesce(iso, _lenient(n, dayfirst, rules)), checked)

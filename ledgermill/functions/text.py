@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
+from ..config import MESSAGES
+
 
 def strip(c: Column) -> Column:
     """Without white space at both ends.  Unlike ``trim`` this knows tabs and no-break spaces."""
@@ -50,6 +54,13 @@ def two_decimals(c: Column) -> Column:
     return F.bround(c, 2).cast("decimal(38,2)").cast("string")
 
 
+def message(name: str, **values: Column) -> Column:
+    """One of ``MESSAGES`` with its places filled; null if a value is."""
+    text = MESSAGES[name].replace("{{", "\x01").replace("}}", "\x02")
+    parts = [values[x] if i % 2 else F.lit(x.replace("\x01", "{").replace("\x02", "}")) for i, x in enumerate(re.split(r"\{(\w+)\}", text)) if x]
+    return F.concat(*parts)
+
+
 def let(value: Column, body) -> Column:
     """Binds a costly expression once for a body that reads it often."""
     return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from .. import config as C
 from ..functions.amounts import parse_amount
 from ..functions.dates import parse_date
-from ..functions.text import first_group, first_token, let, strip
+from ..functions.text import first_group, first_token, let, message, strip
 
 TABLES = "array<array<array<string>>>"
 _MONEY = "decimal(18,4)"
@@ -179,8 +179,8 @@ def reconcile(invoices: DataFrame, totals: DataFrame, limits: C.Limits = C.LIMIT
     number = lambda c: c.cast(_MONEY).cast("string")
     first, second = F.abs(F.col("lines_sum") - F.col("subtotal")), F.abs(calc - F.col("total_amount"))
     notes = F.array_compact(F.array(
-        F.when(first > tolerance, F.concat(F.lit("Reconciliation note: Sum of line items ("), number(F.col("lines_sum")), F.lit(") differs from Subtotal ("), number(F.col("subtotal")), F.lit(") by "), number(first))),
-        F.when(second > tolerance, F.concat(F.lit("Reconciliation note: Calculated total ("), number(calc), F.lit(") differs from Total ("), number(F.col("total_amount")), F.lit(") by "), number(second))),
+        F.when(first > tolerance, message("lines_and_subtotal", lines=number(F.col("lines_sum")), stated=number(F.col("subtotal")), gap=number(first))),
+        F.when(second > tolerance, message("total", calculated=number(calc), stated=number(F.col("total_amount")), gap=number(second))),
     ))
     return joined.withColumn("reconciliation", F.when(F.col("n_lines").isNotNull(), notes).otherwise(F.expr("cast(array() as array<string>)")))
 
@@ -192,10 +192,10 @@ def parse(docs: DataFrame, rules: C.DateRules = C.DATE_RULES, limits: C.Limits =
     lines = table_lines(viewed, F.col("_best")).unionByName(text_lines(viewed.where(~has_table_lines(F.col("_best")))))
     found = reconcile(fields(docs.drop("tables"), rules), line_totals(lines), limits)
     none = F.expr("cast(array() as array<string>)")
-    missing = F.when(F.size("missing") > 0, F.array(F.concat(F.lit("Missing core fields: "), F.array_join("missing", ", ")))).otherwise(none)
+    missing = F.when(F.size("missing") > 0, F.array(message("missing_fields", fields=F.array_join("missing", ", ")))).otherwise(none)
     bad = F.when(F.col("bad").isNotNull(), F.array(F.concat(F.lit("Line "), F.col("bad.line_number").cast("string"), F.lit(": no number in "), F.col("bad.f")))).otherwise(none)
     found = found.withColumn("warnings", F.concat(missing, "reconciliation", bad))
-    notes = F.when(F.size("warnings") > 0, F.concat(F.lit("Warnings: "), F.array_join("warnings", "; "))).otherwise("Parsed via heuristics and tables extraction.")
+    notes = F.when(F.size("warnings") > 0, message("warnings", all=F.array_join("warnings", "; "))).otherwise(message("no_warnings"))
     error = F.when(F.col("bad").isNotNull(), "PARTIAL_PARSE") if strict else F.lit(None).cast("string")
     found = found.withColumns({"notes": notes, "error_code": error}).drop("reconciliation", "bad", "missing", "text")
     return found, lines

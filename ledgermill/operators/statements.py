@@ -11,7 +11,7 @@ from ..config import DATE_RULES, LIMITS, REPEATED_HEADERS, SUMMARY_ROW, SYNONYMS
 from ..functions.amounts import parse_amount, parse_split
 from ..functions.classify import bank_format, transaction_type
 from ..functions.dates import parse_date
-from ..functions.text import blank_to_null, clean_description, let, raw_description, strip, two_decimals
+from ..functions.text import blank_to_null, clean_description, let, message, raw_description, strip, two_decimals
 
 #: What counts towards a header row: every synonym but those of the type column.
 _SIGNALS = sorted({s for field, names in SYNONYMS.items() if field != "transaction_type" for s in names})
@@ -117,18 +117,17 @@ def parse_rows(rows: DataFrame, rules: DateRules = DATE_RULES, default_direction
     })
     failed, missing = F.coalesce(F.col("a.error"), F.lit(False)), F.col("a").isNull() | F.col("a.error")
     value = F.col("a.value").try_cast("decimal(18,4)")
-    sides = lambda x: F.concat(F.lit("Cannot parse amount from: '"), x, F.lit("'"))
     bad_side = F.when(F.coalesce(parse_amount(F.col("r_debit"))["error"], F.lit(False)), F.col("r_debit")).otherwise(F.col("r_credit"))
     warnings = F.array_compact(F.array(
-        F.when(F.col("d.warning").isNotNull(), F.concat(F.lit("date: "), F.col("d.warning"))),
-        F.when(F.coalesce(F.col("v.error"), F.lit(False)), "value_date: Could not parse, ignored"),
-        F.when(failed & F.col("split"), F.concat(F.lit("amount: Split parse failed — "), sides(bad_side))),
-        F.when(failed & ~F.col("split"), F.concat(F.lit("amount: "), sides(F.col("r_amount")))),
-        F.when(missing, "amount: Missing or null — row retained without amount"),
+        F.when(F.col("d.warning").isNotNull(), message("date", text=F.col("d.warning"))),
+        F.when(F.coalesce(F.col("v.error"), F.lit(False)), message("bad_value_date")),
+        F.when(failed & F.col("split"), message("bad_split", text=bad_side)),
+        F.when(failed & ~F.col("split"), message("bad_amount", text=F.col("r_amount"))),
+        F.when(missing, message("no_amount")),
         F.when(~missing & value.isNull(), "amount: Outside the range of stored amounts"),
-        F.when(F.col("a.warning").isNotNull(), F.concat(F.lit("amount: "), F.col("a.warning"))),
-        F.when(F.coalesce(F.col("a.is_inferred"), F.lit(False)), "amount: Direction inferred (no explicit CR/DR marker)"),
-        F.when(F.coalesce(F.col("b.error"), F.lit(False)), "balance: Could not parse running balance"),
+        F.when(F.col("a.warning").isNotNull(), message("amount", text=F.col("a.warning"))),
+        F.when(F.coalesce(F.col("a.is_inferred"), F.lit(False)), message("inferred")),
+        F.when(F.coalesce(F.col("b.error"), F.lit(False)), message("bad_balance")),
     ))
     direction = F.when(missing, "D").otherwise(F.col("a.direction"))
     return parsed.select(
@@ -158,8 +157,7 @@ def summarise(transactions: DataFrame, key: str = "file_id") -> DataFrame:
     number = F.col("row_index").cast("string")
     gap = F.when(F.col("balance_gap").isNotNull(), F.struct(F.col("row_index"), row(
         F.concat(F.lit("balance_row_"), number),
-        F.concat(F.lit("Balance discontinuity at row "), number, F.lit(": expected ~"), two_decimals(F.col("expected_balance")), F.lit(", got "), two_decimals(F.col("balance_after")),
-                 F.lit(". Diff: "), two_decimals(F.col("balance_gap")), F.lit(". Possible missing rows.")),
+        message("gap", row=number, expected=two_decimals(F.col("expected_balance")), found=two_decimals(F.col("balance_after")), gap=two_decimals(F.col("balance_gap"))),
     ).alias("w")))
     per_row = F.when(F.size("parse_warnings") > 0, F.struct(F.col("row_index"), row(F.concat(F.lit("row_"), number), F.array_join("parse_warnings", "; ")).alias("w")))
     summed = transactions.groupBy(key).agg(
@@ -169,8 +167,7 @@ def summarise(transactions: DataFrame, key: str = "file_id") -> DataFrame:
         F.count(F.lit(1)).cast("int").alias("total_rows_parsed"),
         F.sort_array(F.collect_list(gap)).alias("_gaps"), F.sort_array(F.collect_list(per_row)).alias("_rows"),
     )
-    several = F.when(F.size("currencies") > 1, F.array(row(F.lit("currency"), F.concat(
-        F.lit("Multiple currencies detected: {'"), F.array_join("currencies", "', '"), F.lit("'}. Dominant: "), F.col("currency"), F.lit(". Per-row currency stored on each transaction."))))
+    several = F.when(F.size("currencies") > 1, F.array(row(F.lit("currency"), message("currencies", all=F.array_join("currencies", "', '"), dominant=F.col("currency"))))
     ).otherwise(F.expr(f"cast(array() as {WARNING})"))
     return summed.withColumn("warnings", F.concat(several, F.transform("_gaps", lambda x: x["w"]), F.transform("_rows", lambda x: x["w"]))).drop("_gaps", "_rows")
 
@@ -189,7 +186,7 @@ def parse(grid: DataFrame, files: DataFrame, limits: Limits = LIMITS, rules: Dat
     size = grid.groupBy("file_id").agg(F.max("line_no").alias("records"))
     joined = files.select("file_id", "encoding").join(layout, "file_id", "left").join(size, "file_id", "left").join(skipped, "file_id", "left").join(summarise(transactions), "file_id", "left")
     truncated = F.when(F.col("records") - F.col("header_line") > limits.max_csv_rows, F.array(F.struct(
-        F.lit("row_count").alias("field"), F.concat(F.lit("File has "), (F.col("records") - F.col("header_line")).cast("string"), F.lit(f" data rows; truncated to {limits.max_csv_rows}.")).alias("message")))
+        F.lit("row_count").alias("field"), message("truncated", rows=(F.col("records") - F.col("header_line")).cast("string"), limit=F.lit(str(limits.max_csv_rows))).alias("message")))
     ).otherwise(F.expr(f"cast(array() as {WARNING})"))
     error = (
         F.when(F.col("header").isNull(), "CSV_PARSE_ERROR").when(F.size("missing") > 0, "CSV_MISSING_REQUIRED_COLUMNS")

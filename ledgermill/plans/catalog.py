@@ -139,6 +139,13 @@ class Catalog:
     def get_document(self, document_id: str) -> DataFrame:
         return self.table("documents").where((F.col("id") == document_id) & ~F.col("is_deleted"))
 
+    def content(self, document_id: str) -> DataFrame:
+        """The bytes of a live document (column content), from the table that its storage_path names before the #."""
+        found = self.get_document(document_id).select("storage_path").first()
+        if found is None:
+            return self.spark.createDataFrame([], "content binary")
+        return self.spark.read.parquet(found["storage_path"].split("#")[0]).where(F.col("document_id") == document_id).select("content")
+
     def latest_job(self, document_id: str) -> DataFrame:
         return self.raw("processing_jobs").where(F.col("document_id") == document_id).orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(1)
 
@@ -187,7 +194,7 @@ class Catalog:
         """
         self.uncommit(batch)
         now = F.lit(at).cast("timestamp")
-        before = self.table("documents").where(F.col("storage_path").isNull() | ~F.col("storage_path").contains(f"/batch={batch}/"))
+        before = self.table("documents").where(F.col("storage_path").isNull() | ~F.col("storage_path").contains(f"/batch={batch}#"))
         checked = validate(files, before, allow_reprocess, self.limits)
         checked = checked.withColumn("document_id", F.coalesce("reprocess_of", make_id(F.lit("document"), "checksum_sha256", F.lit(batch)))).withColumn("job_id", make_id("document_id", F.lit(batch)))
         staged = f"{self.root}/_files/batch={batch}"
@@ -197,16 +204,16 @@ class Catalog:
         document_type = F.when(F.col("extension") == ".pdf", "invoice").otherwise("bank_statement")
         self.append("documents", good.where("reprocess_of is null").select(
             F.col("document_id").alias("id"), "filename", "original_name", document_type.alias("document_type"), F.expr("substring(extension, 2)").alias("file_type"), F.col("length").alias("file_size_bytes"),
-            "checksum_sha256", F.concat(F.lit(staged + "/"), "document_id").alias("storage_path"), F.lit(uploaded_by).alias("uploaded_by"), now.alias("uploaded_at"), now.alias("created_at"), now.alias("updated_at"),
+            "checksum_sha256", F.concat(F.lit(staged + "#"), "document_id").alias("storage_path"), F.lit(uploaded_by).alias("uploaded_by"), now.alias("uploaded_at"), now.alias("created_at"), now.alias("updated_at"),
         ), batch)
         kinds = {r["extension"] for r in good.select("extension").distinct().collect()}
-        done = self.spark.createDataFrame([], f"file_id string, failure string, warnings {S.WARNING}, scanned_pages array<int>")
+        done = self.spark.createDataFrame([], f"file_id string, failure string, detail map<string,string>, warnings {S.WARNING}, scanned_pages array<int>")
         if kinds - {".pdf"}:
             done = done.unionByName(self._statements(good, batch, now))
         if ".pdf" in kinds:
             done = done.unionByName(self._invoices(good, batch, now, texts))
         jobs = good.join(done, "file_id", "left").select(
-            F.col("job_id").alias("id"), "document_id", S.job_status(F.col("failure"), F.col("warnings")).alias("status"), now.alias("started_at"), now.alias("completed_at"), F.col("failure").alias("error_message"),
+            F.col("job_id").alias("id"), "document_id", S.job_status(F.col("failure"), F.col("warnings")).alias("status"), now.alias("started_at"), now.alias("completed_at"), F.col("failure").alias("error_message"), F.col("detail").alias("error_detail"),
             F.lit(0).alias("retry_count"), F.lit(3).alias("max_retries"), "warnings", F.when(F.col("extension") == ".pdf", PDF_VERSION).otherwise(CSV_VERSION).alias("parser_version"),
             F.col("reprocess_of").isNotNull().alias("is_reprocess"), F.lit(False).alias("pdf_password_used"), F.lit(False).alias("ocr_used"), "scanned_pages", now.alias("created_at"), now.alias("updated_at"),
         )
@@ -236,7 +243,7 @@ class Catalog:
         self.append("bank_statements", kept.withColumns({"id": F.col("statement_id"), "processing_job_id": F.col("job_id"), "extracted_at": now, "updated_at": now}), batch)
         transactions = found.transactions.join(kept.select("file_id", F.col("statement_id").alias("bank_statement_id")), "file_id")
         self.append("bank_transactions", transactions.withColumns({"id": make_id("bank_statement_id", F.col("row_index").cast("string")), "created_at": now}), batch)
-        return summaries.select("file_id", F.col("error_code").alias("failure"), "warnings", F.lit(None).cast("array<int>").alias("scanned_pages"))
+        return summaries.select("file_id", F.col("error_code").alias("failure"), F.when(F.size("missing") > 0, F.create_map(F.lit("missing_columns"), F.array_join("missing", ", "))).alias("detail"), "warnings", F.lit(None).cast("array<int>").alias("scanned_pages"))
 
     def _invoices(self, good: DataFrame, batch: str, now: Column, texts: DataFrame | None) -> DataFrame:
         from ..operators.validate import scanned_pages
@@ -260,6 +267,6 @@ class Catalog:
         self.append("invoices", parsed.withColumns({"processing_job_id": F.col("job_id"), "invoice_index": F.lit(0), "extracted_at": now, "updated_at": now}), batch)
         owned = lines.join(parsed.select("file_id", F.col("id").alias("invoice_id")), "file_id")
         self.append("invoice_line_items", owned.withColumns({"id": make_id("invoice_id", F.col("line_number").cast("string")), "created_at": now}), batch)
-        ok = parsed.select("file_id", F.col("error_code").alias("failure"), F.transform("warnings", lambda w: F.struct(F.lit("warning").alias("field"), w.alias("message"))).alias("warnings"), F.expr("cast(array() as array<int>)").alias("scanned_pages"))
-        failed = docs.where("failure is not null").select("file_id", "failure", F.expr(f"cast(array() as {S.WARNING})").alias("warnings"), F.col("scanned").alias("scanned_pages"))
+        ok = parsed.select("file_id", F.col("error_code").alias("failure"), F.lit(None).cast("map<string,string>").alias("detail"), F.transform("warnings", lambda w: F.struct(F.lit("warning").alias("field"), w.alias("message"))).alias("warnings"), F.expr("cast(array() as array<int>)").alias("scanned_pages"))
+        failed = docs.where("failure is not null").select("file_id", "failure", F.create_map(F.lit("page_count"), F.size("page_texts").cast("string")).alias("detail"), F.expr(f"cast(array() as {S.WARNING})").alias("warnings"), F.col("scanned").alias("scanned_pages"))
         return ok.unionByName(failed)

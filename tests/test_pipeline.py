@@ -194,6 +194,8 @@ def test_catalog_flow(spark, tmp_path):
     assert c.list_documents(limit=2).count() == 2 and c.list_documents(limit=2, offset=3).count() == 1
     with pytest.raises(ValueError):
         c.list_documents(limit=101)
+    assert bytes(c.content(third["document_id"]).first()["content"]) == STANDARD.encode() and c.content("none").count() == 0
+    assert c.raw("processing_jobs").where("status = 'failed'").first()["error_detail"] == {"missing_columns": "date, amount (or debit/credit)"}
     assert c.invoice_with_lines().first()["line_items"][0]["unit_price"] == 10 and c.raw("vendors").first()["canonical_name"] == "Acme"
     assert [len(r["transactions"]) for r in c.statement_with_transactions().collect()].count(4) == 2
     c.soft_delete(third["document_id"], dt.datetime(2026, 6, 3))
