@@ -19,7 +19,8 @@ the comparison costs, never what it finds.
 
 Defined results: a vector that is null, empty or zero, or holds a null or non-finite component, links with
 nothing and is kept; vectors of different lengths do not link; a null vec_id takes part but never names a
-component; repeated rows are vectors of their own; an empty table gives an empty table.
+component; repeated rows are vectors of their own; an empty table gives an empty table.  Ids are integers, or text of
+them; other text is an error.
 """
 
 from __future__ import annotations

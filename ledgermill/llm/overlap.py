@@ -17,7 +17,8 @@ different components still to ``HUBS`` more in each of ``ROUNDS`` rounds, and th
 different components are compared, in tiles of bounded size: a large group costs its members and not its pairs.
 
 Defined results: a null text is the empty text; texts without words are one group; a null doc_id takes part in a
-group but never names one; repeated rows each get a row; an empty table gives an empty table.
+group but never names one; repeated rows each get a row; an empty table gives an empty table.  Ids are integers, or
+text of them; other text is an error.
 """
 
 from __future__ import annotations

@@ -1,5 +1,7 @@
 """SimHash near-duplicates by covering locality-sensitive hashing.
 
+(``groups`` and ``keep_one`` link by exact overlap, in ``overlap``, for shingle widths without a radius: see there.)
+
 Every pair of fingerprints within the radius r agrees on the kept bits of at least one of 2^(r+1) - 1 masks:
 bit i has a vector m(i) over GF(2) of r + 1 dimensions, mask v keeps bit i if <m(i), v> = 1, and at most r
 differing bits leave some v orthogonal to all of their vectors.  So no pair is missed, whatever the data.
@@ -10,7 +12,8 @@ join the forests.  A bucket of any size is exact: more tiles, on more tasks.
 
 Defined results: a null text is the empty text; a text without words has fingerprint zero and links like any
 other; a null doc_id takes part in a group but never names one (component_id is null if the group has no
-other); repeated rows each get a row; an empty table gives an empty table.
+other); repeated rows each get a row; an empty table gives an empty table.  Ids are integers, or text of them; other
+text is an error.
 """
 
 from __future__ import annotations
