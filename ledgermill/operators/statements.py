@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -32,23 +33,24 @@ def _strings(values) -> Column:
 def header_matches(cells: Column) -> Column:
     """Number of cells that are a known header, or hold one of more than four characters."""
     low = F.transform(cells, lambda c: F.lower(strip(c)))
-    long = [s for s in _SIGNALS if len(s) > 4]
-    return F.size(F.filter(low, lambda c: F.array_contains(_strings(_SIGNALS), c) | F.exists(_strings(long), lambda s: F.contains(c, s))))
+    long = "|".join(re.escape(s) for s in _SIGNALS if len(s) > 4)
+    return F.size(F.filter(low, lambda c: c.isin(_SIGNALS) | F.regexp_like(c, F.lit(long))))
 
 
 def find_column(headers: Column, names: tuple[str, ...]) -> Column:
     """0-based position of a logical column: names in order, first exact, then as a beginning (over three
     characters), then anywhere (over four).  Null if absent.  ``headers`` are lower-cased."""
-    def one(usable: list[str], fits) -> Column:
+    def one(usable: list[str], position) -> Column:
         if not usable:
             return F.lit(None).cast("int")
-        at = F.transform(_strings(usable), lambda n: F.array_position(F.transform(headers, lambda h: fits(h, n)), True))
+        at = F.transform(_strings(usable), position)
         return F.get(F.filter(at, lambda x: x > 0), F.lit(0)).cast("int") - 1
 
+    fitting = lambda fits: lambda n: F.array_position(F.transform(headers, lambda h: fits(h, n)), True)
     return F.coalesce(
-        one(list(names), lambda h, n: h == n),
-        one([n for n in names if len(n) > 3], lambda h, n: F.startswith(h, n)),
-        one([n for n in names if len(n) > 4], lambda h, n: F.contains(h, n)),
+        one(list(names), lambda n: F.array_position(headers, n)),
+        one([n for n in names if len(n) > 3], fitting(F.startswith)),
+        one([n for n in names if len(n) > 4], fitting(F.contains)),
     )
 
 
