@@ -185,17 +185,20 @@ def _links(members: DataFrame, sets: DataFrame, docs: DataFrame, width: int, scr
     ties = _ties(stars, sets, docs, width, scratch)
     many, rounds = shared.where("size > 2").select("k", "sid", "n", "size"), 0
     while True:
-        roots = scratch.cut(connected(ties, scratch)).withColumnRenamed("node", "sid")
+        roots = scratch.cut(connected(ties, scratch).withColumnRenamed("node", "sid"))
         left = many.join(roots, "sid", "left").withColumn("c", F.coalesce("root", "sid")).drop("root")
         mixed = left.groupBy("k").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.array(*[_hub(HUBS * rounds + i) for i in range(HUBS)]).alias("hubs")).where("x <> y")
-        left = scratch.cut(left.join(mixed.drop("x", "y"), "k"))
+        mixed = scratch.cut(mixed.drop("x", "y"))
+        left = scratch.cut(left.join(mixed.select("k"), "k"))
         if rounds == ROUNDS:
             break
         # Hubs of the bucket, most of which are of its largest component, are tied to what is in other components.
-        stars = left.withColumn("m", F.explode("hubs")).where((F.col("c") != F.col("m.c")) & _fits(F.col("n"), F.col("m.n")))
+        stars = left.join(mixed, "k").withColumn("m", F.explode("hubs")).where((F.col("c") != F.col("m.c")) & _fits(F.col("n"), F.col("m.n")))
         found = _ties(stars.select(F.least("sid", "m.sid").alias("a"), F.greatest("sid", "m.sid").alias("b")), sets, docs, width, scratch)
         rounds = rounds + 1 if found.count() else ROUNDS
         ties = ties.union(found)
+        for done in (left, mixed, roots):
+            scratch.drop(done)
 
     tiles = F.ceil(F.col("size") / TILE).cast("int")
     tiled = left.withColumn("t", tiles).withColumn("o", F.pmod(F.xxhash64("sid", F.lit(7)), F.col("t")).cast("int"))
