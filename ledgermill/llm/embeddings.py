@@ -44,6 +44,8 @@ LEAD = 16
 SAMPLE = 20_000
 #: Leaves of the tree at most, so the boxes stay small; a leaf is dealt into as many blocks as it needs.
 MAX_LEAVES = 1 << 13
+#: Tasks of the comparison at most; with more pairs of blocks a task takes several in turn.
+MAX_TASKS = 10_000
 
 
 def valid(v: Column) -> Column:
@@ -242,7 +244,7 @@ def _links(reps: DataFrame, d: int, threshold: float, scratch: Scratch) -> DataF
     dealt = placed.drop("y").join(F.broadcast(sizes), "leaf").select("rep", "m", "v", "leaf", part).repartition("leaf", "part").sortWithinPartitions("leaf", "part")
     files = scratch.cut(dealt.mapInArrow(store, "leaf long, part long, path string"))
     of = lambda leaf, part, name: files.select(F.col("leaf").alias(leaf), F.col("part").alias(part), F.col("path").alias(name))
-    work = pairs.join(of("p", "i", "first"), ["p", "i"]).join(of("q", "j", "second"), ["q", "j"]).select("first", "second")
+    work = scratch.cut(pairs.join(of("p", "i", "first"), ["p", "i"]).join(of("q", "j", "second"), ["q", "j"]).select("first", "second"))
 
     def tiles(path: str) -> _Tiles:
         at, name = opened(path)
@@ -262,7 +264,8 @@ def _links(reps: DataFrame, d: int, threshold: float, scratch: Scratch) -> DataF
                 kind = ["c"] * len(counts) + ["e"] * (len(a) - len(counts))
                 yield pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(a), pa.array(b)], names=["kind", "a", "n"])
 
-    return work.repartition("first", "second").sortWithinPartitions("first").mapInArrow(compare, "kind string, a long, n long")
+    # As many tasks as pairs, up to a bound: the rows are small and the work is not, so their number is set.
+    return work.repartition(max(1, min(MAX_TASKS, work.count())), "first", "second").sortWithinPartitions("first").mapInArrow(compare, "kind string, a long, n long")
 
 
 def groups(df: DataFrame, threshold: float = 0.95, vec_id: str = "vec_id", vector: str = "embedding", name: str = "embeddings") -> DataFrame:
