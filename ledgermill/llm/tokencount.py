@@ -32,6 +32,8 @@ from .common import Scratch, lean, opened, running, ship
 
 #: Tokens of a block.
 BLOCK = 1 << 18
+#: Blocks that a task scans one after another, and tasks at most.
+BLOCKS_A_TASK, MAX_TASKS = 32, 20_000
 #: Blocks that share a bucket of the prefix scan.
 PER_BUCKET = 1024
 
@@ -109,8 +111,9 @@ def count(files: DataFrame, eod: int, scratch: Scratch, dtype: str = "<u2", bloc
     ship(files.sparkSession)
     last_block = F.expr(f"(length - 1) div {block * width}")
     blocks = files.where("length > 0").select("file", F.explode(F.sequence(F.lit(0).cast("long"), last_block)).alias("block"), "path", "length")
-    # A block's row is small, so dealing them out costs little and spreads a file over all tasks.
-    scanned = scratch.cut(blocks.repartition("path", "block").mapInArrow(scan, schema))
+    # A block's row is small and its work is not, so the number of tasks is set: BLOCKS_A_TASK blocks each, MAX_TASKS at most.
+    many = files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0] // (block * width * BLOCKS_A_TASK) + 1
+    scanned = scratch.cut(blocks.repartition(min(MAX_TASKS, many), "path", "block").mapInArrow(scan, schema))
     scanned = scanned.withColumn("bucket", F.expr(f"block div {PER_BUCKET}"))
     before = running(scanned, ["file"], "bucket", [("seps", "seps0", "sum"), ("last", "last0", "max")])
     within = W.partitionBy("file", "bucket").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
