@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, embeddings, linededup, mixing, oracles, pii, quality, simhash, tokencount, toxicity, urls
+from . import bpe, embeddings, fim, linededup, mixing, oracles, pii, quality, sharding, simhash, spelling, tokencount, toxicity, urls
 from .common import Scratch, null_safe, table
 
 
@@ -80,6 +80,37 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text"), seed=1, percent=90, spm_percent=20)
+    output, form = F.col("fim.output"), F.col("fim.form")
+    digests = [F.sha2(output, 256).alias("output_sha256"), F.sha2(fim.restored(output, form), 256).alias("restored_sha256")]
+    return cut.select("doc_id", "fim.n", "fim.form", "fim.prefix_chars", "fim.middle_chars", *digests)
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit(""))))
+    found = sharding.shard(docs, shards=8, keep=["doc_id", "text_crc32"])
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(table(spark, sf_dir, "documents").select("doc_id", "text"), ratio=2, shortest=5, least=3, noise=97)
+
+
+def sharding_law(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op12: sizes, that a text's copies share a shard, that slots have no gaps, and that no shard
+    has more than an eighth of all bytes and one group."""
+    found = op12_sharding(spark, sf_dir)
+    texts = found.groupBy("text_crc32", "size").agg(F.count_distinct("shard").alias("shards_of_text"), F.sum("size").alias("group_size"))
+    shards = found.groupBy("shard").agg(
+        F.sum("size").alias("bytes"), ((F.count(F.lit(1)) == F.max("slot") + 1) & (F.count_distinct("slot") == F.count(F.lit(1)))).alias("gapless")
+    )
+    whole = shards.agg(F.sum("bytes").alias("total")).crossJoin(texts.agg(F.max("group_size").alias("most")))  # one row each
+    fair = shards.join(F.broadcast(whole)).select("shard", "gapless", (8 * (F.col("bytes") - F.col("most")) <= F.col("total")).alias("fair"))
+    return found.join(texts, ["text_crc32", "size"]).join(F.broadcast(fair), "shard").select("doc_id", "size", "shards_of_text", "gapless", "fair")
+
+
 def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can say of op3: sizes, targets, and what each source gives."""
     mixed = mixing.mix(table(spark, sf_dir, "documents")).documents
@@ -96,7 +127,7 @@ def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     found = {k: v for k, v in globals().items() if k.startswith("op") and k[2:3].isdigit()}
     found = dict(sorted(found.items(), key=lambda kv: int(kv[0][2:].split("_")[0])))
-    return found | {"mixing_targets": mixing_targets, "pii_counts": pii_counts}
+    return found | {"mixing_targets": mixing_targets, "pii_counts": pii_counts, "sharding_law": sharding_law}
 
 
 def oracle_sql() -> dict[str, str]:

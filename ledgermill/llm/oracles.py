@@ -82,6 +82,42 @@ SELECT doc_id, len(emails)::BIGINT AS n_email, len(list_filter(ips, lambda p: le
   len(list_filter(sums, lambda s: s % 10 = 0))::BIGINT AS n_card, len(list_filter(phones, lambda n: n BETWEEN 9 AND 15))::BIGINT AS n_phone FROM c
 """
 
+SQL["op11_fill_in_middle"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+k AS (SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS u, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+             ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM d),
+c AS (SELECT *, len(u)::BIGINT AS n, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+             WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM k),
+p AS (SELECT *, array_to_string(u[1:least(h1 % (n + 1), h2 % (n + 1))], '') AS x, array_to_string(u[greatest(h1 % (n + 1), h2 % (n + 1)) + 1:], '') AS z,
+             array_to_string(u[least(h1 % (n + 1), h2 % (n + 1)) + 1:greatest(h1 % (n + 1), h2 % (n + 1))], '') AS y FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(x) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(y) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y ELSE '<S>' || z || '<P>' || x || '<M>' || y END) AS output_sha256,
+       sha256(t) AS restored_sha256 FROM p
+"""
+
+SQL["sharding_law"] = r"""
+SELECT doc_id, coalesce(strlen(text), 0)::BIGINT + 1 AS size, 1::BIGINT AS shards_of_text, TRUE AS gapless, TRUE AS fair FROM documents
+"""
+
+SQL["op13_spelling"] = r"""
+WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda i: list_reduce(range(9), lambda a, k: CASE WHEN k = 0 THEN a WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i)) AS t),
+r AS (SELECT coalesce(doc_id::VARCHAR, '') AS d, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS w FROM documents),
+q AS (SELECT d, w, count(*) AS n, hex(encode(d || ':' || w)) AS x FROM r GROUP BY d, w),
+h AS (SELECT w, n, xor(list_reduce(list_transform(range(0, length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT),
+             lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295), 4294967295) AS h FROM q, tab),
+v AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS w, sum(n)::BIGINT AS n FROM h GROUP BY 1),
+k AS (SELECT w, n FROM v WHERE length(w) >= 5 AND n >= 3),
+e AS (SELECT w, n, i, substr(w, 1, i) || substr(w, i + 2) AS x FROM (SELECT w, n, unnest(range(0, length(w))) AS i FROM k)),
+p AS (SELECT a.w AS w, b.w AS v, b.n AS m FROM e a JOIN e b ON a.i = b.i AND a.x = b.x AND a.w <> b.w
+      UNION SELECT e.w, k.w, k.n FROM e JOIN k ON e.x = k.w UNION SELECT k.w, e.w, e.n FROM e JOIN k ON e.x = k.w),
+b AS (SELECT w, count(*)::BIGINT AS n_near, max(m) AS m FROM p GROUP BY w),
+f AS (SELECT k.w, k.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * k.n THEN (SELECT min(v) FROM p WHERE p.w = k.w AND p.m = b.m) END AS form, CASE WHEN m >= 2 * k.n THEN m END AS form_n
+      FROM k LEFT JOIN b ON k.w = b.w),
+c AS (SELECT w, w AS at FROM f UNION ALL SELECT c.w, f.form FROM c JOIN f ON c.at = f.w WHERE f.form IS NOT NULL),
+z AS (SELECT c.w, c.at FROM c JOIN f ON c.at = f.w WHERE f.form IS NULL)
+SELECT f.w AS word, f.form, z.at AS root, f.n, f.n_near, f.form_n FROM f JOIN z ON f.w = z.w
+"""
+
 
 def _fill() -> None:
     from .quality import STOP_WORDS
