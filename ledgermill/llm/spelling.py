@@ -70,9 +70,9 @@ def _powers(base: int, p: int, n: int) -> np.ndarray:
     return found
 
 
-def hashed_rotations(word: str) -> Iterator[tuple[np.ndarray, bool, np.ndarray]]:
-    """For a long word (keys, full, first): its rotations as rows of length, place and hashes of what stands around
-    the place."""
+def hashed_rotations(word: str, longest: int) -> Iterator[tuple[np.ndarray, bool, np.ndarray]]:
+    """(keys, full, first) of a word's rotations that are no text, being longer than ``longest``: rows of length,
+    place and hashes of what stands around the place."""
     x = np.frombuffer(word.encode("utf-32-le"), "<u4").astype(np.uint64)
     n = len(x)
     whole, skipped = np.empty((n + 1, 6), np.int64), np.empty((n, 6), np.int64)
@@ -83,21 +83,21 @@ def hashed_rotations(word: str) -> Iterator[tuple[np.ndarray, bool, np.ndarray]]
         upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * _powers(base, p, n) % q) % q])
         rest = (upto[n] + q - upto[1:]) % q * np.uint64(pow(base, -1, p)) % q  # moved by one place
         whole[:, 2 + k], skipped[:, 2 + k] = upto[n], (upto[:n] + rest) % q
-    if n >= LONG:
+    if n >= longest:
         yield whole, True, np.zeros(n + 1, bool)
-    if n > LONG:
+    if n > longest:
         yield skipped, False, np.concatenate([np.ones(1, bool), x[1:] != x[:-1]])
 
 
 def _long_rotations(long: DataFrame) -> DataFrame:
     """name, n, key, full, first of words whose rotations are hashed; ``long``: word, name, n."""
-    names = ["name", "n", "key", "full", "first"]
+    names, longest = ["name", "n", "key", "full", "first"], LONG
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with lean():
             for batch in batches:
                 for word, name, n in zip(*batch.columns, strict=True):
-                    for keys, full, first in hashed_rotations(word.as_py()):
+                    for keys, full, first in hashed_rotations(word.as_py(), longest):
                         for at in range(0, len(keys), 10_000):
                             part = pa.array(["#" + ":".join(map(str, k)) for k in keys[at : at + 10_000].tolist()])
                             same = [pa.array([v] * len(part), kind) for v, kind in ((name.as_py(), pa.string()), (n.as_py(), pa.int64()), (full, pa.bool_()))]
