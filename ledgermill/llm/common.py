@@ -10,12 +10,12 @@ import uuid
 import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
-from typing import ClassVar
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Words of every contract: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -78,26 +78,41 @@ def lean(*caches: dict) -> Iterator[None]:
             pass
 
 
+#: The scratch made inside the innermost ``consumed`` block of this thread.
+_own: ContextVar[list[Scratch] | None] = ContextVar("own", default=None)
+
+
 class Scratch:
     """Tables in the shared folder.  ``cut`` ends a lineage: the table it returns is read from files, so a
-    lost executor costs a re-read and not the steps before it.  What operators leave there goes with
-    ``consumed``."""
-
-    made: ClassVar[list[Scratch]] = []
+    lost executor costs a re-read and not the steps before it.  An operator's result is lazy; what it still
+    reads is the last table that ``settle`` keeps, and ``consumed`` removes that for the caller that has
+    written the result."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
-        Scratch.made.append(self)
+        self.paths: list[str] = []
+        own = _own.get()
+        if own is not None:
+            own.append(self)
 
     def cut(self, df: DataFrame, partition_by: str | None = None) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
         writer = df.write.option("compression", "zstd")
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+        self.paths.append(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._scratch_path = path
         return kept
 
+    def settle(self, df: DataFrame) -> DataFrame:
+        """Cuts a table on which alone the result depends, and removes the tables before it."""
+        before = list(self.paths)
+        kept = self.cut(df)
+        for path in before:
+            self._remove(path)
+        return kept
+
     def drop(self, df: DataFrame) -> None:
         """Removes a table that ``cut`` made and nothing will read again."""
         self._remove(df._scratch_path)
@@ -109,16 +124,39 @@ class Scratch:
     def _remove(self, name: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.paths = [p for p in self.paths if p != name]
 
 
 @contextmanager
 def consumed() -> Iterator[None]:
-    """Operators' results are lazy and read scratch tables.  Written inside of this block, they leave none behind."""
-    before = len(Scratch.made)
-    yield
-    for scratch in Scratch.made[before:]:
-        scratch.remove()
-    del Scratch.made[before:]
+    """Whoever writes operators' results inside of this block leaves none of their tables behind, whether the block
+    ends well or not.  Blocks of other threads, and results made outside of any block, are not touched."""
+    made: list[Scratch] = []
+    token = _own.set(made)
+    try:
+        yield
+    finally:
+        _own.reset(token)
+        for scratch in made:
+            scratch.remove()
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that the input does not have, whatever its columns are called."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
+def row_keys(df: DataFrame) -> list[Column]:
+    """Two 64-bit hashes of a whole row, nulls told from values.  Maps cannot be hashed and are left out."""
+    hashed = [F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()]
+    nulls = F.concat(F.lit("n"), *[F.when(c.isNull(), "1").otherwise("0") for c in hashed])
+    return [F.xxhash64(nulls, *hashed, F.lit(seed)) for seed in (1, 2)]
 
 
 def running(df: DataFrame, group: list[str], bucket: str, specs: list[tuple[str, str, str]]) -> DataFrame:
@@ -147,9 +185,10 @@ def running(df: DataFrame, group: list[str], bucket: str, specs: list[tuple[str,
 
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join in which null keys meet null keys; the right side's keys are dropped."""
-    renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    names = dict(zip(keys, fresh(left, *[f"_r_{k}" for k in keys]), strict=True))
+    renamed = right.withColumnsRenamed(names)
     on = None
     for k in keys:
-        one = left[k].eqNullSafe(renamed[f"_r_{k}"])
+        one = left[k].eqNullSafe(renamed[names[k]])
         on = one if on is None else on & one
-    return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
+    return left.join(renamed, on, how).drop(*names.values())

@@ -11,14 +11,14 @@ the large side, which adaptive execution splits.  Both small sides grow with the
 
 Defined results: a null text stays null, with no lines; an empty text has one blank line; repeated rows (same
 doc_id and text) are one document and change alike; a null doc_id comes last in document order; other columns
-are passed on.
+are passed on, and ones named ``n_lines`` or ``n_removed`` give way to the result's.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import WORD, Scratch, null_safe
+from .common import WORD, Scratch, fresh, null_safe
 
 
 def _windows(text: Column) -> Column:
@@ -58,15 +58,16 @@ def dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", name: str =
     firsts = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place("s")).alias("first")).where("n > 1").drop("n")
     later = windows.join(firsts.hint("merge"), ["h1", "h2"]).where(place("s") > F.col("first"))
     covers = later.groupBy("d", "t").agg(F.collect_set(F.struct("s", "e")).alias("_covers"))
-    covers = scratch.cut(covers)
-    covers = covers.withColumnsRenamed({"d": "_d", "t": "_t"})
-    joined = null_safe(df.withColumns({"_d": F.col(doc_id), "_t": F.xxhash64(text)}), covers.hint("merge"), ["_d", "_t"], "left").drop("_d", "_t")
-    kept = F.when(F.col("_covers").isNotNull(), _kept(F.col(text), F.col("_covers")))
+    covers = scratch.settle(covers)
+    one, two, held, left = fresh(df.withColumns({"n_lines": F.lit(0), "n_removed": F.lit(0)}), "_d", "_t", "_covers", "_kept")
+    covers = covers.withColumnsRenamed({"d": one, "t": two, "_covers": held})
+    joined = null_safe(df.withColumns({one: F.col(doc_id), two: F.xxhash64(text)}), covers.hint("merge"), [one, two], "left").drop(one, two)
+    kept = F.when(F.col(held).isNotNull(), _kept(F.col(text), F.col(held)))
     n_lines = F.coalesce(F.size(F.split(text, "\n")), F.lit(0))
     n_lines = F.when(F.col(text).isNull(), F.lit(0)).otherwise(n_lines).cast("long")
-    found = joined.withColumn("_kept", kept).withColumns({
+    found = joined.withColumn(left, kept).withColumns({
         "n_lines": n_lines,
-        "n_removed": F.coalesce(n_lines - F.size("_kept"), F.lit(0)).cast("long"),
-        text: F.when(F.col("_kept").isNotNull(), F.array_join("_kept", "\n")).otherwise(F.col(text)),
+        "n_removed": F.coalesce(n_lines - F.size(left), F.lit(0)).cast("long"),
+        text: F.when(F.col(left).isNotNull(), F.array_join(left, "\n")).otherwise(F.col(text)),
     })
-    return found.drop("_covers", "_kept")
+    return found.drop(held, left)

@@ -25,7 +25,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import SPACE, WORD, Scratch, null_safe, running
+from .common import SPACE, WORD, Scratch, consumed, fresh, null_safe, row_keys, running
 
 #: Words of a block.
 BLOCK = 256
@@ -40,7 +40,7 @@ CELLS = 1024
 
 @dataclass(frozen=True)
 class Mix:
-    documents: DataFrame  # doc_id, source, size, source_size, target, taken (and the row's number, in ``apply``)
+    documents: DataFrame  # doc_id, source, size, source_size, target, taken (and the row's hashes, in ``apply``)
     schedule: DataFrame  # slot, doc_id, source, first_word, n_words: what the mix reads, in order
     sources: DataFrame  # source, source_size, target
 
@@ -121,20 +121,22 @@ def apply(df: DataFrame, weights: tuple[float, ...] = (3, 1, 2), budget: float =
     """The mix as rows of the input: a document as often as the mix takes it whole, and once more with its
     first words (joined by a space) if the target ends inside it.
 
-    Rows are numbered and written once, with their sizes, so that rows that share a doc_id stay apart and no text
-    is searched for words twice.
+    Rows are known by a hash of all their columns, so only that, sizes and sources are written before the mix; the
+    input is joined once, at the end.  Rows that are equal in all columns give their copies from one of them.
     """
-    scratch = Scratch(df.sparkSession, name)
-    parts = [c.alias(f"_mix_{k}") for k, c in zip(("id", "source", "size", "key"), _described(df, text, source, doc_id, seed), strict=True)]
-    rows = scratch.cut(df.select("*", *parts).withColumn("_mix_row", F.monotonically_increasing_id()))
-    docs = rows.select(*[F.col(f"_mix_{k}").alias(c) for k, c in (("id", "doc_id"), ("source", "source"), ("size", "size"), ("key", "_key"))], "_mix_row")
-    taken = _mix(docs, ["_mix_row"], weights, budget, epochs, block, scratch).documents.where("taken > 0").select("_mix_row", F.col("taken").alias("_mix_taken"))
-    joined = rows.join(taken, "_mix_row")
-    whole, part = F.expr("cast(_mix_taken div _mix_size as int)"), F.expr("cast(_mix_taken % _mix_size as int)")
-    first = F.array_join(F.slice(F.filter(F.split(text, SPACE), lambda w: w != ""), 1, part), " ")
-    copies = F.concat(F.array_repeat(F.lit(True), whole), F.when(part > 0, F.array(F.lit(False))).otherwise(F.expr("cast(array() as array<boolean>)")))
-    mixed = joined.withColumn("_mix_whole", F.explode(copies))
-    return mixed.withColumn(text, F.when(F.col("_mix_whole"), F.col(text)).otherwise(first)).select(*df.columns)
+    scratch = Scratch(df.sparkSession, f"{name}-taken")
+    one, two, whole, part, first = fresh(df, "_k1", "_k2", "_whole", "_part", "_is_whole")
+    with consumed():
+        described = df.select(*_described(df, text, source, doc_id, seed), *[k.alias(c) for k, c in zip(row_keys(df), ("_k1", "_k2"), strict=True)])
+        taken = _mix(described, ["_k1", "_k2"], weights, budget, epochs, block, Scratch(df.sparkSession, name)).documents.where("taken > 0")
+        sums = taken.groupBy("_k1", "_k2").agg(F.expr("cast(sum(taken div size) as int)").alias(whole), F.expr("cast(sum(taken % size) as int)").alias(part))
+        sums = scratch.cut(sums.withColumnsRenamed({"_k1": one, "_k2": two}))
+    keyed = df.withColumns(dict(zip((one, two), row_keys(df), strict=True)))
+    joined = keyed.join(sums.hint("merge"), [one, two]).dropDuplicates([one, two])
+    words = F.array_join(F.slice(F.filter(F.split(text, SPACE), lambda w: w != ""), 1, F.col(part)), " ")
+    copies = F.concat(F.array_repeat(F.lit(True), F.col(whole)), F.when(F.col(part) > 0, F.array(F.lit(False))).otherwise(F.expr("cast(array() as array<boolean>)")))
+    mixed = joined.withColumn(first, F.explode(copies))
+    return mixed.withColumn(text, F.when(F.col(first), F.col(text)).otherwise(words)).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def _slots(sources: DataFrame, scratch: Scratch, block: int) -> DataFrame:

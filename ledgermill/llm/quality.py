@@ -11,7 +11,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SPACE, WORD
+from ..functions.text import let as _let
+from .common import SPACE, WORD, fresh
 
 #: Frequent short words of the four languages of the corpus: fixed values.
 STOP_WORDS = {
@@ -45,11 +46,6 @@ RULES = (
 )
 
 
-def _let(value: Column, body) -> Column:
-    """Binds ``value`` once for a body that reads it many times."""
-    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
-
-
 def repeated_window_words(words: Column, width: int = 3) -> Column:
     """Number of word positions inside windows of ``width`` words that occur twice or more, the first
     occurrence included.
@@ -84,15 +80,16 @@ def with_metrics(df: DataFrame, text: str = "text") -> DataFrame:
     ))
     word_lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD))
     of_lines = _let(word_lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup")))
-    counted = df.withColumns({"_words": of_words, "_lines": of_lines}).withColumns({
-        "n_words": F.col("_words.n"),
-        "word_chars": F.col("_words.chars"),
+    own, lines = fresh(df, "_words", "_lines")
+    counted = df.withColumns({own: of_words, lines: of_lines}).withColumns({
+        "n_words": F.col(own)["n"],
+        "word_chars": F.col(own)["chars"],
         "n_symbols": F.regexp_count(t, F.lit("[#*$%&|<>]")).cast("long"),
-        "n_lines": F.col("_lines.n"),
-        "n_dup_lines": F.col("_lines.dup"),
-        "n_repeat_words": F.col("_words.repeated"),
-        "n_stop_words": F.col("_words.stop"),
-    }).drop("_words", "_lines")
+        "n_lines": F.col(lines)["n"],
+        "n_dup_lines": F.col(lines)["dup"],
+        "n_repeat_words": F.col(own)["repeated"],
+        "n_stop_words": F.col(own)["stop"],
+    }).drop(own, lines)
     per = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
     return counted.withColumns({
         "mean_word_chars": per("word_chars", "n_words"),

@@ -25,6 +25,7 @@ from __future__ import annotations
 from bisect import bisect_right
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .common import Scratch, null_safe, running
@@ -143,7 +144,7 @@ def plan(groups: DataFrame, shards: int) -> tuple[list[tuple[int, int]], list[tu
 def shard(df: DataFrame, shards: int = SHARDS, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None, name: str = "sharding") -> DataFrame:
     """The columns ``keep`` of the input (all, if not given) with ``size``, ``shard`` and ``slot``."""
     scratch, spark = Scratch(df.sparkSession, name), df.sparkSession
-    own = F.struct(*[F.col(c) for c in (df.columns if keep is None else keep)])
+    own = F.struct(*[F.col(f"`{c}`") for c in (df.columns if keep is None else keep)])
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
     # Rows are numbered in a table that stands, so their numbers do not change when a task is run again.
     rows = scratch.cut(df.select(
@@ -154,7 +155,7 @@ def shard(df: DataFrame, shards: int = SHARDS, text: str = "text", doc_id: str =
     of_hash = F.lit(0)
     for first, k in firsts:
         of_hash = F.when(F.col("g") >= F.lit(first), F.lit(k)).otherwise(of_hash)
-    known = spark.createDataFrame(placed, "g long, placed int")  # under LARGE rows
+    known = spark.createDataFrame(pa.table({"g": pa.array([g for g, _ in placed], pa.int64()), "placed": pa.array([k for _, k in placed], pa.int32())}))  # under LARGE rows
     dealt = rows.select("d", "g", "r").join(F.broadcast(known), "g", "left").withColumn("shard", F.coalesce("placed", of_hash).cast("int")).drop("placed")
 
     key = ["d", "g"]

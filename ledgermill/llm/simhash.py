@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import overlap
-from .common import Scratch, lean, ship
+from .common import Scratch, consumed, fresh, lean, ship
 from .components import connected
 
 BITS = 64
@@ -163,10 +163,13 @@ def groups(df: DataFrame, width: int = 4, radius: int | None = None, text: str =
 def keep_one(df: DataFrame, width: int = 5, radius: int | None = None, text: str = "text", doc_id: str = "doc_id", name: str = "simhash") -> DataFrame:
     """The input with one row of each group: that of the smallest doc_id (nulls last; of equal ones the
     smallest hash of the text; of equal rows one)."""
-    found = groups(df, width, radius, text, doc_id, name)
-    first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "text_hash")).alias("k"))
-    # Plain keys, so that the join's partitions serve the removal of equal rows too.
-    keys = lambda i, h: {"_id": F.coalesce(i, F.lit(0)), "_null": i.isNull(), "_hash": h}
-    keepers = first.select(*[c.alias(k) for k, c in keys(F.col("k.doc_id"), F.col("k.text_hash")).items()])
+    scratch = Scratch(df.sparkSession, f"{name}-kept")
+    with consumed():  # of the groups only the rows that stay are needed
+        found = groups(df, width, radius, text, doc_id, name)
+        first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "text_hash")).alias("k"))
+        # Plain keys, so that the join's partitions serve the removal of equal rows too.
+        names = fresh(df, "_id", "_null", "_hash")
+        keys = lambda i, h: dict(zip(names, (F.coalesce(i, F.lit(0)), i.isNull(), h), strict=True))
+        keepers = scratch.cut(first.select(*[c.alias(k) for k, c in keys(F.col("k.doc_id"), F.col("k.text_hash")).items()]))
     keyed = df.withColumns(keys(F.col(doc_id).cast("long"), F.xxhash64(text)))
-    return keyed.join(keepers.hint("merge"), ["_id", "_null", "_hash"]).dropDuplicates(["_id", "_null", "_hash"]).drop("_id", "_null", "_hash")
+    return keyed.join(keepers.hint("merge"), names).dropDuplicates(names).drop(*names)

@@ -11,8 +11,8 @@ instead of encoded, which ends the cascade.  A list whose cascade would pass ``M
 hash of the key into parts that each stay below it; the pages are judged part after part, and the best fitting
 rule of all parts wins, so the bound on what a task carries costs passes and never exactness.
 
-Keys are host followed by path prefix.  A url's candidates are the suffixes of its host with as many labels
-as some rule has, times the prefixes of its path as long as some rule's path.
+Keys are host followed by path prefix.  A url's candidates are the suffixes of its host with as many labels, each
+with the prefix of its path of as many characters, as some rule has of both.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and fits no rule; null rules
 are ignored; a key listed for both actions blocks; the longest fitting rule wins, of two equally long ones
@@ -26,7 +26,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Scratch
+from ..functions.text import let as _let
+from .common import Scratch, fresh
 
 #: Bound on all levels of one cascade, which every task carries.
 MAX_FILTER_BYTES = 64 << 20
@@ -34,11 +35,6 @@ MAX_FILTER_BYTES = 64 << 20
 FEW = 200
 
 
-def _let(value: Column, body) -> Column:
-    """Binds ``value`` once for a body that reads it many times."""
-    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
-
-
 @dataclass(frozen=True)
 class Bloom:
     level: int
@@ -136,19 +132,29 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     rest = F.coalesce(rest, F.lit(""))
     host = F.regexp_extract(rest, r"^[^/?#]*", 0)
     path = F.regexp_extract(F.substring(rest, F.length(host) + 1, F.length(rest)), r"^[^?#]*", 0)
-    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
+    return lowered(host), path
+
+
+def lowered(host: Column) -> Column:
+    """Hosts differ by the case of A-Z in nothing, in rules as in urls."""
+    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def candidates(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Column:
+    """The keys that could be a url's rule, longest first (of equally long ones the longer host first): for each
+    (labels, length) that some rule has the host's last labels and the path's first characters.  The shapes are
+    literal arrays, so the expression does not grow with them."""
+    labels = sorted({c for c, _ in shapes})
+    of, n = F.lit([labels.index(c) for c, _ in shapes]), F.lit([n for _, n in shapes])
+    suffixes = _let(F.split(host, "[.]"), lambda x: F.transform(F.lit(labels), lambda c: F.when(F.size(x) >= c, F.array_join(F.slice(x, -c, c), "."))))
 
+    def key(i: Column, x: Column) -> Column:
+        suffix, length = F.get(x["s"], F.get(of, i)), F.get(n, i)
+        whole = F.concat(suffix, F.substring(x["p"], F.lit(1), length))
+        return F.when(suffix.isNotNull() & (F.length(x["p"]) >= length), F.struct(F.length(whole).alias("n"), F.length(suffix).alias("h"), whole.alias("key")))
 
-def candidates(host: Column, path: Column, labels: list[int], lengths: list[int]) -> Column:
-    """The keys that could be a url's rule, longest first (of equally long ones the longer host first)."""
-    keys = []
-    for c in labels:
-        suffix = F.substring_index(host, ".", -c)
-        fits = F.size(F.split(host, "[.]", c + 1)) >= c
-        for n in lengths:
-            key = F.concat(suffix, F.substring(path, 1, n))
-            keys.append(F.when(fits & (F.length(path) >= n), F.struct(F.length(key).alias("n"), F.length(suffix).alias("h"), key.alias("key"))))
-    return F.transform(F.sort_array(F.array_compact(F.array(*keys)), asc=False), lambda x: x["key"])
+    keys = _let(F.struct(suffixes.alias("s"), path.alias("p")), lambda x: F.array_compact(F.transform(F.sequence(F.lit(0), F.lit(len(shapes) - 1)), lambda i: key(i, x))))
+    return F.transform(F.sort_array(keys, asc=False), lambda x: x["key"])
 
 
 def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
@@ -158,29 +164,30 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     """
     scratch = Scratch(pages.sparkSession, "urls")
     rules = rules.where("host is not null and path is not null and action in ('block', 'allow')")
-    rules = rules.select(F.lower("host").alias("host"), "path", "action", F.concat(F.lower("host"), "path").alias("key"))
-    # How many labels and characters rules have: small sets of numbers, whatever the list's length.
-    shape = rules.agg(
-        F.sort_array(F.collect_set(F.size(F.split("host", "[.]")))).alias("labels"), F.sort_array(F.collect_set(F.length("path"))).alias("lengths")
-    ).first()
+    rules = rules.select(lowered(F.col("host")).alias("host"), "path", "action").withColumn("key", F.concat("host", "path"))
+    # How many labels and characters rules have: small numbers, so few pairs, whatever the list's length.
+    shapes = sorted(tuple(r) for r in rules.select(F.size(F.split("host", "[.]")), F.length("path")).distinct().collect())
     host, path = host_and_path(F.col(url))
     parted = pages.withColumns({"host": host, "path": path})
-    keys = candidates(F.col("host"), F.col("path"), shape["labels"] or [], shape["lengths"] or []) if shape["labels"] else F.expr("cast(array() as array<string>)")
+    keys = candidates(F.col("host"), F.col("path"), shapes) if shapes else F.expr("cast(array() as array<string>)")
     universe = parted.select(F.explode(keys).alias("key"))
     listed = rules.select("key", "action").distinct()
-    n, seen = listed.count(), universe.agg(F.approx_count_distinct("key")).first()[0] if shape["labels"] else 0
+    n, seen = listed.count(), universe.agg(F.approx_count_distinct("key")).first()[0] if shapes else 0
     of = parts(n, seen)
+    rule, mine = fresh(parted, "_rule", "_mine")
     if of == 1:
-        return _finish(parted.withColumn("_rule", _best(keys, listed, universe, scratch, seen)), default)
+        return _finish(parted.withColumn(rule, _best(keys, listed, universe, scratch, seen)), rule, default)
     own = lambda c: F.pmod(F.xxhash64(c, F.lit(99)), F.lit(of))
-    judged = parted.withColumn("_rule", F.lit(None).cast("struct<key: string, action: string>"))
+    judged = parted.withColumn(rule, F.lit(None).cast("struct<key: string, action: string>"))
+    part = lambda c, f: F.coalesce(F.length(f(F.col(c)["key"])), F.lit(-1))
+    whole, host_of = (lambda k: k), (lambda k: F.substring_index(k, "/", 1))
     for g in range(of):
-        mine = _best(F.filter(keys, lambda k: own(k) == g), listed.where(own(F.col("key")) == g), universe.where(own(F.col("key")) == g), scratch, seen // of)  # noqa: B023
-        longer = F.coalesce(F.length("_mine.key"), F.lit(-1)) - F.coalesce(F.length("_rule.key"), F.lit(-1))
-        higher = F.coalesce(F.length(F.substring_index("_mine.key", "/", 1)), F.lit(-1)) > F.coalesce(F.length(F.substring_index("_rule.key", "/", 1)), F.lit(-1))
-        judged = judged.withColumn("_mine", mine)
-        judged = scratch.cut(judged.withColumn("_rule", F.when((longer > 0) | ((longer == 0) & higher), F.col("_mine")).otherwise(F.col("_rule"))).drop("_mine"))
-    return _finish(judged, default)
+        best = _best(F.filter(keys, lambda k: own(k) == g), listed.where(own(F.col("key")) == g), universe.where(own(F.col("key")) == g), scratch, seen // of)  # noqa: B023
+        longer = part(mine, whole) - part(rule, whole)
+        higher = part(mine, host_of) > part(rule, host_of)
+        judged = judged.withColumn(mine, best)
+        judged = scratch.cut(judged.withColumn(rule, F.when((longer > 0) | ((longer == 0) & higher), F.col(mine)).otherwise(F.col(rule))).drop(mine))
+    return _finish(judged, rule, default)
 
 
 def _best(keys: Column, listed: DataFrame, universe: DataFrame, scratch: Scratch, seen: int) -> Column:
@@ -190,5 +197,7 @@ def _best(keys: Column, listed: DataFrame, universe: DataFrame, scratch: Scratch
     return F.get(F.filter(acted, lambda x: x["action"].isNotNull()), F.lit(0))
 
 
-def _finish(judged: DataFrame, default: str) -> DataFrame:
-    return judged.withColumns({"rule": F.col("_rule.key"), "verdict": F.coalesce("_rule.action", F.lit(default))}).drop("_rule")
+def _finish(judged: DataFrame, rule: str, default: str) -> DataFrame:
+    best = F.col(rule)
+    found = judged.withColumns({"rule": best["key"], "verdict": F.coalesce(best["action"], F.lit(default))})
+    return found.drop(rule)
