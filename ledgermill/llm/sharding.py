@@ -36,7 +36,7 @@ LARGE = 1024
 #: Bits of the hash by which the order is first split, and by which a range is split further.
 FIRST, MORE = 12, 9
 #: Buckets of rows, for their slots.
-BUCKETS = 4096
+BUCKETS = 1024
 
 
 @dataclass(frozen=True)
