@@ -176,17 +176,18 @@ def summarise(transactions: DataFrame, key: str = "file_id") -> DataFrame:
 
 def parse(grid: DataFrame, files: DataFrame, limits: Limits = LIMITS, rules: DateRules = DATE_RULES, default_direction: str = "D", stage: Callable[[DataFrame], DataFrame] | None = None) -> Statements:
     """All of it.  ``grid`` as the tokeniser makes it, ``files`` with at least file_id and encoding: files
-    without records or with missing columns get an error_code and no transactions.  ``stage`` writes the parsed
+    without records or with missing columns get an error_code and no transactions, and records of other files are
+    left out.  ``stage`` writes the parsed
     rows and reads them again, so that each is parsed once though transactions and summaries both need it."""
-    layout = layouts(grid)
-    rows = parse_rows(data_rows(grid, layout, limits.max_csv_rows), rules, default_direction)
+    layout = files.select("file_id", "encoding").join(layouts(grid), "file_id", "left")
+    rows = parse_rows(data_rows(grid, layout.where("header is not null"), limits.max_csv_rows), rules, default_direction)
     fate = F.when(F.col("skip_reason").isNotNull(), "skipped").when(F.col("transaction_date").isNull(), "dropped").otherwise("parsed")
     rows = rows.withColumn("fate", fate)
     rows = rows if stage is None else stage(rows)
     transactions = with_continuity(rows.where("fate = 'parsed'").drop("skip_reason", "fate"), limits=limits)
     skipped = rows.groupBy("file_id").agg(F.count_if(F.col("fate") == "skipped").cast("int").alias("total_rows_skipped"), F.count_if(F.col("fate") == "dropped").cast("int").alias("total_rows_dropped"))
     size = grid.groupBy("file_id").agg(F.max("line_no").alias("records"))
-    joined = files.select("file_id", "encoding").join(layout, "file_id", "left").join(size, "file_id", "left").join(skipped, "file_id", "left").join(summarise(transactions), "file_id", "left")
+    joined = layout.join(size, "file_id", "left").join(skipped, "file_id", "left").join(summarise(transactions), "file_id", "left")
     truncated = F.when(F.col("records") - F.col("header_line") > limits.max_csv_rows, F.array(F.struct(
         F.lit("row_count").alias("field"), message("truncated", rows=(F.col("records") - F.col("header_line")).cast("string"), limit=F.lit(str(limits.max_csv_rows))).alias("message")))
     ).otherwise(F.expr(f"cast(array() as {WARNING})"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import EXTENSIONS, LIMITS, MIME_EXTENSIONS, XLSX_MIME, Limits
 
@@ -40,44 +40,72 @@ def mime(content: Column) -> Column:
     )
 
 
-def error_code(limits: Limits = LIMITS) -> Column:
-    """Of original_name, length, mime and duplicate_of; null for a good file.  The cheapest come first."""
+def _refusals(limits: Limits) -> tuple[Column, Column]:
+    """The codes that a file gets before and after duplicates are looked for; null where it passes.  Of extension,
+    length and mime; the cheapest come first."""
     ext, mime_ext = F.col("extension"), F.element_at(F.create_map(*[F.lit(x) for kv in MIME_EXTENSIONS.items() for x in kv]), F.col("mime"))
-    return F.coalesce(
+    early = F.coalesce(
         F.when(~ext.isin(*EXTENSIONS), "INVALID_EXTENSION"),
         F.when(F.col("length") > F.when(ext == ".pdf", limits.max_pdf_bytes).otherwise(limits.max_csv_bytes), "FILE_TOO_LARGE"),
         F.when(F.col("length") == 0, "EMPTY_FILE"),
-        F.when(F.col("duplicate_of").isNotNull(), "DUPLICATE_FILE"),
+    )
+    late = F.coalesce(
         F.when(mime_ext.isNull(), "UNSUPPORTED_FORMAT"),
         F.when(mime_ext != ext, "FILE_TYPE_MISMATCH"),
         F.when((ext == ".csv") & (F.col("length") < limits.min_csv_bytes), "CSV_PARSE_ERROR"),
     )
+    return early, late
 
 
-def validate(files: DataFrame, documents: DataFrame | None = None, allow_reprocess: bool = False, limits: Limits = LIMITS) -> DataFrame:
-    """Files (file_id, original_name, length, content, uploaded_at) with their metadata and ``error_code``.
-
-    A file is a duplicate of a live document with its checksum, or of an earlier file of the same input.
-    With ``allow_reprocess`` a known checksum is ``reprocess_of`` instead.
-    """
+def described(files: DataFrame, limits: Limits = LIMITS) -> DataFrame:
+    """Files (file_id, original_name, length, content, uploaded_at) with what each says of itself: filename, extension,
+    checksum_sha256, mime, and the codes ``early`` and ``late``.  A projection."""
     known = files.withColumns({
         "filename": safe_name(F.col("original_name")), "extension": extension(F.col("original_name")),
         "checksum_sha256": checksum(F.col("content")), "mime": mime(F.col("content")),
     })
+    early, late = _refusals(limits)
+    return known.withColumns({"early": early, "late": late})
+
+
+def judged(known: DataFrame, documents: DataFrame | None = None, allow_reprocess: bool = False, extracted: DataFrame | None = None, twins: str = "accepted", limits: Limits = LIMITS) -> DataFrame:
+    """``described`` files with ``duplicate_of``, ``reprocess_of`` and ``error_code``, and without their content, which
+    no exchange carries.
+
+    A file is a duplicate of a live document with its checksum, or of an earlier file of the same input that is
+    accepted: a refused file makes no document, so it stands in no one's way.  (``twins="any"``: of any earlier
+    file.)  With ``allow_reprocess`` a document's checksum is ``reprocess_of`` instead.  ``extracted``: what an
+    extractor says of PDF files (``EXTRACTED``); their codes refuse a file like any other.
+    """
+    narrow = known.drop("content")
+    if extracted is not None:
+        of_pdfs = check_pdfs(extracted, limits).select("file_id", F.col("error_code").alias("_pdf"), "pdf_encryption_type", "pdf_password_used")
+        narrow = narrow.join(of_pdfs, "file_id", "left").withColumn("late", F.coalesce("late", F.when(F.col("extension") == ".pdf", F.col("_pdf")))).drop("_pdf")
     # Content that was never read (files over the limit) has no checksum; each such file is its own.
-    first = W.partitionBy(F.coalesce("checksum_sha256", "file_id")).orderBy("uploaded_at", "file_id")
-    known = known.withColumn("_first", F.first("file_id").over(first))
-    earlier = F.when(F.col("_first") != F.col("file_id"), F.col("_first"))
+    narrow = narrow.withColumns({"_key": F.coalesce("checksum_sha256", "file_id"), "_place": F.struct("uploaded_at", "file_id")})
+    if twins not in ("accepted", "any"):
+        raise ValueError("twins must be accepted or any")
+    may = narrow if twins == "any" else narrow.where("early is null and late is null")
+    first = may.groupBy("_key").agg(F.min("_place").alias("_first"))
+    narrow = narrow.join(first, "_key", "left")
+    earlier = F.when(F.col("_first") < F.col("_place"), F.col("_first.file_id"))
     if documents is None:
-        known = known.withColumn("_document", F.lit(None).cast("string"))
+        narrow = narrow.withColumn("_document", F.lit(None).cast("string"))
     else:
         live = documents.where("not is_deleted").groupBy("checksum_sha256").agg(F.min("id").alias("_document"))
-        known = known.join(live, "checksum_sha256", "left")
+        narrow = narrow.join(live, "checksum_sha256", "left")
     if allow_reprocess:
-        known = known.withColumns({"reprocess_of": F.col("_document"), "duplicate_of": earlier})
+        narrow = narrow.withColumns({"reprocess_of": F.col("_document"), "duplicate_of": earlier})
     else:
-        known = known.withColumns({"reprocess_of": F.lit(None).cast("string"), "duplicate_of": F.coalesce("_document", earlier)})
-    return known.withColumn("error_code", error_code(limits)).drop("_first", "_document")
+        narrow = narrow.withColumns({"reprocess_of": F.lit(None).cast("string"), "duplicate_of": F.coalesce("_document", earlier)})
+    code = F.coalesce("early", F.when(F.col("duplicate_of").isNotNull(), "DUPLICATE_FILE"), "late")
+    return narrow.withColumn("error_code", code).drop("_key", "_place", "_first", "_document", "early", "late")
+
+
+def validate(files: DataFrame, documents: DataFrame | None = None, allow_reprocess: bool = False, limits: Limits = LIMITS, extracted: DataFrame | None = None, twins: str = "accepted") -> DataFrame:
+    """Files (file_id, original_name, length, content, uploaded_at) with their metadata and ``error_code``, without
+    content: ``described``, then ``judged``."""
+    return judged(described(files, limits), documents, allow_reprocess, extracted, twins, limits)
 
 
 #: Names of encryption by the version number in a PDF's encryption entry.

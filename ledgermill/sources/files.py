@@ -16,14 +16,21 @@ from xml.etree import ElementTree
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.text import let
+
 BINARY_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 DELIMITERS = (",", ";", "\t", "|", ":")
 GRID = "file_id string, line_no int, cells array<string>, delimiter string"
+#: Files as they are kept: their contents and what each says of itself.
+HELD = (
+    "file_id string, original_name string, length long, content binary, uploaded_at timestamp, filename string, extension string, "
+    "checksum_sha256 string, mime string, early string, late string, encoding string"
+)
 #: Records of a batch that a tokeniser hands on.
 BATCH = 4096
 
 
-def scan(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
+def scan(spark: SparkSession, path: str | list[str], max_bytes: int | None = None) -> DataFrame:
     """Files with ``file_id``, ``original_name``, ``length`` and ``content``.  A size limit reaches the scan: of
     what is over it the content is null, and never read."""
     found = spark.read.format("binaryFile").load(path)
@@ -37,22 +44,54 @@ def named(files: DataFrame) -> DataFrame:
     return files.select(F.sha2("path", 256).alias("file_id"), F.element_at(F.split("path", "/"), -1).alias("original_name"), "length", "content", F.col("modificationTime").alias("uploaded_at"))
 
 
-def decoded(content: Column) -> Column:
-    """A struct of ``text`` and ``encoding``: by byte-order mark, else UTF-8 if it is valid (ascii if plain),
-    else Latin-1, which any bytes are."""
-    text = content.cast("string")
+#: The bytes 80 to 9F of windows-1252, in order, but for the five that stand for nothing.
+CP1252_BYTES = "".join(chr(b) for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
+CP1252_CHARACTERS = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
+#: Bytes of a file that its encoding is guessed from.
+SAMPLE_BYTES = 1 << 16
+
+
+def encoding_of(content: Column) -> Column:
+    """The name of a content's encoding: by its byte-order mark, else by what its bytes are.
+
+    Zero bytes at odd or at even places alone, in one of twenty pairs or more, are UTF-16 (little or big end first):
+    separators, digits and line ends have one whatever the script.  Valid UTF-8 is that, or ascii.  Of single-byte
+    texts those with bytes from 80 to 9F, where Latin-1 has control characters, are windows-1252, unless one of
+    these stands for nothing there; else they are Latin-1, which any bytes are.
+    """
     head = lambda n: F.hex(F.substring(content, 1, n))
-    rest = F.substring(content, F.lit(4), F.length(content))
-    utf16 = head(2).isin("FFFE", "FEFF")
-    as_text = (
-        F.when(head(3) == "EFBBBF", F.decode(rest, "UTF-8")).when(utf16, F.decode(content, "UTF-16"))
-        .when(F.is_valid_utf8(text), text).otherwise(F.decode(content, "ISO-8859-1"))
-    )
-    encoding = (
-        F.when(head(3) == "EFBBBF", "utf-8-sig").when(utf16, "utf-16").when(~F.is_valid_utf8(text), "latin-1")
-        .when(F.regexp_like(text, F.lit(r"^[\x00-\x7f]*$")), "ascii").otherwise("utf-8")
+    text = content.cast("string")
+    sample = F.decode(F.substring(content, 1, SAMPLE_BYTES), "ISO-8859-1")
+    zeros = lambda s: F.length(s) - F.length(F.replace(s, F.lit("\0"), F.lit("")))
+    at = lambda which: zeros(F.regexp_replace(sample, "(?s)(.)(.)", f"${which}"))
+    pairs = F.length(sample) / 2
+    clear = lambda many, few: (20 * many >= pairs) & (many >= 8 * few)
+    wide = F.contains(sample, F.lit("\0")) & (F.octet_length(content) % 2 == 0)
+    single = F.decode(content, "ISO-8859-1")
+    undefined = "".join(chr(b) for b in range(0x80, 0xA0) if chr(b) not in CP1252_BYTES)
+    return (
+        F.when(head(3) == "EFBBBF", "utf-8-sig").when(head(2).isin("FFFE", "FEFF"), "utf-16")
+        .when(wide & clear(at(2), at(1)), "utf-16-le").when(wide & clear(at(1), at(2)), "utf-16-be")
+        .when(F.is_valid_utf8(text), F.when(F.regexp_like(text, F.lit(r"^[\x00-\x7f]*$")), "ascii").otherwise("utf-8"))
+        .when(F.regexp_like(single, F.lit("[\x80-\x9f]")) & ~F.regexp_like(single, F.lit(f"[{undefined}]")), "windows-1252").otherwise("latin-1")
     )
-    return F.struct(as_text.alias("text"), encoding.alias("encoding"))
+
+
+def decoded(content: Column) -> Column:
+    """A struct of ``text`` and ``encoding`` (``encoding_of``)."""
+    rest = F.substring(content, F.lit(4), F.length(content))
+    single = F.decode(content, "ISO-8859-1")
+
+    def read(name: Column) -> Column:
+        text = (
+            F.when(name == "utf-8-sig", F.decode(rest, "UTF-8")).when(name == "utf-16", F.decode(content, "UTF-16"))
+            .when(name == "utf-16-le", F.decode(content, "UTF-16LE")).when(name == "utf-16-be", F.decode(content, "UTF-16BE"))
+            .when(name.isin("ascii", "utf-8"), content.cast("string"))
+            .when(name == "windows-1252", F.translate(single, CP1252_BYTES, CP1252_CHARACTERS)).otherwise(single)
+        )
+        return F.struct(text.alias("text"), name.alias("encoding"))
+
+    return let(encoding_of(content), read)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
