@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from ..config import DATE_RULES, DateRules
-from .text import let, message, strip
+from .text import Steps, bound, message, strip
 
 #: Tokens for a missing date.
 NULL_TOKENS = ("", "-", "--", "n/a", "na", "nil", "none", "null", "pending", "tbd")
 TYPE = "struct<value:date,is_ambiguous:boolean,is_excel_serial:boolean,error:boolean,warning:string>"
 
+#: A time after a date, with a zone, or of twelve hours.
 _TIME = r"[T ][0-9]{2}:[0-9]{2}(:[0-9]{2})?(\.[0-9]+)?(Z|[+-][0-9]{2}:?[0-9]{2})?$"
-_MONTHS = {m: i for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split(), 1)}
-_MONTH_WORD = r"(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?"
+_CLOCK = r"(?i)[T ]+[0-9]{1,2}:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?( ?[ap]m)?( ?(utc|gmt|z))?$"
+_WEEKDAY = r"^(mon|tue|wed|thu|fri|sat|sun)[a-z]*[/ ,]+"
+_MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec"
+#: A month's name with what stands before and after it: number, its ending, separators, number, ending, separators, number.
+_NAMED = rf"^(?:([0-9]{{4}}|[0-9]{{1,2}})(st|nd|rd|th)?[/ ,]*)?({_MONTHS.replace(' ', '|')})[a-z]*(?:([/ ,]*)([0-9]{{4}}|[0-9]{{1,2}})(st|nd|rd|th)?(?:[/ ,]+([0-9]{{4}}|[0-9]{{2}}))?)?$"
 
 
 def _day(y: Column, m: Column, d: Column) -> Column:
@@ -21,71 +25,72 @@ def _day(y: Column, m: Column, d: Column) -> Column:
     return F.to_date(F.try_make_timestamp(y, m, d, F.lit(0), F.lit(0), F.lit(0)))
 
 
-def _lenient(n: Column, dayfirst: bool, rules: DateRules) -> Column:
-    """A date of text whose separators are slashes: three numbers in some order, or a month's name."""
-    return let(F.lower(n), lambda low: _read(low, dayfirst, rules))
-
-
-def _read(low: Column, dayfirst: bool, rules: DateRules) -> Column:
-    part = lambda pattern, i: F.regexp_extract(low, pattern, i).try_cast("int")
-    year = lambda y, text: F.when(F.length(text) > 2, y).when(y > rules.pivot, y + 1900).otherwise(y + 2000)
-
-    def ordered(y: Column, a: Column, b: Column) -> Column:
-        """Day and month in the preferred order, else swapped."""
-        first, second = (_day(y, b, a), _day(y, a, b)) if dayfirst else (_day(y, a, b), _day(y, b, a))
-        return F.coalesce(first, second)
-
-    numbers = r"^([0-9]{1,2})[/ ]([0-9]{1,2})[/ ]([0-9]{2}|[0-9]{4})$"
-    year_first = r"^([0-9]{4})[/ ]([0-9]{1,2})[/ ]([0-9]{1,2})$"
-    compact = r"^([0-9]{4})([0-9]{2})([0-9]{2})$"
-    day_name = rf"^([0-9]{{1,2}})(?:st|nd|rd|th)?[/ ,]*{_MONTH_WORD}[/ ,]*([0-9]{{4}}|[0-9]{{2}})$"
-    name_day = rf"^{_MONTH_WORD}[/ ]*([0-9]{{1,2}})(?:st|nd|rd|th)?[/ ,]+([0-9]{{4}}|[0-9]{{2}})$"
-    year_name = rf"^([0-9]{{4}})[/ ,]*{_MONTH_WORD}[/ ,]*([0-9]{{1,2}})$"
-    name_year = rf"^{_MONTH_WORD}[/ ,]*([0-9]{{4}})$"
-    name_part = rf"^{_MONTH_WORD}[/ ,]*([0-9]{{1,2}})$"
-    part_name = rf"^([0-9]{{1,2}})[/ ,]*{_MONTH_WORD}$"
-    month = lambda pattern, i: F.element_at(F.create_map(*[F.lit(x) for kv in _MONTHS.items() for x in kv]), F.regexp_extract(low, pattern, i))
-    has = lambda pattern: F.regexp_like(low, F.lit(pattern))
-    this_year = F.lit(rules.default.year)
-    last = lambda y, m: F.least(F.lit(rules.default.day), F.day(F.last_day(_day(y, m, F.lit(1)))))
-    return (
-        F.when(has(numbers), let(F.split(low, "[/ ]"), lambda x: ordered(year(x[2].cast("int"), x[2]), x[0].cast("int"), x[1].cast("int"))))
-        .when(has(year_first), ordered(part(year_first, 1), part(year_first, 2), part(year_first, 3)))
-        .when(has(compact), _day(part(compact, 1), part(compact, 2), part(compact, 3)))
-        .when(has(day_name), _day(year(part(day_name, 3), F.regexp_extract(low, day_name, 3)), month(day_name, 2), part(day_name, 1)))
-        .when(has(name_day), _day(year(part(name_day, 3), F.regexp_extract(low, name_day, 3)), month(name_day, 1), part(name_day, 2)))
-        .when(has(year_name), _day(part(year_name, 1), month(year_name, 2), part(year_name, 3)))
-        .when(has(name_year), _day(part(name_year, 2), month(name_year, 1), last(part(name_year, 2), month(name_year, 1))))
-        .when(has(name_part), _day(this_year, month(name_part, 1), part(name_part, 2)))
-        .when(has(part_name), _day(this_year, month(part_name, 2), part(part_name, 1)))
+def _whole(c: Column) -> Column:
+    return c.try_cast("int")
+
+
+def date_steps(raw: Column, dayfirst: bool = True, rules: DateRules = DATE_RULES) -> Steps:
+    """``parse_date`` in steps.  What a text is shows in its shape, digits written as 9: each shape has one reader, and a
+    month's name is looked for only where there is a letter."""
+    s = yield strip(raw)
+    clocked = F.contains(s, F.lit(":"))
+    t = yield F.when(clocked, strip(F.regexp_replace(F.regexp_replace(s, _TIME, ""), _CLOCK, ""))).otherwise(s)
+    n = yield F.lower(F.translate(t, "-.", "//"))
+    lettered = F.regexp_like(n, F.lit("[a-z]"))
+    low = yield F.when(lettered, F.regexp_replace(n, _WEEKDAY, "")).otherwise(n)
+    shape = F.translate(F.translate(low, "012345678", "999999999"), " ", "/")
+    numbers, named, compact, iso = yield [
+        F.when(shape.rlike("^(9{1,2}/9{1,2}/(99|9999)|9999/9{1,2}/9{1,2})$"), F.split(F.translate(low, " ", "/"), "/")),
+        F.when(lettered & F.regexp_like(low, F.lit(_NAMED)), F.split(F.regexp_replace(low, _NAMED, "$1#$2#$3#$4#$5#$6#$7"), "#", -1)),
+        shape == "99999999",
+        F.when(F.regexp_like(t, F.lit(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$")), F.try_to_date(t, "yyyy-MM-dd")),
+    ]
+    year = lambda text: F.when(F.length(text) > 2, _whole(text)).when(_whole(text) > rules.pivot, _whole(text) + 1900).otherwise(_whole(text) + 2000)
+    x = [F.get(numbers, F.lit(i)) for i in range(3)]
+    b, b_end, month_name, sep, a, a_end, last = (F.get(named, F.lit(i)) for i in range(7))
+    short, no = lambda c: F.length(c).between(1, 2), lambda c: c == ""
+    three, y_first = numbers.isNotNull(), F.length(x[0]) == 4
+    # What the parts around a month's name are: its day, its year or both; 0 where they make no date.
+    month, kind = yield [
+        _whole((F.instr(F.lit(_MONTHS), month_name) + 3) / 4),
+        F.when(short(b) & no(last) & no(a_end) & (F.length(a) >= 2), 1)
+        .when(no(b) & short(a) & ~no(last) & ~F.contains(sep, F.lit(",")), 2)
+        .when((F.length(b) == 4) & no(b_end) & short(a) & no(a_end) & no(last), 3)
+        .when(no(b) & (F.length(a) == 4) & no(a_end) & no(last), 4)
+        .when(no(b) & short(a) & no(a_end) & no(last), 5)
+        .when(short(b) & no(b_end) & no(a), 6).otherwise(0),
+    ]
+    p, q = (F.when(y_first, x[i + 1]).otherwise(x[i]) for i in (0, 1))
+    day, other_part = (p, q) if dayfirst else (q, p)
+    y_text, m_text, d_text = yield [
+        F.when(three, F.when(y_first, x[0]).otherwise(x[2])).when(compact, F.substring(low, 1, 4)).when(kind == 1, a).when(kind == 2, last).when(kind == 3, b).when(kind == 4, a),
+        F.when(three, other_part).when(compact, F.substring(low, 5, 2)),
+        F.when(three, day).when(compact, F.substring(low, 7, 2)).when(kind.isin(1, 6), b).when(kind.isin(2, 3, 5), a),
+    ]
+    y, m = yield [F.when((kind >= 5) & ~three & ~compact, F.lit(rules.default.year)).otherwise(year(y_text)), F.coalesce(_whole(m_text), month)]
+    d = yield F.coalesce(_whole(d_text), F.when(kind == 4, F.least(F.lit(rules.default.day), F.day(F.last_day(_day(y, m, F.lit(1)))))))
+    v = yield F.coalesce(iso, _day(y, m, d), F.when(three, _day(y, d, m)))
+    both, serial = yield [
+        F.when(three, F.slice(numbers, 1, 2)).when(named.isNotNull(), F.slice(F.regexp_extract_all(low, F.lit("([0-9]+)"), F.lit(1)), 1, 2)),
+        F.when(F.regexp_like(s, F.lit("^[0-9]{4,6}$")), F.date_add(F.to_date(F.lit("1899-12-30")), _whole(s))),
+    ]
+    first, second = (_whole(F.get(both, F.lit(i))) for i in (0, 1))
+    unsure = yield F.coalesce(iso.isNull() & v.isNotNull() & (first <= 12) & (second <= 12) & (first != second), F.lit(False))
+    other = F.coalesce(_day(F.year(v), F.day(v), F.month(v)).cast("string"), F.lit("another date"))
+    is_serial = serial.isNotNull()
+    warning = (
+        F.when(is_serial, message("serial_date", serial=_whole(s).cast("string"), date=serial.cast("string")))
+        .when(unsure, message("day_first" if dayfirst else "month_first", date=v.cast("string"), other=other))
     )
+    found = F.struct(
+        F.coalesce(serial, v).alias("value"), (unsure & ~is_serial).alias("is_ambiguous"), is_serial.alias("is_excel_serial"),
+        (v.isNull() & ~is_serial).alias("error"), warning.alias("warning"),
+    )
+    return F.when(~F.lower(s).isin(*NULL_TOKENS), found).cast(TYPE)
 
 
 def parse_date(raw: Column, dayfirst: bool = True, rules: DateRules = DATE_RULES) -> Column:
     """A struct ``TYPE``, null for a missing date.  Four to six digits are a spreadsheet's serial number; an
     ISO date is itself; of anything else the separators do not matter, and day and month are swapped where
-    only that gives a date."""
-
-    def parsed(s: Column) -> Column:
-        serial = F.date_add(F.to_date(F.lit("1899-12-30")), s.try_cast("int"))
-        none = F.lit(None).cast("string")
-        of_serial = F.struct(serial.alias("value"), F.lit(False).alias("a"), F.lit(True).alias("s"), F.lit(False).alias("e"), message("serial_date", serial=s.try_cast("int").cast("string"), date=serial.cast("string")).alias("w")).cast(TYPE)
-
-        def dated(t: Column) -> Column:
-            iso = F.when(F.regexp_like(t, F.lit(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$")), F.try_to_date(t, "yyyy-MM-dd"))
-            n = F.regexp_replace(t, "[-.]", "/")
-
-            def checked(v: Column) -> Column:
-                numbers = F.regexp_extract_all(n, F.lit("([0-9]+)"), F.lit(1))
-                a, b = F.get(numbers, F.lit(0)).try_cast("int"), F.get(numbers, F.lit(1)).try_cast("int")
-                unsure = F.coalesce(iso.isNull() & v.isNotNull() & (a <= 12) & (b <= 12) & (a != b), F.lit(False))
-                other = _day(F.year(v), F.day(v), F.month(v))
-                text = message("day_first" if dayfirst else "month_first", date=v.cast("string"), other=F.coalesce(other.cast("string"), F.lit("another date")))
-                return F.struct(v.alias("value"), unsure.alias("a"), F.lit(False).alias("s"), v.isNull().alias("e"), F.when(unsure, text).otherwise(none).alias("w")).cast(TYPE)
-
-            return let(F.coalesce(iso, _lenient(n, dayfirst, rules)), checked)
-
-        some = F.when(F.regexp_like(s, F.lit("^[0-9]{4,6}$")), of_serial).otherwise(let(strip(F.regexp_replace(s, _TIME, "")), dated))
-        return F.when(~F.lower(s).isin(*NULL_TOKENS), some)
-
-    return let(strip(raw), parsed)
+    only that gives a date.  A weekday before and a time after the date are no part of it."""
+    return bound(date_steps(raw, dayfirst, rules))

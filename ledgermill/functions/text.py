@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Generator
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import MESSAGES
 
 
+#: White space as Unicode has it, and the four separators that text files may hold.
+BLANKS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends.  Unlike ``trim`` this knows tabs and no-break spaces."""
-    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -31,7 +36,7 @@ def raw_description(raw: Column, cleaned: Column) -> Column:
 
 def first_group(text: Column, pattern: str, group: int = 1) -> Column:
     """The first match's group; null if there is no match."""
-    return F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.lit(0))
+    return F.when(F.regexp_like(text, F.lit(pattern)), F.regexp_extract(text, pattern, group))
 
 
 def to_json_array(c: Column) -> Column:
@@ -64,3 +69,58 @@ def message(name: str, **values: Column) -> Column:
 def let(value: Column, body) -> Column:
     """Binds a costly expression once for a body that reads it often."""
     return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
+#: Steps that are compiled to one method.
+TOGETHER = 9
+#: Steps of a computation: each yielded expression, or list of them, comes back as columns that may be read often.
+Steps = Generator[Column | list[Column], Column | list[Column], Column]
+
+
+def bound(steps: Steps) -> Column:
+    """Steps as one expression, bound by lambdas; these are interpreted, and planned slowly when they are many, so
+    ``with_steps`` is faster on a frame."""
+    def after(value: Column | list[Column] | None) -> Column:
+        try:
+            wanted = steps.send(value)
+        except StopIteration as end:
+            return end.value
+        if isinstance(wanted, list):
+            return let(F.struct(*[c.alias(f"f{i}") for i, c in enumerate(wanted)]), lambda x: after([x[f"f{i}"] for i in range(len(wanted))]))
+        return let(wanted, after)
+
+    return after(None)
+
+
+def with_steps(df: DataFrame, steps: dict[str, Steps]) -> DataFrame:
+    """The frame with a column for each of ``steps``.  Steps go side by side, each round a projection of its own, so
+    each is evaluated once.  Spark compiles projections in a row to one method; after ``TOGETHER`` steps a lambda,
+    which it does not compile, begins another, as the JVM leaves long methods to its interpreter."""
+    names, taken, values, n, together = {}, [], dict.fromkeys(steps), 0, 0
+    while True:
+        wanted, made = {}, {}
+        for name in steps:
+            if name in names:
+                continue
+            try:
+                wanted[name] = steps[name].send(values[name])
+            except StopIteration as end:
+                names[name] = end.value
+        if not wanted:
+            break
+        for name, found in wanted.items():
+            several = found if isinstance(found, list) else [found]
+            own = [f"__{name}_{n}_{i}" for i in range(len(several))]
+            made |= dict(zip(own, several, strict=True))
+            values[name] = [F.col(c) for c in own] if isinstance(found, list) else F.col(own[0])
+        df = df.withColumns(made)
+        taken += made
+        n += 1
+        together += len(made)
+        if together >= TOGETHER:
+            last = taken[-1]
+            df, together = df.withColumn(last, let(F.col(last), lambda x: x)), 0
+    # Conditions on the results must not move below the steps, where each would be written out once for every time that
+    # it is read; they stay above what differs between tasks.
+    kept = F.spark_partition_id() >= 0
+    return df.withColumns({name: F.when(kept, c) for name, c in names.items()}).drop(*taken)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import config as C
-from ..functions.amounts import parse_amount
-from ..functions.dates import parse_date
-from ..functions.text import first_group, first_token, let, message, strip
+from ..functions.amounts import amount_steps
+from ..functions.dates import date_steps
+from ..functions.text import Steps, first_group, first_token, let, message, strip, with_steps
 
 TABLES = "array<array<array<string>>>"
 _MONEY = "decimal(18,4)"
@@ -17,27 +17,23 @@ def invoice_number(text: Column) -> Column:
     return strip(F.coalesce(*[first_group(text, p) for p in C.INVOICE_NUMBER]))
 
 
-def labelled_date(text: Column, pattern: str, rules: C.DateRules = C.DATE_RULES) -> Column:
+def labelled_date(text: Column, pattern: str, rules: C.DateRules = C.DATE_RULES) -> Steps:
     """A struct of ``value`` and ``raw``: the first label's text, if it holds a date."""
-    raw = strip(first_group(first_token(first_group(text, pattern)), C.DATE_IN_TEXT))
+    line = yield first_group(text, pattern)
+    token = yield first_token(line)
+    raw = yield strip(first_group(token, C.DATE_IN_TEXT))
+    parsed = yield (yield from date_steps(raw, rules=rules))
+    return F.struct(parsed["value"].alias("value"), F.when(parsed["value"].isNotNull(), raw).alias("raw"))
 
-    def valued(r: Column) -> Column:
-        value = parse_date(r, rules=rules)["value"]
-        return F.struct(value.alias("value"), F.when(value.isNotNull(), r).alias("raw"))
 
-    return let(raw, valued)
-
-
-def labelled_amount(text: Column, pattern: str) -> Column:
+def labelled_amount(text: Column, pattern: str) -> Steps:
     """A struct of ``value`` and ``raw``: the first label's text, if it holds an amount."""
-    token = strip(F.regexp_replace(first_token(first_group(text, pattern)), r"(?U)^\([^)]*\)\s*[:\-]?\s*", ""))
-    raw = strip(first_group(token, C.AMOUNT_IN_TEXT))
-
-    def valued(r: Column) -> Column:
-        value = parse_amount(r)["value"].try_cast(_MONEY)
-        return F.struct(value.alias("value"), F.when(value.isNotNull(), r).alias("raw"))
-
-    return let(raw, valued)
+    line = yield first_group(text, pattern)
+    token = yield strip(F.regexp_replace(first_token(line), r"(?U)^\([^)]*\)\s*[:\-]?\s*", ""))
+    raw = yield strip(first_group(token, C.AMOUNT_IN_TEXT))
+    parsed = yield (yield from amount_steps(raw))
+    value = yield parsed["value"].try_cast(_MONEY)
+    return F.struct(value.alias("value"), F.when(value.isNotNull(), raw).alias("raw"))
 
 
 def currency_vote(text: Column) -> Column:
@@ -71,10 +67,10 @@ def _missing(number: Column, date: Column, total: Column, vendor: Column) -> lis
 def fields(docs: DataFrame, rules: C.DateRules = C.DATE_RULES) -> DataFrame:
     """Header fields of each text, ``confidence`` and ``missing`` (names of missing core fields)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.withColumns({
-        "invoice_number": invoice_number(text), "_date": labelled_date(text, C.INVOICE_DATE, rules), "_due": labelled_date(text, C.DUE_DATE, rules),
-        "currency": currency_vote(text), "raw_vendor_name": vendor_name(text), "_subtotal": labelled_amount(text, C.SUBTOTAL), "_tax": labelled_amount(text, C.TAX),
-        "_discount": labelled_amount(text, C.DISCOUNT), "_total": labelled_amount(text, C.TOTAL),
+    found = docs.withColumns({"invoice_number": invoice_number(text), "currency": currency_vote(text), "raw_vendor_name": vendor_name(text)})
+    found = with_steps(found, {
+        "_date": labelled_date(text, C.INVOICE_DATE, rules), "_due": labelled_date(text, C.DUE_DATE, rules), "_subtotal": labelled_amount(text, C.SUBTOTAL),
+        "_tax": labelled_amount(text, C.TAX), "_discount": labelled_amount(text, C.DISCOUNT), "_total": labelled_amount(text, C.TOTAL),
     })
     found = found.withColumns({
         "invoice_date": F.col("_date.value"), "raw_date_text": F.col("_date.raw"), "due_date": F.col("_due.value"), "subtotal": F.col("_subtotal.value"),
@@ -104,14 +100,10 @@ def best_table(tables: Column) -> Column:
         F.slice(F.get(tables, -b["t"]), -b["i"] + 2, F.size(F.get(tables, -b["t"]))).alias("rows"), b["c"].alias("columns"))))
 
 
-def _amount(c: Column) -> Column:
-    return F.when(F.coalesce(c, F.lit("")) != "", parse_amount(c))
-
-
 def _lines(rows: DataFrame) -> DataFrame:
     """Typed lines from text columns; a missing total or price follows from the others."""
-    n = {k: _amount(F.col(f"r_{k}")) for k in ("quantity", "unit_price", "line_total", "tax_amount", "tax_rate")}
-    typed = rows.withColumns({f"p_{k}": v for k, v in n.items()})
+    n = ("quantity", "unit_price", "line_total", "tax_amount", "tax_rate")
+    typed = with_steps(rows, {f"p_{k}": amount_steps(F.col(f"r_{k}")) for k in n})
     bad = F.array_compact(F.array(*[F.when(F.coalesce(F.col(f"p_{k}.error"), F.lit(False)), F.lit(k)) for k in n]))
     quantity, price, total = F.col("p_quantity.value"), F.col("p_unit_price.value"), F.col("p_line_total.value")
     return typed.select(

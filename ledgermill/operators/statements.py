@@ -9,10 +9,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..config import DATE_RULES, LIMITS, REPEATED_HEADERS, SUMMARY_ROW, SYNONYMS, DateRules, Limits
-from ..functions.amounts import parse_amount, parse_split
+from ..functions.amounts import amount_steps, split_steps
 from ..functions.classify import bank_format, transaction_type
-from ..functions.dates import parse_date
-from ..functions.text import blank_to_null, clean_description, let, message, raw_description, strip, two_decimals
+from ..functions.dates import date_steps
+from ..functions.text import Steps, blank_to_null, clean_description, let, message, raw_description, strip, two_decimals, with_steps
 
 #: What counts towards a header row: every synonym but those of the type column.
 _SIGNALS = sorted({s for field, names in SYNONYMS.items() if field != "transaction_type" for s in names})
@@ -108,18 +108,28 @@ def parse_rows(rows: DataFrame, rules: DateRules = DATE_RULES, default_direction
         "file_id", F.col("line_no").alias("row_index"), "skip_reason", *[cell(f).alias(f"r_{f}") for f in SYNONYMS],
         (at["debit"].isNotNull() | at["credit"].isNotNull()).alias("split"), at["value_date"].isNotNull().alias("has_value_date"), at["balance"].isNotNull().alias("has_balance"),
     )
-    parsed = raw.withColumns({
-        "d": parse_date(F.col("r_date"), rules=rules),
-        "v": F.when(F.col("r_value_date") != "", parse_date(F.col("r_value_date"), rules=rules)),
-        "a": F.when(F.col("split"), parse_split(F.col("r_debit"), F.col("r_credit"))).otherwise(
-            let(parse_amount(F.col("r_amount"), default_direction), lambda x: F.when(x.isNotNull(), F.struct(x["value"].alias("value"), x["direction"].alias("direction"), x["is_inferred"].alias("is_inferred"), x["error"].alias("error"), F.lit(None).cast("string").alias("warning"))))
-        ),
-        "b": F.when(F.col("r_balance") != "", parse_amount(F.col("r_balance"), "C")),
-        "description": clean_description(F.col("r_description")),
-    })
+    def amount(debit: Column, credit: Column, single: Column, split: Column) -> Steps:
+        """One amount of two cells, or of one."""
+        two = yield (yield from split_steps(F.when(split, debit), F.when(split, credit)))
+        one = yield (yield from amount_steps(F.when(~split, single), default_direction))
+        alone = F.struct(*[one[f].alias(f) for f in ("value", "direction", "is_inferred", "error")], F.lit(None).cast("string").alias("warning"))
+        return F.when(split, two).when(one.isNotNull(), alone)
+
+    def failed_side(split: Column) -> Steps:
+        debit = yield (yield from amount_steps(F.when(split, F.col("r_debit"))))
+        return F.when(F.coalesce(debit["error"], F.lit(False)), F.col("r_debit")).otherwise(F.col("r_credit"))
+
     failed, missing = F.coalesce(F.col("a.error"), F.lit(False)), F.col("a").isNull() | F.col("a.error")
+    parsed = with_steps(raw, {
+        "d": date_steps(F.col("r_date"), rules=rules),
+        "v": date_steps(F.col("r_value_date"), rules=rules),
+        "a": amount(F.col("r_debit"), F.col("r_credit"), F.col("r_amount"), F.col("split")),
+        "b": amount_steps(F.col("r_balance"), "C"),
+    }).withColumn("description", clean_description(F.col("r_description")))
+    # Which of two cells is at fault is asked of those rows alone that have one.
+    parsed = with_steps(parsed, {"bad_side": failed_side(F.col("split") & failed)})
+    bad_side = F.col("bad_side")
     value = F.col("a.value").try_cast("decimal(18,4)")
-    bad_side = F.when(F.coalesce(parse_amount(F.col("r_debit"))["error"], F.lit(False)), F.col("r_debit")).otherwise(F.col("r_credit"))
     warnings = F.array_compact(F.array(
         F.when(F.col("d.warning").isNotNull(), message("date", text=F.col("d.warning"))),
         F.when(F.coalesce(F.col("v.error"), F.lit(False)), message("bad_value_date")),

@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from . import config
 from .config import ERROR_CODES, Limits
-from .functions.amounts import parse_amount, parse_balance, parse_split
+from .functions.amounts import amount_steps, parse_amount, parse_balance, split_steps
 from .functions.classify import bank_format, transaction_type
-from .functions.dates import parse_date
-from .functions.text import clean_description, from_json_array, raw_description, to_json_array
+from .functions.dates import date_steps, parse_date
+from .functions.text import clean_description, from_json_array, raw_description, to_json_array, with_steps
 from .operators import invoices as I, quality, statements as S, validate as V
 from .plans import catalog as Cat, lenses as L
 from .sources import files as Files
@@ -57,7 +57,8 @@ for _name, _text, _direction, _inferred in (
     ("amount_negative", lambda: F.concat(F.when(_returned(), "-$").otherwise("-"), L.thousands(_price())), "'D'", "FALSE"),
 ):
     def _amounts(spark: SparkSession, sf_dir: str, text: Callable[[], Column] = _text) -> DataFrame:
-        parsed = L.table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("line"), parse_amount(text()).alias("p"))
+        texts = L.table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("line"), text().alias("text"))
+        parsed = with_steps(texts, {"p": amount_steps(F.col("text"))})
         return parsed.select("l_orderkey", "line", _dec(F.col("p.value")).alias("value"), "p.direction", "p.is_inferred")
 
     query(_name, _AMOUNT_SQL.format(direction=_direction, inferred=_inferred))(_amounts)
@@ -81,7 +82,8 @@ def _(spark, sf_dir):
 @query("amount_split", """SELECT o_orderkey, o_totalprice::DECIMAL(18,2)::DECIMAL(18,4) AS value, CASE WHEN o_orderstatus = 'F' THEN 'C' ELSE 'D' END AS direction, o_orderstatus = 'P' AS warned FROM orders""")
 def _(spark, sf_dir):
     price, status = L.thousands(L.money("o_totalprice")), F.col("o_orderstatus")
-    parsed = L.table(spark, sf_dir, "orders").select("o_orderkey", parse_split(F.when(status != "F", price), F.when(status == "F", price).when(status == "P", "1.00").otherwise("")).alias("p"))
+    sides = L.table(spark, sf_dir, "orders").select("o_orderkey", F.when(status != "F", price).alias("debit"), F.when(status == "F", price).when(status == "P", "1.00").otherwise("").alias("credit"))
+    parsed = with_steps(sides, {"p": split_steps(F.col("debit"), F.col("credit"))})
     return parsed.select("o_orderkey", _dec(F.col("p.value")).alias("value"), "p.direction", F.col("p.warning").isNotNull().alias("warned"))
 
 
@@ -104,32 +106,36 @@ for _name, _text, _where, _sql_where in (
     def _dates(spark: SparkSession, sf_dir: str, text: Callable[[], Column] = _text, where: Callable[[], Column] | None = _where) -> DataFrame:
         orders = L.table(spark, sf_dir, "orders")
         orders = orders if where is None else orders.where(where())
-        return orders.select("o_orderkey", parse_date(text())["value"].alias("day"))
+        parsed = with_steps(orders.select("o_orderkey", text().alias("text")), {"p": date_steps(F.col("text"))})
+        return parsed.select("o_orderkey", F.col("p.value").alias("day"))
 
     query(_name, f"SELECT o_orderkey, o_orderdate::DATE AS day FROM orders WHERE {_sql_where}")(_dates)
 
 
 @query("date_mdy_all", "SELECT o_orderkey, CASE WHEN day(o_orderdate) <= 12 THEN make_date(year(o_orderdate), day(o_orderdate), month(o_orderdate)) ELSE o_orderdate::DATE END AS day FROM orders")
 def _(spark, sf_dir):
-    return L.table(spark, sf_dir, "orders").select("o_orderkey", parse_date(F.date_format(_DAY, "MM/dd/yyyy"))["value"].alias("day"))
+    parsed = with_steps(L.table(spark, sf_dir, "orders").select("o_orderkey", F.date_format(_DAY, "MM/dd/yyyy").alias("text")), {"p": date_steps(F.col("text"))})
+    return parsed.select("o_orderkey", F.col("p.value").alias("day"))
 
 
 @query("date_excel_serial", "SELECT o_orderkey, o_orderdate::DATE AS day, TRUE AS serial FROM orders")
 def _(spark, sf_dir):
     text = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1899-12-30").cast("date")).cast("string")
-    parsed = L.table(spark, sf_dir, "orders").select("o_orderkey", parse_date(text).alias("p"))
+    parsed = with_steps(L.table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text")), {"p": date_steps(F.col("text"))})
     return parsed.select("o_orderkey", F.col("p.value").alias("day"), F.col("p.is_excel_serial").alias("serial"))
 
 
 @query("date_null_tokens", "SELECT o_orderkey, o_orderkey % 5 = 4 AS error FROM orders")
 def _(spark, sf_dir):
     text = F.element_at(F.array(*map(F.lit, ("", "-", " TBD", "pending", "31/02/2026"))), (F.col("o_orderkey") % 5 + 1).cast("int"))
-    return L.table(spark, sf_dir, "orders").select("o_orderkey", F.coalesce(parse_date(text)["error"], F.lit(False)).alias("error"))
+    parsed = with_steps(L.table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text")), {"p": date_steps(F.col("text"))})
+    return parsed.select("o_orderkey", F.coalesce("p.error", F.lit(False)).alias("error"))
 
 
 @query("date_ambiguity", "SELECT o_orderkey, day(o_orderdate) <= 12 AND day(o_orderdate) <> month(o_orderdate) AS ambiguous FROM orders")
 def _(spark, sf_dir):
-    return L.table(spark, sf_dir, "orders").select("o_orderkey", parse_date(F.date_format("o_orderdate", "dd-MM-yyyy"))["is_ambiguous"].alias("ambiguous"))
+    parsed = with_steps(L.table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "dd-MM-yyyy").alias("text")), {"p": date_steps(F.col("text"))})
+    return parsed.select("o_orderkey", F.col("p.is_ambiguous").alias("ambiguous"))
 
 
 # --- statements: rendered as files and read back
@@ -160,7 +166,7 @@ def _rows(spark: SparkSession, sf_dir: str, limits: Limits = config.LIMITS) -> D
 
 @query("csv_roundtrip", _LEDGER_SQL + "SELECT o_custkey::VARCHAR AS file_id, row_index, day, amount, direction, balance, 'Order ' || o_orderkey || ', ref' AS description FROM l")
 def _(spark, sf_dir):
-    t = S.parse_rows(_rows(spark, sf_dir)).where("skip_reason is null and transaction_date is not null")
+    t = S.parse_rows(_rows(spark, sf_dir).where("skip_reason is null")).where("transaction_date is not null")
     return t.select("file_id", F.col("row_index").cast("long").alias("row_index"), F.col("transaction_date").alias("day"), "amount", "direction", F.col("balance_after").alias("balance"), "description")
 
 
@@ -342,7 +348,7 @@ def _(spark, sf_dir):
   FROM f""")
 def _(spark, sf_dir):
     padded = _doc_files(spark, sf_dir).withColumn("content", F.concat(F.unhex(F.lit("EFBBBF")), F.col("content")))  # a mark makes any text text
-    return V.validate(padded).select("file_id", F.coalesce("error_code", F.lit("ok")).alias("code"))
+    return V.validate(padded, twins="any").select("file_id", F.coalesce("error_code", F.lit("ok")).alias("code"))
 
 
 @query("filename_sanitise", "SELECT page_id, coalesce(nullif(regexp_replace(regexp_extract(url, '[^/]*$'), '[^a-zA-Z0-9._\\-]', '_', 'g'), ''), 'upload') AS name FROM pages")

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import let
+from .shipping import ship
 
 BINARY_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 DELIMITERS = (",", ";", "\t", "|", ":")
@@ -188,6 +189,7 @@ def tokenise(files: DataFrame) -> DataFrame:
         if out[0]:
             yield made(*out)
 
+    ship(files.sparkSession)
     return files.select("file_id", "text").mapInArrow(run, GRID)
 
 
@@ -277,4 +279,5 @@ def xlsx_text(files: DataFrame) -> DataFrame:
                     texts.append(None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["file_id", "text"])
 
+    ship(files.sparkSession)
     return files.select("file_id", "content").mapInArrow(run, "file_id string, text string")
