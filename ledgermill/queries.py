@@ -646,3 +646,105 @@ def _(spark, sf_dir):
     catalog.ingest(files.where(name % 4 == 0), "second", "2026-01-04")
     live = catalog.table("documents").where("not is_deleted")
     return live.select("original_name", F.contains("storage_path", F.lit("batch=second")).alias("taken_again"))
+
+
+# --- files of equal bytes, encodings, job states, pages, purge
+
+_TWINS = "WITH f AS (SELECT p_partkey, p_partkey // 5 AS g, p_partkey % 4 AS k FROM part)"
+
+
+@query("duplicates_of_accepted", _TWINS + """, d AS (SELECT *, min(p_partkey) FILTER (WHERE k = 0) OVER (PARTITION BY g) AS first FROM f)
+  SELECT p_partkey, CASE WHEN k = 2 THEN 'INVALID_EXTENSION' WHEN first < p_partkey THEN 'DUPLICATE_FILE' WHEN k <> 0 THEN 'FILE_TYPE_MISMATCH' ELSE 'ok' END AS code FROM d""")
+def _(spark, sf_dir):
+    key = F.col("p_partkey")
+    name = F.concat(key.cast("string"), F.element_at(F.array(*map(F.lit, (".csv", ".pdf", ".txt", ".xlsx"))), (key % 4 + 1).cast("int")))
+    content = F.encode(F.concat(F.lit("Date,Amount\n"), F.floor(key / 5).cast("string")), "UTF-8")
+    files = L.table(spark, sf_dir, "part").select(F.lpad(key.cast("string"), 12, "0").alias("file_id"), name.alias("original_name"), F.octet_length(content).cast("long").alias("length"), content.alias("content"), F.lit("2026-01-01").cast("timestamp").alias("uploaded_at"))
+    return V.validate(files).select(F.col("file_id").cast("long").alias("p_partkey"), F.coalesce("error_code", F.lit("ok")).alias("code"))
+
+
+@query("encoding_guess", r"""WITH d AS (SELECT doc_id, doc_id % 5 AS k, text, regexp_replace(text, '[^\x00-\x7F\x{A0}-\x{FF}]', '?', 'g') AS latin FROM documents)
+  SELECT doc_id, CASE k WHEN 0 THEN 'utf-16-le' WHEN 1 THEN 'utf-16-be' WHEN 2 THEN 'windows-1252' WHEN 3 THEN 'latin-1' ELSE 'utf-8' END AS encoding,
+  sha256(CASE WHEN k = 2 THEN '€ é ' || latin WHEN k = 3 THEN 'é ' || latin WHEN k = 4 THEN 'é ' || text ELSE text END) AS text_sha256 FROM d""")
+def _(spark, sf_dir):
+    kind, text = F.col("doc_id") % 5, F.col("text")
+    latin = F.encode(F.regexp_replace(text, r"[^\x00-\x7F\xA0-\xFF]", "?"), "ISO-8859-1")
+    content = (
+        F.when(kind == 0, F.encode(text, "UTF-16LE")).when(kind == 1, F.encode(text, "UTF-16BE")).when(kind == 2, F.concat(F.unhex(F.lit("8020E920")), latin))
+        .when(kind == 3, F.concat(F.unhex(F.lit("E920")), latin)).otherwise(F.encode(F.concat(F.lit("é "), text), "UTF-8"))
+    )
+    found = L.table(spark, sf_dir, "documents").select("doc_id", Files.decoded(content).alias("x"))
+    return found.select("doc_id", "x.encoding", F.sha2("x.text", 256).alias("text_sha256"))
+
+
+@query("encoding_euro_amount", "SELECT o_orderkey, o_totalprice::DECIMAL(18,2)::DECIMAL(18,4) AS value FROM orders")
+def _(spark, sf_dir):
+    content = F.concat(F.unhex(F.lit("8020")), F.encode(L.thousands(L.money("o_totalprice")), "UTF-8"))
+    texts = L.table(spark, sf_dir, "orders").select("o_orderkey", Files.decoded(content)["text"].alias("text"))
+    return with_steps(texts, {"p": amount_steps(F.col("text"))}).select("o_orderkey", _dec(F.col("p.value")).alias("value"))
+
+
+@query("date_added_forms", "SELECT o_orderkey, o_orderdate::DATE AS day FROM orders")
+def _(spark, sf_dir):
+    forms = [F.date_format(_DAY, p) for p in ("EEEE, d MMMM yyyy", "EEE dd/MM/yyyy", "dd/MM/yyyy h:mm a", "d MMM yyyy HH:mm:ss")]
+    texts = L.table(spark, sf_dir, "orders").select("o_orderkey", F.element_at(F.array(*forms), (F.col("o_orderkey") % 4 + 1).cast("int")).alias("text"))
+    return with_steps(texts, {"p": date_steps(F.col("text"))}).select("o_orderkey", F.col("p.value").alias("day"))
+
+
+@query("job_states", _LEDGER_SQL + """, d AS (SELECT o_custkey, count(*) FILTER (WHERE day(day) <= 12 AND day(day) <> month(day)) > 0 AS warned FROM l GROUP BY o_custkey)
+  SELECT o_custkey::VARCHAR || '.csv' AS original_name, 'pending:1,processing:1,failed:1,processing:2,failed:2,processing:3,' || CASE WHEN warned THEN 'partial' ELSE 'completed' END || ':3' AS states,
+  CASE WHEN warned THEN 'partial' ELSE 'completed' END AS state, 3::BIGINT AS attempt, 2::BIGINT AS retry_count FROM d""")
+def _(spark, sf_dir):
+    class Failing(Cat.Catalog):
+        """The first two attempts break off."""
+
+        tries = 0
+
+        def _statements(self, *args):
+            self.tries += 1
+            if self.tries <= 2:
+                raise RuntimeError("out of order")
+            return super()._statements(*args)
+
+    catalog, files = _catalog(spark, sf_dir)
+    catalog = Failing(spark, catalog.root)
+    catalog.ingest(files, "first", "2026-01-02", max_retries=3)
+    rank = F.array_position(F.array(*map(F.lit, Cat.STATES)), F.col("state"))
+    events = F.transform(F.array_sort(F.collect_list(F.struct("attempt", rank.alias("rank"), "state"))), lambda x: F.concat(x["state"], F.lit(":"), x["attempt"].cast("string")))
+    told = catalog.raw("job_events").groupBy("job_id").agg(F.array_join(events, ",").alias("states"))
+    jobs = catalog.raw("processing_jobs").select(F.col("id").alias("job_id"), F.col("retry_count").cast("long").alias("retry_count"))
+    documents = catalog.table("documents").select(F.col("id").alias("document_id"), "original_name")
+    found = told.join(catalog.job_states(), "job_id").join(jobs, "job_id").join(documents, "document_id")
+    return found.select("original_name", "states", "state", F.col("attempt").cast("long").alias("attempt"), "retry_count")
+
+
+@query("documents_walk", "SELECT id, (row_number() OVER (ORDER BY uploaded DESC, id) - 1) // 100 AS page FROM (SELECT s_suppkey::VARCHAR AS id, s_suppkey % 7 AS uploaded FROM supplier)")
+def _(spark, sf_dir):
+    documents = L.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.timestamp_seconds(F.col("s_suppkey") % 7).alias("uploaded_at"))
+    pages, after = [], None
+    while True:
+        page = Cat.page(documents, 100, after=after)
+        last = page.agg(F.max_by(F.struct("uploaded_at", "id"), F.struct(-F.unix_seconds("uploaded_at"), "id")).alias("x")).first()["x"]
+        if last is None:
+            break
+        pages.append(page.select("id", F.lit(len(pages)).cast("long").alias("page")))
+        after = tuple(last)
+    found = pages[0]
+    for p in pages[1:]:
+        found = found.unionByName(p)
+    return found
+
+
+@query("catalog_purge", "SELECT o_custkey::VARCHAR || '.csv' AS original_name, count(*) AS n_transactions, 0::BIGINT AS left_in_files FROM orders WHERE o_custkey % 3 <> 0 GROUP BY o_custkey")
+def _(spark, sf_dir):
+    catalog, files = _catalog(spark, sf_dir)
+    number = F.split_part("original_name", F.lit("."), F.lit(1)).cast("long")
+    catalog.ingest(files.where(number % 2 == 0), "even", "2026-01-02")
+    catalog.ingest(files.where(number % 2 == 1), "odd", "2026-01-03")
+    doomed = Files.staged(catalog.table("documents").where(number % 3 == 0).select("id"), "doomed")
+    catalog.purge(doomed)
+    left = spark.read.parquet(f"{catalog.root}/documents").join(doomed, "id", "left_semi").agg(F.count(F.lit(1)).alias("left_in_files"))
+    statements = catalog.raw("bank_statements").select(F.col("id").alias("bank_statement_id"), "document_id")
+    counts = catalog.raw("bank_transactions").join(statements, "bank_statement_id").groupBy("document_id").agg(F.count(F.lit(1)).alias("n_transactions"))
+    documents = catalog.table("documents").select(F.col("id").alias("document_id"), "original_name")
+    return documents.join(counts, "document_id").crossJoin(left).select("original_name", "n_transactions", "left_in_files")  # left is one row
