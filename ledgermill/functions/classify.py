@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, functions as F
 
 from ..config import BANK_FORMATS, EXPLICIT_TYPES, TYPE_KEYWORDS
-from .text import strip
+from .text import let, strip
 
 
 def transaction_type(explicit: Column, description: Column, direction: Column) -> Column:
@@ -16,8 +19,12 @@ def transaction_type(explicit: Column, description: Column, direction: Column) -
     return F.coalesce(known, by_word, F.when(direction == "C", "credit").otherwise("debit"))
 
 
+def format_of(low: Column) -> Column:
+    """The first format whose headers are all in ``low``, lower-cased cells without white space at their ends."""
+    found = [F.when(reduce(and_, [F.array_contains(low, h) for h in need]), F.lit(name)) for name, need in BANK_FORMATS]
+    return F.coalesce(*found, F.lit("UNKNOWN"))
+
+
 def bank_format(headers: Column) -> Column:
     """The first format whose headers are all there; ``headers`` is an array of cells."""
-    low = F.transform(headers, lambda h: F.lower(strip(h)))
-    found = [F.when(F.forall(F.array(*map(F.lit, need)), lambda x: F.array_contains(low, x)), F.lit(name)) for name, need in BANK_FORMATS]
-    return F.coalesce(*found, F.lit("UNKNOWN"))
+    return let(F.transform(headers, lambda h: F.lower(strip(h))), format_of)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
@@ -11,10 +12,12 @@ from .config import ERROR_CODES, Limits
 from .functions.amounts import amount_steps, parse_amount, parse_balance, split_steps
 from .functions.classify import bank_format, transaction_type
 from .functions.dates import date_steps, parse_date
+from .functions import sql as Sql
 from .functions.text import clean_description, from_json_array, raw_description, to_json_array, with_steps
 from .operators import invoices as I, quality, statements as S, validate as V
 from .plans import catalog as Cat, lenses as L
 from .sources import files as Files
+from .streaming import ingest as Stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -748,3 +751,136 @@ def _(spark, sf_dir):
     counts = catalog.raw("bank_transactions").join(statements, "bank_statement_id").groupBy("document_id").agg(F.count(F.lit(1)).alias("n_transactions"))
     documents = catalog.table("documents").select(F.col("id").alias("document_id"), "original_name")
     return documents.join(counts, "document_id").crossJoin(left).select("original_name", "n_transactions", "left_in_files")  # left is one row
+
+
+# --- SQL text alone
+
+@query("sql_functions", """SELECT o_orderkey, o_orderdate::DATE AS day, o_totalprice::DECIMAL(18,2)::DECIMAL(18,4) AS total, CASE WHEN o_orderstatus = 'F' THEN 'C' ELSE 'D' END AS direction, o_orderstatus = 'P' AS warned,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'fee' ELSE CASE WHEN o_orderstatus = 'F' THEN 'credit' ELSE 'debit' END END AS kind, count(l_orderkey) AS n_lines, sum(l_extendedprice::DECIMAL(18,2))::DECIMAL(18,4) AS lines_sum
+  FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL""")
+def _(spark, sf_dir):
+    Sql.register(spark)
+    return spark.sql("""
+      WITH texts AS (SELECT o_orderkey, date_format(o_orderdate, 'dd-MMM-yyyy') AS day, o_orderstatus AS status, format_number(CAST(o_totalprice AS DECIMAL(18,2)), 2) AS price FROM parquet.`{orders}`),
+      o AS (SELECT o_orderkey, ledger_date(day).value AS day, ledger_split(if(status <> 'F', price, NULL), CASE status WHEN 'F' THEN price WHEN 'P' THEN '1.00' ELSE '-' END) AS paid,
+        ledger_description(if(o_orderkey % 2 = 0, concat('Late\t', 'charge '), 'coffee')) AS description FROM texts),
+      prices AS (SELECT l_orderkey, ledger_amount(concat('$', format_number(CAST(l_extendedprice AS DECIMAL(18,2)), 2), ' cr')) AS price FROM parquet.`{lines}`),
+      l AS (SELECT l_orderkey, count(*) AS n_lines, sum(CAST(price.value AS DECIMAL(18,4))) AS lines_sum FROM prices WHERE price.direction = 'C' GROUP BY l_orderkey)
+      SELECT o_orderkey, day, CAST(paid.value AS DECIMAL(18,4)) AS total, paid.direction, paid.warning IS NOT NULL AS warned, ledger_type('', description, paid.direction) AS kind,
+        coalesce(n_lines, 0) AS n_lines, CAST(lines_sum AS DECIMAL(18,4)) AS lines_sum
+      FROM o LEFT JOIN l ON l_orderkey = o_orderkey""".format(orders=f"{sf_dir}/orders.parquet", lines=f"{sf_dir}/lineitem.parquet"))
+
+
+@query("sql_tokeniser", """SELECT o_custkey, (2 * row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey))::BIGINT AS line, o_orderdate::DATE AS day, o_totalprice::DECIMAL(18,2)::DECIMAL(18,4) AS amount,
+  'Order ' || o_orderkey || '; ref' AS description, CASE WHEN o_custkey % 2 = 0 THEN ';' ELSE '|' END AS delimiter, 'GENERIC_SINGLE' AS format FROM orders""")
+def _(spark, sf_dir):
+    Sql.register(spark)
+    return spark.sql("""
+      WITH marked AS (SELECT o_custkey, o_orderkey, if(o_custkey % 2 = 0, ';', '|') AS mark, date_format(o_orderdate, 'MM/dd/yyyy') AS day, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING) AS price FROM parquet.`{orders}`),
+      texts AS (SELECT o_custkey, concat(concat_ws(first(mark), 'Date', 'Description', 'Amount'), '\n', array_join(transform(array_sort(collect_list(struct(o_orderkey, concat_ws(mark, day, concat('"Order ', o_orderkey, '; ref"'), price) AS line))), x -> x.line), '\n\n'), '\n') AS text
+        FROM marked GROUP BY o_custkey),
+      cells AS (SELECT o_custkey, line_no, cells, delimiter FROM texts, LATERAL ledger_records(text)),
+      parsed AS (SELECT o_custkey, line_no, delimiter, cells[1] AS description, ledger_date_mdy(cells[0]) AS day, ledger_balance(cells[2]) AS amount FROM cells WHERE line_no > 1)
+      SELECT o_custkey, CAST(line_no AS BIGINT) AS line, day.value AS day, CAST(amount AS DECIMAL(18,4)) AS amount, description, delimiter, ledger_bank_format(array(' Description', 'AMOUNT')) AS format
+      FROM parsed""".format(orders=f"{sf_dir}/orders.parquet"))
+
+
+# --- rows without amount or date, dates without year or day, error codes of files
+
+_MESSY_SQL = """WITH m AS (SELECT o_custkey::VARCHAR AS file_id, (1 + row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey))::BIGINT AS row_index, o_orderkey % 7 = 0 AS undated, o_orderkey % 5 = 0 AS blank, o_orderkey % 11 = 0 AND o_orderkey % 5 <> 0 AS broken,
+  o_totalprice::DECIMAL(18,2)::DECIMAL(18,4) AS price, CASE WHEN o_orderkey % 2 = 0 THEN 'EUR' END AS currency, CASE WHEN o_orderkey % 3 = 0 THEN 'R' || o_orderkey END AS reference FROM orders) """
+
+
+def _messy(spark: SparkSession, sf_dir: str) -> S.Statements:
+    """A statement per customer, with rows that lack a date, an amount, a currency or a reference."""
+    key = F.col("o_orderkey")
+    day = F.when(key % 7 == 0, "pending").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    amount = F.when(key % 5 == 0, " n/a ").when(key % 11 == 0, "1.2.3").otherwise(F.concat(L.plain(L.money("o_totalprice")), F.lit(" CR")))
+    line = F.concat_ws("|", day, F.concat(F.lit("Order "), key.cast("string")), amount, F.when(key % 2 == 0, " eur ").otherwise(" "), F.when(key % 3 == 0, F.concat(F.lit(" R"), key.cast("string"))).otherwise("  "))
+    lines = L.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("string").alias("file_id")).agg(F.sort_array(F.collect_list(F.struct("o_orderkey", line.alias("line")))).alias("l"))
+    text = F.concat(F.lit(" Date |Description|Amount|Currency|Reference\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\n"))
+    files = lines.select("file_id", text.alias("text"), F.lit("ascii").alias("encoding"))
+    return S.parse(Files.staged(Files.tokenise(files), "grid"), files.select("file_id", "encoding"), stage=lambda rows: Files.staged(rows, "rows"))
+
+
+@query("missing_amounts", _MESSY_SQL + """SELECT file_id, row_index, CASE WHEN blank OR broken THEN 0 ELSE price END::DECIMAL(18,4) AS amount, CASE WHEN blank OR broken THEN 'D' ELSE 'C' END AS direction, currency, reference,
+  CASE WHEN blank THEN 1 WHEN broken THEN 2 ELSE 0 END::BIGINT AS n_warnings FROM m WHERE NOT undated""")
+def _(spark, sf_dir):
+    found = _messy(spark, sf_dir).transactions
+    return found.select("file_id", F.col("row_index").cast("long").alias("row_index"), "amount", "direction", "currency", F.col("reference_number").alias("reference"), F.size("parse_warnings").cast("long").alias("n_warnings"))
+
+
+@query("undated_rows", _MESSY_SQL + """SELECT file_id, count(*) FILTER (WHERE NOT undated) AS n_parsed, 0::BIGINT AS n_skipped, count(*) FILTER (WHERE undated) AS n_dropped, CASE WHEN count(*) FILTER (WHERE NOT undated) = 0 THEN 'CSV_NO_DATA_ROWS' END AS error_code,
+  '0=Date,1=Description,2=Amount,3=Currency,4=Reference' AS headers FROM m GROUP BY 1""")
+def _(spark, sf_dir):
+    headers = F.array_join(F.transform(F.sort_array(F.map_entries("raw_headers")), lambda e: F.concat(e["key"].cast("string"), F.lit("="), e["value"])), ",")
+    count = lambda c, n: F.col(c).cast("long").alias(n)
+    return _messy(spark, sf_dir).statements.select("file_id", count("total_rows_parsed", "n_parsed"), count("total_rows_skipped", "n_skipped"), count("total_rows_dropped", "n_dropped"), "error_code", headers.alias("headers"))
+
+
+@query("date_missing_parts", f"""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 2 THEN date_trunc('month', o_orderdate)::DATE WHEN month(o_orderdate) = 2 AND day(o_orderdate) = 29 THEN NULL
+  ELSE make_date({config.DATE_RULES.default.year}, month(o_orderdate), day(o_orderdate)) END AS day FROM orders""")
+def _(spark, sf_dir):
+    forms = F.array(F.date_format(_DAY, "MMMM d"), F.date_format(_DAY, "d MMM"), F.date_format(_DAY, "MMM yyyy"))
+    texts = L.table(spark, sf_dir, "orders").select("o_orderkey", F.element_at(forms, (F.col("o_orderkey") % 3 + 1).cast("int")).alias("text"))
+    rules = config.DateRules(default=config.DATE_RULES.default.replace(day=1))
+    return with_steps(texts, {"p": date_steps(F.col("text"), rules=rules)}).select("o_orderkey", F.col("p.value").alias("day"))
+
+
+@query("error_codes_met", """WITH f AS (SELECT *, octet_length(encode(text)) AS n, doc_id % 4 AS k FROM documents), g AS (SELECT *, min(doc_id) FILTER (WHERE k = 0 AND n >= 10) OVER (PARTITION BY text) AS first FROM f),
+  c AS (SELECT CASE WHEN k = 2 THEN 'INVALID_EXTENSION' WHEN n = 0 THEN 'EMPTY_FILE' WHEN first < doc_id THEN 'DUPLICATE_FILE' WHEN k <> 0 THEN 'FILE_TYPE_MISMATCH' WHEN n < 10 THEN 'CSV_PARSE_ERROR' END AS code FROM g)
+  SELECT t.code, t.http_status, t.stage, count(c.code) AS n_files FROM (VALUES """ + ", ".join(f"('{c}', {s}, '{g}')" for c, s, g in ERROR_CODES) + ") AS t(code, http_status, stage) LEFT JOIN c ON c.code = t.code GROUP BY ALL")
+def _(spark, sf_dir):
+    padded = _doc_files(spark, sf_dir).withColumn("content", F.concat(F.unhex(F.lit("EFBBBF")), F.col("content")))  # a mark makes any text text
+    codes = spark.createDataFrame(list(ERROR_CODES), "code string, http_status int, stage string")
+    met = V.validate(padded).groupBy(F.col("error_code").alias("code")).agg(F.count(F.lit(1)).alias("n_files"))
+    return codes.join(met, "code", "left").withColumn("n_files", F.coalesce("n_files", F.lit(0)))
+
+
+# --- the catalog's answers, and the stream
+
+_TAKEN = _LEDGER_SQL + ", s AS (SELECT o_custkey AS k, CASE WHEN count(*) FILTER (WHERE day(day) <= 12 AND day(day) <> month(day)) > 0 THEN 'partial' ELSE 'completed' END AS status FROM l GROUP BY o_custkey) "
+
+
+@query("catalog_list", _TAKEN + """SELECT 'partial' AS asked, least(100, count(*)) AS n FROM s WHERE status = 'partial' UNION ALL SELECT 'completed', least(100, count(*)) FROM s WHERE status = 'completed'
+  UNION ALL SELECT 'invoice', 0 UNION ALL SELECT 'later', least(100, count(*)) FROM s WHERE k % 2 = 1 UNION ALL SELECT 'earlier and partial', least(100, count(*)) FROM s WHERE k % 2 = 0 AND status = 'partial' UNION ALL SELECT 'in EUR', 0""")
+def _(spark, sf_dir):
+    catalog, files = _catalog(spark, sf_dir)
+    odd = F.col("file_id").cast("long") % 2 == 1
+    catalog.ingest(files.where(~odd), "even", "2026-01-02")
+    catalog.ingest(files.where(odd), "odd", "2026-01-04")
+    asked = {
+        "partial": {"status": "partial"}, "completed": {"status": "completed"}, "invoice": {"document_type": "invoice"}, "later": {"uploaded_after": "2026-01-03"},
+        "earlier and partial": {"uploaded_before": "2026-01-03", "status": "partial", "document_type": "bank_statement"}, "in EUR": {"currency": "EUR"},
+    }
+    found = [catalog.list_documents(limit=100, **how).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("asked"), "n") for name, how in asked.items()]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query("catalog_lookup", _TAKEN + "SELECT k::VARCHAR || '.csv' AS original_name, status, 'third' AS batch, TRUE AS reprocessed, TRUE AS same_bytes FROM s WHERE k = (SELECT min(k) FROM s)")
+def _(spark, sf_dir):
+    catalog, files = _catalog(spark, sf_dir)
+    for batch, at in (("first", "2026-01-02"), ("third", "2026-01-04")):
+        taken = catalog.ingest(files, batch, at, allow_reprocess=True)
+    wanted = taken.orderBy(F.col("file_id").cast("long")).limit(1).first()["document_id"]
+    document, job = catalog.get_document(wanted), catalog.latest_job(wanted)
+    content = catalog.content(wanted).select(V.checksum(F.col("content")).alias("_checksum"))
+    batch = F.when(F.col("started_at") == F.lit("2026-01-04").cast("timestamp"), "third").otherwise("first").alias("batch")
+    told = Cat.with_jobs(document, job.select("document_id", "status", batch, F.col("is_reprocess").alias("reprocessed")))
+    held = told.join(content, F.col("checksum_sha256") == F.col("_checksum"), "left")
+    return held.select("original_name", "status", "batch", "reprocessed", F.col("_checksum").isNotNull().alias("same_bytes"))
+
+
+@query("stream_ingest", "SELECT o_custkey::VARCHAR AS customer, count(*) AS n_transactions, sum(o_totalprice::DECIMAL(18,2))::DECIMAL(18,4) AS amount FROM orders GROUP BY 1")
+def _(spark, sf_dir):
+    """Orders as delimited files arrive in a folder, then the same files again: those are refused."""
+    inbox, catalog = Files.shared_folder(spark, "inbox"), Cat.Catalog(spark, Files.shared_folder(spark, "catalog"))
+    lines = L.table(spark, sf_dir, "orders").select(
+        F.date_format(_DAY, "dd/MM/yyyy").alias("Date"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("Description"),
+        F.concat(L.plain(L.money("o_totalprice")), F.lit(" CR")).alias("Amount"), F.col("o_custkey").cast("string").alias("Reference"), "o_orderkey",
+    ).repartition(4, "o_orderkey").sortWithinPartitions("o_orderkey").drop("o_orderkey")
+    for arrival in ("first", "second"):
+        lines.write.option("header", True).option("maxRecordsPerFile", 50_000).csv(f"{inbox}/{arrival}")
+        Stream.start(catalog, Stream.stream_files(spark, f"{inbox}/*", 3), f"{catalog.root}/_stream", name="inbox").awaitTermination()
+    found = catalog.raw("bank_transactions").groupBy(F.col("reference_number").alias("customer"))
+    return found.agg(F.count(F.lit(1)).alias("n_transactions"), _dec(F.sum("amount")).alias("amount"))

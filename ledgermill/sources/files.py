@@ -154,6 +154,21 @@ def delimiter_of(text: str) -> str:
     return best
 
 
+def records(text: str) -> Iterator[tuple[int, list[str], str]]:
+    """Number, cells and delimiter of each record of a delimited text; a record that cannot be read has no cells."""
+    mark = delimiter_of(text)
+    reader, number = csv.reader(io.StringIO(text, newline=""), delimiter=mark), 0
+    while True:
+        try:
+            row = next(reader)
+        except StopIteration:
+            return
+        except csv.Error:
+            row = []
+        number += 1
+        yield number, row, mark
+
+
 def tokenise(files: DataFrame) -> DataFrame:
     """Records of delimited text (columns file_id, text) as ``GRID``: blank records keep their numbers, which
     count from 1.  The only step that leaves the JVM; records stream out in batches."""
@@ -168,19 +183,7 @@ def tokenise(files: DataFrame) -> DataFrame:
         out: tuple[list, list, list, list] = ([], [], [], [])
         for batch in batches:
             for file_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if not text:
-                    continue
-                mark = delimiter_of(text)
-                reader = csv.reader(io.StringIO(text, newline=""), delimiter=mark)
-                number = 0
-                while True:
-                    try:
-                        row = next(reader)
-                    except StopIteration:
-                        break
-                    except csv.Error:
-                        row = []
-                    number += 1
+                for number, row, mark in records(text) if text else ():
                     for column, value in zip(out, (file_id, number, row, mark), strict=True):
                         column.append(value)
                     if len(out[0]) >= BATCH:
