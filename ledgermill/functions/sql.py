@@ -2,6 +2,9 @@
 
 Each is made of the same steps as its column form.  A step becomes a function of its own that hands all values so far
 to the next: Spark binds a function's arguments in a projection below its body, so each step is evaluated once.
+
+Amounts, splits, balances and dates stand in a select list or a condition.  Sum them from a subquery that selects them:
+Spark takes no expression into an aggregate that must stay where it is, as these must (see ``define``).
 """
 
 from __future__ import annotations
@@ -53,8 +56,11 @@ def define(spark: SparkSession, name: str, parameters: dict[str, str], steps: St
         held |= {n: kind for n, (_, kind) in zip(names, made, strict=True)}
         value = [F.col(n) for n in names] if isinstance(wanted, list) else F.col(names[0])
     body, returns = sql_text(spark, steps, ", ".join(f"{k} {t}" for k, t in held.items()))
-    # A condition on the result must not move below the steps, where it would write each out for every time it is read.
-    body = f"CASE WHEN spark_partition_id() >= 0 THEN {body} END" if bodies else body
+    if bodies:
+        # A condition on the result must not move below the steps, where it would write each out for every time it is
+        # read: the result is an argument itself, so a projection of its own, and differs between tasks to the planner.
+        _define(spark, f"{name}_found", f"found {returns}", returns, "found")
+        body = f"{name}_found(CASE WHEN spark_partition_id() >= 0 THEN {body} END)"
     # The last step first: a function's body may only call what is there.
     for n in range(len(bodies), -1, -1):
         own = held if n == len(bodies) else bodies[n][0]
