@@ -258,6 +258,24 @@ def test_a_model_over_the_bound_is_trained_on_less(spark, odd_docs, monkeypatch)
     assert toxicity.train(odd_docs, labels).likelihoods.nbytes < whole.likelihoods.nbytes
 
 
+def test_every_labelled_row_is_trained_on(spark):
+    """A word that only the toxic rows of the largest hashes have counts, however many rows there are before them."""
+    from pyspark.sql import Window, functions as F
+
+    rows = spark.range(5000).select(F.col("id").alias("doc_id"), (F.col("id") < 4500).cast("int").alias("toxic"))
+    late = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")) > 4000
+    text = F.when(late, "zork zork zork").when(F.col("toxic") == 1, "quix mild day").otherwise("calm mild day")
+    rows = rows.withColumn("text", text)
+    model = toxicity.train(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"))
+    zork, calm = model.likelihoods.of_texts(["zork", "calm"])
+    assert zork[0] > 2 and calm[0] < -2
+    pairs = spark.createDataFrame([(1, "zork"), (2, "calm")], "doc_id long, text string")
+    zork, calm = (r["score"] for r in toxicity.score(pairs, model).orderBy("doc_id").collect())
+    assert zork > 0.9 and calm < 0.3
+    by = dict(zip(("ordinary", "toxic"), model.likelihoods.before.get(toxicity._keys(np.array([[toxicity._START]], np.uint64)))[:2]))
+    assert by == {"ordinary": 500, "toxic": 4500}
+
+
 # --- personal data
 
 RULES = (
