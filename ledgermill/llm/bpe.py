@@ -19,6 +19,7 @@ import base64
 import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -35,9 +36,11 @@ SPACE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+
 MATRIX_BYTES = 4096
 #: Most cells of one matrix; a larger bucket is encoded in several.
 MATRIX_CELLS = 1 << 16
-#: Pieces that a worker remembers between batches, so that its memory stays bounded.
-MEMORY_PIECES = 100_000
+#: Stretches that a worker remembers between batches, in each of two generations, so that its memory stays bounded.
+MEMORY_PIECES = 200_000
 NO_RANK = np.int32(2**31 - 1)
+#: A stretch's ids as 32-bit numbers, the ids in decimal, and the bytes that they decode to.
+Stretch = tuple[bytes, str, bytes]
 
 
 class PairTable:
@@ -94,7 +97,10 @@ class Vocabulary:
                     pairs[(a << 20) | b] = rank
         self.pairs = PairTable(pairs)
         self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        self.memory: dict[str, tuple[list[int], str]] = {}
+        self.decimal = list(map(str, range(max(self.bytes_of) + 1)))
+        self.memory: dict[str, Stretch] = {}
+        self.older: dict[str, Stretch] = {}
+        self.plain_words = pattern == SPACE_PATTERN
         # Texts in which a space may be inside a match are cut as a whole: all of them with another pattern.
         self.odd_space = re.compile(r"\s | \s|\A | \Z|\0" if pattern == SPACE_PATTERN else "").search
 
@@ -188,12 +194,13 @@ class Vocabulary:
                 push(before[i])
         return [t for t, ok in zip(ids, alive, strict=True) if ok]
 
-    def encode_batch(self, texts: list[str]) -> Iterator[list[tuple[list[int], str]]]:
-        """For each text its stretches in order, each as ids and as decimal ids.
+    def encode_batch(self, texts: list[str]) -> Iterator[list[Stretch]]:
+        """For each text its stretches in order.
 
         A stretch starts at a single space between two characters that are not white space, where the
         pattern always starts a match; so a stretch is cut alike wherever it stands, and each distinct one
-        is cut and encoded once.  A text in which some space is not of that kind is cut as a whole.
+        is cut, encoded and decoded once while it is remembered: what no batch has used since the memory was last
+        full is forgotten.  A text in which some space is not of that kind is cut as a whole.
         """
         cut = []
         for text in texts:
@@ -203,31 +210,37 @@ class Vocabulary:
         wanted = set().union(*cut)
         new = wanted.difference(self.memory)
         if len(self.memory) + len(new) > MEMORY_PIECES:
+            self.older.clear()
+            self.older |= self.memory
             self.memory.clear()
             new = wanted
-        new = list(new)
-        pieces = [self.pieces(p[1:] if p[:1] == "\0" else " " + p) for p in new]
+        known = new.intersection(self.older)
+        self.memory |= zip(known, map(self.older.__getitem__, known), strict=True)
+        self._remember(list(new - known))
+        return (list(map(self.memory.__getitem__, parts)) for parts in cut)
+
+    def _remember(self, new: list[str]) -> None:
+        pieces = []
+        for p in new:
+            whole = p[1:] if p[:1] == "\0" else " " + p
+            # Letters after a space or nothing are one match; of other letters than A to Z the pattern's library decides.
+            pieces.append([whole] if self.plain_words and p.isascii() and p.isalpha() else self.pieces(whole))
         distinct = list(set().union(*pieces))
         ids = dict(zip(distinct, self.encode_pieces([p.encode() for p in distinct]), strict=True))
+        decimal, bytes_of = self.decimal.__getitem__, self.bytes_of.__getitem__
         for p, own in zip(new, pieces, strict=True):
             joined = ids[own[0]] if len(own) == 1 else list(chain.from_iterable(map(ids.__getitem__, own)))
-            self.memory[p] = (joined, " ".join(map(str, joined)))
-        known = self.memory.__getitem__
-        return (list(filter(_some, map(known, parts))) for parts in cut)
+            self.memory[p] = array("i", joined).tobytes(), " ".join(map(decimal, joined)), b"".join(map(bytes_of, joined))
 
     def encode(self, text: str) -> list[int]:
-        return _flat(next(iter(self.encode_batch([text]))))
+        return _flat(next(iter(self.encode_batch([text])))).tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-def _some(stretch: tuple[list[int], str]) -> bool:
-    return bool(stretch[0])
-
-
-def _flat(pieces: list[tuple[list[int], str]]) -> list[int]:
-    return list(chain.from_iterable([ids for ids, _ in pieces]))
+def _flat(stretches: list[Stretch]) -> np.ndarray:
+    return np.frombuffer(b"".join([ids for ids, _, _ in stretches]), np.int32)
 
 
 @lru_cache(maxsize=4)
@@ -255,11 +268,11 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", carry: tu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path, pattern)
-        with lean(vocab.memory):
+        with lean(vocab.memory, vocab.older):
             for batch in batches:
                 for part in _texts_in_parts(batch):
                     ids = [_flat(pieces) for pieces in vocab.encode_batch(part.column("_text").to_pylist())]
-                    flat = pa.array(np.fromiter((i for x in ids for i in x), np.int32, sum(map(len, ids))))
+                    flat = pa.array(np.concatenate([np.zeros(0, np.int32), *ids]))
                     ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                     columns = [part.column(c) for c in carry] + [pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), flat)]
                     yield pa.RecordBatch.from_arrays(columns, names=schema.names)
@@ -274,7 +287,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "token_ids", carry
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path, pattern)
-        with lean(vocab.memory):
+        with lean(vocab.memory, vocab.older):
             for batch in batches:
                 texts = [vocab.decode(x or []) for x in batch.column(len(carry)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carry], pa.array(texts, pa.binary())], names=schema.names)
@@ -291,17 +304,18 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", carry
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path, pattern)
-        with lean(vocab.memory):
+        with lean(vocab.memory, vocab.older):
             for batch in batches:
                 for part in _texts_in_parts(batch):
                     counts, ids_hash, bytes_hash, kept = [], [], [], []
-                    for pieces in vocab.encode_batch(part.column("_text").to_pylist()):
-                        ids = _flat(pieces)
-                        counts.append(len(ids))
+                    for stretches in vocab.encode_batch(part.column("_text").to_pylist()):
+                        decimal = " ".join([x for _, x, _ in stretches])
+                        counts.append(decimal.count(" ") + 1 if decimal else 0)
                         if with_ids:
-                            kept.append(np.array(ids, np.int32))
-                        ids_hash.append(hashlib.sha256(" ".join([x for _, x in pieces]).encode()).hexdigest())
-                        bytes_hash.append(hashlib.sha256(vocab.decode(ids)).hexdigest())
+                            kept.append(_flat(stretches))
+                        ids_hash.append(hashlib.sha256(decimal.encode()).hexdigest())
+                        # Decoding joins what the ids stand for, so a stretch's ids are decoded once, as they are made.
+                        bytes_hash.append(hashlib.sha256(b"".join([x for _, _, x in stretches])).hexdigest())
                     columns = [part.column(c) for c in carry] + [pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(bytes_hash, pa.string()), *[pa.array(kept, pa.list_(pa.int32()))] * with_ids]
                     yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 

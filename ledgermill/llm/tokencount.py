@@ -49,6 +49,7 @@ def write(df: DataFrame, scratch: Scratch, path: str, pattern: str, eod: int, te
         vocab, file = vocabulary(path, pattern), TaskContext.get().partitionId()
         if eod in vocab.bytes_of:
             raise ValueError(f"{eod} is a token of the vocabulary")
+        end = np.int32(eod).tobytes()
         store, folder = opened(root)
         store.create_dir(folder, recursive=True)
         name, n_docs, size, ids_type = f"{file}-{uuid.uuid4().hex}.bin", 0, 0, pa.null()
@@ -57,15 +58,17 @@ def write(df: DataFrame, scratch: Scratch, path: str, pattern: str, eod: int, te
             n = len(at)
             return pa.RecordBatch.from_arrays([pa.array([part] * n), pa.array([file] * n, pa.int64()), pa.array(at, pa.int64()), ids, pa.array([where] * n, pa.string())], names=schema.names)
 
-        with lean(vocab.memory), store.open_output_stream(f"{folder}/{name}") as out:
+        with lean(vocab.memory, vocab.older), store.open_output_stream(f"{folder}/{name}") as out:
             for batch in batches:
                 for part in _texts_in_parts(batch):
-                    flat: list[int] = []
-                    for pieces in vocab.encode_batch(part.column("_text").to_pylist()):
-                        for ids, _ in pieces:
-                            flat += ids
-                        flat.append(eod)
-                    data = np.array(flat, dtype).tobytes()
+                    own: list[bytes] = []
+                    for stretches in vocab.encode_batch(part.column("_text").to_pylist()):
+                        own += [ids for ids, _, _ in stretches]
+                        own.append(end)
+                    ids = np.frombuffer(b"".join(own), np.int32)
+                    if len(ids) and ids.max() > np.iinfo(dtype).max:
+                        raise ValueError(f"a token of {ids.max()} does not fit {dtype}")
+                    data = ids.astype(dtype).tobytes()
                     out.write(data)
                     size, ids_type = size + len(data), part.column(0).type
                     yield rows("documents", list(range(n_docs, n_docs + len(part))), part.column(0), None)

@@ -5,6 +5,7 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -264,3 +265,19 @@ def test_quality_against_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = rows(quality.judge(docs).join(labels.select("doc_id", "quality"), "doc_id").where("n_words >= 50"))
     assert sum(r["kept"] == (r["quality"] == 1) for r in got) / len(got) > 0.97
+
+
+def test_what_batches_share_is_encoded_once(monkeypatch):
+    """A memory that overflows at every batch still knows what the batch before used; ids, decimals and bytes agree."""
+    vocab = bpe.Vocabulary(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    monkeypatch.setattr(bpe, "MEMORY_PIECES", 6)
+    asked, encode = [], vocab.encode_pieces
+    monkeypatch.setattr(vocab, "encode_pieces", lambda pieces: (asked.extend(pieces), encode(pieces))[1])
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=vocab.ranks, special_tokens={})
+    for i in range(12):
+        text = f"unthinkably déjà-vu don't unthinkably ab{'xyz' * i} {'q' * i}7 ıſ"
+        (stretches,) = vocab.encode_batch([text])
+        ids = own.encode_ordinary(text)
+        assert np.frombuffer(b"".join([x for x, _, _ in stretches]), np.int32).tolist() == ids
+        assert " ".join([x for _, x, _ in stretches]) == " ".join(map(str, ids)) and b"".join([x for _, _, x in stretches]) == text.encode()
+    assert asked.count(b" unthinkably") == 1 and asked.count(b"unthinkably") == 1
