@@ -12,7 +12,8 @@ threshold share one, and both texts of the run take them.  The sample decides th
 Pairs of a bucket are dropped by size and by a sketch of 1024 parities, whose distance is never more than that of
 the sets; what is left is compared shingle by shingle.
 
-Texts of equal shingles are one set.  Each bucket first ties its members to its smallest one, then those that are in
+Texts of equal shingles are one set.  A caller may give pairs of sets to begin with (SimHash does); those that the
+exact comparison confirms are links, and what they connect is not compared again.  Each bucket then ties its members to its smallest one, then those that are in
 different components still to ``HUBS`` more in each of ``ROUNDS`` rounds, and then only pairs that all these leave in
 different components are compared, in tiles of bounded size: a large group costs its members and not its pairs.
 
@@ -23,7 +24,7 @@ text of them; other text is an error.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import accumulate
 from operator import add
@@ -50,6 +51,9 @@ HUBS, ROUNDS = 12, 3
 #: Sets that may be broadcast as ids (16 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
+#: Hashes turned into bits at a time.
+CHUNK = 1 << 15
+
 _SKETCH = [f"s{i}" for i in range(WORDS)]
 
 
@@ -64,6 +68,19 @@ def sequence(text: str, width: int, seed: int = 42) -> np.ndarray:
     return np.array([h(joined[a : b - 1], seed) for a, b in zip([0, *ends], last, strict=False)], np.uint64)
 
 
+def ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+
+def fingerprint(row: np.ndarray) -> int:
+    """``simhash.fingerprint`` of the text that has these shingles."""
+    if not len(row):
+        return 0
+    total = sum(ones(row[k : k + CHUNK]) for k in range(0, len(row), CHUNK))
+    return int(np.packbits(2 * total > len(row), bitorder="little").view("<i8")[0])
+
+
 def shingles(text: str, width: int) -> np.ndarray:
     """The sorted distinct hashes of a text's word shingles."""
     return np.unique(sequence(text, width))
@@ -123,23 +140,24 @@ def _order(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _described(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, text_hash, ``sid`` (the same for texts of equal shingles), ``n``, ``keys`` and the sketch."""
+    """doc_id, text_hash, ``sid`` (the same for texts of equal shingles), ``fp`` (the SimHash), ``n``, ``keys`` and the sketch."""
     order = docs.sparkSession.sparkContext.broadcast(_order(docs, width))  # MOST entries at most
-    names = ["doc_id", "text_hash", "sid", "n", "keys", *_SKETCH]
+    names = ["doc_id", "text_hash", "sid", "fp", "n", "keys", *_SKETCH]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with lean():
             for batch in batches:
-                sid, n, found, parities = [], [], [], []
+                sid, fp, n, found, parities = [], [], [], [], []
                 for t in batch.column(2):
                     row = sequence(t.as_py() or "", width)
                     own = np.unique(row)
                     sid.append(xxhash.xxh3_64_intdigest(own.tobytes()))
+                    fp.append(fingerprint(row))
                     n.append(len(own))
                     found.append(keys(row, own, *order.value).view(np.int64))
                     parities.append(sketch(own))
                 words = np.array(parities, np.int64).reshape(-1, WORDS)
-                arrays = [pa.array(np.array(sid, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(found, pa.list_(pa.int64()))]
+                arrays = [pa.array(np.array(sid, np.uint64).view(np.int64)), pa.array(fp, pa.int64()), pa.array(n, pa.int64()), pa.array(found, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays, *[pa.array(words[:, i]) for i in range(WORDS)]], names=names)
 
     schema = T.StructType([T.StructField(c, T.ArrayType(T.LongType()) if c == "keys" else T.LongType()) for c in names])
@@ -177,12 +195,24 @@ def _ties(stars: DataFrame, sets: DataFrame, docs: DataFrame, width: int, scratc
     return _exact(scratch.cut(tied.where(_fits(F.col("p.n"), F.col("q.n")) & _may("p", "q")).select("a", "b")), sets, docs, width, scratch)
 
 
-def _links(members: DataFrame, sets: DataFrame, docs: DataFrame, width: int, scratch: Scratch) -> DataFrame:
-    """(a, b): links whose closure is that of all pairs of sets within the threshold; ``members``: sid, n, k."""
+def _apart(pairs: DataFrame, ties: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) that the ties do not connect already."""
+    roots = scratch.cut(connected(ties, scratch))
+    for c in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left")
+    return pairs.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+
+
+def _links(members: DataFrame, sets: DataFrame, docs: DataFrame, width: int, scratch: Scratch, ties: DataFrame | None = None) -> DataFrame:
+    """(a, b): links whose closure is that of all pairs of sets within the threshold; ``members``: sid, n, k; ``ties``:
+    links that are known."""
     buckets = members.groupBy("k").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("sid", "n")).alias("m")).where("size > 1")
     shared = scratch.cut(members.join(scratch.cut(buckets), "k"))
     stars = shared.where((F.col("sid") != F.col("m.sid")) & _fits(F.col("n"), F.col("m.n"))).select(F.col("m.sid").alias("a"), F.col("sid").alias("b"))
-    ties = _ties(stars, sets, docs, width, scratch)
+    if ties is None:
+        ties = _ties(stars, sets, docs, width, scratch)
+    else:
+        ties = ties.union(_ties(_apart(stars.distinct(), ties, scratch), sets, docs, width, scratch))
     many, rounds = shared.where("size > 2").select("k", "sid", "n", "size"), 0
     while True:
         roots = scratch.cut(connected(ties, scratch).withColumnRenamed("node", "sid"))
@@ -210,17 +240,19 @@ def _links(members: DataFrame, sets: DataFrame, docs: DataFrame, width: int, scr
     return ties.union(_exact(scratch.cut(crossing), sets, docs, width, scratch))
 
 
-def groups(df: DataFrame, width: int = 5, text: str = "text", doc_id: str = "doc_id", name: str = "overlap") -> DataFrame:
+def groups(df: DataFrame, width: int = 5, text: str = "text", doc_id: str = "doc_id", name: str = "overlap",
+           candidates: Callable[[DataFrame, Scratch], DataFrame] | None = None) -> DataFrame:
     """doc_id, ``text_hash``, ``group`` (the same for all that links lead to) and ``component_id`` (the group's
-    smallest doc_id) of every row."""
+    smallest doc_id) of every row.  ``candidates`` makes of (sid, fp) the pairs (a, b) of sids to begin with."""
     scratch = Scratch(df.sparkSession, name)
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     found = scratch.cut(_described(docs, width))
-    sets = scratch.cut(found.drop("keys").groupBy("sid").agg(*[F.min(c).alias(c) for c in ("doc_id", "text_hash", "n", *_SKETCH)]))
+    sets = scratch.cut(found.drop("keys", "fp").groupBy("sid").agg(*[F.min(c).alias(c) for c in ("doc_id", "text_hash", "n", *_SKETCH)]))
     # Texts of one set whose order differs may have different keys; all count.
     described = found.select("sid", "n", "keys", F.xxhash64("keys").alias("kh")).dropDuplicates(["sid", "kh"])
     members = scratch.cut(described.select("sid", "n", F.explode("keys").alias("k")))
-    roots = connected(_links(members, sets, docs, width, scratch), scratch).withColumnRenamed("node", "sid")
+    first = candidates and _ties(candidates(found.select("sid", "fp").distinct(), scratch), sets, docs, width, scratch)
+    roots = connected(_links(members, sets, docs, width, scratch, first), scratch).withColumnRenamed("node", "sid")
     nodes = scratch.cut(sets.select("sid", "doc_id").join(roots, "sid", "left").select("sid", "doc_id", F.coalesce("root", "sid").alias("group")))
     firsts = nodes.groupBy("group").agg(F.min("doc_id").alias("component_id"))
     named = nodes.select("sid", "group").join(firsts, "group")

@@ -1,6 +1,7 @@
 """SimHash near-duplicates by covering locality-sensitive hashing.
 
-(``groups`` and ``keep_one`` link by exact overlap, in ``overlap``, for shingle widths without a radius: see there.)
+(For shingle widths without a radius, ``groups`` and ``keep_one`` take the pairs within ``CANDIDATES`` of each other as
+candidates, check their overlap exactly, and add what no small radius reaches: see ``overlap``.)
 
 Every pair of fingerprints within the radius r agrees on the kept bits of at least one of 2^(r+1) - 1 masks:
 bit i has a vector m(i) over GF(2) of r + 1 dimensions, mask v keeps bit i if <m(i), v> = 1, and at most r
@@ -34,7 +35,7 @@ BITS = 64
 #: Rows of a tile; two tiles are compared at a time.
 TILE = 1024
 #: Shingles turned into bits at a time.
-CHUNK = 1 << 15
+CHUNK = overlap.CHUNK
 
 
 def fingerprint(text: str, width: int, seed: int = 42) -> int:
@@ -49,8 +50,7 @@ def fingerprint(text: str, width: int, seed: int = 42) -> int:
     last = ends[min(width, len(words)) - 1 :]
     ones, n, h = np.zeros(BITS, np.int64), len(last), xxhash.xxh64_intdigest
     for k in range(0, n, CHUNK):
-        part = np.array([h(joined[a : b - 1], seed) for a, b in zip(starts[k : k + CHUNK], last[k : k + CHUNK], strict=False)], "<u8")
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        ones += overlap.ones(np.array([h(joined[a : b - 1], seed) for a, b in zip(starts[k : k + CHUNK], last[k : k + CHUNK], strict=False)], "<u8"))
     bits = np.packbits(2 * ones > n, bitorder="little")
     return int(bits.view("<i8")[0])
 
@@ -141,6 +141,18 @@ def links(fps: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
 
 #: The radius of a shingle width; no radius reaches 0.8 of overlap, so widths without one link by overlap itself.
 RADIUS = {4: 4}
+#: The radius within which such widths take candidates.
+CANDIDATES = 4
+
+
+def candidates(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): pairs of sids (of sid, ``fp``) that tie all fingerprints within ``CANDIDATES`` of each other."""
+    firsts = scratch.cut(sets.groupBy("fp").agg(F.min("sid").alias("m")))
+    same = sets.join(firsts, "fp").where("sid <> m").select(F.col("m").alias("a"), F.col("sid").alias("b"))
+    near = links(firsts.select("fp"), CANDIDATES, scratch)
+    for c in ("a", "b"):
+        near = near.join(firsts.select(F.col("fp").alias(c), F.col("m").alias(f"s{c}")), c)
+    return scratch.cut(same.union(near.where("sa <> sb").select("sa", "sb")))
 
 
 def groups(df: DataFrame, width: int = 4, radius: int | None = None, text: str = "text", doc_id: str = "doc_id", name: str = "simhash") -> DataFrame:
@@ -148,7 +160,7 @@ def groups(df: DataFrame, width: int = 4, radius: int | None = None, text: str =
     smallest doc_id) of every row, and ``fp`` where links are fingerprints within the radius."""
     radius = RADIUS.get(width) if radius is None else radius
     if radius is None:
-        return overlap.groups(df, width, text, doc_id, name)
+        return overlap.groups(df, width, text, doc_id, name, candidates)
     scratch = Scratch(df.sparkSession, name)
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     docs = scratch.cut(fingerprints(docs, width, carry=("doc_id", "text_hash")))

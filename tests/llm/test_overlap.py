@@ -65,3 +65,26 @@ def test_stage_links_real_near_copies(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     n = agree(docs, simhash.groups(docs, 5))
     assert simhash.keep_one(docs).count() == n < simhash.groups(docs, 5, 4).select("group").distinct().count()
+
+
+def test_stage_goes_through_simhash(spark, odd_docs, monkeypatch):
+    """The pipeline's groups begin with the fingerprints' links; the overlap drops wrong ones and adds missing ones."""
+    import corpus_pipeline
+
+    for t in ["", "a b", "A b c d e f g " * 90, "ä ß z"]:
+        assert overlap.fingerprint(overlap.sequence(t, 5)) == simhash.fingerprint(t, 5)
+    asked, links = [], simhash.links
+
+    def seen(fps, radius, scratch):
+        asked.append((radius, {r["fp"] for r in fps.collect()}))
+        return links(fps, radius, scratch)
+
+    monkeypatch.setattr(simhash, "links", seen)
+    docs = odd_docs.select("doc_id", "text")
+    kept = corpus_pipeline.near_dedup_stage(spark, docs, "")
+    assert kept.count() == len(set(brute_overlap([r["text"] for r in docs.collect()])))
+    assert asked == [(4, {simhash.fingerprint(r["text"] or "", 5) for r in docs.collect()})]
+    # Whatever the fingerprints tie, groups are those of the overlap.
+    pairs = lambda sets, scratch: scratch.cut(sets.crossJoin(sets.selectExpr("min(sid) as m")).where("sid <> m").selectExpr("m as a", "sid as b"))
+    agree(docs, overlap.groups(docs, candidates=pairs))
+    agree(docs, overlap.groups(docs, candidates=lambda sets, scratch: pairs(sets, scratch).limit(0)))
