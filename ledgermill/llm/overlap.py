@@ -10,7 +10,8 @@ the text takes the first n - ceil(0.8 n) + 1 of its shingles as keys besides: of
 threshold share one, and both texts of the run take them.  The sample decides the order alone, never the result.
 
 Pairs of a bucket are dropped by size and by a sketch of 1024 parities, whose distance is never more than that of
-the sets; what is left is compared shingle by shingle.
+the sets.  Of long texts that distance is always small enough, so texts of more shingles have a wide sketch besides, of
+two to four parities a shingle; what both leave is compared shingle by shingle.
 
 Texts of equal shingles are one set.  A caller may give pairs of sets to begin with (SimHash does); those that the
 exact comparison confirms are links, and what they connect is not compared again.  Each bucket then ties its members to its smallest one, then those that are in
@@ -86,12 +87,18 @@ def shingles(text: str, width: int) -> np.ndarray:
     return np.unique(sequence(text, width))
 
 
-def sketch(own: np.ndarray) -> np.ndarray:
-    """For each of 64 * WORDS parts of the hashes, whether an odd number of the set's lies in it."""
-    odd = np.bincount((own % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
+def sketch(own: np.ndarray, parts: int = 64 * WORDS) -> np.ndarray:
+    """For each of so many parts of the hashes, whether an odd number of the set's lies in it."""
+    odd = np.bincount((own % np.uint64(parts)).astype(np.int64), minlength=parts) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def wide(own: np.ndarray) -> np.ndarray | None:
+    """The sketch in parts that are a power of two, two to four a shingle; none where ``sketch`` has as many shingles
+    as parts or fewer.  The halves of one, combined by XOR, are that of half as many parts."""
+    return sketch(own, 1 << (2 * len(own) - 1).bit_length()) if len(own) > 64 * WORDS else None
+
+
 def _weight(x: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """How often the sample has each shingle; 0 for all but the common ones."""
     if not len(common):
@@ -140,14 +147,14 @@ def _order(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _described(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, text_hash, ``sid`` (the same for texts of equal shingles), ``fp`` (the SimHash), ``n``, ``keys`` and the sketch."""
+    """doc_id, text_hash, ``sid`` (the same for texts of equal shingles), ``fp`` (the SimHash), ``n``, ``keys`` and the sketches."""
     order = docs.sparkSession.sparkContext.broadcast(_order(docs, width))  # MOST entries at most
-    names = ["doc_id", "text_hash", "sid", "fp", "n", "keys", *_SKETCH]
+    names = ["doc_id", "text_hash", "sid", "fp", "n", "keys", "wide", *_SKETCH]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with lean():
             for batch in batches:
-                sid, fp, n, found, parities = [], [], [], [], []
+                sid, fp, n, found, wider, parities = [], [], [], [], [], []
                 for t in batch.column(2):
                     row = sequence(t.as_py() or "", width)
                     own = np.unique(row)
@@ -155,12 +162,13 @@ def _described(docs: DataFrame, width: int) -> DataFrame:
                     fp.append(fingerprint(row))
                     n.append(len(own))
                     found.append(keys(row, own, *order.value).view(np.int64))
+                    wider.append(wide(own))
                     parities.append(sketch(own))
                 words = np.array(parities, np.int64).reshape(-1, WORDS)
-                arrays = [pa.array(np.array(sid, np.uint64).view(np.int64)), pa.array(fp, pa.int64()), pa.array(n, pa.int64()), pa.array(found, pa.list_(pa.int64()))]
+                arrays = [pa.array(np.array(sid, np.uint64).view(np.int64)), pa.array(fp, pa.int64()), pa.array(n, pa.int64()), *[pa.array(c, pa.list_(pa.int64())) for c in (found, wider)]]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays, *[pa.array(words[:, i]) for i in range(WORDS)]], names=names)
 
-    schema = T.StructType([T.StructField(c, T.ArrayType(T.LongType()) if c == "keys" else T.LongType()) for c in names])
+    schema = T.StructType([T.StructField(c, T.ArrayType(T.LongType()) if c in ("keys", "wide") else T.LongType()) for c in names])
     return docs.mapInArrow(run, schema)
 
 
@@ -174,13 +182,36 @@ def _may(a: str, b: str) -> Column:
     return 9 * distance <= F.col(f"{a}.n") + F.col(f"{b}.n")
 
 
+def _still_may(a: str, b: str) -> Column:
+    """Whether the wide sketches, if both sets have one, allow 0.8.  Sizes fit, so one has twice the parts at most."""
+    def folded(x: Column, y: Column) -> Column:
+        n = F.array_size(y)
+        halves = F.zip_with(F.slice(x, 1, n), F.slice(x, n + 1, n), lambda s, t: s.bitwiseXOR(t))
+        return F.when(F.array_size(x) > n, halves).otherwise(x)
+
+    x, y = F.col(f"{a}.wide"), F.col(f"{b}.wide")
+    bits = F.zip_with(folded(x, y), folded(y, x), lambda s, t: F.bit_count(s.bitwiseXOR(t)))
+    return F.coalesce(9 * F.aggregate(bits, F.lit(0), add) <= F.col(f"{a}.n") + F.col(f"{b}.n"), F.lit(True))
+
+
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+
+
 def _exact(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) whose overlap is 0.8 or more."""
-    wanted = scratch.cut(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(sets.select("sid", "text_hash"), "sid"))
+    """The pairs (a, b), of sizes that fit, whose overlap is 0.8 or more."""
+    asked = scratch.cut(pairs)
+    known = scratch.cut(_ids(asked).join(sets.select("sid", "text_hash", "n", "wide"), "sid"))
+    sketched = asked.join(known.alias("p"), F.col("a") == F.col("p.sid")).join(known.alias("q"), F.col("b") == F.col("q.sid"))
+    pairs = scratch.cut(sketched.where(_still_may("p", "q")).select("a", "b"))
+    wanted = scratch.cut(_ids(pairs).join(known.select("sid", "text_hash"), "sid"))
     texts = docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "text_hash").groupBy("sid").agg(F.min("text").alias("text"))
     held = scratch.cut(_sets(texts, width, "sid", "text"))
     both = pairs.join(held.select(F.col("sid").alias("a"), F.col("x").alias("xa")), "a").join(held.select(F.col("sid").alias("b"), F.col("x").alias("xb")), "b")
-    return scratch.cut(both.where(9 * F.size(F.array_intersect("xa", "xb")) >= 4 * (F.size("xa") + F.size("xb"))).select("a", "b"))
+    found = scratch.cut(both.where(9 * F.size(F.array_intersect("xa", "xb")) >= 4 * (F.size("xa") + F.size("xb"))).select("a", "b"))
+    for done in (asked, known, pairs, wanted, held):
+        scratch.drop(done)
+    return found
 
 
 def _hub(seed: int) -> Column:
@@ -192,7 +223,7 @@ def _ties(stars: DataFrame, sets: DataFrame, docs: DataFrame, width: int, scratc
     """The pairs (a, b) of ``stars`` whose overlap is 0.8 or more."""
     sketches = sets.select("sid", "n", *_SKETCH)
     tied = stars.distinct().join(sketches.alias("p"), F.col("a") == F.col("p.sid")).join(sketches.alias("q"), F.col("b") == F.col("q.sid"))
-    return _exact(scratch.cut(tied.where(_fits(F.col("p.n"), F.col("q.n")) & _may("p", "q")).select("a", "b")), sets, docs, width, scratch)
+    return _exact(tied.where(_fits(F.col("p.n"), F.col("q.n")) & _may("p", "q")).select("a", "b"), sets, docs, width, scratch)
 
 
 def _apart(pairs: DataFrame, ties: DataFrame, scratch: Scratch) -> DataFrame:
@@ -206,8 +237,11 @@ def _apart(pairs: DataFrame, ties: DataFrame, scratch: Scratch) -> DataFrame:
 def _links(members: DataFrame, sets: DataFrame, docs: DataFrame, width: int, scratch: Scratch, ties: DataFrame | None = None) -> DataFrame:
     """(a, b): links whose closure is that of all pairs of sets within the threshold; ``members``: sid, n, k; ``ties``:
     links that are known."""
-    buckets = members.groupBy("k").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("sid", "n")).alias("m")).where("size > 1")
-    shared = scratch.cut(members.join(scratch.cut(buckets), "k"))
+    members = scratch.cut(members)
+    buckets = scratch.cut(members.groupBy("k").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("sid", "n")).alias("m")).where("size > 1"))
+    shared = scratch.cut(members.join(buckets, "k"))
+    for done in (members, buckets):
+        scratch.drop(done)
     stars = shared.where((F.col("sid") != F.col("m.sid")) & _fits(F.col("n"), F.col("m.n"))).select(F.col("m.sid").alias("a"), F.col("sid").alias("b"))
     if ties is None:
         ties = _ties(stars, sets, docs, width, scratch)
@@ -237,7 +271,10 @@ def _links(members: DataFrame, sets: DataFrame, docs: DataFrame, width: int, scr
     tiled = scratch.cut(tiled.join(sets.select("sid", "n", *_SKETCH), "sid"))
     on = (F.col("p.g") == F.col("q.g")) & (F.col("p.sid") < F.col("q.sid")) & (F.col("p.c") != F.col("q.c")) & _fits(F.col("p.n"), F.col("q.n")) & _may("p", "q")
     crossing = tiled.alias("p").join(tiled.alias("q"), on).select(F.col("p.sid").alias("a"), F.col("q.sid").alias("b")).distinct()
-    return ties.union(_exact(scratch.cut(crossing), sets, docs, width, scratch))
+    ties = ties.union(_exact(crossing, sets, docs, width, scratch))
+    for done in (tiled, left, mixed, roots, shared):
+        scratch.drop(done)
+    return ties
 
 
 def groups(df: DataFrame, width: int = 5, text: str = "text", doc_id: str = "doc_id", name: str = "overlap",
@@ -247,10 +284,10 @@ def groups(df: DataFrame, width: int = 5, text: str = "text", doc_id: str = "doc
     scratch = Scratch(df.sparkSession, name)
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     found = scratch.cut(_described(docs, width))
-    sets = scratch.cut(found.drop("keys", "fp").groupBy("sid").agg(*[F.min(c).alias(c) for c in ("doc_id", "text_hash", "n", *_SKETCH)]))
+    sets = scratch.cut(found.drop("keys", "fp").groupBy("sid").agg(*[F.min(c).alias(c) for c in ("doc_id", "text_hash", "n", "wide", *_SKETCH)]))
     # Texts of one set whose order differs may have different keys; all count.
     described = found.select("sid", "n", "keys", F.xxhash64("keys").alias("kh")).dropDuplicates(["sid", "kh"])
-    members = scratch.cut(described.select("sid", "n", F.explode("keys").alias("k")))
+    members = described.select("sid", "n", F.explode("keys").alias("k"))
     first = candidates and _ties(candidates(found.select("sid", "fp").distinct(), scratch), sets, docs, width, scratch)
     roots = connected(_links(members, sets, docs, width, scratch, first), scratch).withColumnRenamed("node", "sid")
     nodes = scratch.cut(sets.select("sid", "doc_id").join(roots, "sid", "left").select("sid", "doc_id", F.coalesce("root", "sid").alias("group")))

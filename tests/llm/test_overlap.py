@@ -3,10 +3,13 @@
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
+import numpy as np
 import pytest
 
 from ledgermill.llm import overlap, simhash
+from ledgermill.llm.common import Scratch
 
 
 def brute_overlap(texts, width=5):
@@ -88,3 +91,47 @@ def test_stage_goes_through_simhash(spark, odd_docs, monkeypatch):
     pairs = lambda sets, scratch: scratch.cut(sets.crossJoin(sets.selectExpr("min(sid) as m")).where("sid <> m").selectExpr("m as a", "sid as b"))
     agree(docs, overlap.groups(docs, candidates=pairs))
     agree(docs, overlap.groups(docs, candidates=lambda sets, scratch: pairs(sets, scratch).limit(0)))
+
+
+def test_long_texts(spark, monkeypatch):
+    """Long texts that share a passage are told apart by sketches and not shingle by shingle, and no table of shingles
+    is left; those within the threshold are linked, whatever the sizes of their sketches."""
+    r = random.Random(9)
+    words = [f"v{i}" for i in range(5000)]
+    passage = r.choices(words, k=300)
+    texts = [" ".join(passage + r.choices(words, k=k)) for k in (2300, 2301, 2302)]  # in too few texts to be common
+    for n in (1000, 1040, 2040, 2060, 4100):
+        base = r.choices(words, k=n)
+        for share in (0.97, 0.9, 0.86, 0.83, 0.79, 0.76, 0.5):
+            texts.append(" ".join(base[: int(n * share)] + (r.choices(words, k=int(n * (1 - share))) if share == 0.9 else [])))
+    fetched, made, sets, init = [], [], overlap._sets, Scratch.__init__
+
+    def seen(df, width, key, text):
+        if key == "sid":
+            fetched.extend(len(row["text"].split()) for row in df.collect())
+        return sets(df, width, key, text)
+
+    monkeypatch.setattr(overlap, "_sets", seen)
+    monkeypatch.setattr(Scratch, "__init__", lambda self, *a: (init(self, *a), made.append(self))[0])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert agree(df, overlap.groups(df)) < len(texts) - 10
+    assert fetched and not {2600, 2601, 2602} & set(fetched)
+    roots = [Path(re.sub("^file:/+", "/", s.root)) for s in made]
+    assert roots and not [f for root in roots for f in root.glob("*/*.parquet") if "x" in spark.read.parquet(str(f)).columns]
+
+
+def test_wide_sketch():
+    """Its distance, folded to equal sizes by halves, is never more than that of the sets."""
+    r = np.random.default_rng(3)
+    for n in (1025, 2000, 2048, 2049, 5000):
+        own = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
+        assert 2 * n <= 64 * len(overlap.wide(own)) < 4 * n
+        for change in (1, n // 10, n // 5):
+            other = own[change:] if change % 2 else np.concatenate([own[change:], r.integers(0, 1 << 63, change, dtype=np.uint64)])
+            x, y = overlap.wide(own), overlap.wide(np.unique(other))
+            if y is None:
+                continue
+            while len(x) > len(y):
+                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+            assert np.bitwise_count((x ^ y).view("<u8")).sum() <= len(np.setxor1d(own, other))
+    assert overlap.wide(own[:1024]) is None
