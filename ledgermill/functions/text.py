@@ -71,6 +71,12 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
 
 
+def once(c: Column) -> Column:
+    """A costly column that is not written out again in conditions on it, nor in what generates rows from it: these stay
+    above what differs between tasks."""
+    return F.when(F.spark_partition_id() >= 0, c)
+
+
 #: Steps that are compiled to one method.
 TOGETHER = 9
 #: Steps of a computation: each yielded expression, or list of them, comes back as columns that may be read often.
@@ -117,10 +123,8 @@ def with_steps(df: DataFrame, steps: dict[str, Steps]) -> DataFrame:
         taken += made
         n += 1
         together += len(made)
-        if together >= TOGETHER:
-            last = taken[-1]
-            df, together = df.withColumn(last, let(F.col(last), lambda x: x)), 0
+        if together >= TOGETHER:  # in every column of the round, as those that nothing reads are left out, their lambdas too
+            df, together = df.withColumns({c: let(F.col(c), lambda x: x) for c in made}), 0
     # Conditions on the results must not move below the steps, where each would be written out once for every time that
-    # it is read; they stay above what differs between tasks.
-    kept = F.spark_partition_id() >= 0
-    return df.withColumns({name: F.when(kept, c) for name, c in names.items()}).drop(*taken)
+    # it is read.
+    return df.withColumns({name: once(c) for name, c in names.items()}).drop(*taken)

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import config as C
 from ..functions.amounts import amount_steps
 from ..functions.dates import date_steps
-from ..functions.text import Steps, first_group, first_token, let, message, strip, with_steps
+from ..functions.text import Steps, first_group, first_token, let, message, once, strip, with_steps
 
 TABLES = "array<array<array<string>>>"
 _MONEY = "decimal(18,4)"
+#: A line's columns that are numbers.
+NUMBERS = ("quantity", "unit_price", "line_total", "tax_amount", "tax_rate")
 
 
 def invoice_number(text: Column) -> Column:
@@ -81,18 +86,27 @@ def fields(docs: DataFrame, rules: C.DateRules = C.DATE_RULES) -> DataFrame:
     return found.withColumns({"confidence": confidence(*core), "missing": names})
 
 
+def _holds_one(low: Column, keys: tuple[str, ...]) -> Column:
+    """Whether a lower-cased text holds a keyword; those that hold another one say nothing more."""
+    return reduce(or_, [F.contains(low, F.lit(k)) for k in keys if not any(o != k and o in k for o in keys)])
+
+
 def line_field(cell: Column) -> Column:
     """The logical column of a header cell: the first field of which it holds a keyword."""
-    low = F.lower(strip(F.coalesce(cell, F.lit(""))))
-    return F.coalesce(*[F.when(F.exists(F.array(*map(F.lit, keys)), lambda k: F.contains(low, k)), F.lit(f)) for f, keys in C.LINE_COLUMNS.items()])
+    return let(F.lower(F.coalesce(cell, F.lit(""))), lambda low: F.coalesce(*[F.when(_holds_one(low, keys), F.lit(f)) for f, keys in C.LINE_COLUMNS.items()]))
 
 
 def best_table(tables: Column) -> Column:
     """A struct of ``rows`` and ``columns`` (each cell's field): the first table and row among its first five
     that names the most columns, two at least, the description among them.  Null if there is none."""
+    def fields_of(row: Column) -> Column:
+        # Cells are looked at one by one only in rows that may name the description.
+        named = let(F.lower(F.array_join(row, "\n")), lambda low: _holds_one(low, C.LINE_COLUMNS["description"]))
+        return F.when(named, F.transform(row, line_field))
+
     def of_table(t: Column, at: Column) -> Column:
-        rows = F.transform(F.slice(t, 1, 5), lambda r, i: F.struct(F.transform(r, line_field).alias("c"), i.alias("i")))
-        usable = F.filter(rows, lambda x: F.array_contains(x["c"], "description") & (F.size(F.array_compact(x["c"])) >= 2))
+        rows = F.transform(F.slice(t, 1, 5), lambda r, i: F.struct(fields_of(r).alias("c"), i.alias("i")))
+        usable = F.filter(rows, lambda x: x["c"].isNotNull() & F.array_contains(x["c"], "description") & (F.size(F.array_compact(x["c"])) >= 2))
         return F.transform(usable, lambda x: F.struct(F.size(F.array_compact(x["c"])).alias("n"), (-at).alias("t"), (-x["i"]).alias("i"), x["c"].alias("c")))
 
     every = F.flatten(F.transform(tables, lambda t, at: F.when(F.size(t) >= 2, of_table(t, at)).otherwise(F.expr("cast(array() as array<struct<n:int,t:int,i:int,c:array<string>>>)"))))
@@ -101,13 +115,12 @@ def best_table(tables: Column) -> Column:
 
 
 def _lines(rows: DataFrame) -> DataFrame:
-    """Typed lines from text columns; a missing total or price follows from the others."""
-    n = ("quantity", "unit_price", "line_total", "tax_amount", "tax_rate")
-    typed = with_steps(rows, {f"p_{k}": amount_steps(F.col(f"r_{k}")) for k in n})
-    bad = F.array_compact(F.array(*[F.when(F.coalesce(F.col(f"p_{k}.error"), F.lit(False)), F.lit(k)) for k in n]))
+    """Typed lines from text columns and each line's place (from 0); a missing total or price follows from the others."""
+    typed = with_steps(rows, {f"p_{k}": amount_steps(F.col(f"r_{k}")) for k in NUMBERS})
+    bad = F.array_compact(F.array(*[F.when(F.coalesce(F.col(f"p_{k}.error"), F.lit(False)), F.lit(k)) for k in NUMBERS]))
     quantity, price, total = F.col("p_quantity.value"), F.col("p_unit_price.value"), F.col("p_line_total.value")
     return typed.select(
-        "file_id", F.row_number().over(W.partitionBy("file_id").orderBy("at")).cast("smallint").alias("line_number"), F.col("r_description").alias("description"),
+        "file_id", (F.col("at") + 1).cast("smallint").alias("line_number"), F.col("r_description").alias("description"),
         quantity.try_cast("decimal(12,4)").alias("quantity"),
         F.coalesce(price.try_cast(_MONEY), F.when(total.isNotNull() & (quantity > 0), F.try_divide(total, quantity)).try_cast(_MONEY)).alias("unit_price"),
         F.coalesce(total.try_cast(_MONEY), (quantity.try_cast("decimal(12,4)") * price.try_cast(_MONEY)).try_cast(_MONEY)).alias("line_total"),
@@ -116,10 +129,14 @@ def _lines(rows: DataFrame) -> DataFrame:
     )
 
 
-def _cell(columns: Column, row: Column, field: str) -> Column:
-    """A row's cell of a logical column, null if blank; of several columns of one name the last counts."""
-    last = F.size(columns) - F.array_position(F.reverse(columns), field).cast("int")
-    return F.when(F.array_contains(columns, field), F.nullif(strip(F.get(row, last)), F.lit("")))
+def _place(columns: Column, field: str) -> Column:
+    """Where rows have a logical column (from 0), null if nowhere; of several columns of one name the last counts."""
+    return F.when(F.array_contains(columns, field), F.size(columns) - F.array_position(F.reverse(columns), field).cast("int"))
+
+
+def _cell(row: Column, place: Column) -> Column:
+    """A row's cell, null if blank or if there is no place."""
+    return F.nullif(strip(F.get(row, place)), F.lit(""))
 
 
 def _is_line(description: Column) -> Column:
@@ -128,28 +145,32 @@ def _is_line(description: Column) -> Column:
 
 def has_table_lines(best: Column) -> Column:
     """Whether a best table has a row that is a line item."""
-    return F.coalesce(let(best, lambda b: F.exists(b["rows"], lambda r: _is_line(_cell(b["columns"], r, "description")))), F.lit(False))
+    return F.coalesce(let(_place(best["columns"], "description"), lambda at: F.exists(best["rows"], lambda r: _is_line(_cell(r, at)))), F.lit(False))
 
 
 def table_lines(docs: DataFrame, best: Column | None = None) -> DataFrame:
-    """Line items of each document's best table.  A cell that is no number is null and named in bad_fields."""
-    found = docs.select("file_id", (best_table(F.col("tables")) if best is None else best).alias("b")).where("b is not null")
-    rows = found.select("file_id", F.col("b.columns").alias("c"), F.posexplode("b.rows").alias("at", "row"))
-    rows = rows.withColumns({f"r_{f}": _cell(F.col("c"), F.col("row"), f) for f in C.LINE_COLUMNS})
-    return _lines(rows.where(_is_line(F.col("r_description"))))
+    """Line items of each document's best table.  A cell that is no number is null and named in bad_fields.  Lines are
+    told and counted within their document, so no rows change places."""
+    found = docs.select("file_id", once(best_table(F.col("tables")) if best is None else best).alias("b")).where("b is not null")
+    placed = found.select("file_id", F.col("b.rows").alias("rows"), *[_place(F.col("b.columns"), f).alias(f"at_{f}") for f in C.LINE_COLUMNS])
+    held = placed.withColumn("rows", once(F.filter("rows", lambda r: _is_line(_cell(r, F.col("at_description"))))))
+    rows = held.select("file_id", *[f"at_{f}" for f in C.LINE_COLUMNS], F.posexplode("rows").alias("at", "row"))
+    return _lines(rows.withColumns({f"r_{f}": _cell(F.col("row"), F.col(f"at_{f}")) for f in C.LINE_COLUMNS}))
 
 
 def text_lines(docs: DataFrame) -> DataFrame:
     """Line items from lines of text between a header line and a summary line."""
-    lines = docs.select("file_id", F.posexplode(F.filter(F.transform(F.split("text", "\n"), strip), lambda x: x != "")).alias("at", "line"))
-    order = W.partitionBy("file_id").orderBy("at")
-    header, stop = F.regexp_like("line", F.lit(C.TEXT_TABLE_HEADER)), F.regexp_like("line", F.lit(C.SUMMARY_LINE))
-    seen = lines.withColumn("head", header).withColumn("started", F.max("head").over(order))
-    inside = seen.withColumn("stopped", F.max(F.col("started") & ~F.col("head") & stop).over(order)).where("started and not stopped and not head")
-    groups = inside.where(F.regexp_like("line", F.lit(C.TEXT_TABLE_ROW)))
+    is_header, is_end = (lambda x: F.regexp_like(x, F.lit(C.TEXT_TABLE_HEADER))), (lambda x: F.regexp_like(x, F.lit(C.SUMMARY_LINE)))
+    first = lambda lines, fits: F.array_position(F.transform(lines, fits), True).cast("int")
+    lines = docs.select("file_id", once(F.filter(F.transform(F.split("text", "\n"), strip), lambda x: x != "")).alias("lines"))
+    begun = lines.withColumn("head", once(first(F.col("lines"), is_header))).where("head > 0")
+    inside = begun.select("file_id", once(F.filter(F.slice("lines", F.col("head") + 1, F.size("lines")), lambda x: ~is_header(x))).alias("lines"))
+    ended = inside.withColumn("end", once(first(F.col("lines"), is_end)))
+    kept = F.when(F.col("end") > 0, F.slice("lines", F.lit(1), F.col("end") - 1)).otherwise(F.col("lines"))
+    rows = ended.select("file_id", once(F.filter(kept, lambda x: F.regexp_like(x, F.lit(C.TEXT_TABLE_ROW)))).alias("lines")).select("file_id", F.posexplode("lines").alias("at", "line"))
     group = lambda i: strip(F.regexp_extract("line", C.TEXT_TABLE_ROW, i))
     none = F.lit(None).cast("string")
-    return _lines(groups.withColumns({
+    return _lines(rows.withColumns({
         "r_description": group(1), "r_quantity": group(2), "r_unit_price": group(3), "r_line_total": group(4),
         "r_sku": none, "r_unit_of_measure": none, "r_tax_amount": none, "r_tax_rate": none,
     }))
@@ -157,8 +178,13 @@ def text_lines(docs: DataFrame) -> DataFrame:
 
 def line_totals(lines: DataFrame) -> DataFrame:
     """Per document n_lines, lines_sum and bad (the first line with a cell that is no number)."""
-    bad = F.when(F.size("bad_fields") > 0, F.struct("line_number", F.array_join("bad_fields", ", ").alias("f")))
-    return lines.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_lines"), F.coalesce(F.sum("line_total"), F.lit(0)).cast(_MONEY).alias("lines_sum"), F.min(bad).alias("bad"))
+    # The first bad line as one number, its place above the marks of its fields: sums of numbers need no sorting.
+    marks, many = sum(F.when(F.array_contains("bad_fields", k), 1 << i).otherwise(0) for i, k in enumerate(NUMBERS)), 1 << len(NUMBERS)
+    first = F.min(F.when(F.size("bad_fields") > 0, F.col("line_number").cast("long") * many + marks)).alias("_first")
+    totals = lines.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_lines"), F.coalesce(F.sum("line_total"), F.lit(0)).cast(_MONEY).alias("lines_sum"), first)
+    names = F.array_compact(F.array(*[F.when(F.col("_first").bitwiseAND(1 << i) > 0, F.lit(k)) for i, k in enumerate(NUMBERS)]))
+    bad = F.struct(F.shiftright("_first", len(NUMBERS)).cast("smallint").alias("line_number"), F.array_join(names, ", ").alias("f"))
+    return totals.withColumn("bad", F.when(F.col("_first").isNotNull(), bad)).drop("_first")
 
 
 def reconcile(invoices: DataFrame, totals: DataFrame, limits: C.Limits = C.LIMITS) -> DataFrame:
@@ -180,7 +206,7 @@ def reconcile(invoices: DataFrame, totals: DataFrame, limits: C.Limits = C.LIMIT
 def parse(docs: DataFrame, rules: C.DateRules = C.DATE_RULES, limits: C.Limits = C.LIMITS, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """(invoices, lines).  Tables give the lines; texts do where no table has any.  ``strict`` fails an
     invoice of which a line has a cell that is no number, instead of leaving that cell null."""
-    viewed = docs.withColumn("_best", best_table(F.col("tables")))
+    viewed = docs.withColumn("_best", once(best_table(F.col("tables"))))
     lines = table_lines(viewed, F.col("_best")).unionByName(text_lines(viewed.where(~has_table_lines(F.col("_best")))))
     found = reconcile(fields(docs.drop("tables"), rules), line_totals(lines), limits)
     none = F.expr("cast(array() as array<string>)")
