@@ -56,6 +56,20 @@ def page(documents: DataFrame, limit: int = 20, offset: int = 0, after: tuple |
     return (ordered.offset(offset) if offset else ordered).limit(limit)
 
 
+def walk(documents: DataFrame, limit: int = 100) -> DataFrame:
+    """All documents in the order of ``page``, each with the number of its page (from 0): what asking for page after page
+    gives, by one sort.  Places within a sorted part and the parts' sizes give places in the whole."""
+    if not 1 <= limit <= 100:
+        raise ValueError("limit must be 1 to 100")
+    # The place of a row that is generated counts up within its part, whose number is above the lower 33 bits.
+    placed = documents.orderBy(F.col("uploaded_at").desc(), "id").withColumn("_at", F.monotonically_increasing_id())
+    placed = Files.staged(placed, "walk").withColumns({"_part": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND((1 << 33) - 1)})
+    parts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = parts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))  # as many rows as parts
+    return placed.join(starts, "_part").withColumn("page", F.expr(f"(_start + _at) div {limit}")).drop("_part", "_at", "_start")
+
+
 def job_states(events: DataFrame) -> DataFrame:
     """The current state of every job from its events: the last of the latest attempt."""
     rank = F.array_position(F.array(*map(F.lit, STATES)), F.col("state"))

@@ -724,18 +724,7 @@ def _(spark, sf_dir):
 @query("documents_walk", "SELECT id, (row_number() OVER (ORDER BY uploaded DESC, id) - 1) // 100 AS page FROM (SELECT s_suppkey::VARCHAR AS id, s_suppkey % 7 AS uploaded FROM supplier)")
 def _(spark, sf_dir):
     documents = L.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.timestamp_seconds(F.col("s_suppkey") % 7).alias("uploaded_at"))
-    pages, after = [], None
-    while True:
-        page = Cat.page(documents, 100, after=after)
-        last = page.agg(F.max_by(F.struct("uploaded_at", "id"), F.struct(-F.unix_seconds("uploaded_at"), "id")).alias("x")).first()["x"]
-        if last is None:
-            break
-        pages.append(page.select("id", F.lit(len(pages)).cast("long").alias("page")))
-        after = tuple(last)
-    found = pages[0]
-    for p in pages[1:]:
-        found = found.unionByName(p)
-    return found
+    return Cat.walk(documents, 100).select("id", "page")
 
 
 @query("catalog_purge", "SELECT o_custkey::VARCHAR || '.csv' AS original_name, count(*) AS n_transactions, 0::BIGINT AS left_in_files FROM orders WHERE o_custkey % 3 <> 0 GROUP BY o_custkey")
